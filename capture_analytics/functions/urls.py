@@ -68,6 +68,7 @@ UNWRAP_DEPTH = 5
 
 # ---- parts ----------------------------------------------------------------------
 
+_CONTROL = "".join(chr(i) for i in range(1, 33))
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?\[?([^\]/?#:]*)"
@@ -82,7 +83,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _tidy(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    return F.ltrim(F.translate(url, "\t\r\n", ""), F.lit(_CONTROL))
 
 
 def netloc(url: Column) -> Column:

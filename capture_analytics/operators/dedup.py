@@ -19,7 +19,9 @@ COMPANY_NAME_MAX = 200
 
 def repeated_captures(pages: DataFrame) -> DataFrame:
     """Listings captured more than once after redirect wrappers and tracking are removed."""
-    keyed = pages.select("page_id", "url", canonicalize_url(unwrap_url(F.col("url"))).alias("canonical"))
+    # two steps: the unwrapped URL is used many times by the second, computed once by the first
+    opened = pages.select("page_id", "url", unwrap_url(F.col("url")).alias("target"))
+    keyed = opened.select("page_id", "url", canonicalize_url(F.col("target")).alias("canonical"))
     grouped = keyed.groupBy("canonical").agg(
         F.count("*").alias("captures"),
         F.countDistinct("url").alias("raw_urls"),
@@ -77,8 +79,9 @@ def resolve_companies(names: DataFrame, companies: DataFrame) -> DataFrame:
     # at most COMPANY_NAME_MAX sizes: longer names cannot be stored, so they match nothing
     sizes = open_needles.where(F.length("needle") <= COMPANY_NAME_MAX).agg(
         F.collect_set(F.length("needle"))).scalar()
-    pieces = known.where(F.length("haystack") <= COMPANY_NAME_MAX).select(
-        "id", F.explode(_substrings(F.col("haystack"), sizes)).alias("needle"))
+    pieces = (known.where(F.length("haystack") <= COMPANY_NAME_MAX)
+              .withColumn("sizes", sizes)
+              .select("id", F.explode(_substrings(F.col("haystack"), F.col("sizes"))).alias("needle")))
     inside = (pieces.join(open_needles, "needle", "left_semi")
               .groupBy("needle").agg(F.min("id").alias("inside_id")))
     return (matched.join(inside, "needle", "left")

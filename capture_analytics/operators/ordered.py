@@ -9,7 +9,7 @@ is joined back. The result equals the plain window, whatever the key distributio
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,14 +21,17 @@ SEGMENT = "_segment"
 
 @dataclass(frozen=True)
 class Sequenced:
-    """How rows are ordered within a key: `order` is total, `segment` is monotone in it."""
+    """How rows are ordered within a key: `order` is total, `segment` is monotone in it.
+
+    The segment is made on use, so an ordering can be declared before a session exists.
+    """
 
     keys: Sequence[str]
     order: Sequence[str]
-    segment: Column
+    segment: Callable[[], Column]
 
     def tagged(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(SEGMENT, self.segment)
+        return df.withColumn(SEGMENT, self.segment())
 
     def local(self):
         return Window.partitionBy(*self.keys, SEGMENT).orderBy(*self.order)
@@ -45,13 +48,13 @@ class Sequenced:
 
 def by_time(keys: Sequence[str], time: str, tiebreak: str, unit: str = "hour") -> Sequenced:
     """Rows ordered by a timestamp, cut into hours (or another unit)."""
-    return Sequenced(keys, (time, tiebreak), F.date_trunc(unit, F.col(time)))
+    return Sequenced(keys, (time, tiebreak), lambda: F.date_trunc(unit, F.col(time)))
 
 
 def by_number(keys: Sequence[str], number: str, block: int = TURN_BLOCK) -> Sequenced:
     """Rows ordered by an integer that is unique in its key: a segment holds at most
     `block` rows by construction."""
-    return Sequenced(keys, (number,), F.floor(F.col(number) / F.lit(block)))
+    return Sequenced(keys, (number,), lambda: F.floor(F.col(number) / F.lit(block)))
 
 
 def running_totals(df: DataFrame, seq: Sequenced, totals: Mapping[str, Column],

@@ -86,12 +86,15 @@ def trim_sections(df: DataFrame) -> DataFrame:
     for section, attrs in CAREER_SECTIONS.items():
         if section in df.columns:
             known = df.schema[section].dataType.elementType.fieldNames()
-            keep = [f for f in ("id", *attrs) if f in known]
-            df = df.withColumn(section, F.transform(section, lambda r, keep=keep: F.struct(
-                *[r[f].alias(f) for f in keep])))
+            df = df.withColumn(section, F.transform(
+                section, _trimmer([f for f in ("id", *attrs) if f in known])))
     return df
 
 
+def _trimmer(fields: Sequence[str]):
+    return lambda record: F.struct(*[record[f].alias(f) for f in fields])
+
+
 # ---- selection --------------------------------------------------------------------
 
 def get_by_id(df: DataFrame, record_id: int | None, list_columns: Sequence[str]) -> DataFrame:
