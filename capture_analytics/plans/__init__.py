@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from capture_analytics.plans import dedup, profiles, quality, records, traces, urls  # noqa: F401
+from capture_analytics.plans import chat, dedup, pages, profiles, quality, records, traces, urls  # noqa: F401
 from capture_analytics.plans.registry import PLANS, TWINS
 
 __all__ = ["PLANS", "TWINS"]

@@ -15,6 +15,13 @@ from capture_analytics.sources.tables import table
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+VIEWS = ("companies", "job_posts", "applications", "scrapes", "posts_text", "scores",
+         "tier_attempts", "transitions", "observations", "usage", "runs", "gated_text",
+         "wrapped_urls", "captures", "fetch_log", "html_apply", "profiles", "messages",
+         "statuses", "completed", "tool_events")
+
+_BRACKETED = re.compile(r"\[(" + "|".join(TABLES + VIEWS) + r")\]")
+
 DIALECT = {
     "spark": {
         "b64": "base64(cast(url as binary))",
@@ -164,7 +171,7 @@ def view_sql(name: str, dialect: str) -> str:
 
 
 def _needs(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\[(\w+)\]", re.sub(r"\[\d[^\]]*\]", "", sql))))
+    return list(dict.fromkeys(_BRACKETED.findall(sql)))
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -190,7 +197,7 @@ def twin(body: str) -> str:
                 ordered.append(name)
 
     def plain(sql: str) -> str:
-        return re.sub(r"\[([a-z_]+)\]", r"\1", sql)
+        return _BRACKETED.sub(r"\1", sql)
 
     add(body)
     if not ordered:
