@@ -38,20 +38,20 @@ def decode_entities(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of whitespace as one space, no space at the ends."""
-    return F.trim(F.regexp_replace(text, r"[\s\xA0]+", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\xA0]{2,}+|[\t-\r\xA0]", " "))
 
 
 def without_hidden(html: Column) -> Column:
     """Html without comments and without elements that never show text."""
-    hidden = "|".join(rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in HIDDEN)
-    return F.regexp_replace(filled(html), rf"(?is)<!--.*?-->|{hidden}", " ")
+    hidden = "|".join(rf"{tag}\b[^>]*>.*?</{tag}\s*>" for tag in HIDDEN)
+    return F.regexp_replace(filled(html), rf"(?is)<(?:!--.*?-->|{hidden})", " ")
 
 
 def plain_text(fragment: Column) -> Column:
     """Text of a fragment: inline tags join words, other tags part them."""
-    inline = rf"(?i)</?(?:{'|'.join(INLINE)})(?:\s[^>]*)?>"
+    inline = rf"(?i)</?(?:{'|'.join(INLINE)})(?:\s[^>]*+)?>"
     return squeeze(decode_entities(F.regexp_replace(
-        F.regexp_replace(fragment, inline, ""), "<[^>]*>", " ")))
+        F.regexp_replace(fragment, inline, ""), "<[^>]*+>", " ")))
 
 
 def visible_text(html: Column) -> Column:

@@ -47,14 +47,15 @@ STUB_MIN_WORDS = 60
 SOURCE_MIN_WORDS = 40
 CHARS_PER_TOKEN = 3
 
-# Whitespace as text splitting sees it: Unicode spaces and the four file separators.
-_WORD = r"(?U)[^\s\x1c-\x1f]+"
-_EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Whitespace as text splitting sees it: ASCII and Unicode spaces and the file separators.
+# Spelled out, because a listed class is matched much faster than a Unicode property.
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE, _LETTER = f"[{_SPACES}]", f"[^{_SPACES}]"
 
 
 def strip(text: Column) -> Column:
     """Text without leading and trailing whitespace of any kind."""
-    return F.regexp_replace(text, _EDGE, "")
+    return F.regexp_replace(text, f"^{_SPACE}++|{_SPACE}++$", "")
 
 
 def filled(text: Column) -> Column:
@@ -63,11 +64,22 @@ def filled(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(f"{_LETTER}++")), F.lit(0)).cast("bigint")
+
+
+def has_words(text: Column, n: int) -> Column:
+    """At least `n` words. Exact like `word_count(text) >= n`, but reading stops at the
+    n-th word, which matters for long texts and small thresholds."""
+    more = f"(?:{_LETTER}++{_SPACE}++){{{n - 1}}}" if n > 1 else ""
+    return F.coalesce(text.rlike(f"^{_SPACE}*+{more}{_LETTER}"), F.lit(False))
+
+
+def is_blank(text: Column) -> Column:
+    return ~has_words(text, 1)
 
 
 def is_stub(description: Column) -> Column:
-    return word_count(description) < STUB_MIN_WORDS
+    return ~has_words(description, STUB_MIN_WORDS)
 
 
 def phrase_hits(lowered: Column, phrases: Iterable[str]) -> Column:
@@ -99,16 +111,15 @@ def login_wall(content: Column, host_phrases: Column | None = None) -> Column:
         strong = strong | F.coalesce(
             F.exists(host_phrases, lambda p: lowered.contains(p)), F.lit(False))
     weak = phrase_hits(lowered, LOGIN_WEAK_PHRASES) >= WALL_MIN_WEAK
-    return strong | (weak & (word_count(content) < WALL_MAX_WORDS))
+    return strong | (~has_words(content, WALL_MAX_WORDS) & weak)
 
 
 def still_loading(content: Column) -> Column:
     """Empty, opening with an interstitial phrase, or short and containing one."""
     lowered = F.lower(filled(content))
-    opening = r"(?U)^[\s\x1c-\x1f]*(" + "|".join(LOADING_PREFIXES) + ")"
-    words = word_count(content)
-    return (words == 0) | lowered.rlike(opening) | (
-        (words < LOADING_MAX_WORDS) & any_phrase(lowered, LOADING_PREFIXES))
+    opening = f"^{_SPACE}*+(?:{'|'.join(LOADING_PREFIXES)})"
+    return is_blank(content) | lowered.rlike(opening) | (
+        ~has_words(content, LOADING_MAX_WORDS) & any_phrase(lowered, LOADING_PREFIXES))
 
 
 def loading_shell(content: Column) -> Column:
@@ -120,22 +131,22 @@ def _reasons(*rules: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]))
 
 
-def extraction_reasons(title: Column, company: Column, description: Column) -> Column:
-    """Why an extraction is not good enough; an empty array means it passed.
+def extraction_faults(title: Column, company: Column, description: Column) -> dict[str, Column]:
+    """Faults of an extraction by name. An empty description is none: only a non-empty
+    thin one is."""
+    return {"missing_title": is_blank(title), "missing_company": is_blank(company),
+            "thin_description": ~is_blank(description) & is_stub(description)}
 
-    An empty description passes: only a non-empty thin one is a reason.
-    """
-    words = word_count(description)
-    return _reasons(
-        ("missing_title", word_count(title) == 0),
-        ("missing_company", word_count(company) == 0),
-        ("thin_description", (words > 0) & (words < STUB_MIN_WORDS)))
+
+def extraction_reasons(title: Column, company: Column, description: Column) -> Column:
+    """Why an extraction is not good enough; an empty array means it passed."""
+    return _reasons(*extraction_faults(title, company, description).items())
 
 
 def validation_reasons(source_text: Column) -> Column:
     """Why the source of an extraction cannot hold a real posting."""
     return _reasons(
-        ("source_too_short", word_count(source_text) < SOURCE_MIN_WORDS),
+        ("source_too_short", ~has_words(source_text, SOURCE_MIN_WORDS)),
         ("loading_shell_fingerprint", loading_shell(source_text)))
 
 

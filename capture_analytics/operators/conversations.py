@@ -34,35 +34,36 @@ def budget_history(messages: DataFrame, cost: Column, droppable: Column,
     message (an assistant turn or a pure tool return); when nothing else is left the
     whole history is returned. With a `parts` column a mixed opening message loses its
     tool returns. `cost` is at least 1 per message.
+
+    What is kept is the end of a conversation, so the work is done on numbers only: the
+    result is one opening turn per cut conversation, and texts meet it in a single join.
     """
     seq = by_number(["conv_id"], "turn")
-    rows = seq.tagged(messages.withColumn("_cost", cost).withColumn("_droppable", droppable))
+    rows = seq.tagged(messages.select("conv_id", "turn", cost.alias("_cost"),
+                                      droppable.alias("_droppable")))
     later = Window.partitionBy("conv_id").orderBy(F.desc(SEGMENT)).rowsBetween(
         Window.unboundedPreceding, -1)
     blocks = rows.groupBy("conv_id", SEGMENT).agg(F.sum("_cost").alias("_sum")).select(
         "conv_id", SEGMENT, F.sum("_sum").over(later).alias("_after"),
         F.sum("_sum").over(Window.partitionBy("conv_id")).alias("_total"))
-    # blocks behind the budget are left out before their rows are ordered
-    reachable = blocks.where(F.col("_after").isNull() | (F.col("_after") < max_tokens))
+    # whole histories and blocks behind the budget are left out before rows are ordered
+    reachable = blocks.where((F.col("_total") > max_tokens) & (
+        F.col("_after").isNull() | (F.col("_after") < max_tokens)))
     inside = Window.partitionBy("conv_id", SEGMENT).orderBy(F.desc("turn"))
     placed = rows.join(reachable, ["conv_id", SEGMENT]).select(
         "*", (F.coalesce("_after", F.lit(0)) + F.sum("_cost").over(
             inside.rowsBetween(Window.unboundedPreceding, 0))).alias("_used"),
         (F.col("_after").isNull() & (F.row_number().over(inside) == 1)).alias("_newest"))
-    kept = placed.where((F.col("_used") <= max_tokens) | F.col("_newest"))
-    # at most max_tokens rows per conversation are left, each costs a token or more
-    opening = F.min(F.when(~F.col("_droppable"), F.col("turn"))).over(
-        Window.partitionBy("conv_id"))
-    kept = kept.withColumn("_opening", opening)
-    whole = F.col("_total") <= max_tokens
-    cut = kept.where(whole | (F.col("turn") >= F.col("_opening")))
+    openings = placed.where(((F.col("_used") <= max_tokens) | F.col("_newest"))
+                            & ~F.col("_droppable")).groupBy("conv_id").agg(
+                                F.min("turn").alias("_opening"))
+    cut = messages.join(openings, "conv_id", "left").where(
+        F.col("_opening").isNull() | (F.col("turn") >= F.col("_opening")))
     if "parts" in messages.columns:
         own = F.filter("parts", lambda p: p["kind"] != "tool-return")
-        cut = cut.withColumn("parts", F.when(~whole & (F.col("turn") == F.col("_opening")), own)
+        cut = cut.withColumn("parts", F.when(F.col("turn") == F.col("_opening"), own)
                              .otherwise(F.col("parts")))
-    nothing = kept.where(~whole & F.col("_opening").isNull()).select("conv_id").distinct()
-    return cut.select(*messages.columns).unionByName(
-        messages.join(nothing, "conv_id", "left_semi").select(*messages.columns))
+    return cut.select(*messages.columns)
 
 
 def last_messages(messages: DataFrame, n: int = HISTORY_LAST) -> DataFrame:
@@ -86,8 +87,10 @@ def text_only(messages: DataFrame) -> DataFrame:
     return messages.withColumn("parts", kept).where(F.size("parts") > 0)
 
 
-def _ids(kind: str) -> Column:
-    return F.transform(F.filter("parts", lambda p: p["kind"] == kind), lambda p: p["call_id"])
+def part_ids(kind: str) -> Column:
+    """Call ids of the parts of one kind. Reads two fields of the parts, never their text."""
+    pairs = F.arrays_zip(F.col("parts.kind").alias("kind"), F.col("parts.call_id").alias("call_id"))
+    return F.transform(F.filter(pairs, lambda p: p["kind"] == kind), lambda p: p["call_id"])
 
 
 def repair_tool_calls(messages: DataFrame) -> DataFrame:
@@ -95,19 +98,32 @@ def repair_tool_calls(messages: DataFrame) -> DataFrame:
 
     `messages` has `conv_id`, `turn`, `kind` (`request` or `response`) and `parts`
     (`kind`, `call_id`, `text`). A response and the requests up to the next response form
-    an exchange. Everything needed is a fact per exchange or per call, found by grouping:
-    the first request with own content, the turn each call was answered, the request that
-    directly follows the response once empty ones are gone.
+    an exchange. What has to change is worked out on ids alone, as facts per exchange and
+    per call; texts meet the changed messages, usually few, in one join at the end.
     """
-    columns = messages.columns
+    changes = _tool_call_changes(messages)
+    joined = messages.join(changes, ["conv_id", "turn"], "left")
+    valid = F.filter("parts", lambda p: (p["kind"] != "tool-return")
+                     | F.array_contains(F.col("_valid"), p["call_id"]))
+    return joined.where(~F.coalesce("_gone", F.lit(False))).withColumn(
+        "parts", F.when(F.col("_valid").isNotNull(), valid).otherwise(F.col("parts"))
+    ).select(*messages.columns)
+
+
+def _tool_call_changes(messages: DataFrame) -> DataFrame:
+    """Messages to drop (`_gone`) or whose returns are limited to the `_valid` ids."""
+    none = F.array().cast("array<string>")
     request = F.col("kind") == "request"
-    rows = messages.withColumn("_calls", _ids("tool-call")).withColumn("_returns", _ids("tool-return"))
-    rows = rows.withColumn("_own", F.size("parts") - F.size("_returns"))
+    rows = messages.select(
+        "conv_id", "turn", "kind", part_ids("tool-call").alias("_calls"),
+        part_ids("tool-return").alias("_returns"), F.size("parts.kind").alias("_size"))
+    rows = rows.withColumn("_own", F.col("_size") - F.size("_returns"))
     rows = carry_last(rows, by_number(["conv_id"], "turn"),
                       {"_exchange": F.when(F.col("kind") == "response", F.col("turn"))})
     rows = rows.withColumn("_exchange", F.coalesce("_exchange", F.lit(-1)))
     key = ["conv_id", "_exchange"]
 
+    # an exchange is broken when a call has no answer up to the first request with own content
     facts = rows.groupBy(*key).agg(
         F.min(F.when(request & (F.col("_own") > 0), F.col("turn"))).alias("_mixed"),
         F.any_value(F.when(~request, F.col("_calls")), ignoreNulls=True).alias("_asked"))
@@ -119,34 +135,35 @@ def repair_tool_calls(messages: DataFrame) -> DataFrame:
                 .where("_called").groupBy(*key)
                 .agg(F.max(F.coalesce("_at", F.lit(_NEVER))).alias("_last_answer")))
     facts = facts.join(answered, key, "left").select(
-        *key, "_mixed", F.coalesce("_asked", F.array().cast("array<string>")).alias("_asked"),
+        *key, "_mixed", F.coalesce("_asked", none).alias("_asked"),
         F.coalesce(F.col("_last_answer") > F.coalesce("_mixed", F.lit(_NEVER - 1)), F.lit(False)
                    ).alias("_broken"))
 
-    joined = rows.join(facts, key)
+    # first pass: a broken response goes, with the pure returns up to that request
+    judged = rows.join(facts, key)
     gone = F.col("_broken") & F.when(~request, F.lit(True)).otherwise(
         F.col("turn") < F.coalesce("_mixed", F.lit(_NEVER)))
-    stripped = F.filter("parts", lambda p: ~((p["kind"] == "tool-return")
-                                             & F.array_contains(F.col("_asked"), p["call_id"])))
-    joined = joined.where(~gone).withColumn("parts", F.when(
-        F.col("_broken") & request & (F.col("turn") == F.col("_mixed")), stripped
-    ).otherwise(F.col("parts")))
-    joined = joined.withColumn("_returns", _ids("tool-return")).withColumn("_asked", F.when(
-        F.col("_broken"), F.array().cast("array<string>")).otherwise(F.col("_asked")))
-
-    follows = request & ((F.size("_returns") == 0) | (F.col("_own") > 0)
-                         | F.arrays_overlap("_returns", "_asked"))
-    direct = joined.groupBy(*key).agg(F.min(F.when(follows, F.col("turn"))).alias("_direct"))
-    # a request without returns keeps its parts either way, so only the others need the join
-    plain = joined.where(~request | (F.size("_returns") == 0))
-    checked = joined.where(request & (F.size("_returns") > 0)).join(direct, key)
-    valid = F.filter("parts", lambda p: (p["kind"] != "tool-return") | (
-        (F.col("turn") == F.col("_direct")) & F.array_contains(F.col("_asked"), p["call_id"])))
-    checked = checked.withColumn("parts", valid).where(F.size("parts") > 0)
-    result = plain.select(*columns).unionByName(checked.select(*columns))
-    emptied = messages.select("conv_id").distinct().join(
-        result.select("conv_id").distinct(), "conv_id", "left_anti")
-    return result.unionByName(messages.join(emptied, "conv_id", "left_semi").select(*columns))
+    stripped = F.when(F.col("_broken") & (F.col("turn") == F.col("_mixed")),
+                      F.array_except("_returns", "_asked")).otherwise(F.col("_returns"))
+    judged = judged.withColumns({
+        "_gone": gone, "_original": F.col("_returns"), "_returns": F.when(request, stripped).otherwise(none),
+        "_valid": F.when(F.col("_broken"), none).otherwise(F.col("_asked"))})
+
+    # second pass: returns count only in the request that directly follows their response
+    follows = request & ~F.col("_gone") & (
+        (F.size("_returns") == 0) | (F.col("_own") > 0) | F.arrays_overlap("_returns", "_valid"))
+    direct = judged.groupBy(*key).agg(F.min(F.when(follows, F.col("turn"))).alias("_direct"))
+    touched = judged.where(F.col("_gone") | (request & (F.size("_original") > 0)))
+    checked = touched.join(direct, key).withColumn("_valid", F.when(
+        F.col("turn") == F.col("_direct"), F.array_intersect("_returns", "_valid")).otherwise(none))
+    emptied = request & (F.col("_own") == 0) & (F.size("_valid") == 0) & (F.size("_returns") > 0)
+    changes = checked.select("conv_id", "turn", (F.col("_gone") | emptied).alias("_gone"), "_valid")
+
+    # a conversation is never emptied: it then stays as it was
+    sizes = messages.groupBy("conv_id").agg(F.count("*").alias("_all"))
+    lost = changes.where("_gone").groupBy("conv_id").agg(F.count("*").alias("_lost"))
+    emptied_conversations = lost.join(sizes, "conv_id").where(F.col("_lost") == F.col("_all"))
+    return changes.join(emptied_conversations.select("conv_id"), "conv_id", "left_anti")
 
 
 # ---- tool calls -------------------------------------------------------------------

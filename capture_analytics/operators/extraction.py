@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capture_analytics.functions.text import extraction_reasons
+from capture_analytics.functions.text import extraction_faults
 
 TIERS = (1, 2, 3)
 _BITS = ("missing_title", "missing_company", "thin_description")
@@ -19,16 +19,17 @@ def tier_cascade(attempts: DataFrame, tier3_enabled: bool = False) -> DataFrame:
     is a function of one row, so it is reduced to three bits before the shuffle; per run
     only small integers are combined, and that combines map-side.
     """
-    reasons = extraction_reasons(F.col("title"), F.col("company_name"), F.col("description"))
-    bits = sum((F.array_contains(reasons, name).cast("int") * (1 << i)
-                for i, name in enumerate(_BITS)), F.lit(0))
-    output = F.when(F.col("produced"), F.col("tier") * 8 + bits)
+    faults = extraction_faults(F.col("title"), F.col("company_name"), F.col("description"))
+    bits = sum((faults[name].cast("int") * (1 << i) for i, name in enumerate(_BITS)), F.lit(0))
+    output = F.col("output")
     tiers = TIERS if tier3_enabled else TIERS[:-1]
     latest = [F.max(F.when((F.col("tier") <= t), output)).alias(f"after_{t}") for t in tiers]
     tried = [F.max((F.col("tier") == t).cast("int")).alias(f"tried_{t}") for t in tiers]
     nothing = F.lit(3)  # no output at all: title and company are missing
 
-    runs = attempts.where(F.col("tier").isin(*tiers)).groupBy("run_id").agg(*latest, *tried)
+    judged = attempts.where(F.col("tier").isin(*tiers)).select(
+        "run_id", "tier", F.when(F.col("produced"), F.col("tier") * 8 + bits).alias("output"))
+    runs = judged.groupBy("run_id").agg(*latest, *tried)
     state = {t: F.coalesce(F.col(f"after_{t}") % 8, nothing) for t in tiers}
     passed_at = F.coalesce(*[F.when((F.col(f"tried_{t}") == 1) & (state[t] == 0), F.lit(t))
                              for t in tiers])

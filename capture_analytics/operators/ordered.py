@@ -126,4 +126,5 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], lim
     """First `limit` rows per key. Spark cuts each map task to `limit` rows per key before
     the shuffle (window group limit), so a hot key moves few rows."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit)
+    ranked = df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit)
+    return ranked.withColumn(rank, F.col(rank).cast("bigint"))

@@ -177,13 +177,14 @@ def capture_result(pages: DataFrame) -> DataFrame:
     `pages` carries the profile columns of `selector_check`.
     """
     checked = selector_check(pages).withColumn("content", visible_text(F.col("html")))
-    walled = ~F.col("is_authenticated") & login_wall(F.col("content"))
-    error = (F.when(F.col("is_blocked"), F.lit("blocked_page_detected"))
-             .when(walled, F.lit("login_wall_detected")))
+    checked = checked.withColumn("_walled", ~F.col("is_authenticated") & login_wall(F.col("content")))
     words = word_count(F.col("content"))
+    error = (F.when(F.col("is_blocked"), F.lit("blocked_page_detected"))
+             .when(F.col("_walled"), F.lit("login_wall_detected")))
     message = (F.when(F.col("is_blocked"), F.lit("Page matched a known blocked-page selector."))
-               .when(walled, F.concat(F.lit("Page appears to be a login wall ("), words.cast("string"),
-                                      F.lit(" words, login signals found)."))))
-    return checked.withColumn("error", error).withColumn("message", message).withColumn(
-        "words", words).withColumn(
-        "content", F.when(F.col("error").isNull(), F.col("content")).otherwise(""))
+               .when(F.col("_walled"), F.concat(
+                   F.lit("Page appears to be a login wall ("), words.cast("string"),
+                   F.lit(" words, login signals found)."))))
+    kept = F.when(F.col("is_blocked") | F.col("_walled"), F.lit("")).otherwise(F.col("content"))
+    return checked.withColumns({"error": error, "message": message, "words": words,
+                                "content": kept}).drop("_walled")

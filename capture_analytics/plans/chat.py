@@ -105,8 +105,8 @@ from (select conv_id, turn, kind, list_transform(list_filter(parts, lambda p: p.
         over (partition by conv_id order by turn) as returns from [messages]) t where kind = 'response'""")
 def unanswered_calls(spark, folder):
     from capture_analytics.operators.ordered import by_number, neighbour
-    messages = view(spark, folder, "messages").withColumn("calls", ops._ids("tool-call")).withColumn(
-        "returns", ops._ids("tool-return"))
+    messages = view(spark, folder, "messages").withColumn("calls", ops.part_ids("tool-call")).withColumn(
+        "returns", ops.part_ids("tool-return"))
     paired = neighbour(messages, by_number(["conv_id"], "turn"), {"returns": "following"})
     open_calls = F.array_except("calls", F.coalesce("following", F.array().cast("array<string>")))
     return paired.where(F.col("kind") == "response").select(

@@ -67,7 +67,7 @@ _CANDIDATES = f"""select page_id, {S.bare_host('url')} as host, case page_id % 5
         when 3 then 'https://boards.example.org/apply?job=' || page_id end as href,
     case page_id % 5 when 0 then 'Apply now' when 1 then 'Apply' when 2 then 'Apply with profile' else 'Go' end as text,
     case page_id % 5 when 1 then 'button' when 2 then 'div' else 'a' end as tag,
-    case page_id % 5 when 0 then 0.9 when 1 then 0.7 when 2 then 0.4 else 0.8 end as score,
+    cast(case page_id % 5 when 0 then 0.9 when 1 then 0.7 when 2 then 0.4 else 0.8 end as double) as score,
     case page_id % 5 when 0 then 'href contains ''apply'' AND text ''apply''' when 1 then 'text ''apply'' AND aria-label ''apply'''
         when 2 then 'text ''apply''' else 'href contains ''apply'' AND aria-label ''apply''' end as reason
     from [html_apply] where contains(html, '<article>') and page_id % 5 <> 4"""

@@ -123,7 +123,7 @@ def tier_cascade_three(spark, folder):
 
 
 @query("tier_usage", """select tier, model, count(*) as attempts, count(*) filter (produced) as outputs,
-    count(error) as errors, round(sum(cost_usd), 4) as cost_usd,
+    count(error) as errors, round(cast(sum(cost_usd) as double), 4) as cost_usd,
     cast(sum(duration_ms) as bigint) as duration_ms from [tier_attempts] group by tier, model""")
 def tier_usage(spark, folder):
     return extraction.tier_usage(view(spark, folder, "tier_attempts")).withColumn(

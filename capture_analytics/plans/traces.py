@@ -102,7 +102,7 @@ def trace_conformance(spark, folder):
     select scrape_id, scrape_id as root, 0 as depth from [scrapes] where source_scrape is null
     union all
     select s.scrape_id, c.root, c.depth + 1 from [scrapes] s join chain c on s.source_scrape = c.scrape_id)
-select scrape_id, root, depth from chain""")
+select scrape_id, root, cast(depth as bigint) as depth from chain""")
 def lineage_chain(spark, folder):
     return ops.lineage_chain(view(spark, folder, "scrapes").select("scrape_id", "source_scrape"))
 
