@@ -7,6 +7,8 @@ targets need no Python. Only selector matching needs a tree; see `operators.page
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,9 @@ _ATTRS = r"((?:\s(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)?)"
 _ATTR = r"[^\s\"'>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+"
 
 
+_OPENING = rf"(?is)^<[A-Za-z][A-Za-z0-9]*{_ATTRS}/?>"
+
+
 def decode_entities(text: Column) -> Column:
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
@@ -98,26 +103,37 @@ def interactive_elements(html: Column) -> Column:
     cut = (r"(?is)(?=<(?:a|button)[\s>])"
            r"|(?=<(?!a[\s>]|button[\s>])[a-z][a-z0-9]*\s[^>]*\brole\s*=\s*[\"']?button\b)")
 
-    def elements(chunks: Column) -> Column:
-        def element(chunk: Column, i: Column) -> Column:
-            tag = F.lower(F.regexp_extract(chunk, r"^<([A-Za-z][A-Za-z0-9]*)", 1))
-            following = filled(F.try_element_at(chunks, i + 2))
-            close = F.concat(F.lit("</"), tag)
-            closed = F.lower(chunk).contains(close)
-            nested = ~F.lower(following).startswith(F.concat(F.lit("<"), tag))
-            source = F.when(closed | ~nested, chunk).otherwise(F.concat(chunk, following))
-            body = F.regexp_replace(source, rf"(?is)^<[A-Za-z][A-Za-z0-9]*{_ATTRS}/?>", "")
-            end = F.instr(F.lower(body), close)
-            return F.struct(
-                tag.alias("tag"),
-                attributes(F.regexp_extract(
-                    chunk, rf"(?is)^<[A-Za-z][A-Za-z0-9]*{_ATTRS}/?>", 1)).alias("attrs"),
-                plain_text(F.when(end > 0, F.left(body, end - 1)).otherwise(body)).alias("text"))
-
-        return F.filter(F.transform(chunks, element), lambda e: e["tag"].isin("a", "button")
+    # Three steps, each an array of its own: what a step binds is computed once per element.
+    def piece(chunks: Column) -> Callable[[Column, Column], Column]:
+        return lambda chunk, i: F.struct(
+            F.lower(F.regexp_extract(chunk, r"^<([A-Za-z][A-Za-z0-9]*)", 1)).alias("tag"),
+            F.regexp_extract(chunk, _OPENING, 0).alias("opening"), chunk.alias("source"),
+            filled(F.try_element_at(chunks, i + 2)).alias("following"))
+
+    def body(e: Column) -> Column:
+        close = F.concat(F.lit("</"), e["tag"])
+        own = F.substr(e["source"], F.length(e["opening"]) + 1)
+        nested = ~F.lower(F.left(e["following"], F.length(e["tag"]) + 1)).eqNullSafe(
+            F.concat(F.lit("<"), e["tag"]))
+        return F.struct(
+            e["tag"], e["opening"], close.alias("close"),
+            F.when(F.lower(own).contains(close) | ~nested, own)
+            .otherwise(F.concat(own, e["following"])).alias("body"))
+
+    def element(e: Column) -> Column:
+        end = F.instr(F.lower(e["body"]), e["close"])
+        return F.struct(
+            e["tag"], attributes(F.regexp_extract(e["opening"], _OPENING, 1)).alias("attrs"),
+            plain_text(F.when(end > 0, F.left(e["body"], end - 1)).otherwise(e["body"])).alias("text"))
+
+    def steps(chunks: Column) -> Column:
+        # the first chunk is what lies before the first cut; it is no element of its own
+        pieces = F.filter(F.transform(chunks, piece(chunks)), lambda e: e["opening"] != "")
+        return F.filter(F.transform(F.transform(pieces, body), element),
+                        lambda e: e["tag"].isin("a", "button")
                         | (F.coalesce(attribute(e["attrs"], "role"), F.lit("")) == "button"))
 
-    return _let(F.split(without_hidden(html), cut), elements)
+    return _let(F.split(without_hidden(html), cut), steps)
 
 
 def page_links(html: Column, base: Column) -> Column:
@@ -182,19 +198,26 @@ def element_selector(tag: Column, attrs: Column) -> Column:
 
 def apply_candidates(html: Column, base: Column) -> Column:
     """Elements that look like an apply target, links first, with score and reason."""
-    def candidate(tag: Column, e: Column, href: Column | None) -> Column:
-        text = F.left(e["text"], F.lit(CANDIDATE_TEXT))
-        aria = attribute(e["attrs"], "aria-label")
-        rules = [(0.4, "text 'apply'", _applyish(text)), (0.3, "aria-label 'apply'", _applyish(aria))]
-        if href is not None:
-            rules.insert(0, (0.5, "href contains 'apply'", _applyish(href)))
+    def seen(e: Column, href: Column | None) -> Column:
+        return F.struct(
+            e["tag"], e["attrs"], F.left(e["text"], F.lit(CANDIDATE_TEXT)).alias("text"),
+            (href if href is not None else F.lit(None).cast("string")).alias("href"),
+            attribute(e["attrs"], "aria-label").alias("aria"))
+
+    def judged(s: Column) -> Column:
+        return F.struct(s.alias("s"), _applyish(s["href"]).alias("in_href"),
+                        _applyish(s["text"]).alias("in_text"), _applyish(s["aria"]).alias("in_aria"))
+
+    def candidate(j: Column) -> Column:
+        s = j["s"]
+        rules = ((0.5, "href contains 'apply'", j["in_href"]), (0.4, "text 'apply'", j["in_text"]),
+                 (0.3, "aria-label 'apply'", j["in_aria"]))
         score = sum((F.when(hit, F.lit(points)).otherwise(0.0) for points, _, hit in rules),
                     F.lit(0.0))
         reasons = F.array_compact(F.array(*[F.when(hit, F.lit(why)) for _, why, hit in rules]))
-        shown = F.when(href.startswith("http"), href) if href is not None else F.lit(None)
         return F.struct(
-            element_selector(tag, e["attrs"]).alias("selector"),
-            shown.cast("string").alias("href"), text.alias("text"), tag.alias("tag"),
+            element_selector(s["tag"], s["attrs"]).alias("selector"),
+            F.when(s["href"].startswith("http"), s["href"]).alias("href"), s["text"], s["tag"],
             F.round(F.least(score, F.lit(1.0)), 2).alias("score"),
             F.array_join(reasons, " AND ").alias("reason"))
 
@@ -203,11 +226,12 @@ def apply_candidates(html: Column, base: Column) -> Column:
                          & F.exists(e["attrs"], lambda a: a["name"] == "href"))
         buttons = F.filter(elements, lambda e: (e["tag"] == "button")
                            | (F.coalesce(attribute(e["attrs"], "role"), F.lit("")) == "button"))
-        found = F.concat(
-            F.transform(links, lambda e: candidate(
-                e["tag"], e, absolute_url(base, attribute(e["attrs"], "href")))),
-            F.transform(buttons, lambda e: candidate(e["tag"], e, None)))
-        return F.filter(found, lambda c: c["score"] > 0)
+        both = F.concat(
+            F.transform(links, lambda e: seen(e, absolute_url(base, attribute(e["attrs"], "href")))),
+            F.transform(buttons, lambda e: seen(e, None)))
+        likely = F.filter(F.transform(both, judged),
+                          lambda j: j["in_href"] | j["in_text"] | j["in_aria"])
+        return F.transform(likely, candidate)
 
     return _let(interactive_elements(html), scan)
 

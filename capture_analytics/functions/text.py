@@ -47,15 +47,13 @@ STUB_MIN_WORDS = 60
 SOURCE_MIN_WORDS = 40
 CHARS_PER_TOKEN = 3
 
-# Whitespace as text splitting sees it: ASCII and Unicode spaces and the file separators.
-# Spelled out, because a listed class is matched much faster than a Unicode property.
-_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACE, _LETTER = f"[{_SPACES}]", f"[^{_SPACES}]"
+# Whitespace as text splitting sees it: Unicode white space and the four file separators.
+_SPACE, _LETTER = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
     """Text without leading and trailing whitespace of any kind."""
-    return F.regexp_replace(text, f"^{_SPACE}++|{_SPACE}++$", "")
+    return F.regexp_replace(text, f"(?U)^{_SPACE}++|{_SPACE}++$", "")
 
 
 def filled(text: Column) -> Column:
@@ -64,14 +62,14 @@ def filled(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(f"{_LETTER}++")), F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(f"(?U){_LETTER}++")), F.lit(0)).cast("bigint")
 
 
 def has_words(text: Column, n: int) -> Column:
     """At least `n` words. Exact like `word_count(text) >= n`, but reading stops at the
     n-th word, which matters for long texts and small thresholds."""
     more = f"(?:{_LETTER}++{_SPACE}++){{{n - 1}}}" if n > 1 else ""
-    return F.coalesce(text.rlike(f"^{_SPACE}*+{more}{_LETTER}"), F.lit(False))
+    return F.coalesce(text.rlike(f"(?U)^{_SPACE}*+{more}{_LETTER}"), F.lit(False))
 
 
 def is_blank(text: Column) -> Column:
@@ -117,7 +115,7 @@ def login_wall(content: Column, host_phrases: Column | None = None) -> Column:
 def still_loading(content: Column) -> Column:
     """Empty, opening with an interstitial phrase, or short and containing one."""
     lowered = F.lower(filled(content))
-    opening = f"^{_SPACE}*+(?:{'|'.join(LOADING_PREFIXES)})"
+    opening = f"(?U)^{_SPACE}*+(?:{'|'.join(LOADING_PREFIXES)})"
     return is_blank(content) | lowered.rlike(opening) | (
         ~has_words(content, LOADING_MAX_WORDS) & any_phrase(lowered, LOADING_PREFIXES))
 
