@@ -100,8 +100,8 @@ def interactive_elements(html: Column) -> Column:
     The page is cut in front of every such opening tag. An element whose closing tag lies
     behind the next cut (a button inside a link) takes its text from both pieces.
     """
-    cut = (r"(?is)(?=<(?:a|button)[\s>])"
-           r"|(?=<(?!a[\s>]|button[\s>])[a-z][a-z0-9]*\s[^>]*\brole\s*=\s*[\"']?button\b)")
+    cut = (r"(?is)(?=<(?:(?:a|button)[\s>]"
+           r"|[a-z][a-z0-9]*+\s[^>]*\brole\s*=\s*[\"']?button\b))")
 
     # Three steps, each an array of its own: what a step binds is computed once per element.
     def piece(chunks: Column) -> Callable[[Column, Column], Column]:
