@@ -32,6 +32,8 @@ _ATTRS = r"((?:\s(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)?)"
 _ATTR = r"[^\s\"'>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+"
 
 
+# a tag, quoted values respected; the second form takes tags with unbalanced quotes
+_TAG = r"</?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[/!?A-Za-z][^>]*+>"
 _OPENING = rf"(?is)^<[A-Za-z][A-Za-z0-9]*{_ATTRS}/?>"
 
 
@@ -54,9 +56,9 @@ def without_hidden(html: Column) -> Column:
 
 def plain_text(fragment: Column) -> Column:
     """Text of a fragment: inline tags join words, other tags part them."""
-    inline = rf"(?i)</?(?:{'|'.join(INLINE)})(?:\s[^>]*+)?>"
+    inline = rf"(?i)</?(?:{'|'.join(INLINE)}){_ATTRS}/?>"
     return squeeze(decode_entities(F.regexp_replace(
-        F.regexp_replace(fragment, inline, ""), "<[^>]*+>", " ")))
+        F.regexp_replace(fragment, inline, ""), _TAG, " ")))
 
 
 def visible_text(html: Column) -> Column:
