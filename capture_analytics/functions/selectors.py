@@ -32,47 +32,56 @@ _PIECES = re.compile(r"(?:\[[^\]]*\]|[^\s\[])+")
 
 
 class _Page(HTMLParser):
-    """Elements in document order as `(tag, attributes, parent)`, and the text below each."""
+    """Elements in document order as `(tag, attributes, parent)`, and the visible texts.
+
+    The elements below one are a run of this order, so the text of an element is the texts
+    whose owner lies in its run.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.elements: list[tuple[str, dict, int]] = []
+        self.last: list[int] = []
         self.texts: list[tuple[int, str]] = []
         self.open: list[int] = []
         self.feed(html)
         self.close()
+        self._shut(0)
+
+    def _shut(self, depth: int) -> None:
+        for index in self.open[depth:]:
+            self.last[index] = len(self.elements) - 1
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
         if tag in _CLOSES_P and self.open and self.elements[self.open[-1]][0] == "p":
-            self.open.pop()
+            self._shut(len(self.open) - 1)
+        index = len(self.elements)
         self.elements.append((tag, {k: v or "" for k, v in reversed(attrs)},
                               self.open[-1] if self.open else -1))
+        self.last.append(index)
         if tag not in _VOID:
-            self.open.append(len(self.elements) - 1)
+            self.open.append(index)
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
             if self.elements[self.open[depth]][0] == tag:
-                del self.open[depth:]
+                self._shut(depth)
                 return
 
     def handle_data(self, data):
-        if self.open and data.strip():
+        if data.strip() and self.open and not any(
+                self.elements[i][0] in _SILENT for i in self.open):
             self.texts.append((self.open[-1], data))
 
-    def lineage(self, index: int) -> list[int]:
-        chain = []
+    def ancestors(self, index: int):
+        index = self.elements[index][2]
         while index >= 0:
-            chain.append(index)
+            yield index
             index = self.elements[index][2]
-        return chain
 
     def text(self, index: int) -> str:
-        inside = []
-        for owner, data in self.texts:
-            chain = self.lineage(owner)
-            if index in chain and not any(self.elements[i][0] in _SILENT for i in chain):
-                inside.append(data)
+        inside = (data for owner, data in self.texts if index <= owner <= self.last[index])
         return " ".join("".join(inside).split())
 
 
@@ -122,12 +131,12 @@ def _first(page: _Page, selector: str) -> int | None:
     chains = _parse(selector.strip())
     if chains is None:
         return None
-    for index, (tag, attrs, parent) in enumerate(page.elements):
+    for index, (tag, attrs, _) in enumerate(page.elements):
         for chain in chains:
             if not all(_holds(t, tag, attrs) for t in chain[-1]):
                 continue
             wanted = len(chain) - 2
-            for ancestor in page.lineage(parent):
+            for ancestor in page.ancestors(index):
                 if wanted < 0:
                     break
                 a_tag, a_attrs, _ = page.elements[ancestor]

@@ -1,7 +1,7 @@
 """Order-dependent operators that survive hot keys.
 
 A plain window over `key` puts all rows of that key into one task. Here every key is
-first cut into segments, a monotone function of the order column (an hour of a
+first cut into segments, a monotone function of the order column (a minute of a
 timestamp, a block of 1 024 turns). Rows are shuffled by (key, segment) and windowed
 inside their segment; only one summary row per segment is ordered per key, and its value
 is joined back. The result equals the plain window, whatever the key distribution.
@@ -46,8 +46,8 @@ class Sequenced:
         return df.join(summary, [*self.keys, SEGMENT], "left")
 
 
-def by_time(keys: Sequence[str], time: str, tiebreak: str, unit: str = "hour") -> Sequenced:
-    """Rows ordered by a timestamp, cut into hours (or another unit)."""
+def by_time(keys: Sequence[str], time: str, tiebreak: str, unit: str = "minute") -> Sequenced:
+    """Rows ordered by a timestamp, cut into minutes (or another unit)."""
     return Sequenced(keys, (time, tiebreak), lambda: F.date_trunc(unit, F.col(time)))
 
 

@@ -147,7 +147,7 @@ def usage_by_agent(spark, folder):
     from [tool_events]) t where type = 'TOOL_CALL_RESULT'""")
 def tool_call_pairing(spark, folder):
     events = view(spark, folder, "tool_events")
-    return ops.pair_tool_calls(events, by_time(["conv_id", "call_id"], "ts", "event_id", "day")).select(
+    return ops.pair_tool_calls(events, by_time(["conv_id", "call_id"], "ts", "event_id")).select(
         "event_id", "call_id", F.col("started_tool").alias("tool"), "resource")
 
 
@@ -157,7 +157,7 @@ def tool_call_pairing(spark, folder):
     from [tool_events]) t where type = 'TOOL_CALL_RESULT' and tool in ('create_answer', 'update_scrape')""")
 def reload_set(spark, folder):
     paired = ops.pair_tool_calls(view(spark, folder, "tool_events"),
-                                 by_time(["conv_id", "call_id"], "ts", "event_id", "day"))
+                                 by_time(["conv_id", "call_id"], "ts", "event_id"))
     return ops.reload_set(paired, "conv_id")
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from capture_analytics.functions import records as R
 from capture_analytics.functions import urls as U
 from capture_analytics.operators import dedup
-from capture_analytics.operators.ordered import top_per_key
 from capture_analytics.plans import sqltext as S
 from capture_analytics.plans.registry import query
 from capture_analytics.sources.views import view
@@ -102,10 +101,8 @@ def distinct_in_order(spark, folder):
                                    ["scrape_id", "scraped_at"])
 
 
-@query("queue_order", """select scrape_id, created_at, n from (select scrape_id, created_at, row_number() over (
-    partition by scrape_id order by created_at, event_id) as n from [statuses] where status = 'hold') q
-    where n <= 3""")
+@query("queue_order", """select scrape_id, event_id, created_at from [statuses] where status = 'hold'
+    order by scrape_id, event_id""")
 def queue_order(spark, folder):
     held = view(spark, folder, "statuses").where(F.col("status") == "hold")
-    return top_per_key(held, ["scrape_id"], [F.col("created_at"), F.col("event_id")], 3, "n").select(
-        "scrape_id", "created_at", "n")
+    return held.select("scrape_id", "event_id", "created_at").orderBy("scrape_id", "event_id")

@@ -84,12 +84,12 @@ def apply_candidates_by_host(spark, folder):
     return ops.candidates_by_host(ops.ranked_candidates(view(spark, folder, "html_apply")))
 
 
-@query("top_candidates", f"""select host, page_id, score, n from (select host, page_id, score, row_number() over (
-    partition by host order by score desc, page_id) as n from ({_CANDIDATES}) c) t where n <= 2""")
+@query("top_candidates", f"""select page_id, selector, score, row_number() over (
+    partition by page_id order by score desc, selector) as rank from ({_CANDIDATES}) c""")
 def top_candidates(spark, folder):
-    found = ops.ranked_candidates(view(spark, folder, "html_apply"))
-    return top_per_key(found, ["host"], [F.desc("score"), F.col("page_id")], 2, "n").select(
-        "host", "page_id", "score", "n")
+    stored = ops.ranked_candidates(view(spark, folder, "html_apply")).select("page_id", "selector", "score")
+    return top_per_key(stored, ["page_id"], [F.desc_nulls_last("score"), F.col("selector")],
+                       ops.MAX_CANDIDATES)
 
 
 @query("form_fields", """select page_id, unnest(['div', 'input', 'input', 'button']) as tag,

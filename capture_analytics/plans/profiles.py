@@ -78,7 +78,7 @@ select host, graduated, candidate, matches from fold
 qualify row_number() over (partition by host order by n desc) = 1""")
 def probation_fold(spark, folder):
     return ops.probation_fold(view(spark, folder, "observations"), [
-        F.date_trunc("hour", "ts"), F.date_trunc("day", "ts"), F.date_trunc("month", "ts")])
+        F.date_trunc("minute", "ts"), F.date_trunc("day", "ts")])
 
 
 @query("first_discoveries", """select host, selector as discovered from [observations]

@@ -212,12 +212,12 @@ def post_validation(spark, folder):
     case when length(description) < 10 then 'description' end,
     case when length(company_name) < 1 then 'company_name' end,
     case when salary_min > salary_max then 'salary_range' end], lambda r: r is not null), ',') as failed_rules
-from (select id, case when id % 3 = 0 then left(description, 5) else description end as description,
+from (select id, case when id % 3 = 0 then host else description end as description,
     case when id % 4 = 0 then '' else host end as company_name, id % 5 as salary_min, 2 as salary_max
     from [posts_text]) p""")
 def extracted_post_validation(spark, folder):
     posts = view(spark, folder, "posts_text").selectExpr(
-        "id", "case when id % 3 = 0 then left(description, 5) else description end as description",
+        "id", "case when id % 3 = 0 then host else description end as description",
         "case when id % 4 = 0 then '' else host end as company_name", "id % 5 as salary_min")
     none = F.lit(None).cast("string")
     errors = R.extracted_post_errors(

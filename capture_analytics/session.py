@@ -12,6 +12,8 @@ TUNED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key even where that costs one more shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -21,6 +23,14 @@ TUNED = {
 }
 
 
+SHUFFLE_BYTES = 128 * 2**20
+
+
+def shuffle_partitions(shuffled_bytes: int, cores: int) -> int:
+    """Shuffle partitions of about 128 MiB, at least two per core. AQE merges small ones."""
+    return max(2 * cores, -(-shuffled_bytes // SHUFFLE_BYTES))
+
+
 def build_session(app_name: str = "capture-analytics", master: str | None = None,
                   **overrides: str) -> SparkSession:
     """A session with the tuned settings; `master` is only given for local runs."""
