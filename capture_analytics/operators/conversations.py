@@ -13,6 +13,7 @@ from capture_analytics.functions.chat import reload_resource
 from capture_analytics.functions.text import clip_text
 from capture_analytics.operators.ordered import (
     SEGMENT, Sequenced, by_number, carry_last, top_per_key)
+from capture_analytics.session import cut_lineage
 
 # ---- fixed values ---------------------------------------------------------------
 
@@ -120,7 +121,8 @@ def _tool_call_changes(messages: DataFrame) -> DataFrame:
     rows = rows.withColumn("_own", F.col("_size") - F.size("_returns"))
     rows = carry_last(rows, by_number(["conv_id"], "turn"),
                       {"_exchange": F.when(F.col("kind") == "response", F.col("turn"))})
-    rows = rows.withColumn("_exchange", F.coalesce("_exchange", F.lit(-1)))
+    # read several times below: ids only, written once to the shared checkpoint folder
+    rows = cut_lineage(rows.withColumn("_exchange", F.coalesce("_exchange", F.lit(-1))))
     key = ["conv_id", "_exchange"]
 
     # an exchange is broken when a call has no answer up to the first request with own content
@@ -157,10 +159,11 @@ def _tool_call_changes(messages: DataFrame) -> DataFrame:
     checked = touched.join(direct, key).withColumn("_valid", F.when(
         F.col("turn") == F.col("_direct"), F.array_intersect("_returns", "_valid")).otherwise(none))
     emptied = request & (F.col("_own") == 0) & (F.size("_valid") == 0) & (F.size("_returns") > 0)
-    changes = checked.select("conv_id", "turn", (F.col("_gone") | emptied).alias("_gone"), "_valid")
+    changes = cut_lineage(checked.select(
+        "conv_id", "turn", (F.col("_gone") | emptied).alias("_gone"), "_valid"))
 
     # a conversation is never emptied: it then stays as it was
-    sizes = messages.groupBy("conv_id").agg(F.count("*").alias("_all"))
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("_all"))
     lost = changes.where("_gone").groupBy("conv_id").agg(F.count("*").alias("_lost"))
     emptied_conversations = lost.join(sizes, "conv_id").where(F.col("_lost") == F.col("_all"))
     return changes.join(emptied_conversations.select("conv_id"), "conv_id", "left_anti")
