@@ -24,6 +24,9 @@ INLINE = ("a", "abbr", "b", "bdi", "cite", "code", "em", "font", "i", "kbd", "la
           "s", "small", "span", "strong", "sub", "sup", "u", "var")
 CANDIDATE_TEXT = 100
 DATA_VALUE = 32
+INPUT_TYPES = ("button", "checkbox", "color", "date", "datetime-local", "email", "file", "hidden",
+               "image", "month", "number", "password", "radio", "range", "reset", "search",
+               "submit", "tel", "text", "time", "url", "week")
 EXPAND_CLASSES = ("jobs-description__footer-button", "show-more-less-html__button")
 EXPAND_LABELS = ("see more", "show more")
 EXPAND_TEXTS = ("see more", "show more", "read more")
@@ -163,10 +166,10 @@ def form_fields(html: Column) -> Column:
         control = t["tag"].isin("input", "button")
         ident, name = blank(attribute(attrs, "id")), F.when(control, blank(attribute(attrs, "name")))
         label, kind = attribute(attrs, "aria-label"), F.lower(blank(attribute(attrs, "type")))
-        default = F.when(t["tag"] == "input", F.lit("text")).when(
-            t["tag"] == "button", F.lit("submit"))
+        kind = F.when(t["tag"] == "input", F.when(kind.isin(*INPUT_TYPES), kind).otherwise("text")
+                      ).when(t["tag"] == "button", F.lit("submit"))
         return F.struct(
-            t["tag"].alias("tag"), F.when(control, F.coalesce(kind, default)).alias("type"),
+            t["tag"].alias("tag"), kind.alias("type"),
             name.alias("name"), ident.alias("id"),
             F.when(t["tag"] == "input", blank(attribute(attrs, "placeholder"))).alias("placeholder"),
             label.alias("aria_label"),

@@ -176,6 +176,11 @@ def token_estimate(text: Column) -> Column:
 
 
 def json_digest(**fields: Column) -> Column:
-    """First 16 hex digits of the sha256 of the fields as JSON with sorted names."""
-    record = F.struct(*[fields[name].alias(name) for name in sorted(fields)])
-    return F.left(F.sha2(F.to_json(record, {"ignoreNullFields": "false"}), 256), F.lit(16))
+    """First 16 hex digits of the sha256 of the fields as JSON: names sorted, a space after
+    commas and colons."""
+    def member(name: str) -> Column:
+        shown = F.to_json(F.struct(fields[name].alias("v")), {"ignoreNullFields": "false"})
+        return F.concat(F.lit(f'"{name}": '), F.regexp_extract(shown, r'(?s)^\{"v":(.*)\}$', 1))
+
+    members = F.array_join(F.array(*[member(n) for n in sorted(fields)]), ", ")
+    return F.left(F.sha2(F.concat(F.lit("{"), members, F.lit("}")), 256), F.lit(16))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from capture_analytics.functions.chat import reload_resource
 from capture_analytics.functions.text import clip_text
@@ -197,11 +198,14 @@ def _or_default(column: str, default: int) -> Column:
 
 def usage_rows(runs: DataFrame) -> DataFrame:
     """Usage rows as they are stored: missing tokens are 0, missing requests are 1."""
+    run_id = F.col("pipeline_run_id")
+    if not isinstance(runs.schema["pipeline_run_id"].dataType, StringType):
+        run_id = F.nullif(run_id, F.lit(0))
     return runs.select(
         "agent_name", "model_name",
         *[_or_default(c, 0).alias(c) for c in ("request_tokens", "response_tokens", "total_tokens")],
         _or_default("request_count", 1).alias("request_count"), "trigger",
-        F.nullif(F.col("pipeline_run_id").cast("string"), F.lit("")).alias("pipeline_run_id"))
+        F.nullif(run_id.cast("string"), F.lit("")).alias("pipeline_run_id"))
 
 
 def turn_usage(passes: DataFrame, *turn: str) -> DataFrame:

@@ -43,7 +43,6 @@ JOB_SELECTORS = {
 }
 MAX_CANDIDATES = 50
 
-_PROBED = [(field, selector) for field, group in JOB_SELECTORS.items() for selector in group]
 _READY = [s for s in JOB_SELECTORS["title"] if any(c in s for c in ".#[:")]
 _NO_TEXT = "array<string>"
 
@@ -85,51 +84,68 @@ def candidates_by_host(candidates: DataFrame) -> DataFrame:
 
 # ---- selectors --------------------------------------------------------------------
 
+def _parts(*groups: Column) -> tuple[Column, list[Column]]:
+    """Selector groups as one array, and for each group its matches within `_m`: a page is
+    parsed once, however many groups are asked."""
+    taken, slices = F.lit(0), []
+    for group in groups:
+        slices.append(F.slice("_m", taken + 1, F.size(group)))
+        taken = taken + F.size(group)
+    return F.concat(*groups), slices
+
+
+def _matched(pages: DataFrame, selectors: Column) -> DataFrame:
+    """Pages with the matches `_m` of their selectors. A page without selectors is not parsed."""
+    needed = F.size(selectors) > 0
+    matches = F.when(needed, match_selectors(F.when(needed, F.col("html")), selectors))
+    return pages.withColumn("_m", F.coalesce(matches, F.array().cast(f"array<{MATCH}>")))
+
+
+def _any_found(matches: Column) -> Column:
+    return F.exists(matches, lambda m: m["found"])
+
+
+def _profile_groups() -> list[Column]:
+    return [_values(F.col(c)) for c in ("authenticated", "blocked", "job_data")]
+
+
+def _profile_columns(slices: list[Column]) -> dict[str, Column]:
+    names = F.coalesce(F.map_keys("job_data"), F.array().cast(_NO_TEXT))
+    fields = F.filter(F.arrays_zip(names.alias("name"), slices[2].alias("m")), lambda x: x["m"]["found"])
+    return {"is_authenticated": _any_found(slices[0]), "is_blocked": _any_found(slices[1]),
+            "job_data_matched": F.transform(fields, lambda x: x["name"])}
+
+
+def _probe_columns(probes: Column) -> dict[str, Column]:
+    """First usable candidate per job field, and the first specific title selector."""
+    at, entries = 1, []
+    for field, group in JOB_SELECTORS.items():
+        hit = F.filter(F.slice(probes, at, len(group)), lambda m: m["found"] & (F.length(m["text"]) > 1))
+        entries += [F.lit(field), F.try_element_at(hit, F.lit(1))["selector"]]
+        at += len(group)
+    ready = F.filter(F.slice(probes, 1, len(JOB_SELECTORS["title"])), lambda m: m["found"]
+                     & (m["text"] != "") & m["selector"].isin(*_READY))
+    return {"discovered": F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull()),
+            "candidate_ready_selector": F.try_element_at(ready, F.lit(1))["selector"]}
+
+
+def _probes() -> Column:
+    return F.array(*[F.lit(s) for group in JOB_SELECTORS.values() for s in group])
+
+
 def selector_check(pages: DataFrame) -> DataFrame:
     """Which profile selectors match each page. `pages` carries the profile columns
     `authenticated`, `blocked` and `job_data` (name to selector maps, or NULL)."""
-    auth, blocked = _values(F.col("authenticated")), _values(F.col("blocked"))
-    job = _values(F.col("job_data"))
-    needed = F.size(auth) + F.size(blocked) + F.size(job) > 0
-    # pages of hosts without selectors never reach the parser
-    matches = F.when(needed, match_selectors(
-        F.when(needed, F.col("html")), F.concat(auth, blocked, job)))
-    checked = pages.withColumn("_m", F.coalesce(matches, F.array().cast(f"array<{MATCH}>")))
-
-    def any_found(part: Column) -> Column:
-        return F.exists(part, lambda m: m["found"])
-
-    first, second = F.size(auth), F.size(blocked)
-    names = F.coalesce(F.map_keys("job_data"), F.array().cast(_NO_TEXT))
-    job_matches = F.slice("_m", first + second + 1, F.greatest(F.size(job), F.lit(0)))
-    return checked.withColumn("is_authenticated", any_found(F.slice("_m", F.lit(1), first))).withColumn(
-        "is_blocked", any_found(F.slice("_m", first + 1, second))).withColumn(
-        "job_data_matched", F.transform(
-            F.filter(F.arrays_zip(names.alias("name"), job_matches.alias("m")),
-                     lambda x: x["m"]["found"]), lambda x: x["name"])).drop("_m")
+    selectors, slices = _parts(*_profile_groups())
+    return _matched(pages, selectors).withColumns(_profile_columns(slices)).drop("_m")
 
 
 def discover_selectors(pages: DataFrame) -> DataFrame:
-    """Job field selectors found on pages whose profile has none, and the ready selector.
+    """Job field selectors found on the page, and its ready selector.
 
     Per field the first candidate whose element has more than one character of text.
     """
-    probes = F.array(*[F.lit(s) for _, s in _PROBED])
-    found = pages.withColumn("_m", match_selectors(F.col("html"), probes))
-    at = 0
-    entries = []
-    for field, group in JOB_SELECTORS.items():
-        window = F.slice("_m", at + 1, len(group))
-        hit = F.filter(window, lambda m: m["found"] & (F.length(m["text"]) > 1))
-        entries.append((field, F.try_element_at(hit, F.lit(1))["selector"]))
-        at += len(group)
-    ready = F.filter(F.slice("_m", 1, len(JOB_SELECTORS["title"])), lambda m: m["found"]
-                     & (m["text"] != "") & m["selector"].isin(*_READY))
-    discovered = F.map_filter(
-        F.create_map(*[part for f, c in entries for part in (F.lit(f), c)]),
-        lambda _, v: v.isNotNull())
-    return found.withColumn("discovered", discovered).withColumn(
-        "candidate_ready_selector", F.try_element_at(ready, F.lit(1))["selector"]).drop("_m")
+    return _matched(pages, _probes()).withColumns(_probe_columns(F.col("_m"))).drop("_m")
 
 
 def apply_url(pages: DataFrame) -> DataFrame:
@@ -140,14 +156,11 @@ def apply_url(pages: DataFrame) -> DataFrame:
     markers = _strings(config["internal_apply_markers"])
     links = _strings(config["apply_link_selectors"])
     buttons = _strings(config["apply_button_selectors"])
-    needed = F.size(markers) + F.size(links) > 0
-    matches = F.when(needed, match_selectors(F.when(needed, F.col("html")), F.concat(markers, links)))
-    found = pages.withColumn("_m", F.coalesce(matches, F.array().cast(f"array<{MATCH}>")))
-    marker = F.try_element_at(F.filter(F.slice("_m", F.lit(1), F.size(markers)),
-                                       lambda m: m["found"]), F.lit(1))["selector"]
-    link = F.try_element_at(F.filter(F.slice("_m", F.size(markers) + 1, F.size(links)), lambda m:
-                                     m["found"] & F.coalesce(m["href"].rlike("^https?://"), F.lit(False))),
-                            F.lit(1))
+    selectors, (marked, linked) = _parts(markers, links)
+    found = _matched(pages, selectors)
+    marker = F.try_element_at(F.filter(marked, lambda m: m["found"]), F.lit(1))["selector"]
+    link = F.try_element_at(F.filter(linked, lambda m: m["found"] & F.coalesce(
+        m["href"].rlike("^https?://"), F.lit(False))), F.lit(1))
     status = (F.when(F.col("html").isNull() | config.isNull(), F.lit("unknown"))
               .when(marker.isNotNull(), F.lit("internal"))
               .when(link.isNotNull(), F.lit("resolved"))
@@ -174,9 +187,15 @@ def page_scan(pages: DataFrame) -> DataFrame:
 def capture_result(pages: DataFrame) -> DataFrame:
     """Classify captures: blocked, login wall (unless authenticated), else content.
 
-    `pages` carries the profile columns of `selector_check`.
+    `pages` carries the profile columns of `selector_check` and `ready_selector`. Content
+    pages also get the selectors discovered where their profile has none yet.
     """
-    checked = selector_check(pages).withColumn("content", visible_text(F.col("html")))
+    wants_fields = F.size(_values(F.col("job_data"))) == 0
+    wants_ready = F.coalesce("ready_selector", F.lit("")) == ""
+    probes = F.when(wants_fields | wants_ready, _probes()).otherwise(F.array().cast(_NO_TEXT))
+    selectors, slices = _parts(*_profile_groups(), probes)
+    checked = _matched(pages, selectors).withColumns(
+        {**_profile_columns(slices), "_probed": slices[3], "content": visible_text(F.col("html"))})
     checked = checked.withColumn("_walled", ~F.col("is_authenticated") & login_wall(F.col("content")))
     words = word_count(F.col("content"))
     error = (F.when(F.col("is_blocked"), F.lit("blocked_page_detected"))
@@ -185,6 +204,11 @@ def capture_result(pages: DataFrame) -> DataFrame:
                .when(F.col("_walled"), F.concat(
                    F.lit("Page appears to be a login wall ("), words.cast("string"),
                    F.lit(" words, login signals found)."))))
-    kept = F.when(F.col("is_blocked") | F.col("_walled"), F.lit("")).otherwise(F.col("content"))
-    return checked.withColumns({"error": error, "message": message, "words": words,
-                                "content": kept}).drop("_walled")
+    fine = ~(F.col("is_blocked") | F.col("_walled"))
+    found = _probe_columns(F.col("_probed"))
+    return checked.withColumns({
+        "error": error, "message": message, "words": words,
+        "content": F.when(fine, F.col("content")).otherwise(F.lit("")),
+        "discovered": F.when(fine & wants_fields, found["discovered"]),
+        "candidate_ready_selector": F.when(fine & wants_ready, found["candidate_ready_selector"]),
+    }).drop("_walled", "_probed", "_m")

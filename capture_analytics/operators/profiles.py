@@ -207,7 +207,7 @@ def host_outcomes(runs: DataFrame) -> DataFrame:
     """Runs, successes, selector-tier hits and success rate per host."""
     return runs.groupBy("host").agg(
         F.count("*").alias("runs"),
-        F.count_if(F.col("job_post_id").isNotNull()).alias("successes"),
+        F.count_if(F.coalesce("job_post_id", F.lit(0)) != 0).alias("successes"),
         F.count_if(F.col("tier0_hit")).alias("tier0_hits"),
     ).withColumn("success_rate", F.col("successes") / F.col("runs"))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capture_analytics.functions.records import OK_STATUSES
 from capture_analytics.functions.text import json_digest, transient_error
 from capture_analytics.operators.ordered import (
     Sequenced, first_per_key, neighbour, running_totals)
@@ -215,7 +216,7 @@ def run_outcome(runs: DataFrame) -> DataFrame:
     completion) and `create_status`.
     """
     status, waited = F.col("status"), F.col("waited_s")
-    failed_create = (F.col("create_status") >= 400) & (F.col("create_status") != 501)
+    failed_create = ~F.coalesce("create_status", F.lit(201)).isin(*OK_STATUSES, 501)
     terminal = F.coalesce(status.isin("completed", "failed"), F.lit(False))
     outcome = (F.when(failed_create, F.lit("create_failed"))
                .when(~terminal & (waited >= COMPOSITE_SECONDS), F.lit("timed_out"))

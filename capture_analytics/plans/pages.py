@@ -131,7 +131,8 @@ def _profiled(spark, folder, pages):
     def selectors(**by_name):
         return F.create_map(*[F.lit(x) for item in by_name.items() for x in item])
     known = view(spark, folder, "profiles").select(
-        "id", "hostname", selectors(me="#apply-now").alias("authenticated"),
+        "id", "hostname", F.when(F.col("id") % 2 == 0, F.col("ready_selector")).alias("ready_selector"),
+        selectors(me="#apply-now").alias("authenticated"),
         selectors(captcha=".captcha-box", odd="div:has(p)").alias("blocked"),
         selectors(title="h1.job-title", company="article .company-name", none="nav .company-name")
         .alias("job_data"),
@@ -169,9 +170,17 @@ def apply_url(spark, folder):
 _WALLED = """case when page_id % 3 = 0 then replace(html, '<article>', '<article><p>Please wait</p>') else html end"""
 
 
-@query("capture_class", f"""select page_id, case when known and art and page_id % 5 = 4 then 'blocked_page_detected'
+@query("capture_class", f"""select page_id, error,
+    case when error is null and not known then case when page_id % 5 = 3 and art then '.company-name' end end as company_found,
+    case when error is null and not known and {_HAS_H1} then true else false end as title_found,
+    case when error is null and page_id % 5 = 3 and art and not (known and first_id % 2 = 0) then 'h1.job-title' end as ready
+from (select *, case when known and art and page_id % 5 = 4 then 'blocked_page_detected'
     when not (known and art and page_id % 5 = 0) and art and page_id % 3 = 0 then 'login_wall_detected' end as error
-from (select *, contains(html, '<article>') as art, {_KNOWN} from [html_apply] p) t""")
+  from (select *, contains(html, '<article>') as art, f.id is not null as known, f.id as first_id
+    from [html_apply] p left join [profiles] f on f.hostname = {S.bare_host('p.url')}) t) u""")
 def capture_class(spark, folder):
     walled = view(spark, folder, "html_apply").withColumn("html", F.expr(_WALLED))
-    return ops.capture_result(_profiled(spark, folder, walled)).select("page_id", "error")
+    return ops.capture_result(_profiled(spark, folder, walled)).select(
+        "page_id", "error", F.try_element_at("discovered", F.lit("company_name")).alias("company_found"),
+        F.coalesce(F.map_contains_key("discovered", "title"), F.lit(False)).alias("title_found"),
+        F.col("candidate_ready_selector").alias("ready"))

@@ -88,8 +88,8 @@ def first_discoveries(spark, folder):
     return ops.first_discoveries(runs, ["ts", "event_id"])
 
 
-@query("host_outcomes", """select host, count(*) as runs, count(job_post_id) as successes,
-    count(*) filter (tier0_hit) as tier0_hits, round(count(job_post_id) / count(*), 6) as success_rate
+@query("host_outcomes", """select host, count(*) as runs, count(nullif(job_post_id, 0)) as successes,
+    count(*) filter (tier0_hit) as tier0_hits, round(count(nullif(job_post_id, 0)) / count(*), 6) as success_rate
     from [runs] group by host""")
 def host_outcomes(spark, folder):
     return ops.host_outcomes(view(spark, folder, "runs")).withColumn(

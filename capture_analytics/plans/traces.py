@@ -34,7 +34,7 @@ def trace_path(spark, folder):
         "scrape_id", "event_id", "node", F.col("step").cast("bigint").alias("step"))
 
 
-@query("trace_cluster", """select left(sha256('{"node":"' || node || '","routed_to":"' || routed_to || '"}'), 16)
+@query("trace_cluster", """select left(sha256('{"node": "' || node || '", "routed_to": "' || routed_to || '"}'), 16)
     as digest, count(*) as n from [transitions] group by digest""")
 def trace_cluster(spark, folder):
     return ops.trace_clusters(view(spark, folder, "transitions"), "routed_to", "node")

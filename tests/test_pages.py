@@ -106,10 +106,11 @@ def test_apply_url_without_page(spark):
     assert ops.apply_url(df).first().reason == "no_browser_page"
 
 
-def _profiled(spark, html, auth=None, blocked=None, job=None):
-    return spark.createDataFrame([(1, html, auth, blocked, job)],
+def _profiled(spark, html, auth=None, blocked=None, job=None, ready=None):
+    return spark.createDataFrame([(1, html, auth, blocked, job, ready)],
                                  "page_id int, html string, authenticated map<string,string>, "
-                                 "blocked map<string,string>, job_data map<string,string>")
+                                 "blocked map<string,string>, job_data map<string,string>, "
+                                 "ready_selector string")
 
 
 def test_selector_check(spark):
@@ -138,3 +139,8 @@ def test_capture(spark):
     assert (row.error, row.content) == ("blocked_page_detected", "")
     row = ops.capture_result(_profiled(spark, "<body>Fine</body>")).first()
     assert (row.error, row.content, row.words) == (None, "Fine", 1)
+    html = "<body><h1 class=job-title>Engineer</h1></body>"
+    row = ops.capture_result(_profiled(spark, html)).first()
+    assert (row.discovered, row.candidate_ready_selector) == ({"title": "h1.job-title"}, "h1.job-title")
+    row = ops.capture_result(_profiled(spark, html, job={"title": "h1"}, ready="h1")).first()
+    assert (row.discovered, row.candidate_ready_selector, row.job_data_matched) == (None, None, ["title"])

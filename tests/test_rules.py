@@ -79,6 +79,15 @@ def test_small_text_rules(spark):
     assert apply(spark, ["abc", "abcd", None], lambda c: T.clip_text(c, 3, "!")) == ["abc", "abc!", None]
 
 
+def test_digest(spark):
+    import hashlib
+    import json
+    values = {"node": "A \"b\"", "routed_to": None, "n": 3, "ok": True}
+    expected = hashlib.sha256(json.dumps(values, sort_keys=True).encode()).hexdigest()[:16]
+    got = T.json_digest(node=F.lit(values["node"]), routed_to=F.lit(None).cast("string"), n=F.lit(3), ok=F.lit(True))
+    assert one(spark, got) == expected
+
+
 def test_record_rules(spark):
     assert one(spark, R.response_gate(F.lit(201), F.lit("ok"))) == ("ok", None, None)
     assert one(spark, R.response_gate(F.lit(404), F.lit("Not found"))) == (None, "404 - Not found", 404)
