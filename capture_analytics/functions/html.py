@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from capture_analytics.functions.base import let
 from capture_analytics.functions.text import filled
-from capture_analytics.functions.urls import _let, absolute_url
+from capture_analytics.functions.urls import absolute_url
 
 # ---- fixed values ---------------------------------------------------------------
 
@@ -138,7 +139,7 @@ def interactive_elements(html: Column) -> Column:
                         lambda e: e["tag"].isin("a", "button")
                         | (F.coalesce(attribute(e["attrs"], "role"), F.lit("")) == "button"))
 
-    return _let(F.split(without_hidden(html), cut), steps)
+    return let(F.split(without_hidden(html), cut), steps)
 
 
 def page_links(html: Column, base: Column) -> Column:
@@ -238,7 +239,7 @@ def apply_candidates(html: Column, base: Column) -> Column:
                           lambda j: j["in_href"] | j["in_text"] | j["in_aria"])
         return F.transform(likely, candidate)
 
-    return _let(interactive_elements(html), scan)
+    return let(interactive_elements(html), scan)
 
 
 def expandable_texts(html: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from capture_analytics.functions.base import holding
 from capture_analytics.functions.text import clip_text, filled, strip
 
 # ---- fixed values ---------------------------------------------------------------
@@ -53,11 +54,6 @@ def response_gate(status: Column, body: Column) -> Column:
         F.when(~accepted & (status >= 400), status).alias("status_code"))
 
 
-def _failed(*rules: tuple[str, Column]) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(F.coalesce(broken, F.lit(False)), F.lit(name)) for name, broken in rules]))
-
-
 def _length_outside(text: Column, low: int, high: int | None) -> Column:
     size = F.length(filled(text))
     return (size < low) | (size > high) if high is not None else size < low
@@ -71,7 +67,7 @@ def extracted_post_errors(title: Column, description: Column, company_name: Colu
                           location: Column, salary_min: Column, salary_max: Column,
                           company_industry: Column, company_location: Column) -> Column:
     """Broken rules of a post as extracted from a page."""
-    return _failed(
+    return holding(
         ("title", _length_outside(title, 1, 200)),
         ("description", _length_outside(description, 10, None)),
         ("company_name", _length_outside(company_name, 1, None)),
@@ -84,7 +80,7 @@ def extracted_post_errors(title: Column, description: Column, company_name: Colu
 def new_post_errors(title: Column, company_id: Column, location: Column,
                     salary_min: Column, salary_max: Column) -> Column:
     """Broken rules of a post about to be created."""
-    return _failed(
+    return holding(
         ("title", _length_outside(title, 1, 200)),
         ("company_id", company_id.isNull() | (company_id <= 0)),
         ("location", F.length(location) > 100),
@@ -92,7 +88,7 @@ def new_post_errors(title: Column, company_id: Column, location: Column,
 
 
 def company_errors(name: Column, industry: Column, location: Column) -> Column:
-    return _failed(
+    return holding(
         ("name", _length_outside(name, 1, 200)),
         ("industry", F.length(industry) > 100),
         ("location", F.length(location) > 100))

@@ -44,6 +44,7 @@ class _Page(HTMLParser):
         self.last: list[int] = []
         self.texts: list[tuple[int, str]] = []
         self.open: list[int] = []
+        self.having: dict[tuple[str, str], list[int]] = {}
         self.feed(html)
         self.close()
         self._shut(0)
@@ -57,9 +58,13 @@ class _Page(HTMLParser):
         if tag in _CLOSES_P and self.open and self.elements[self.open[-1]][0] == "p":
             self._shut(len(self.open) - 1)
         index = len(self.elements)
-        self.elements.append((tag, {k: v or "" for k, v in reversed(attrs)},
-                              self.open[-1] if self.open else -1))
+        values = {k: v or "" for k, v in reversed(attrs)}
+        self.elements.append((tag, values, self.open[-1] if self.open else -1))
         self.last.append(index)
+        marks = [("tag", tag), ("tag", "*"), ("id", values.get("id"))]
+        marks += [("cls", c) for c in dict.fromkeys(values.get("class", "").split())]
+        for mark in marks + [("attr", name) for name in values]:
+            self.having.setdefault(mark, []).append(index)
         if tag not in _VOID:
             self.open.append(index)
 
@@ -93,7 +98,9 @@ def _compound(piece: str) -> list[dict] | None:
         match = _SIMPLE.match(piece, at)
         if match is None:
             return None
-        tests.append(match.groupdict())
+        test = match.groupdict()
+        test["attr"] = test["attr"] and test["attr"].lower()
+        tests.append(test)
         at = match.end()
     return tests
 
@@ -127,24 +134,32 @@ def _holds(test: dict, tag: str, attrs: dict) -> bool:
             "$=": actual.endswith(wanted)}[test["op"]]
 
 
+def _rarest(page: _Page, tests: list[dict]) -> list[int]:
+    """Elements that have the rarest mark of a compound; no other element can match it."""
+    marks = ((kind, test[kind]) for test in tests for kind in ("tag", "id", "cls", "attr")
+             if test.get(kind))
+    return min((page.having.get(mark, []) for mark in marks), key=len)
+
+
+def _matches(page: _Page, index: int, chain: list[list[dict]]) -> bool:
+    tag, attrs, _ = page.elements[index]
+    if not all(_holds(t, tag, attrs) for t in chain[-1]):
+        return False
+    wanted = len(chain) - 2
+    for ancestor in page.ancestors(index):
+        if wanted < 0:
+            break
+        tag, attrs, _ = page.elements[ancestor]
+        if all(_holds(t, tag, attrs) for t in chain[wanted]):
+            wanted -= 1
+    return wanted < 0
+
+
 def _first(page: _Page, selector: str) -> int | None:
-    chains = _parse(selector.strip())
-    if chains is None:
-        return None
-    for index, (tag, attrs, _) in enumerate(page.elements):
-        for chain in chains:
-            if not all(_holds(t, tag, attrs) for t in chain[-1]):
-                continue
-            wanted = len(chain) - 2
-            for ancestor in page.ancestors(index):
-                if wanted < 0:
-                    break
-                a_tag, a_attrs, _ = page.elements[ancestor]
-                if all(_holds(t, a_tag, a_attrs) for t in chain[wanted]):
-                    wanted -= 1
-            if wanted < 0:
-                return index
-    return None
+    """First element in document order that the selector matches."""
+    firsts = (next((i for i in _rarest(page, chain[-1]) if _matches(page, i, chain)), None)
+              for chain in _parse(selector.strip()) or ())
+    return min((i for i in firsts if i is not None), default=None)
 
 
 def match_selectors(html: Column, selectors: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from capture_analytics.functions.base import holding, let
+
 # ---- fixed values ---------------------------------------------------------------
 
 LOGIN_WEAK_PHRASES = (
@@ -106,8 +108,8 @@ def login_wall(content: Column, host_phrases: Column | None = None) -> Column:
     lowered = F.lower(filled(content))
     strong = any_phrase(lowered, LOGIN_STRONG_PHRASES)
     if host_phrases is not None:
-        strong = strong | F.coalesce(
-            F.exists(host_phrases, lambda p: lowered.contains(p)), F.lit(False))
+        own = let(lowered, lambda t: F.exists(host_phrases, lambda p: t.contains(p)))
+        strong = strong | F.coalesce(F.when(host_phrases.isNotNull(), own), F.lit(False))
     weak = phrase_hits(lowered, LOGIN_WEAK_PHRASES) >= WALL_MIN_WEAK
     return strong | (~has_words(content, WALL_MAX_WORDS) & weak)
 
@@ -125,10 +127,6 @@ def loading_shell(content: Column) -> Column:
     return phrase_hits(F.lower(filled(content)), LOADING_SHELL_PHRASES) >= SHELL_MIN_HITS
 
 
-def _reasons(*rules: tuple[str, Column]) -> Column:
-    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]))
-
-
 def extraction_faults(title: Column, company: Column, description: Column) -> dict[str, Column]:
     """Faults of an extraction by name. An empty description is none: only a non-empty
     thin one is."""
@@ -138,12 +136,12 @@ def extraction_faults(title: Column, company: Column, description: Column) -> di
 
 def extraction_reasons(title: Column, company: Column, description: Column) -> Column:
     """Why an extraction is not good enough; an empty array means it passed."""
-    return _reasons(*extraction_faults(title, company, description).items())
+    return holding(*extraction_faults(title, company, description).items())
 
 
 def validation_reasons(source_text: Column) -> Column:
     """Why the source of an extraction cannot hold a real posting."""
-    return _reasons(
+    return holding(
         ("source_too_short", ~has_words(source_text, SOURCE_MIN_WORDS)),
         ("loading_shell_fingerprint", loading_shell(source_text)))
 

@@ -7,11 +7,13 @@ taken with one anchored regular expression each.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from capture_analytics.functions.base import let
+
 # ---- fixed values ---------------------------------------------------------------
 
 # Query parameters dropped from canonical URLs (names compared in lower case).
@@ -77,11 +79,6 @@ _QUERY = r"^[^?#]*\?([^#]*)"
 _FRAGMENT = r"#(.*)$"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it several times inside `body`."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _tidy(url: Column) -> Column:
     return F.ltrim(F.translate(url, "\t\r\n", ""), F.lit(_CONTROL))
 
@@ -290,7 +287,7 @@ def _unwrap_once(url: Column) -> Column:
 
     filled = F.filter(query_pairs(url), lambda p: (p["value"] != "")
                       & F.lower(p["name"]).isin(*TARGET_PARAMS))
-    return F.when(url.contains("?"), _let(filled, pick))
+    return F.when(url.contains("?"), let(filled, pick))
 
 
 def unwrap_url(url: Column, max_depth: int = UNWRAP_DEPTH) -> Column:

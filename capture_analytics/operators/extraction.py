@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capture_analytics.functions.base import holding
 from capture_analytics.functions.text import extraction_faults
 
 TIERS = (1, 2, 3)
@@ -37,8 +38,7 @@ def tier_cascade(attempts: DataFrame, tier3_enabled: bool = False) -> DataFrame:
     stop = F.coalesce(passed_at, last)
     at_stop = F.coalesce(*[F.when(stop == t, state[t]) for t in tiers])
     source = F.coalesce(*[F.when(stop == t, F.floor(F.col(f"after_{t}") / 8)) for t in tiers])
-    names = F.array_compact(F.array(*[
-        F.when(at_stop.bitwiseAND(1 << i) > 0, F.lit(name)) for i, name in enumerate(_BITS)]))
+    names = holding(*[(name, at_stop.bitwiseAND(1 << i) > 0) for i, name in enumerate(_BITS)])
     return runs.select(
         "run_id", passed_at.isNotNull().alias("passed"), stop.cast("int").alias("last_tier"),
         source.cast("int").alias("output_tier"), names.alias("reasons"))
