@@ -42,14 +42,15 @@ _OPENING = rf"(?is)^<[A-Za-z][A-Za-z0-9]*{_ATTRS}/?>"
 
 
 def decode_entities(text: Column) -> Column:
+    decoded = text
     for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+        decoded = F.replace(decoded, F.lit(name), F.lit(char))
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
     """Runs of whitespace as one space, no space at the ends."""
-    return F.trim(F.regexp_replace(text, r"[\s\xA0]{2,}+|[\t-\r\xA0]", " "))
+    return F.trim(F.regexp_replace(text, r"[\t\n\x0B\f\r \xA0]++", " "))
 
 
 def without_hidden(html: Column) -> Column:
