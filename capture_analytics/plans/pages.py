@@ -10,9 +10,14 @@ from capture_analytics.operators.ordered import top_per_key
 from capture_analytics.operators.profiles import with_profile
 from capture_analytics.plans import sqltext as S
 from capture_analytics.plans.registry import query
+from capture_analytics.session import spread
 from capture_analytics.sources.views import view
 
 
+def _rows(spark, folder, name):
+    return spread(view(spark, folder, name))
+
+
 def _decoded(text: str) -> str:
     for name, char in H.ENTITIES:
         text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
@@ -37,13 +42,13 @@ _TITLE = _squeezed(_decoded("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</ti
                     f"select page_id, {_visible('html')} as content from [pages]) t")
 def page_text(spark, folder):
     from capture_analytics.functions.text import word_count
-    return ops.page_scan(view(spark, folder, "pages")).select(
+    return ops.page_scan(_rows(spark, folder, "pages")).select(
         "page_id", "content", word_count(F.col("content")).alias("words"))
 
 
 @query("page_title", f"select page_id, {_TITLE} as title from [pages]")
 def page_title(spark, folder):
-    return view(spark, folder, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
+    return _rows(spark, folder, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
 
 
 _LINKS = """select page_id, url, html, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*')) as tag,
@@ -55,7 +60,7 @@ _LINKS = """select page_id, url, html, unnest(regexp_extract_all(html, '<a href=
         || {_decoded("regexp_extract(tag, 'href=.([^>]*).>', 1)")} as href
 from ({_LINKS}) l""")
 def page_links(spark, folder):
-    return view(spark, folder, "pages").select("page_id", F.posexplode(
+    return _rows(spark, folder, "pages").select("page_id", F.posexplode(
         H.page_links(F.col("html"), F.col("url"))).alias("at", "link")).select(
             "page_id", (F.col("at") + 1).cast("bigint").alias("position"), "link.text", "link.href")
 
@@ -75,19 +80,19 @@ _CANDIDATES = f"""select page_id, {S.bare_host('url')} as host, case page_id % 5
 
 @query("apply_candidates", f"select page_id, cast(1 as bigint) as rank, selector, href, text, tag, score, reason from ({_CANDIDATES}) c")
 def apply_candidates(spark, folder):
-    return ops.ranked_candidates(view(spark, folder, "html_apply")).drop("host")
+    return ops.ranked_candidates(_rows(spark, folder, "html_apply")).drop("host")
 
 
 @query("apply_candidates_by_host", f"""select host, selector, count(*) as n, round(avg(score), 6) as avg_score,
     max(score) as max_score from ({_CANDIDATES}) c group by host, selector""")
 def apply_candidates_by_host(spark, folder):
-    return ops.candidates_by_host(ops.ranked_candidates(view(spark, folder, "html_apply")))
+    return ops.candidates_by_host(ops.ranked_candidates(_rows(spark, folder, "html_apply")))
 
 
 @query("top_candidates", f"""select page_id, selector, score, row_number() over (
     partition by page_id order by score desc, selector) as rank from ({_CANDIDATES}) c""")
 def top_candidates(spark, folder):
-    stored = ops.ranked_candidates(view(spark, folder, "html_apply")).select("page_id", "selector", "score")
+    stored = ops.ranked_candidates(_rows(spark, folder, "html_apply")).select("page_id", "selector", "score")
     return top_per_key(stored, ["page_id"], [F.desc_nulls_last("score"), F.col("selector")],
                        ops.MAX_CANDIDATES)
 
@@ -98,7 +103,7 @@ def top_candidates(spark, folder):
     unnest([null, '[name="email"]', '#pw', '[aria-label="Sign in"]']) as selector
     from [html_apply] where contains(html, '<article>') and page_id % 5 = 2""")
 def form_fields(spark, folder):
-    return view(spark, folder, "html_apply").select(
+    return _rows(spark, folder, "html_apply").select(
         "page_id", F.explode(H.form_fields(F.col("html"))).alias("f")).select(
             "page_id", "f.tag", "f.type", "f.name", "f.placeholder", "f.selector")
 
@@ -106,7 +111,7 @@ def form_fields(spark, folder):
 @query("html_features", """select page_id, case when contains(html, '<article>') and page_id % 5 = 2 then 4 else 0 end as n_fields,
     case when contains(html, '<article>') and page_id % 5 = 1 then 2 else 0 end as n_more_buttons from [html_apply]""")
 def html_features(spark, folder):
-    return view(spark, folder, "html_apply").select(
+    return _rows(spark, folder, "html_apply").select(
         "page_id", F.size(H.form_fields(F.col("html"))).alias("n_fields"),
         F.size(H.expandable_texts(F.col("html"))).alias("n_more_buttons"))
 
@@ -122,7 +127,7 @@ _HAS_H1 = "length(trim(regexp_extract(html, '<h1>([^<]*)', 1))) > 1"
     case when page_id % 5 = 3 and art then 'h1.job-title' end as ready
 from (select *, contains(html, '<article>') as art from [html_apply]) t""")
 def selector_discovery(spark, folder):
-    found = ops.discover_selectors(view(spark, folder, "html_apply"))
+    found = ops.discover_selectors(_rows(spark, folder, "html_apply"))
     return found.select("page_id", *[F.try_element_at("discovered", F.lit(f)).alias(f) for f in (
         "title", "company_name", "description", "salary")], F.col("candidate_ready_selector").alias("ready"))
 
@@ -151,7 +156,7 @@ _KNOWN = f"exists (select 1 from [profiles] f where f.hostname = {S.bare_host('p
     case when known and art and page_id % 5 = 3 then 'company,title' else '' end as job_data_matched
 from (select *, contains(html, '<article>') as art, {_KNOWN} from [html_apply] p) t""")
 def selector_check(spark, folder):
-    return ops.selector_check(_profiled(spark, folder, view(spark, folder, "html_apply"))).select(
+    return ops.selector_check(_profiled(spark, folder, _rows(spark, folder, "html_apply"))).select(
         "page_id", "is_authenticated", "is_blocked",
         F.array_join(F.array_sort("job_data_matched"), ",").alias("job_data_matched"))
 
@@ -163,7 +168,7 @@ def selector_check(spark, folder):
     case when known and art and page_id % 5 = 3 then 'https://boards.example.org/apply?job=' || page_id end as apply_url
 from (select *, contains(html, '<article>') as art, {_KNOWN} from [html_apply] p) t""")
 def apply_url(spark, folder):
-    return ops.apply_url(_profiled(spark, folder, view(spark, folder, "html_apply"))).select(
+    return ops.apply_url(_profiled(spark, folder, _rows(spark, folder, "html_apply"))).select(
         "page_id", "apply_url_status", "reason", "apply_url")
 
 
@@ -179,7 +184,7 @@ from (select *, case when known and art and page_id % 5 = 4 then 'blocked_page_d
   from (select *, contains(html, '<article>') as art, f.id is not null as known, f.id as first_id
     from [html_apply] p left join [profiles] f on f.hostname = {S.bare_host('p.url')}) t) u""")
 def capture_class(spark, folder):
-    walled = view(spark, folder, "html_apply").withColumn("html", F.expr(_WALLED))
+    walled = _rows(spark, folder, "html_apply").withColumn("html", F.expr(_WALLED))
     return ops.capture_result(_profiled(spark, folder, walled)).select(
         "page_id", "error", F.try_element_at("discovered", F.lit("company_name")).alias("company_found"),
         F.coalesce(F.map_contains_key("discovered", "title"), F.lit(False)).alias("title_found"),

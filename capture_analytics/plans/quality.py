@@ -8,8 +8,13 @@ from capture_analytics.functions import text as T
 from capture_analytics.operators import extraction
 from capture_analytics.plans import sqltext as S
 from capture_analytics.plans.registry import query
+from capture_analytics.session import spread
 from capture_analytics.sources.views import view
 
+
+def _rows(spark, folder, name):
+    return spread(view(spark, folder, name))
+
 _HOST_PHRASE = "members only area"
 _WALL_TEXT = f"case when lang = 'fr' then text || ' {_HOST_PHRASE}' else text end"
 
@@ -21,7 +26,7 @@ from (select doc_id, source, {_WALL_TEXT} as text from [gated_text]) g""")
 def login_wall(spark, folder):
     text = F.expr(_WALL_TEXT)
     host_phrases = F.when(F.col("source").isin("src0", "src1"), F.array(F.lit(_HOST_PHRASE)))
-    return view(spark, folder, "gated_text").select("doc_id", "source", text.alias("text")).select(
+    return _rows(spark, folder, "gated_text").select("doc_id", "source", text.alias("text")).select(
         "doc_id", T.login_wall(F.col("text"), host_phrases).alias("flag"),
         T.phrase_hits(F.lower("text"), T.LOGIN_WEAK_PHRASES).alias("hits"),
         T.word_count(F.col("text")).alias("words"))
@@ -33,20 +38,20 @@ def login_wall(spark, folder):
 def signals_union(spark, folder):
     own = F.when(F.col("lang") == "fr", F.array(F.lit(_HOST_PHRASE), F.col("source")))
     phrases = T.signals_union(own)
-    return view(spark, folder, "gated_text").select("doc_id", F.size(F.filter(
+    return _rows(spark, folder, "gated_text").select("doc_id", F.size(F.filter(
         phrases, lambda p: F.lower("text").contains(p))).cast("bigint").alias("hits"))
 
 
 @query("still_loading", f"select doc_id, {S.still_loading('text')} as flag from [gated_text]")
 def still_loading(spark, folder):
-    return view(spark, folder, "gated_text").select(
+    return _rows(spark, folder, "gated_text").select(
         "doc_id", T.still_loading(F.col("text")).alias("flag"))
 
 
 @query("loading_shell", f"""select doc_id, {S.hits('text', T.LOADING_SHELL_PHRASES)} >= {T.SHELL_MIN_HITS}
     as flag, {S.hits('text', T.LOADING_SHELL_PHRASES)} as hits from [gated_text]""")
 def loading_shell(spark, folder):
-    return view(spark, folder, "gated_text").select(
+    return _rows(spark, folder, "gated_text").select(
         "doc_id", T.loading_shell(F.col("text")).alias("flag"),
         T.phrase_hits(F.lower("text"), T.LOADING_SHELL_PHRASES).alias("hits"))
 
@@ -54,7 +59,7 @@ def loading_shell(spark, folder):
 @query("stub_words", f"""select doc_id, {S.words('text')} as words,
     {S.words('text')} < {T.STUB_MIN_WORDS} as is_stub from [gated_text]""")
 def stub_words(spark, folder):
-    return view(spark, folder, "gated_text").select(
+    return _rows(spark, folder, "gated_text").select(
         "doc_id", T.word_count(F.col("text")).alias("words"), T.is_stub(F.col("text")).alias("is_stub"))
 
 
@@ -64,7 +69,7 @@ _EVALUATED = S.extraction("title", "company", "text")
 
 
 def _parsed(spark, folder):
-    return view(spark, folder, "gated_text").selectExpr(
+    return _rows(spark, folder, "gated_text").selectExpr(
         "doc_id", "text", "case when doc_id % 5 = 0 then '  ' else 'Role ' || doc_id end as title",
         "case when doc_id % 11 = 0 then null else source end as company")
 
@@ -108,7 +113,7 @@ from stops where rn = 1"""
 
 
 def _cascade(spark, folder, tier3):
-    return extraction.tier_cascade(view(spark, folder, "tier_attempts"), tier3).withColumn(
+    return extraction.tier_cascade(_rows(spark, folder, "tier_attempts"), tier3).withColumn(
         "reasons", F.array_join("reasons", ","))
 
 
@@ -126,14 +131,14 @@ def tier_cascade_three(spark, folder):
     count(error) as errors, round(cast(sum(cost_usd) as double), 4) as cost_usd,
     cast(sum(duration_ms) as bigint) as duration_ms from [tier_attempts] group by tier, model""")
 def tier_usage(spark, folder):
-    return extraction.tier_usage(view(spark, folder, "tier_attempts")).withColumn(
+    return extraction.tier_usage(_rows(spark, folder, "tier_attempts")).withColumn(
         "cost_usd", F.round(F.col("cost_usd").cast("double"), 4))
 
 
 @query("tier0_hits", """select run_id, coalesce(bool_or(tier - 1 = 0 and produced), false) as tier0_hit
     from [tier_attempts] group by run_id""")
 def tier0_hits(spark, folder):
-    return extraction.tier0_hits(view(spark, folder, "tier_attempts").withColumn(
+    return extraction.tier0_hits(_rows(spark, folder, "tier_attempts").withColumn(
         "tier", F.col("tier") - 1))
 
 
@@ -141,7 +146,7 @@ def tier0_hits(spark, folder):
     from [tier_attempts] group by run_id""")
 def last_tier(spark, folder):
     from capture_analytics.operators.traces import last_attempt
-    return last_attempt(view(spark, folder, "tier_attempts"), "run_id", "tier", ["tier", "model"])
+    return last_attempt(_rows(spark, folder, "tier_attempts"), "run_id", "tier", ["tier", "model"])
 
 
 @query("text_clip", """select doc_id, length(clipped) as clipped_length, ends_with(clipped, '...') as cut

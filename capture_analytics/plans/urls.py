@@ -8,6 +8,7 @@ from capture_analytics.functions import urls as U
 from capture_analytics.operators import dedup, profiles
 from capture_analytics.plans import sqltext as S
 from capture_analytics.plans.registry import query
+from capture_analytics.session import spread
 from capture_analytics.sources.views import view
 
 REWRITES = (
@@ -131,7 +132,7 @@ select page_id, case when regexp_matches({S.netloc('url')}, {_TRACKER}) then
     else {S.stripped('url')} end as resolved_url from [fetch_log]) r""")
 def listing_resolution(spark, folder):
     resolved = U.resolve_listing(*[F.col(c) for c in ("url", "status", "final_url", "body", "error")])
-    return view(spark, folder, "fetch_log").select(
+    return spread(view(spark, folder, "fetch_log")).select(
         "page_id", resolved.alias("resolved_url")).withColumn(
             "dropped", F.col("resolved_url").isNull())
 

@@ -43,6 +43,18 @@ def build_session(app_name: str = "capture-analytics", master: str | None = None
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, gain: int = 4) -> DataFrame:
+    """Deal the rows of a plain scan out to all cores when it has too few files to use them.
+
+    Meant before work that is heavy per row, as on html and long texts: a small file is often
+    one row group and so one task. A scan with as many splits as cores, or more than a
+    `gain`-th of the cores in files, stays as it is; large inputs are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df.rdd.getNumPartitions() < cores and len(df.inputFiles()) * gain <= cores
+    return df.repartition(cores) if few else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
