@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capture_analytics.functions.urls import apply_rule_array, java_replacement, url_host
-from capture_analytics.operators.ordered import Sequenced, carry_last, first_per_key, neighbour
+from capture_analytics.operators.ordered import (
+    Sequenced, carry_last, first_per_key, neighbour, running_totals)
 
 # Consecutive sightings a selector needs before it is trusted (fixed value).
 PROBATION = 2
@@ -187,7 +188,6 @@ def probation_runs(observations: DataFrame, seq: Sequenced, threshold: int = PRO
     if threshold == 2:
         reached = starts.where(~F.col("starts"))
     else:
-        from capture_analytics.operators.ordered import running_totals
         placed = running_totals(starts, seq, {"position": F.lit(1)})
         opened = carry_last(placed, seq, {"opened": F.when(F.col("starts"), F.col("position"))})
         reached = opened.where(F.col("position") - F.col("opened") + 1 >= threshold)

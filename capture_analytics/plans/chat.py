@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from capture_analytics.functions import chat as C
 from capture_analytics.functions import text as T
 from capture_analytics.operators import conversations as ops
-from capture_analytics.operators.ordered import by_time
+from capture_analytics.operators.ordered import by_number, by_time, neighbour
 from capture_analytics.plans.registry import query
 from capture_analytics.sources.views import view
 
@@ -104,7 +104,6 @@ from (select conv_id, turn, kind, list_transform(list_filter(parts, lambda p: p.
     lead(list_transform(list_filter(parts, lambda p: p.kind = 'tool-return'), lambda p: p.call_id))
         over (partition by conv_id order by turn) as returns from [messages]) t where kind = 'response'""")
 def unanswered_calls(spark, folder):
-    from capture_analytics.operators.ordered import by_number, neighbour
     messages = view(spark, folder, "messages").withColumn("calls", ops.part_ids("tool-call")).withColumn(
         "returns", ops.part_ids("tool-return"))
     paired = neighbour(messages, by_number(["conv_id"], "turn"), {"returns": "following"})

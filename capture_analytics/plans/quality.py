@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from capture_analytics.functions import text as T
-from capture_analytics.operators import extraction
+from capture_analytics.operators import extraction, traces
 from capture_analytics.plans import sqltext as S
 from capture_analytics.plans.registry import query
 from capture_analytics.session import spread
@@ -145,8 +145,7 @@ def tier0_hits(spark, folder):
 @query("last_tier", """select run_id, arg_max(tier, tier) as tier, arg_max(model, tier) as model
     from [tier_attempts] group by run_id""")
 def last_tier(spark, folder):
-    from capture_analytics.operators.traces import last_attempt
-    return last_attempt(_rows(spark, folder, "tier_attempts"), "run_id", "tier", ["tier", "model"])
+    return traces.last_attempt(_rows(spark, folder, "tier_attempts"), "run_id", "tier", ["tier", "model"])
 
 
 @query("text_clip", """select doc_id, length(clipped) as clipped_length, ends_with(clipped, '...') as cut

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from capture_analytics.functions import records as R
 from capture_analytics.operators import records as ops
 from capture_analytics.plans.registry import query
+from capture_analytics.sources.sinks import html_if_empty
 from capture_analytics.sources.views import view
 
 
@@ -37,8 +38,7 @@ def record_slim(spark, folder):
         "id", F.array_join(F.array_sort(F.map_keys("attributes")), ",").alias("kept"),
         F.col("attributes")["title"].alias("title"),
         F.col("attributes")["posting_status"].alias("posting_status"),
-        *[F.col("relationships")[r].alias(r if r != "scores" else "scores")
-          for r in ("company", "scores", "resume")],
+        *[F.col("relationships")[r].alias(r) for r in ("company", "scores", "resume")],
         F.lit("included" in slim.columns).alias("has_included"))
 
 
@@ -274,7 +274,6 @@ def patch_errors(spark, folder):
     when length(html || html) > 200000 then left(html || html, 200000) || chr(10) || '<!-- [truncated for debug artifact] -->'
     else html || html end) as html_length from [pages]""")
 def html_write_if_empty(spark, folder):
-    from capture_analytics.sources.sinks import html_if_empty
     pages = view(spark, folder, "pages")
     scrapes = pages.select(F.col("page_id").alias("scrape_id"),
                            F.when(F.col("page_id") % 3 != 0, F.col("html")).alias("html"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from capture_analytics.functions import records as R
 from capture_analytics.functions import text as T
 from capture_analytics.operators import traces as ops
-from capture_analytics.operators.ordered import by_time
+from capture_analytics.operators.ordered import by_number, by_time, running_totals
 from capture_analytics.plans.registry import query
 from capture_analytics.sources.views import view
 
@@ -165,7 +165,6 @@ select scrape_id, attempt, error, content from ranked
 where attempt <= case when contains(coalesce(first_error, ''), 'Connection closed') then 2 else 1 end
 qualify row_number() over (partition by scrape_id order by attempt desc) = 1""")
 def retry_final(spark, folder):
-    from capture_analytics.operators.ordered import by_number, running_totals
     events = view(spark, folder, "events").select("user_id", "event_id", "event_type")
     numbered = running_totals(events, by_number(["user_id"], "event_id", 65_536), {"attempt": F.lit(1)})
     attempts = numbered.select(

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from capture_analytics.functions.urls import is_known_tracker, unwrap_url
 from capture_analytics.operators.dedup import score_batch
 from capture_analytics.operators.profiles import batch_summary, with_profile
-from capture_analytics.sources.sinks import append_records
+from capture_analytics.sources.sinks import append_records, append_trace
 
 # Pace of the two queues (fixed values).
 HOLD_INTERVAL = "30 seconds"
@@ -74,16 +74,13 @@ def score_stream(arrivals: DataFrame, scrapes: Callable[[], DataFrame],
 def trace_stream(transitions: DataFrame, out: str, checkpoint: str,
                  interval: str | None = None) -> StreamingQuery:
     """Append transitions as they arrive; rows without a scrape are dropped."""
-    from capture_analytics.sources.sinks import append_trace
-
     return (transitions.writeStream
             .foreachBatch(lambda batch, batch_id: append_trace(batch, out, batch_id))
             .option("checkpointLocation", checkpoint).trigger(**_trigger(interval)).start())
 
 
-def files(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None) -> DataFrame:
-    """Stream of the parquet files of a folder; `per_trigger` bounds a micro-batch."""
-    reader = spark.readStream.schema(schema)
-    if per_trigger:
-        reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(path)
+def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
+    """Stream of the parquet files of a folder. `per_trigger` bounds the files of a
+    micro-batch, and with them the rows of one key that state handles at a time."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+            .parquet(path))

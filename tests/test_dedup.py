@@ -5,7 +5,6 @@ import random
 
 from pyspark.sql import functions as F
 
-from capture_analytics.functions.urls import normalize_host  # noqa: F401
 from capture_analytics.operators import dedup, profiles, records, traces
 
 
