@@ -31,10 +31,9 @@ def test_words(spark):
 
 
 def py_wall(text, extra=()):
-    low = text.strip().lower()
-    if any(s in low for s in (*T.LOGIN_STRONG_PHRASES, *extra)):
-        return True
-    return len(low.split()) < 200 and sum(s in low for s in T.LOGIN_WEAK_PHRASES) >= 2
+    hits = [sum(phrase in text.lower() for phrase in phrases)
+            for phrases in (T.LOGIN_STRONG_PHRASES + tuple(extra), T.LOGIN_WEAK_PHRASES)]
+    return hits[0] > 0 or (hits[1] > 1 and len(text.split()) < 200)
 
 
 def test_login_wall(spark):
