@@ -9,7 +9,6 @@ nothing, like one the browser rejects.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -105,7 +104,6 @@ def _compound(piece: str) -> list[dict] | None:
     return tests
 
 
-@lru_cache(maxsize=4096)
 def _parse(selector: str) -> list[list[list[dict]]] | None:
     """A comma list of descendant chains of compounds, None when not supported."""
     branches = [[_compound(p) for p in _PIECES.findall(b)] for b in selector.split(",")]
@@ -155,10 +153,10 @@ def _matches(page: _Page, index: int, chain: list[list[dict]]) -> bool:
     return wanted < 0
 
 
-def _first(page: _Page, selector: str) -> int | None:
-    """First element in document order that the selector matches."""
+def _first(page: _Page, chains: list[list[list[dict]]] | None) -> int | None:
+    """First element in document order that one of the chains matches."""
     firsts = (next((i for i in _rarest(page, chain[-1]) if _matches(page, i, chain)), None)
-              for chain in _parse(selector.strip()) or ())
+              for chain in chains or ())
     return min((i for i in firsts if i is not None), default=None)
 
 
@@ -166,11 +164,16 @@ def match_selectors(html: Column, selectors: Column) -> Column:
     """First element per selector, aligned with the selector array: found, text and href."""
     @F.pandas_udf(f"array<{MATCH}>")
     def match(pages: pd.Series, wanted: pd.Series) -> pd.Series:
+        parsed = {}
+
         def look(html, names):
-            page = _Page(html or "")
+            names = [] if names is None else list(names)
+            page = _Page(html or "") if names else None
             found = []
-            for name in ([] if names is None else names):
-                index = _first(page, name) if name else None
+            for name in names:
+                if name not in parsed:
+                    parsed[name] = _parse((name or "").strip())
+                index = _first(page, parsed[name])
                 hit = index is not None
                 found.append({
                     "selector": name, "found": hit,
@@ -178,6 +181,6 @@ def match_selectors(html: Column, selectors: Column) -> Column:
                     "href": page.elements[index][1].get("href") if hit else None})
             return found
 
-        return pd.Series([look(h, s) for h, s in zip(pages, wanted)])
+        return pd.Series([look(h, s) for h, s in zip(pages, wanted)], dtype=object)
 
     return match(html, selectors)
