@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capture_analytics.llm.tables import documents, id_and_text, pieces
+from capture_analytics.llm.tables import documents, id_and_text, pieces, shared
 from capture_analytics.llm.tokens import ALNUM, Words
 
 WINDOW = 13
@@ -232,9 +232,10 @@ def shard_spans(phrases: Phrases, texts: list[str | None]):
 
 def block_spans(docs: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
     """One row per document with the merged spans of one block of benchmark items."""
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
+    get = shared(docs.sparkSession, Phrases(items, window))
 
     def search(batches):
+        phrases = get()
         schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()),
                             ("n_words", pa.int64()),
                             ("spans", pa.list_(pa.struct([("begin", pa.int64()),
@@ -247,7 +248,7 @@ def block_spans(docs: DataFrame, items: list[tuple[str, str | None]], window: in
                                                  ["doc_id", "text_hash"])
                 yield pa.RecordBatch.from_arrays([ids, batch["text"]], ["key", "text"])
         for keys, texts in pieces(keyed(), SHARD_CHARS):
-            counts, spans, found = shard_spans(phrases.value, texts)
+            counts, spans, found = shard_spans(phrases, texts)
             yield pa.RecordBatch.from_arrays([
                 pa.array([k["doc_id"] for k in keys], pa.int64()),
                 pa.array([k["text_hash"] for k in keys], pa.int64()),

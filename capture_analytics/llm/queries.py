@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from capture_analytics.llm.fmindex import op8_fm_decontamination
+from capture_analytics.llm.toxic import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        op7_toxicity,
         op8_fm_decontamination,
     )}
 

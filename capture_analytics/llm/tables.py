@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,12 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def shared(spark: SparkSession, value):
+    """A function that gives `value` inside tasks: a broadcast that carries its classes along."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def pieces(batches, limit: int = PIECE_CHARS):
     """(row numbers' slice, doc ids, texts) of about `limit` characters from batches of id, text."""
     for batch in batches:

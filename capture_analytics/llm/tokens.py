@@ -33,17 +33,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE = mix(np.arange(1, 257, dtype=U) * U(BASE))
-_powers = {"n": 0}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if _powers["n"] < n:
-        n = max(n, 1 << 16)
-        up, down = np.full(n, BASE, U), np.full(n, BASE_INVERSE, U)
-        up[0] = down[0] = 1
-        _powers.update(n=n, up=np.cumprod(up), down=np.cumprod(down))
-    return _powers["up"], _powers["down"]
+class Powers:
+    """Powers of the base and of its inverse, modulo 2**64, made once per process."""
+
+    def __init__(self):
+        self.up = self.down = np.empty(0, U)
+
+    def __getstate__(self):
+        return {"up": np.empty(0, U), "down": np.empty(0, U)}
+
+    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 1 << 16)
+            up, down = np.full(n, BASE, U), np.full(n, BASE_INVERSE, U)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up), np.cumprod(down)
+        return self.up, self.down
+
+
+POWERS = Powers()
 
 
 class Words:
@@ -59,7 +69,7 @@ class Words:
         if word[0]:
             edges = np.concatenate([[0], edges])
         self.starts, self.ends = edges[0::2], edges[1::2]
-        up, down = powers(len(raw))
+        up, down = POWERS.first(len(raw))
         sums = np.empty(len(raw) + 1, U)
         sums[0] = 0
         np.cumsum(BYTE[case[raw]] * up[:len(raw)], out=sums[1:])
@@ -90,7 +100,7 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     m = len(hashes) - n + 1
     if m <= 0:
         return np.empty(0, U)
-    up, down = powers(len(hashes) + 1)
+    up, down = POWERS.first(len(hashes) + 1)
     sums = np.empty(len(hashes) + 1, U)
     sums[0] = 0
     np.cumsum(hashes * up[:len(hashes)], out=sums[1:])
