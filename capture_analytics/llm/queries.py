@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from capture_analytics.llm.fmindex import op8_fm_decontamination
+from capture_analytics.llm.langid import op10_language_id
+from capture_analytics.llm.topk import TOPK_SQL, op1_topk_search
 from capture_analytics.llm.toxic import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        op1_topk_search,
         op7_toxicity,
         op8_fm_decontamination,
+        op10_language_id,
     )}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_topk_search": TOPK_SQL}
