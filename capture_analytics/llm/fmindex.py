@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capture_analytics.llm.tables import documents, id_and_text, pieces, shared
-from capture_analytics.llm.tokens import ALNUM, Words
+from capture_analytics.llm.tokens import ALNUM, Words, expand
 
 WINDOW = 13
 # Characters of the benchmark that are searched at a time; beyond it the benchmark is worked on
@@ -170,12 +170,6 @@ class Index:
         return place
 
 
-def expand(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """first[i], first[i] + 1, ... counts[i] numbers, for all i."""
-    total = np.cumsum(counts)
-    return np.arange(total[-1] if len(total) else 0) + np.repeat(first - total + counts, counts)
-
-
 def occurrences(phrases: Phrases, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(phrase, number of the first word) of every occurrence in the shard's documents."""
     none = np.zeros(0, np.int64)

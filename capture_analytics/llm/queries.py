@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from capture_analytics.llm.bpe import op9_byte_bpe
 from capture_analytics.llm.fmindex import op8_fm_decontamination
 from capture_analytics.llm.langid import op10_language_id
 from capture_analytics.llm.topk import TOPK_SQL, op1_topk_search
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_topk_search,
         op7_toxicity,
         op8_fm_decontamination,
+        op9_byte_bpe,
         op10_language_id,
     )}
 
