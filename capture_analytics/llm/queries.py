@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from capture_analytics.llm.bpe import op9_byte_bpe
 from capture_analytics.llm.fmindex import op8_fm_decontamination
+from capture_analytics.llm.idfiles import op2_token_files
 from capture_analytics.llm.langid import op10_language_id
 from capture_analytics.llm.topk import TOPK_SQL, op1_topk_search
 from capture_analytics.llm.toxic import op7_toxicity
@@ -15,6 +16,7 @@ from capture_analytics.llm.toxic import op7_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_topk_search,
+        op2_token_files,
         op7_toxicity,
         op8_fm_decontamination,
         op9_byte_bpe,
