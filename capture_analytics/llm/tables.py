@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import uuid
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,3 +108,29 @@ def components(edges: DataFrame) -> DataFrame:
         state = found
     roots = links.select(F.col("b").alias("a"), "b").distinct()
     return links.unionByName(roots).select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+BITS = 1 << 24
+
+
+class BitSet:
+    """A bit set of fixed size over hashed numbers: never misses a member, may let others pass."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        hashes = hashes.view(np.uint64)
+        slot = ((hashes >> np.uint64(6)) & np.uint64(len(self.words) - 1)).astype(np.int64)
+        return (self.words[slot] >> (hashes & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bit_set(hashes: DataFrame, bits: int = BITS) -> BitSet:
+    """The bit set of a column `h` of hashes. Its size is `bits` whatever the input, a power of
+    two; it only saves shuffling rows that an exact join would drop, and a full one saves none."""
+    slot = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(bits // 64 - 1))
+    rows = hashes.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr(
+        "shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return BitSet(words)
