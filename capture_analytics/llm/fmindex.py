@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capture_analytics.llm.tables import documents, id_and_text, pieces, shared
+from capture_analytics.llm.tables import documents, id_and_text, pieces, shared, without
 from capture_analytics.llm.tokens import ALNUM, Words, expand
 
 WINDOW = 13
@@ -307,10 +307,7 @@ def verdicts(spans: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that the contamination rule leaves, with all their columns."""
-    bad = verdicts(contaminated_spans(docs, benchmark)).where("contaminated").select(
-        F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id"))
-                     & (F.xxhash64(docs["text"]) == F.col("bad_hash")), "left_anti")
+    return without(docs, verdicts(contaminated_spans(docs, benchmark)).where("contaminated"))
 
 
 def op8_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capture_analytics.llm.tables import (
-    bit_set, documents, id_and_text, pieces, shared, written)
-from capture_analytics.llm.tokens import SAME, SPACED, U, Words, mix, rolling, shingles, signed
+    bit_set, documents, filtered_by_id, hashed_ids, id_and_text, marked_by_id, pieces, shared,
+    written)
+from capture_analytics.llm.tokens import SAME, SPACED, U, Words, rolling, shingles, signed
 
 WINDOW = 50
 ANCHOR = 8
@@ -71,10 +72,6 @@ def anchors(words: Words) -> np.ndarray:
     return least
 
 
-def id_hashes(ids) -> np.ndarray:
-    return mix(np.array([0 if i is None else i for i in ids], np.int64).view(U))
-
-
 def anchor_rows(batches):
     """doc_id, anchor: the anchors of each document."""
     for ids, texts in pieces(batches):
@@ -107,27 +104,6 @@ def window_rows(get):
     return run
 
 
-def filtered_by_id(docs: DataFrame, ids) -> DataFrame:
-    """The documents whose id may be in a bit set of `id_hashes`, without a shuffle."""
-    get = shared(docs.sparkSession, ids)
-
-    def run(batches):
-        own = get()
-        for batch in batches:
-            keep = own.has(id_hashes(batch.column(0).to_pylist()))
-            yield batch.filter(pa.array(keep))
-    return docs.mapInArrow(run, docs.schema)
-
-
-def hashed_ids(df: DataFrame, column: str) -> DataFrame:
-    """A column h with `id_hashes` of the distinct ids."""
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([
-                pa.array(signed(id_hashes(batch.column(0).to_pylist())))], ["h"])
-    return df.select(column).distinct().mapInArrow(run, "h long")
-
-
 def passages(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """owner, text, found: the passages that owners' windows make up, with their anchors."""
     owned = windows.groupBy("owner").agg(F.collect_list("window").alias("windows"))
@@ -306,20 +282,14 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The documents with a column `spans`, null for those that lose nothing. Only documents
     that may lose words are shuffled."""
     spans = written(spans)
-    get = shared(docs.sparkSession, bit_set(hashed_ids(spans, "doc_id")))
-
-    @F.pandas_udf("boolean")
-    def loses(ids: pd.Series) -> pd.Series:
-        return pd.Series(get().has(id_hashes([None if pd.isna(i) else int(i) for i in ids])))
-
-    marked = docs.withColumn("may_lose", loses(F.col("doc_id").cast("long")))
+    marked = marked_by_id(docs, bit_set(hashed_ids(spans, "doc_id")))
     right = spans.select(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash"),
                          "spans")
-    joined = marked.where("may_lose").join(
+    joined = marked.where("may_have").join(
         right, (F.col("doc_id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_hash")),
         "left").drop("span_id", "span_hash")
-    return marked.where("not may_lose").withColumn("spans", F.lit(None).cast(SPANS)).unionByName(
-        joined).drop("may_lose")
+    return marked.where("not may_have").withColumn("spans", F.lit(None).cast(SPANS)).unionByName(
+        joined).drop("may_have")
 
 
 def kept_words(text: str | None, spans) -> tuple[int, int, bytes]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from capture_analytics.llm.bpe import op9_byte_bpe
 from capture_analytics.llm.fmindex import op8_fm_decontamination
 from capture_analytics.llm.idfiles import op2_token_files
+from capture_analytics.llm.jaccard import op5_jaccard_join
 from capture_analytics.llm.langid import op10_language_id
 from capture_analytics.llm.phrases import op6_substring_dedup
 from capture_analytics.llm.topk import TOPK_SQL, op1_topk_search
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_topk_search,
         op2_token_files,
+        op5_jaccard_join,
         op6_substring_dedup,
         op7_toxicity,
         op8_fm_decontamination,

@@ -6,10 +6,13 @@ import pickle
 import uuid
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capture_analytics.llm.tokens import U, mix, signed
 from capture_analytics.session import checkpoint_dir
 
 # Texts of a batch are worked on in pieces of about this many characters.
@@ -134,3 +137,49 @@ def bit_set(hashes: DataFrame, bits: int = BITS) -> BitSet:
     words = np.zeros(bits // 64, np.uint64)
     words[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return BitSet(words)
+
+
+def id_hashes(ids) -> np.ndarray:
+    """Hashes of ids for a bit set; a null counts as 0."""
+    return mix(np.array([0 if i is None else i for i in ids], np.int64).view(U))
+
+
+def hashed_ids(df: DataFrame, column: str) -> DataFrame:
+    """A column h with `id_hashes` of a column's distinct ids."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([
+                pa.array(signed(id_hashes(batch.column(0).to_pylist())))], ["h"])
+    return df.select(F.col(column).cast("long")).distinct().mapInArrow(run, "h long")
+
+
+def filtered_by_id(docs: DataFrame, ids: BitSet) -> DataFrame:
+    """Of rows whose first column is an id, those whose id may be in the set; no shuffle."""
+    get = shared(docs.sparkSession, ids)
+
+    def run(batches):
+        own = get()
+        for batch in batches:
+            yield batch.filter(pa.array(own.has(id_hashes(batch.column(0).to_pylist()))))
+    return docs.mapInArrow(run, docs.schema)
+
+
+def marked_by_id(docs: DataFrame, ids: BitSet) -> DataFrame:
+    """The documents with a column `may_have`: whether the id may be in the set."""
+    get = shared(docs.sparkSession, ids)
+
+    @F.pandas_udf("boolean")
+    def may_have(values: pd.Series) -> pd.Series:
+        return pd.Series(get().has(id_hashes([None if pd.isna(i) else int(i) for i in values])))
+    return docs.withColumn("may_have", may_have(F.col("doc_id").cast("long")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents that are not among the rows (doc_id, text_hash) of `gone`, with all their
+    columns. Only documents whose id may be among them are shuffled."""
+    gone = written(gone.select(F.col("doc_id").alias("gone_id"),
+                               F.col("text_hash").alias("gone_hash")).distinct())
+    marked = marked_by_id(docs, bit_set(hashed_ids(gone, "gone_id")))
+    left = marked.where("may_have").join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (
+        F.xxhash64("text") == F.col("gone_hash")), "left_anti")
+    return marked.where("not may_have").unionByName(left).drop("may_have")

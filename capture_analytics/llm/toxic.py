@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capture_analytics.llm.tables import documents, id_and_text, pieces, remainder, shared
+from capture_analytics.llm.tables import (
+    documents, id_and_text, pieces, remainder, shared, without)
 from capture_analytics.llm.tokens import ALNUM, Words, shingles, signed
 
 EXAMPLES = 16_384
@@ -222,10 +223,7 @@ def toxicity_scores(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS)
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    bad = toxicity_scores(docs, fit(docs, labels)).where("predicted = 1").select(
-        F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id"))
-                     & (F.xxhash64(docs["text"]) == F.col("bad_hash")), "left_anti")
+    return without(docs, toxicity_scores(docs, fit(docs, labels)).where("predicted = 1"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
