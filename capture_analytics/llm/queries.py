@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from capture_analytics.llm.bpe import op9_byte_bpe
+from capture_analytics.llm.brown import op4_lm_scoring
 from capture_analytics.llm.fmindex import op8_fm_decontamination
 from capture_analytics.llm.idfiles import op2_token_files
 from capture_analytics.llm.jaccard import op5_jaccard_join
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_topk_search,
         op2_token_files,
+        op4_lm_scoring,
         op5_jaccard_join,
         op6_substring_dedup,
         op7_toxicity,
