@@ -1,7 +1,8 @@
 """Token ids in shard files, with a minimal perfect hash index from document key to its ids.
 
 Documents are put in ascending order of their id by a range shuffle; partition i is shard i:
-    <folder>/shard-<i>.ids   the ids of its documents, one after another, as little-endian u32
+    <folder>/shard-<i>.ids   the ids of its documents, one after another, little-endian, as u16
+                             where the vocabulary allows it, else as u32
     <folder>/shard-<i>.idx   the index (see `Shard`)
 The index holds the offset of every document, and for the distinct keys a minimal perfect hash:
 bit maps of levels, each with one bit for every key that met no other there, so that the rank of
@@ -89,16 +90,16 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Index of one shard. In the file: the length of a JSON header as u32, the header (counts and
-    sizes of the levels), then keys i64, whether each is null u8, offsets u64 (one more than
+    """Index of one shard. In the file: the length of a JSON header as u32, the header (the width of
+    an id in bytes, counts and sizes of the levels), then keys i64, whether each is null u8, offsets u64 (one more than
     documents), fingerprints u32, first documents u32, and the levels' bits."""
 
-    def __init__(self, keys, nulls, offsets, prints, firsts, perfect: PerfectHash):
-        self.keys, self.nulls, self.offsets = keys, nulls, offsets
+    def __init__(self, width, keys, nulls, offsets, prints, firsts, perfect: PerfectHash):
+        self.width, self.keys, self.nulls, self.offsets = width, keys, nulls, offsets
         self.prints, self.firsts, self.perfect = prints, firsts, perfect
 
     @classmethod
-    def build(cls, ids: list, lengths: list) -> Shard:
+    def build(cls, width: int, ids: list, lengths: list) -> Shard:
         nulls = np.array([i is None for i in ids], bool)
         keys = np.array([0 if i is None else i for i in ids], np.int64)
         offsets = np.concatenate([[0], np.cumsum(np.array(lengths, np.uint64))]).astype(np.uint64)
@@ -109,10 +110,10 @@ class Shard:
         prints, firsts = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.uint32)
         prints[slots] = fingerprints(distinct.view(U))
         firsts[slots] = known[first]
-        return cls(keys, nulls, offsets, prints, firsts, perfect)
+        return cls(width, keys, nulls, offsets, prints, firsts, perfect)
 
     def dump(self) -> bytes:
-        head = json.dumps({"docs": len(self.keys), "slots": len(self.prints),
+        head = json.dumps({"width": self.width, "docs": len(self.keys), "slots": len(self.prints),
                            "levels": [len(x) for x in self.perfect.levels]}).encode()
         return b"".join([
             np.array([len(head)], "<u4").tobytes(), head, self.keys.astype("<i8").tobytes(),
@@ -135,7 +136,13 @@ class Shard:
         prints, firsts = take("<u4", head["slots"]), take("<u4", head["slots"])
         levels = [np.unpackbits(take("u1", -(-n // 8)), count=n).astype(bool)
                   for n in head["levels"]]
-        return cls(keys, nulls, offsets, prints, firsts, PerfectHash(levels))
+        return cls(head["width"], keys, nulls, offsets, prints, firsts, PerfectHash(levels))
+
+    def ids(self, payload, document: int) -> np.ndarray:
+        """The ids of one document from the opened payload, as u32."""
+        begin, end = int(self.offsets[document]), int(self.offsets[document + 1])
+        data = payload.read_at(self.width * (end - begin), self.width * begin)
+        return np.frombuffer(data, f"<u{self.width}").astype("<u4")
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The first document of every key, -1 where the key is not stored."""
@@ -156,17 +163,18 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian u32."""
+        """Each text's ids, little-endian, in the width of the vocabulary."""
         words, first = pretokens(texts)
         if len(self.known) > REMEMBER:
             self.known.clear()
         fresh = list(set(words).difference(self.known))
         for word, found in zip(fresh, self.tokenizer.encode_batch_fast(
                 fresh, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+            self.known[word] = np.array(found.ids, f"<u{self.width}").tobytes()
         ids = list(map(self.known.__getitem__, words))
         return [b"".join(ids[a:b]) for a, b in zip(first[:-1], first[1:])]
 
@@ -183,23 +191,21 @@ def write_ids(docs: DataFrame, folder: str, definition: str, end: int = END) ->
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     get = shared(spark, definition)
-    closing = np.array([end], "<u4").tobytes()
-
     def write(batches):
         encoder, shard = Encoder(get()), TaskContext.get().partitionId()
         files, root = opened(folder)
         files.create_dir(root, recursive=True)
         name, draft = f"{root}/shard-{shard:06d}", f"{root}/draft-{uuid.uuid4().hex}"
-        keys, lengths = [], []
+        closing, keys, lengths = np.array([end], f"<u{encoder.width}").tobytes(), [], []
         with files.open_output_stream(draft) as out:
             for ids, texts in pieces(batches):
                 for key, found in zip(ids, encoder.encode(texts)):
                     out.write(found + closing)
                     keys.append(key)
-                    lengths.append(len(found) // 4 + 1)
+                    lengths.append(len(found) // encoder.width + 1)
         files.move(draft, f"{name}.ids")
         with files.open_output_stream(draft) as out:
-            out.write(Shard.build(keys, lengths).dump())
+            out.write(Shard.build(encoder.width, keys, lengths).dump())
         files.move(draft, f"{name}.idx")
         yield pa.RecordBatch.from_arrays([
             pa.array([shard], pa.int64()), pa.array([len(keys)], pa.int64()),
@@ -234,8 +240,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: list[tuple]) -> DataFra
                 row[own] = found[own]
                 offsets = index.offsets.astype(np.int64)
                 with files.open_input_file(f"{root}/shard-{shard:06d}.ids") as payload:
-                    sums = [zlib.crc32(payload.read_at(4 * int(offsets[r + 1] - offsets[r]),
-                                                       4 * int(offsets[r]))) for r in row.tolist()]
+                    sums = [zlib.crc32(index.ids(payload, r).tobytes()) for r in row.tolist()]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(index.keys, pa.int64(), mask=index.nulls),
                     pa.array(base + offsets[row], pa.int64()),
@@ -259,8 +264,7 @@ def lookup(folder: str, manifest: list[tuple], key: int) -> np.ndarray | None:
         at = int(index.find([key])[0])
         if at >= 0 and index.keys[at] == key and not index.nulls[at]:
             with files.open_input_file(f"{root}/shard-{shard:06d}.ids") as payload:
-                return np.frombuffer(payload.read_at(4 * int(index.offsets[at + 1] - index.offsets[
-                    at]), 4 * int(index.offsets[at])), "<u4")
+                return index.ids(payload, at)
     return None
 
 
