@@ -6,11 +6,12 @@
 2. Recurring passages. Windows with a recurring anchor are confirmed by the hash of all their
    words; each confirmed window belongs to the smallest document that has it. Owners join their
    windows and cut their texts into passages: runs of owned windows.
-3. Automata. Passages are dealt into shards of bounded length. A document is sent to the shards
-   that hold an owner of one of its anchors; shards that many documents need get several blocks, each
-   with the shard's passages. A task compiles the 25-word phrases at every 25th word of the
-   passages into an automaton (each window of a passage holds one of them in full), streams
-   the documents through it, and at each occurrence confirms the windows around it.
+3. Automata. Passages are dealt into shards of bounded length. Of every document the segments whose
+   windows have an anchor of a passage, the only ones that can hold it, go to that passage's shard;
+   shards that many segments need get several blocks, each with the shard's passages. A task
+   compiles the 25-word phrases at every 25th word of the passages into an automaton (each window of
+   a passage holds one of them in full), streams the segments through it, and at each
+   occurrence confirms the windows around it.
 4. The spans found in all shards are merged per document.
 
 A bit set of fixed size keeps documents without any recurring anchor from being shuffled; an
@@ -40,9 +41,9 @@ from capture_analytics.llm.tokens import SAME, SPACED, U, Words, rolling, shingl
 WINDOW = 50
 ANCHOR = 8
 PHRASE = 25
-# Characters of passages in a shard, and documents of a block.
+# Characters of passages in a shard, and of the segments of a block.
 SHARD_CHARS = 1 << 20
-BLOCK_DOCS = 512
+BLOCK_CHARS = 4 << 20
 SPANS = "array<struct<begin:int,end:int>>"
 
 
@@ -197,16 +198,42 @@ def merged(begins, ends) -> list[dict]:
     return out
 
 
+def segment_rows(batches):
+    """shard, doc_id, text_hash, begin, text: the parts of each document whose windows have an
+    anchor that a shard holds."""
+    names = ("shard", "doc_id", "text_hash", "begin", "text")
+    for batch in batches:
+        out = []
+        for doc_id, text_hash, text, needs in zip(
+                batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist(),
+                batch["text"].to_pylist(), batch["needs"].to_pylist()):
+            words = split([text])
+            starts = window_starts(words)
+            if not len(starts):
+                continue
+            found = signed(anchors(words)[starts])
+            for need in needs:
+                own = starts[np.isin(found, np.array(need["held"], np.int64))]
+                for span in merged(own, own + WINDOW):
+                    part = words.buffer[words.starts[span["begin"]]:words.ends[span["end"] - 1]]
+                    out.append((need["shard"], doc_id, text_hash, span["begin"], part.decode()))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        columns = list(zip(*out)) or [[]] * len(names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], list(names))
+
+
 def stream(batches):
-    """Documents of each block through the automaton of its shard; passages come first."""
+    """Segments of each block through the automaton of its shard; passages come first."""
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     own, owners, texts, machine = None, [], [], None
     for batch in batches:
         ids, hashes, spans = [], [], []
         keys = zip(batch["shard"].to_pylist(), batch["block"].to_pylist())
-        for key, is_doc, doc_id, text_hash, text in zip(
+        for key, is_doc, doc_id, text_hash, begin, text in zip(
                 keys, batch["is_doc"].to_pylist(), batch["doc_id"].to_pylist(),
-                batch["text_hash"].to_pylist(), batch["text"].to_pylist()):
+                batch["text_hash"].to_pylist(), batch["begin"].to_pylist(),
+                batch["text"].to_pylist()):
             if key != own:
                 own, owners, texts, machine = key, [], [], None
             if not is_doc:
@@ -215,11 +242,13 @@ def stream(batches):
                 continue
             if machine is None:
                 machine = Automaton(owners, texts)
+                owners, texts = [], []
             found = machine.spans(doc_id, text)
             if found:
                 ids.append(doc_id)
                 hashes.append(text_hash)
-                spans.append(found)
+                spans.append([{"begin": s["begin"] + begin, "end": s["end"] + begin}
+                              for s in found])
         yield pa.RecordBatch.from_arrays([
             pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(spans, span)],
             ["doc_id", "text_hash", "spans"])
@@ -243,23 +272,27 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     chars = kept.agg(F.sum(F.length("text"))).first()[0]
     if not chars:
         return spark.createDataFrame([], f"doc_id long, text_hash long, spans {SPANS}")
-    shard = F.pmod(F.xxhash64("owner", "text"), F.lit(-(-chars // SHARD_CHARS))).cast("int")
+    shard = F.pmod(F.xxhash64("owner"), F.lit(-(-chars // SHARD_CHARS))).cast("int")
     kept = kept.withColumn("shard", shard)
     wanted = kept.select(F.explode("found").alias("wanted"), "shard", "owner").groupBy(
         "wanted", "shard").agg(F.min("owner").alias("least"))
     need = written(found.join(wanted, (F.col("anchor") == F.col("wanted")) & (
-        F.col("doc_id") > F.col("least"))).select(F.col("doc_id").alias("id"), "shard").distinct())
-    sizes = need.groupBy(F.col("shard").alias("of")).agg(
-        F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
+        F.col("doc_id") > F.col("least"))).groupBy(F.col("doc_id").alias("id"), "shard").agg(
+        F.collect_set("anchor").alias("held")).groupBy("id").agg(
+        F.collect_list(F.struct("shard", "held")).alias("needs")))
     candidates = filtered_by_id(plain, bit_set(hashed_ids(need, "id")))
-    asked = candidates.join(need, F.col("doc_id") == F.col("id")).join(
-        sizes, F.col("shard") == F.col("of")).select(
-        "shard", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"),
-        F.lit(True).alias("is_doc"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    segments = written(candidates.join(need, F.col("doc_id") == F.col("id")).select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), "text", "needs").mapInArrow(
+        segment_rows, "shard int, doc_id long, text_hash long, begin int, text string"))
+    sizes = segments.groupBy(F.col("shard").alias("of")).agg(
+        F.ceil(F.sum(F.length("text")) / BLOCK_CHARS).cast("int").alias("blocks"))
+    asked = segments.join(sizes, F.col("shard") == F.col("of")).select(
+        "shard", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("blocks")).cast("int").alias(
+            "block"), F.lit(True).alias("is_doc"), "doc_id", "text_hash", "begin", "text")
     offered = kept.join(sizes, F.col("shard") == F.col("of")).select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.lit(False).alias("is_doc"), F.col("owner").alias("doc_id"),
-        F.lit(None).cast("long").alias("text_hash"), "text")
+        F.lit(None).cast("long").alias("text_hash"), F.lit(0).alias("begin"), "text")
     spans = offered.unionByName(asked).repartition(n, "shard", "block").sortWithinPartitions(
         "shard", "block", "is_doc").mapInArrow(
         stream, f"doc_id long, text_hash long, spans {SPANS}")
