@@ -334,15 +334,20 @@ def kept_words(text: str | None, spans) -> tuple[int, int, bytes]:
     return total, total - len(parts), b" ".join(parts)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, length: str | None = None) -> DataFrame:
     """The documents without the words of repeated passages: a text that loses words is what is
-    left, joined by single spaces; the others stay as they are."""
+    left, joined by single spaces, and its column `length`, if named, the new number of
+    characters; the others stay as they are."""
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else kept_words(t, s)[2].decode()
                           for t, s in zip(texts, spans)], dtype=object)
     found = with_spans(docs, repeated_spans(docs))
-    return found.withColumn("text", cut("text", "spans")).drop("spans")
+    out = found.withColumn("text", cut("text", "spans"))
+    if length:
+        out = out.withColumn(length, F.when(F.col("spans").isNull(), F.col(length)).otherwise(
+            F.length("text").cast(docs.schema[length].dataType)))
+    return out.drop("spans")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from capture_analytics.llm.bpe import op9_byte_bpe
@@ -12,6 +13,7 @@ from capture_analytics.llm.fmindex import op8_fm_decontamination
 from capture_analytics.llm.idfiles import op2_token_files
 from capture_analytics.llm.jaccard import op5_jaccard_join
 from capture_analytics.llm.langid import op10_language_id
+from capture_analytics.llm.licenses import op3_license_scan
 from capture_analytics.llm.phrases import op6_substring_dedup
 from capture_analytics.llm.topk import TOPK_SQL, op1_topk_search
 from capture_analytics.llm.toxic import op7_toxicity
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_topk_search,
         op2_token_files,
+        op3_license_scan,
         op4_lm_scoring,
         op5_jaccard_join,
         op6_substring_dedup,
@@ -28,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_byte_bpe,
         op10_language_id,
     )}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {"op1_topk_search": TOPK_SQL}

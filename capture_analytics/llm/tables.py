@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -52,12 +53,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the folders made so far; results that read them must have been written before."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def scratch():
+    """A list that after the block holds the folders made in it."""
+    before, own = len(_scratch), []
+    yield own
+    own.extend(_scratch[before:])
+    del _scratch[before:]
+
+
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders, and empty the list; nothing that still reads them may be left."""
+    while folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared(spark: SparkSession, value):
