@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capture_analytics.llm.tables import (
-    bit_set, documents, filtered_by_id, hashed_ids, id_and_text, marked_by_id, pieces, shared,
+    bit_set, documents, filtered_by_id, fresh, hashed_ids, id_and_text, marked_by_id, pieces, shared,
     written)
 from capture_analytics.llm.tokens import SAME, SPACED, U, Words, rolling, shingles, signed
 
@@ -311,18 +311,19 @@ def joined_spans(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "text_hash").agg(union.alias("spans"))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The documents with a column `spans`, null for those that lose nothing. Only documents
-    that may lose words are shuffled."""
+def with_spans(docs: DataFrame, spans: DataFrame, name: str = "spans") -> DataFrame:
+    """The documents with their spans in a column `name`, null for those that lose nothing. Only
+    documents that may lose words are shuffled."""
     spans = written(spans)
-    marked = marked_by_id(docs, bit_set(hashed_ids(spans, "doc_id")))
-    right = spans.select(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash"),
-                         "spans")
-    joined = marked.where("may_have").join(
-        right, (F.col("doc_id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_hash")),
-        "left").drop("span_id", "span_hash")
-    return marked.where("not may_have").withColumn("spans", F.lit(None).cast(SPANS)).unionByName(
-        joined).drop("may_have")
+    mark, span_id, span_hash = (fresh(docs, c) for c in ("may_lose", "span_id", "span_hash"))
+    marked = marked_by_id(docs, bit_set(hashed_ids(spans, "doc_id")), mark)
+    right = spans.select(F.col("doc_id").alias(span_id), F.col("text_hash").alias(span_hash),
+                         F.col("spans").alias(name))
+    joined = marked.where(F.col(mark)).join(
+        right, (F.col("doc_id") == F.col(span_id)) & (F.xxhash64("text") == F.col(span_hash)),
+        "left").drop(span_id, span_hash)
+    return marked.where(~F.col(mark)).withColumn(name, F.lit(None).cast(SPANS)).unionByName(
+        joined).drop(mark)
 
 
 def kept_words(text: str | None, spans) -> tuple[int, int, bytes]:
@@ -342,12 +343,13 @@ def deduplicated(docs: DataFrame, length: str | None = None) -> DataFrame:
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else kept_words(t, s)[2].decode()
                           for t, s in zip(texts, spans)], dtype=object)
-    found = with_spans(docs, repeated_spans(docs))
-    out = found.withColumn("text", cut("text", "spans"))
+    spans = fresh(docs, "spans")
+    found = with_spans(docs, repeated_spans(docs), spans)
+    out = found.withColumn("text", cut("text", spans))
     if length:
-        out = out.withColumn(length, F.when(F.col("spans").isNull(), F.col(length)).otherwise(
+        out = out.withColumn(length, F.when(F.col(spans).isNull(), F.col(length)).otherwise(
             F.length("text").cast(docs.schema[length].dataType)))
-    return out.drop("spans")
+    return out.drop(spans)
 
 
 def digests(docs: DataFrame) -> DataFrame:

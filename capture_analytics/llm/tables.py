@@ -173,22 +173,31 @@ def filtered_by_id(docs: DataFrame, ids: BitSet) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def marked_by_id(docs: DataFrame, ids: BitSet) -> DataFrame:
-    """The documents with a column `may_have`: whether the id may be in the set."""
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def marked_by_id(docs: DataFrame, ids: BitSet, name: str) -> DataFrame:
+    """The documents with a column `name`: whether the id may be in the set."""
     get = shared(docs.sparkSession, ids)
 
     @F.pandas_udf("boolean")
     def may_have(values: pd.Series) -> pd.Series:
         return pd.Series(get().has(id_hashes([None if pd.isna(i) else int(i) for i in values])))
-    return docs.withColumn("may_have", may_have(F.col("doc_id").cast("long")))
+    return docs.withColumn(name, may_have(F.col("doc_id").cast("long")))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents that are not among the rows (doc_id, text_hash) of `gone`, with all their
     columns. Only documents whose id may be among them are shuffled."""
-    gone = written(gone.select(F.col("doc_id").alias("gone_id"),
-                               F.col("text_hash").alias("gone_hash")).distinct())
-    marked = marked_by_id(docs, bit_set(hashed_ids(gone, "gone_id")))
-    left = marked.where("may_have").join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (
-        F.xxhash64("text") == F.col("gone_hash")), "left_anti")
-    return marked.where("not may_have").unionByName(left).drop("may_have")
+    mark, gone_id, gone_hash = (fresh(docs, c) for c in ("may_go", "gone_id", "gone_hash"))
+    gone = written(gone.select(F.col("doc_id").alias(gone_id),
+                               F.col("text_hash").alias(gone_hash)).distinct())
+    marked = marked_by_id(docs, bit_set(hashed_ids(gone, gone_id)), mark)
+    left = marked.where(F.col(mark)).join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (
+        F.xxhash64("text") == F.col(gone_hash)), "left_anti")
+    return marked.where(~F.col(mark)).unionByName(left).drop(mark)
