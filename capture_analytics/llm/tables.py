@@ -98,18 +98,22 @@ def components(edges: DataFrame) -> DataFrame:
     the logarithm of the longest path. A node with very many neighbours meets them in a plain
     aggregate and a join that Spark can split.
     """
-    spark = edges.sparkSession
     links = written(edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    # The second key asks for a shuffle of its own on either side of a join: a join right on top of
+    # an aggregate's partitions could not be split where one node has very many neighbours.
+    part = F.pmod(F.xxhash64("a"), F.lit(64)).alias("part")
+    same = (F.col("a") == F.col("k")) & (F.col("part") == F.col("k_part"))
     state = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(
+            F.col("a").alias("k"), part.alias("k_part"), F.least("a", "m").alias("m"))
+        large = both.where("b > a").select("a", "b", part).join(least, same).select(
             F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        hooked = large.join(small, F.col("a") == F.col("k")).select(
+        small = large.groupBy("a").agg(F.min("b").alias("m")).select(
+            F.col("a").alias("k"), part.alias("k_part"), "m")
+        hooked = large.select("a", "b", part).join(small, same).select(
             F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
             F.col("m").alias("b")).where("a <> b").distinct()
         links = written(hooked)
