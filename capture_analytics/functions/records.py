@@ -162,10 +162,11 @@ def fk_int(*candidates: Column) -> Column:
     return F.coalesce(*[c.cast("string") for c in candidates]).try_cast("bigint")
 
 
-def debug_html(html: Column, dom: Column) -> Column:
-    """Stored html when there is some, else the captured DOM, cut with a marker."""
+def debug_html(html: Column, dom: Column, clip: int | None = None) -> Column:
+    """Stored html when there is some, else the captured DOM, cut with a marker if asked."""
+    shown = dom if clip is None else clip_text(dom, clip, DOM_MARKER)
     return F.when(filled(html) != "", html).otherwise(
-        F.when(filled(dom) != "", clip_text(dom, DOM_CLIP, DOM_MARKER)).otherwise(html))
+        F.when(filled(dom) != "", shown).otherwise(html))
 
 
 def run_payload(run: Column) -> Column:

@@ -64,8 +64,6 @@ DEAD_MARKER_PATTERN = (
     r"|posting (no longer|has been) (available|active)|page not found"
     r"|job you.re looking for|we.re sorry,? but this job has expired"
 )
-# Size of the body peek of the dead-listing check, in bytes.
-PEEK_BYTES = 16_384
 UNWRAP_DEPTH = 5
 
 # ---- parts ----------------------------------------------------------------------
@@ -262,9 +260,10 @@ def _is_http(text: Column) -> Column:
 
 
 def b64_url(value: Column) -> Column:
-    """URL held in url-safe base64 with optional padding, else NULL."""
-    body = F.translate(F.rtrim(F.trim(value), F.lit("=")), "-_", "+/")
-    usable = body.rlike(r"^[A-Za-z0-9+/]+$") & (F.length(body) % 4 != 1)
+    """URL held in url-safe base64 with optional padding, else NULL. Characters outside the
+    alphabet are skipped."""
+    body = F.regexp_replace(F.translate(value, "-_", "+/"), r"[^A-Za-z0-9+/]", "")
+    usable = (body != "") & (F.length(body) % 4 != 1)
     padded = F.rpad(body, (F.ceil(F.length(body) / F.lit(4)) * 4).cast("int"), F.lit("="))
     text = F.try_to_binary(F.when(usable, padded), F.lit("base64")).cast("string")
     return F.when(F.is_valid_utf8(text) & _is_http(text), text)
@@ -311,9 +310,9 @@ def is_dead_check_host(host: Column) -> Column:
     return host.rlike(DEAD_CHECK_HOST_PATTERN)
 
 
-def has_dead_marker(body: Column, peek_bytes: int | None = PEEK_BYTES) -> Column:
-    """Listing text says the job is gone. The check reads the first `peek_bytes` bytes of a
-    response (that is how it is defined); None reads all of it."""
+def has_dead_marker(body: Column, peek_bytes: int | None = None) -> Column:
+    """Listing text says the job is gone. All of it is read, or with `peek_bytes` only so many
+    bytes, as a check of a live response would."""
     seen = body
     if peek_bytes is not None:
         seen = F.when(F.octet_length(body) <= peek_bytes, body).otherwise(
@@ -322,10 +321,10 @@ def has_dead_marker(body: Column, peek_bytes: int | None = PEEK_BYTES) -> Column
 
 
 def resolve_listing(url: Column, status: Column, final_url: Column, body: Column,
-                    error: Column) -> Column:
+                    error: Column, peek_bytes: int | None = None) -> Column:
     """Cleaned listing URL after a logged fetch, NULL when the listing is dead."""
     host = netloc(url)
-    dead = has_dead_marker(body)
+    dead = has_dead_marker(body, peek_bytes)
     reached = error.isNull() & (status < 400)
     direct = F.when(is_dead_check_host(host) & reached & dead, F.lit(None)).otherwise(
         strip_tracking_params(url))

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capture_analytics.functions.base import let
 from capture_analytics.functions.records import placeholder_company
 from capture_analytics.functions.text import is_stub, strip
 from capture_analytics.functions.urls import canonicalize_url, normalize_host, unwrap_url, url_host
-from capture_analytics.operators.ordered import first_per_key
-
-COMPANY_NAME_MAX = 200
+from capture_analytics.operators.ordered import first_per_key, top_per_key
 
 
 def repeated_captures(pages: DataFrame) -> DataFrame:
@@ -54,39 +51,50 @@ def link_conflicts(new_posts: DataFrame, posts: DataFrame) -> DataFrame:
         "status_code", F.when(F.col("existing_id").isNotNull(), F.lit(409)))
 
 
-def _substrings(text: Column, sizes: Column) -> Column:
-    """Distinct substrings of the given sizes."""
-    fitting = F.filter(sizes, lambda n: n <= F.length(text))
-    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(
-        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n)))))
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """Distinct substrings of GRAM characters; of a shorter text, the text itself."""
+    return F.when(F.length(text) <= GRAM, F.array(text)).otherwise(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substr(text, i, F.lit(GRAM)))))
+
+
+def _all_grams(text: Column) -> Column:
+    """Distinct substrings of one to GRAM characters, so that short needles find theirs."""
+    return F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.least(F.length(text), F.lit(GRAM))), lambda n: F.transform(
+            F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n)))))
 
 
 def resolve_companies(names: DataFrame, companies: DataFrame) -> DataFrame:
     """Company id for every distinct wanted name: an exact name (any case) first, else the
     lowest id whose name contains it, else NULL (`is_new`).
 
-    Containment is an equi-join: company names are cut into the substrings whose length
-    some unresolved name has, and the lowest id per substring is kept before joining.
+    Containment is an equi-join on one trigram of the needle, the one that the fewest company
+    names have, and a check of what it finds. A needle that is no longer than a trigram is one
+    itself, and its answer is aggregated with the trigram's count. Names have any length.
     """
     wanted = names.select("name").where(~placeholder_company(F.col("name"))).distinct()
     wanted = wanted.withColumn("needle", F.lower("name"))
     known = companies.select(F.col("id"), F.lower("name").alias("haystack")).where(
-        F.col("haystack").isNotNull())
-    exact = known.groupBy(F.col("haystack").alias("needle")).agg(F.min("id").alias("exact_id"))
-    matched = wanted.join(exact, "needle", "left")
-
-    open_needles = matched.where(F.col("exact_id").isNull()).select("needle").distinct()
-    # at most COMPANY_NAME_MAX sizes: longer names cannot be stored, so they match nothing
-    sizes = open_needles.where(F.length("needle") <= COMPANY_NAME_MAX).agg(
-        F.collect_set(F.length("needle"))).scalar()
-    pieces = (known.where(F.length("haystack") <= COMPANY_NAME_MAX)
-              .withColumn("sizes", sizes)
-              .select("id", F.explode(_substrings(F.col("haystack"), F.col("sizes"))).alias("needle")))
-    inside = (pieces.join(open_needles, "needle", "left_semi")
-              .groupBy("needle").agg(F.min("id").alias("inside_id")))
-    return (matched.join(inside, "needle", "left")
-            .select("name", F.coalesce("exact_id", "inside_id").alias("company_id"))
-            .withColumn("is_new", F.col("company_id").isNull()))
+        F.length("haystack") > 0)
+    pieces = known.select("id", "haystack", F.explode(_all_grams(F.col("haystack"))).alias("gram"))
+    counts = pieces.groupBy("gram").agg(
+        F.count("*").alias("held"), F.min("id").alias("inside_id"),
+        F.min(F.when(F.col("haystack") == F.col("gram"), F.col("id"))).alias("exact_id"))
+    rarest = (wanted.select("name", "needle", F.explode(_grams(F.col("needle"))).alias("gram"))
+              .join(counts, "gram", "left").groupBy("name", "needle")
+              .agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram", "exact_id",
+                                  "inside_id")).alias("best")))
+    long = F.length("needle") > GRAM
+    found = rarest.select("name", "needle", "best.*").join(
+        pieces.select("id", "haystack", F.col("gram").alias("piece")),
+        (F.col("gram") == F.col("piece")) & long & F.contains("haystack", "needle"), "left")
+    return found.groupBy("name").agg(F.coalesce(
+        F.min(F.when(F.col("haystack") == F.col("needle"), F.col("id"))), F.min("id"),
+        F.min(F.when(~long, F.col("exact_id"))), F.min(F.when(~long, F.col("inside_id")))
+    ).alias("company_id")).withColumn("is_new", F.col("company_id").isNull())
 
 
 def create_companies(resolved: DataFrame, companies: DataFrame) -> DataFrame:
@@ -157,20 +165,40 @@ def match_domains(hosts: DataFrame, domains: DataFrame) -> DataFrame:
     return host.join(best, "host", "left")
 
 
-def closest_domains(hosts: DataFrame, domains: Sequence[str], n: int = 3,
-                    cutoff: float = 0.6) -> DataFrame:
-    """Up to `n` configured domains that look like each distinct host, best first.
+def _marked_bigrams(text: Column) -> Column:
+    """Bigrams of a text between two marks, each with the number of its occurrence."""
+    def numbered(grams: Column) -> Column:
+        return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(
+            F.slice(grams, 1, i + 1), lambda h: h == g)).cast("string")))
+    marked = F.concat(F.lit("^"), text, F.lit("$"))
+    return let(F.transform(F.sequence(F.lit(1), F.length(marked) - 1),
+                           lambda i: F.substr(marked, i, F.lit(2))), numbered)
 
-    The domains are a site list a person writes, so they travel with the task; hosts are
-    made distinct first and compared in Arrow batches.
-    """
-    listed = list(domains)
 
-    @F.pandas_udf("array<string>")
-    def similar(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda h: difflib.get_close_matches(h, listed, n=n, cutoff=cutoff))
+def closest_domains(hosts: DataFrame, domains: DataFrame, n: int = 3,
+                    cutoff: float = 0.6) -> DataFrame:
+    """Up to `n` domains that look like each distinct host, best first, equal ones by name.
 
-    distinct = hosts.select("host").where(F.col("host").isNotNull()).distinct()
-    return distinct.select("host", F.posexplode(similar("host")).alias("position", "domain")
-                           ).withColumn("rank", (F.col("position") + 1).cast("bigint")
-                                        ).drop("position")
+    Likeness is 1 - levenshtein / length of the longer one. A pair above the cutoff has at most
+    (1 - cutoff) x length edits; each destroys two of the length + 1 bigrams, so the pair shares a
+    known number of them, and at least one of the host's rarest. Pairs come from an equi-join on
+    those and are checked once.
+    """
+    host = hosts.select("host").where(F.length("host") > 0).distinct()
+    domain = domains.select("domain").where(F.length("domain") > 0).distinct()
+    held = domain.select("domain", F.explode(_marked_bigrams(F.col("domain"))).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    size = F.length("host")
+    # the least a pair can share: for longer domains it is more
+    shared = F.greatest(F.lit(1), F.floor(size * F.lit(2 * cutoff - 1)) + 1)
+    rare = (host.select("host", F.explode(_marked_bigrams(F.col("host"))).alias("gram"))
+            .join(counts, "gram").groupBy("host")
+            .agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams")))
+    # bigrams that no domain has come first in the order and lead nowhere
+    take = F.greatest(F.lit(0), F.size("grams") - shared + 1).cast("int")
+    pairs = (rare.select("host", F.explode(F.slice("grams", 1, take)).alias("g"))
+             .select("host", F.col("g.gram").alias("gram")).join(held, "gram")
+             .select("host", "domain").distinct())
+    likeness = 1 - F.levenshtein("host", "domain") / F.greatest(F.length("host"), F.length("domain"))
+    near = pairs.withColumn("likeness", likeness).where(F.col("likeness") >= cutoff)
+    return top_per_key(near, ["host"], [F.desc("likeness"), F.col("domain")], n).drop("likeness")

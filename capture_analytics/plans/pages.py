@@ -11,12 +11,11 @@ from capture_analytics.operators.ordered import top_per_key
 from capture_analytics.operators.profiles import with_profile
 from capture_analytics.plans import sqltext as S
 from capture_analytics.plans.registry import query
-from capture_analytics.session import spread
 from capture_analytics.sources.views import view
 
 
 def _rows(spark, folder, name):
-    return spread(view(spark, folder, name))
+    return view(spark, folder, name)
 
 
 def _decoded(text: str) -> str:

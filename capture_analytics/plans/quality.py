@@ -8,12 +8,11 @@ from capture_analytics.functions import text as T
 from capture_analytics.operators import extraction, traces
 from capture_analytics.plans import sqltext as S
 from capture_analytics.plans.registry import query
-from capture_analytics.session import spread
 from capture_analytics.sources.views import view
 
 
 def _rows(spark, folder, name):
-    return spread(view(spark, folder, name))
+    return view(spark, folder, name)
 
 _HOST_PHRASE = "members only area"
 _WALL_TEXT = f"case when lang = 'fr' then text || ' {_HOST_PHRASE}' else text end"

@@ -277,8 +277,12 @@ def html_write_if_empty(spark, folder):
     pages = view(spark, folder, "pages")
     scrapes = pages.select(F.col("page_id").alias("scrape_id"),
                            F.when(F.col("page_id") % 3 != 0, F.col("html")).alias("html"))
-    dom = pages.select(F.col("page_id").alias("scrape_id"), F.concat("html", "html").alias("dom"))
-    return html_if_empty(scrapes, dom).select(
+    # an older snapshot that is the larger string, and the newest
+    dom = pages.select(F.col("page_id").alias("scrape_id"), F.explode(F.array(
+        F.struct(F.lit(1).alias("captured_at"), F.concat(F.lit("~"), "html").alias("dom")),
+        F.struct(F.lit(2).alias("captured_at"), F.concat("html", "html").alias("dom")))
+    ).alias("s")).select("scrape_id", "s.*")
+    return html_if_empty(scrapes, dom, R.DOM_CLIP).select(
         "scrape_id", F.length("html").cast("bigint").alias("html_length"))
 
 

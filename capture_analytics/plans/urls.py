@@ -8,7 +8,6 @@ from capture_analytics.functions import urls as U
 from capture_analytics.operators import dedup, profiles
 from capture_analytics.plans import sqltext as S
 from capture_analytics.plans.registry import query
-from capture_analytics.session import spread
 from capture_analytics.sources.views import view
 
 REWRITES = (
@@ -132,7 +131,7 @@ select page_id, case when regexp_matches({S.netloc('url')}, {_TRACKER}) then
     else {S.stripped('url')} end as resolved_url from [fetch_log]) r""")
 def listing_resolution(spark, folder):
     resolved = U.resolve_listing(*[F.col(c) for c in ("url", "status", "final_url", "body", "error")])
-    return spread(view(spark, folder, "fetch_log")).select(
+    return view(spark, folder, "fetch_log").select(
         "page_id", resolved.alias("resolved_url")).withColumn(
             "dropped", F.col("resolved_url").isNull())
 
@@ -186,9 +185,20 @@ def host_suffix_match(spark, folder):
     return dedup.match_domains(hosts, domains)
 
 
-@query("closest_hosts")
+# site lists are written by hand: hosts with a letter dropped, doubled or swapped, and short ones
+_LISTED = """select domain from (select replace(host, 'example', 'exmple') as domain from hosts
+    union select 'x' || host from hosts union select reverse(host) from hosts
+    union select substring(host, 1, 5) from hosts) d where domain <> ''"""
+
+
+@query("closest_hosts", f"""with hosts as (select distinct {S.bare_host('url')} as host from [pages]),
+listed as ({_LISTED}),
+near as (select host, domain, 1 - levenshtein(host, domain)::double
+    / greatest(length(host), length(domain)) as likeness from hosts cross join listed where host <> '')
+select host, domain, rank from (select *, row_number() over (
+    partition by host order by likeness desc, domain) as rank from near where likeness >= 0.6) r
+where rank <= 3""")
 def closest_hosts(spark, folder):
-    hosts = view(spark, folder, "pages").select(U.url_host(F.col("url")).alias("host"))
-    configured = ("thther.example.org", "blog.tion.example.net", "theres.example.com",
-                  "jobs.example.net", "careers.example.org", "unrelated.test")
-    return dedup.closest_domains(hosts, configured)
+    hosts = view(spark, folder, "pages").select(U.url_host(F.col("url")).alias("host")).distinct()
+    listed = spark.sql(_LISTED.replace("from hosts", "from {hosts}"), hosts=hosts)
+    return dedup.closest_domains(hosts, listed)

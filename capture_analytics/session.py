@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that hold at any scale. Partition counts are left to AQE: it starts from
@@ -19,6 +17,8 @@ TUNED = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # splits of a scan; work that is heavy per row, on html and long texts, wants many
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -43,33 +43,19 @@ def build_session(app_name: str = "capture-analytics", master: str | None = None
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame, gain: int = 4) -> DataFrame:
-    """Deal the rows of a plain scan out to all cores when it has too few files to use them.
-
-    Meant before work that is heavy per row, as on html and long texts: a small file is often
-    one row group and so one task. A scan with as many splits as cores, or more than a
-    `gain`-th of the cores in files, stays as it is; large inputs are never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df.rdd.getNumPartitions() < cores and len(df.inputFiles()) * gain <= cores
-    return df.repartition(cores) if few else df
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in `spark.checkpoint.dir`. Only a local session without that
-    setting gets a folder of its own; on a cluster a machine-local folder would lose the
-    checkpoint together with its executor, so that case is an error.
+    It is named in `spark.checkpoint.dir`, or was set on the context; where neither is, as in
+    tests, it lies in the warehouse, which the session's executors share. A machine-local folder
+    would lose the checkpoint together with its executor.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and context.getCheckpointDir():
         return context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="capture-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder

@@ -1,6 +1,5 @@
 """Joins and selections against plain Python."""
 
-import difflib
 import random
 
 from pyspark.sql import functions as F
@@ -85,9 +84,48 @@ def test_closest_domains(spark):
     domains = ["linkedin.com", "indeed.com", "lever.co", "greenhouse.io"]
     hosts = ["linkedln.com", "indeed.co", "zzz", "linkedin.com"]
     got = {}
-    for r in dedup.closest_domains(spark.createDataFrame([(h,) for h in hosts * 2], "host string"), domains).orderBy("host", "rank").collect():
+    wanted = spark.createDataFrame([(h,) for h in hosts * 2], "host string")
+    listed = spark.createDataFrame([(d,) for d in domains], "domain string")
+    for r in dedup.closest_domains(wanted, listed).orderBy("host", "rank").collect():
         got.setdefault(r.host, []).append(r.domain)
-    assert got == {h: m for h in hosts if (m := difflib.get_close_matches(h, domains, 3, 0.6))}
+    assert got == {"linkedln.com": ["linkedin.com"], "linkedin.com": ["linkedin.com"],
+                   "indeed.co": ["indeed.com"]}
+
+
+def test_closest_domains_miss_no_pair(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc.") for _ in range(rng.randint(1, 9)))
+    hosts, domains = sorted({word() for _ in range(60)}), sorted({word() for _ in range(40)})
+
+    expected = set()
+    for host in hosts:
+        near = sorted((-(1 - levenshtein(host, d) / max(len(host), len(d))), d) for d in domains)
+        expected |= {(host, d, k + 1) for k, (s, d) in enumerate(near[:3]) if -s >= 0.6}
+    found = dedup.closest_domains(spark.createDataFrame([(h,) for h in hosts], "host string"),
+                                  spark.createDataFrame([(d,) for d in domains], "domain string"))
+    assert {(r.host, r.domain, r.rank) for r in found.collect()} == expected
+
+
+def levenshtein(a, b):
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        now = [i + 1]
+        for j, y in enumerate(b):
+            now.append(min(before[j] + (x != y), before[j + 1] + 1, now[j] + 1))
+        before = now
+    return before[-1]
+
+
+def test_company_names_have_any_length(spark):
+    companies = spark.createDataFrame([
+        (3, "x" * 150 + " Acme " + "y" * 100), (5, "Al"), (6, "Alpha Beta"), (7, "beta"), (9, "Zed")],
+        "id int, name string")
+    names = spark.createDataFrame([(n,) for n in (
+        "acme", "AL", "a", "Beta", "alpha b", "zz", "y" * 101, "y" * 99, "pha b", "N/A", "zed")],
+        "name string")
+    got = {r.name: r.company_id for r in dedup.resolve_companies(names, companies).collect()}
+    assert got == {"acme": 3, "AL": 5, "a": 3, "Beta": 7, "alpha b": 6, "zz": None, "y" * 101: None,
+                   "y" * 99: 3, "pha b": 6, "zed": 9}
 
 
 def test_rewrite_by_profile_skips_bad_rules(spark):

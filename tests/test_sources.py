@@ -61,9 +61,12 @@ def test_a_repeated_batch_is_written_once(spark, tmp_path):
 
 def test_html_is_written_only_where_missing(spark):
     scrapes = spark.createDataFrame([(1, None), (2, "kept"), (3, "")], "scrape_id int, html string")
-    doms = spark.createDataFrame([(1, "d1"), (2, "d2"), (1, "d0")], "scrape_id int, dom string")
+    doms = spark.createDataFrame([(1, 5, "newest"), (2, 9, "other"), (1, 4, "older, yet larger")],
+                                 "scrape_id int, captured_at int, dom string")
     got = {r.scrape_id: r.html for r in sinks.html_if_empty(scrapes, doms).collect()}
-    assert got == {1: "d1", 2: "kept", 3: ""}
+    assert got == {1: "newest", 2: "kept", 3: ""}
+    cut = {r.scrape_id: r.html for r in sinks.html_if_empty(scrapes, doms, clip=3).collect()}
+    assert cut[1].startswith("new") and "newest" not in cut[1] and cut[2] == "kept"
 
 
 class _Session:
@@ -73,7 +76,7 @@ class _Session:
         self.conf, self.sparkContext = self, self
         self.master, self.settings, self.set_to = master, settings, None
 
-    def get(self, key, default):
+    def get(self, key, default=None):
         return self.settings.get(key, default)
 
     def getCheckpointDir(self):
@@ -86,6 +89,6 @@ class _Session:
 def test_checkpoint_folder_comes_from_the_session(spark):
     cluster = _Session("spark://x", **{"spark.checkpoint.dir": "/shared"})
     assert checkpoint_dir(cluster) == "/shared" == cluster.set_to
-    with pytest.raises(RuntimeError):
-        checkpoint_dir(_Session("spark://x"))
-    assert checkpoint_dir(spark) and checkpoint_dir(_Session("local[2]"))
+    alone = _Session("spark://x", **{"spark.sql.warehouse.dir": "hdfs://w/"})
+    assert checkpoint_dir(alone) == "hdfs://w/_checkpoints" == alone.set_to
+    assert checkpoint_dir(spark)

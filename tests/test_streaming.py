@@ -103,16 +103,17 @@ def test_score_stream(spark, sf, tmp_path):
     assert 0 < len(got) <= 7
 
 
-def test_trace_stream_drops_rows_without_scrape(spark, tmp_path):
+def test_trace_stream_keeps_loops_and_drops_rows_without_scrape(spark, tmp_path):
     schema = "scrape_id bigint, node string, t_start timestamp, routed_to string"
     df = spark.sql("""select * from values (1L, 'A', timestamp'2024-01-01', 'B'),
-        (1L, 'A', timestamp'2024-01-01', 'B'), (0L, 'A', timestamp'2024-01-01', 'B'),
+        (1L, 'A', timestamp'2024-01-01', 'C'), (1L, 'A', null, 'B'), (1L, 'A', null, 'C'), (0L, 'A', timestamp'2024-01-01', 'B'),
         (cast(null as bigint), 'A', timestamp'2024-01-01', 'B') as t(scrape_id, node, t_start, routed_to)""")
     path, out = str(tmp_path / "t"), str(tmp_path / "out")
     df.write.parquet(path)
     query = queues.trace_stream(queues.files(spark, path, schema), out, str(tmp_path / "cp"))
     assert query.awaitTermination(240)
-    assert spark.read.parquet(out).count() == 1
+    assert sorted((r.routed_to, r.t_start is None) for r in spark.read.parquet(out).collect()) == [
+        ("B", False), ("B", True), ("C", False), ("C", True)]
 
 
 def test_run_timeouts(spark, tmp_path):

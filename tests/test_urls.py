@@ -146,12 +146,13 @@ def test_tracker_hosts(spark):
     assert apply(spark, urls, U.is_known_tracker) == [True, False, True]
 
 
-def test_dead_marker_peeks(spark):
-    far = "x" * U.PEEK_BYTES + " job not found"
-    wide = "é" * (U.PEEK_BYTES // 2) + " job not found"
+def test_dead_marker_reads_all_unless_told(spark):
+    far = "x" * 17_000 + " job not found"
+    wide = "é" * 9_000 + " job not found"
     assert apply(spark, ["Job Not Found", "This position has been filled", "fine", None, far, wide],
-                 U.has_dead_marker) == [True, True, False, False, False, False]
-    assert apply(spark, [far], U.has_dead_marker, None) == [True]
+                 U.has_dead_marker) == [True, True, False, False, True, True]
+    assert apply(spark, [far, wide, "no page: page not found"], U.has_dead_marker, 16_384) == [
+        False, False, True]
 
 
 def test_resolve_listing(spark):
