@@ -6,16 +6,16 @@
 2. Recurring passages. Windows with a recurring anchor are confirmed by the hash of all their
    words; each confirmed window belongs to the smallest document that has it. Owners join their
    windows and cut their texts into passages: runs of owned windows.
-3. Automata. Passages are dealt into shards of bounded length. Of every document the segments whose
-   windows have an anchor of a passage, the only ones that can hold it, go to that passage's shard;
-   shards that many segments need get several blocks, each with the shard's passages. A task
-   compiles the 25-word phrases at every 25th word of the passages into an automaton (each window of
-   a passage holds one of them in full), streams the segments through it, and at each
-   occurrence confirms the windows around it.
+3. Automata. Passages are dealt into shards of bounded length by their owner. A document's windows are
+   joined with the confirmed ones, which tells the shards that own any of them; the parts of its
+   text that may recur go there. Shards that much text needs get several blocks, each with the
+   shard's passages. A task compiles the 25-word phrases at every 25th word of the passages into
+   an automaton (each window of a passage holds one of them in full), streams the parts through
+   it, and at each occurrence confirms the windows around it.
 4. The spans found in all shards are merged per document.
 
-A bit set of fixed size keeps documents without any recurring anchor from being shuffled; an
-exact join follows it everywhere, so it never decides a result.
+Bit sets of fixed size keep windows and documents that cannot recur from being shuffled; an exact
+aggregate or join follows everywhere, so they never decide a result.
 
 Cases: null and empty texts have no words; a window that recurs inside one document only stays;
 rows that repeat a doc_id do not remove each other's words, and each gets its result; a
@@ -44,6 +44,8 @@ PHRASE = 25
 # Characters of passages in a shard, and of the segments of a block.
 SHARD_CHARS = 1 << 20
 BLOCK_CHARS = 4 << 20
+# Bits of the set of recurring windows.
+WINDOW_BITS = 1 << 26
 SPANS = "array<struct<begin:int,end:int>>"
 
 
@@ -87,18 +89,27 @@ def anchor_rows(batches):
             pa.array(signed(found[fresh]))], ["doc_id", "anchor"])
 
 
+def candidates(words: Words, recurring, repeated=None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the windows that may recur, by the bit sets of anchors and of windows."""
+    starts = window_starts(words)
+    if not len(starts):
+        return starts, np.zeros(0, U)
+    starts = starts[recurring.has(anchors(words)[starts])]
+    hashes = rolling(words.hashes, WINDOW)[starts]
+    if repeated is not None:
+        keep = repeated.has(hashes)
+        starts, hashes = starts[keep], hashes[keep]
+    return starts, hashes
+
+
 def window_rows(get):
-    """doc_id, window: the hashes of the windows whose anchor may be recurring."""
+    """doc_id, window: the hashes of the windows that may recur."""
     def run(batches):
-        recurring = get()
+        sets = get()
         for ids, texts in pieces(batches):
             words = split(texts)
-            starts = window_starts(words)
-            found = anchors(words)[starts] if len(starts) else np.zeros(0, U)
-            keep = recurring.has(found)
-            starts, found = starts[keep], found[keep]
+            starts, hashes = candidates(words, *sets)
             doc = np.searchsorted(words.first, starts, side="right") - 1
-            hashes = rolling(words.hashes, WINDOW)[starts] if len(starts) else np.zeros(0, U)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.array(ids, object)[doc].astype(np.int64)), pa.array(signed(hashes))],
                 ["doc_id", "window"])
@@ -106,13 +117,13 @@ def window_rows(get):
 
 
 def passages(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """owner, text, found: the passages that owners' windows make up, with their anchors."""
+    """owner, text: the passages that owners' windows make up."""
     owned = windows.groupBy("owner").agg(F.collect_list("window").alias("windows"))
     owners = filtered_by_id(docs, bit_set(hashed_ids(windows, "owner")))
 
     def cut(batches):
         for batch in batches:
-            owner, out_owner, out_text, out_anchors = batch["doc_id"].to_pylist(), [], [], []
+            owner, out_owner, out_text = batch["doc_id"].to_pylist(), [], []
             texts, wanted = batch["text"].to_pylist(), batch["windows"]
             for i, text in enumerate(texts):
                 words = split([text])
@@ -124,20 +135,18 @@ def passages(docs: DataFrame, windows: DataFrame) -> DataFrame:
                 starts = starts[mine]
                 if not len(starts):
                     continue
-                found = anchors(words)
                 gaps = np.flatnonzero(np.diff(starts) > 1)
                 for a, b in zip(np.concatenate([[0], gaps + 1]),
                                 np.concatenate([gaps, [len(starts) - 1]])):
                     begin, end = words.starts[starts[a]], words.ends[starts[b] + WINDOW - 1]
                     out_owner.append(owner[i])
                     out_text.append(words.buffer[begin:end].decode())
-                    out_anchors.append(signed(np.unique(found[starts[a:b + 1]])))
             yield pa.RecordBatch.from_arrays([
-                pa.array(out_owner, pa.int64()), pa.array(out_text, pa.string()),
-                pa.array(out_anchors, pa.list_(pa.int64()))], ["owner", "text", "found"])
+                pa.array(out_owner, pa.int64()), pa.array(out_text, pa.string())],
+                ["owner", "text"])
     return owners.join(owned, owners["doc_id"] == owned["owner"]).select(
         "doc_id", "text", "windows").mapInArrow(
-        cut, "owner long, text string, found array<long>")
+        cut, "owner long, text string")
 
 
 class Automaton:
@@ -198,29 +207,29 @@ def merged(begins, ends) -> list[dict]:
     return out
 
 
-def segment_rows(batches):
-    """shard, doc_id, text_hash, begin, text: the parts of each document whose windows have an
-    anchor that a shard holds."""
+def segment_rows(get):
+    """shard, doc_id, text_hash, begin, text: the parts of each document that windows that may
+    recur make up, for each shard with an owner of its windows."""
     names = ("shard", "doc_id", "text_hash", "begin", "text")
-    for batch in batches:
-        out = []
-        for doc_id, text_hash, text, needs in zip(
-                batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist(),
-                batch["text"].to_pylist(), batch["needs"].to_pylist()):
-            words = split([text])
-            starts = window_starts(words)
-            if not len(starts):
-                continue
-            found = signed(anchors(words)[starts])
-            for need in needs:
-                own = starts[np.isin(found, np.array(need["held"], np.int64))]
-                for span in merged(own, own + WINDOW):
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+
+    def run(batches):
+        sets = get()
+        for batch in batches:
+            out = []
+            for doc_id, text_hash, text, shards in zip(
+                    batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist(),
+                    batch["text"].to_pylist(), batch["shards"].to_pylist()):
+                words = split([text])
+                starts, _ = candidates(words, *sets)
+                for span in merged(starts, starts + WINDOW):
                     part = words.buffer[words.starts[span["begin"]]:words.ends[span["end"] - 1]]
-                    out.append((need["shard"], doc_id, text_hash, span["begin"], part.decode()))
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-        columns = list(zip(*out)) or [[]] * len(names)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], list(names))
+                    out.extend((shard, doc_id, text_hash, span["begin"], part.decode())
+                               for shard in shards)
+            columns = list(zip(*out)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], list(names))
+    return run
 
 
 def stream(batches):
@@ -260,30 +269,29 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     plain = id_and_text(docs).where(F.col("doc_id").isNotNull())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = written(plain.mapInArrow(anchor_rows, "doc_id long, anchor long"))
-    recurring = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias(
-        "b")).where("a <> b").select("anchor")
-    may_recur = shared(spark, bit_set(recurring.withColumnRenamed("anchor", "h")))
-    windows = written(plain.mapInArrow(window_rows(may_recur), "doc_id long, window long").groupBy(
-        "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where(
+    found = plain.mapInArrow(anchor_rows, "doc_id long, anchor long")
+    recurring = bit_set(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max(
+        "doc_id").alias("b")).where("a <> b").select(F.col("anchor").alias("h")))
+    rows, get = "doc_id long, window long", shared(spark, (recurring,))
+    windows = written(plain.mapInArrow(window_rows(get), rows).groupBy("window").agg(
+        F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where(
         "owner <> last").select("window", "owner"))
-    own = passages(plain, windows)
-    kept = written(own)
+    kept = written(passages(plain, windows))
     chars = kept.agg(F.sum(F.length("text"))).first()[0]
     if not chars:
         return spark.createDataFrame([], f"doc_id long, text_hash long, spans {SPANS}")
     shard = F.pmod(F.xxhash64("owner"), F.lit(-(-chars // SHARD_CHARS))).cast("int")
     kept = kept.withColumn("shard", shard)
-    wanted = kept.select(F.explode("found").alias("wanted"), "shard", "owner").groupBy(
-        "wanted", "shard").agg(F.min("owner").alias("least"))
-    need = written(found.join(wanted, (F.col("anchor") == F.col("wanted")) & (
-        F.col("doc_id") > F.col("least"))).groupBy(F.col("doc_id").alias("id"), "shard").agg(
-        F.collect_set("anchor").alias("held")).groupBy("id").agg(
-        F.collect_list(F.struct("shard", "held")).alias("needs")))
-    candidates = filtered_by_id(plain, bit_set(hashed_ids(need, "id")))
-    segments = written(candidates.join(need, F.col("doc_id") == F.col("id")).select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), "text", "needs").mapInArrow(
-        segment_rows, "shard int, doc_id long, text_hash long, begin int, text string"))
+    repeated = bit_set(windows.select(F.col("window").alias("h")), WINDOW_BITS)
+    get = shared(spark, (recurring, repeated))
+    owned = windows.select(F.col("window").alias("known"), "owner", shard.alias("shard"))
+    need = written(plain.mapInArrow(window_rows(get), rows).join(
+        owned, (F.col("window") == F.col("known")) & (F.col("doc_id") > F.col("owner"))).groupBy(
+        F.col("doc_id").alias("id")).agg(F.collect_set("shard").alias("shards")))
+    asking = filtered_by_id(plain, bit_set(hashed_ids(need, "id")))
+    segments = written(asking.join(need, F.col("doc_id") == F.col("id")).select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), "text", "shards").mapInArrow(
+        segment_rows(get), "shard int, doc_id long, text_hash long, begin int, text string"))
     sizes = segments.groupBy(F.col("shard").alias("of")).agg(
         F.ceil(F.sum(F.length("text")) / BLOCK_CHARS).cast("int").alias("blocks"))
     asked = segments.join(sizes, F.col("shard") == F.col("of")).select(
