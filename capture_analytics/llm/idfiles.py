@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from capture_analytics.llm.pretokens import pretokens
+from capture_analytics.llm.pretokens import split_texts
 from capture_analytics.llm.tables import documents, id_and_text, new_folder, pieces, shared
 from capture_analytics.llm.tokens import U, mix
 
@@ -43,7 +43,7 @@ END = 2
 # Bits of a level for each key that is left.
 GAMMA = 2
 # Distinct pre-tokens whose ids a task remembers.
-REMEMBER = 300_000
+REMEMBER = 500_000
 MANIFEST = "shard long, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -155,27 +155,44 @@ class Shard:
         return out
 
 
-class Encoder:
-    """Ids of texts by the tokenizers library. A pre-token is encoded once while it is remembered;
-    the library splits at the same places, so the ids are those of the whole text."""
+class Encoder(dict):
+    """Ids of texts by the tokenizers library; as a dict, the ids of the pre-tokens met so far. The
+    library's model encodes each pre-token as it does within a whole text; a text that is left whole
+    goes to the tokenizer."""
 
     def __init__(self, definition: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        self.packed = [i.to_bytes(self.width, "little") for i in range(size)]
+        self.tokens = self.tokenizer.model.tokenize
+        # the model knows bytes by printable characters: the shifted ones are those that are not
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        shifted = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(0x100 + k) for k, b in enumerate(shifted)}
+        self.blank = self.alphabet[0x20]
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            spelled = word.replace(" ", self.blank)
+        else:
+            spelled = word.encode().decode("latin-1").translate(self.alphabet)
+        self[word] = ids = b"".join([self.packed[t.id] for t in self.tokens(spelled)])
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, little-endian, in the width of the vocabulary."""
-        words, first = pretokens(texts)
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        fresh = list(set(words).difference(self.known))
-        for word, found in zip(fresh, self.tokenizer.encode_batch_fast(
-                fresh, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, f"<u{self.width}").tobytes()
-        ids = list(map(self.known.__getitem__, words))
+        words, first, whole = split_texts(texts)
+        if len(self) > REMEMBER:
+            self.clear()
+        for k in whole:
+            for word in words[first[k]:first[k + 1]]:
+                self[word] = b"".join([self.packed[i] for i in self.tokenizer.encode(
+                    word, add_special_tokens=False).ids])
+        ids = list(map(self.__getitem__, words))
         return [b"".join(ids[a:b]) for a, b in zip(first[:-1], first[1:])]
 
 

@@ -49,11 +49,16 @@ CLASSES = Classes()
 
 def pretokens(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """All pre-tokens in order, and the number of the first one of each text, with the total."""
+    return split_texts(texts)[:2]
+
+
+def split_texts(texts: list[str | None]) -> tuple[list[str], np.ndarray, list[int]]:
+    """`pretokens`, and the numbers of the texts that are left whole."""
     texts = [t or "" for t in texts]
     joined = "".join(texts)
     begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
     if not joined:
-        return [], np.zeros(len(texts) + 1, np.int64)
+        return [], np.zeros(len(texts) + 1, np.int64), []
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     kind = CLASSES.of(codes)
     n = len(codes)
@@ -81,10 +86,12 @@ def pretokens(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         start[inside] = False
         after = quote + length
         start[after[after < n]] = True
+    whole = []
     if (kind == UNSURE).any():
-        for i in np.unique(np.searchsorted(begins, np.flatnonzero(kind == UNSURE), "right") - 1):
+        whole = np.unique(np.searchsorted(begins, np.flatnonzero(kind == UNSURE), "right") - 1).tolist()
+        for i in whole:
             start[begins[i] + 1:begins[i + 1]] = False
-    return cut(joined, codes, start), np.searchsorted(np.flatnonzero(start), begins)
+    return cut(joined, codes, start), np.searchsorted(np.flatnonzero(start), begins), whole
 
 
 def cut(joined: str, codes: np.ndarray, start: np.ndarray) -> list[str]:
