@@ -7,7 +7,10 @@ targets need no Python. Only selector matching needs a tree; see `operators.page
 
 from __future__ import annotations
 
+import html as standard
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,13 +21,14 @@ from capture_analytics.functions.urls import absolute_url
 
 # ---- fixed values ---------------------------------------------------------------
 
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 HIDDEN = ("script", "style", "head", "noscript", "template")
 INLINE = ("a", "abbr", "b", "bdi", "cite", "code", "em", "font", "i", "kbd", "label", "mark", "q",
           "s", "small", "span", "strong", "sub", "sup", "u", "var")
 CANDIDATE_TEXT = 100
-DATA_VALUE = 32
+# elements without content, and those that a further opening tag of the same name ends
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track",
+        "wbr")
+UNNESTED = ("a", "button")
 INPUT_TYPES = ("button", "checkbox", "color", "date", "datetime-local", "email", "file", "hidden",
                "image", "month", "number", "password", "radio", "range", "reset", "search",
                "submit", "tel", "text", "time", "url", "week")
@@ -41,10 +45,32 @@ _TAG = r"</?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[/!?A-Za-z][^>]*+>"
 _OPENING = rf"(?is)^<[A-Za-z][A-Za-z0-9]*{_ATTRS}/?>"
 
 
+# a character reference; names are looked up in the standard table, which also says which of them
+# need no semicolon
+_REFERENCE = r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});?"
+_NAMED = json.dumps({**html5, **{  # numbers that stand for other characters than their own
+    f"#{i}": standard.unescape(f"&#{i};") for i in (0, *range(0x80, 0xA0))}})
+
+
+def _character(reference: Column) -> Column:
+    """The characters of one reference; of an unknown name, the reference itself."""
+    name = F.substr(reference, F.lit(2))
+    digits = F.rtrim(name, F.lit(";"))
+    number = F.when(digits.rlike("^#[xX]"), F.conv(F.substr(digits, F.lit(3)), 16, 10)).when(
+        digits.startswith("#"), F.substr(digits, F.lit(2))).cast("bigint")
+    known = F.from_json(F.lit(_NAMED), "map<string,string>")
+    numbered = F.when((number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("\ufffd")).otherwise(
+        F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    return F.when(number.isNull(), F.coalesce(F.try_element_at(known, name), reference)).otherwise(
+        F.coalesce(F.try_element_at(known, F.concat(F.lit("#"), number.cast("string"))), numbered))
+
+
 def decode_entities(text: Column) -> Column:
-    decoded = text
-    for name, char in ENTITIES:
-        decoded = F.replace(decoded, F.lit(name), F.lit(char))
+    """Text with its character references, by name and by number, replaced once."""
+    between = F.split(text, _REFERENCE, -1)
+    found = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    decoded = F.array_join(F.zip_with(between, found, lambda t, r: F.concat(
+        t, F.coalesce(_character(r), F.lit("")))), "")
     return F.when(text.contains("&"), decoded).otherwise(text)
 
 
@@ -101,42 +127,61 @@ def open_tags(html: Column, tags: str) -> Column:
         attributes(F.regexp_extract(t, rf"(?is)^<[A-Za-z][A-Za-z0-9]*{_ATTRS}/?>$", 1)).alias("attrs")))
 
 
+def _content(tag: Column, rest: Column) -> Column:
+    """What lies in an element, given all html behind its opening tag.
+
+    A link or button ends where the next of its kind opens or closes. Of other elements the tags
+    of the same name are counted until the one that closes it; one never closed takes the rest.
+    """
+    def nested(parts: Column) -> Column:
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken"))
+
+        def step(s: Column, part: Column) -> Column:
+            closes = part.startswith("</")
+            inside = F.when(s["taken"] == 0, s["depth"]).otherwise(
+                s["depth"] + F.when(closes, -1).otherwise(1))
+            ended = (s["depth"] == 0) | (inside == 0)
+            return F.struct(F.when(ended, F.lit(0)).otherwise(inside).alias("depth"),
+                            (s["taken"] + F.when(ended, 0).otherwise(1)).alias("taken"))
+        # a blank in front: the first part is text
+        return F.array_join(F.slice(parts, 1, F.aggregate(parts, start, step)["taken"]), "")
+
+    ends = F.lit(None).cast("string")
+    for name in UNNESTED:
+        ends = F.when(tag == name, F.try_element_at(
+            F.split(rest, rf"(?i)</?{name}(?=[\s/>])", 2), F.lit(1))).otherwise(ends)
+    by_depth = let(F.split(F.concat(F.lit(" "), rest), F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])"))), nested)
+    return F.when(tag.isin(*VOID), F.lit("")).when(tag.isin(*UNNESTED), ends).otherwise(by_depth)
+
+
 def interactive_elements(html: Column) -> Column:
     """Links, buttons and elements with the button role, as `(tag, attrs, text)`.
 
-    The page is cut in front of every such opening tag. An element whose closing tag lies
-    behind the next cut (a button inside a link) takes its text from both pieces.
+    The page is cut in front of every such opening tag. The text of an element is all that lies
+    between its tag and the one that closes it, other elements included.
     """
     cut = (r"(?is)(?=<(?:(?:a|button)[\s>]"
            r"|[a-z][a-z0-9]*+\s[^>]*\brole\s*=\s*[\"']?button\b))")
 
-    # Three steps, each an array of its own: what a step binds is computed once per element.
+    # Two steps, each an array of its own: what a step binds is computed once per element.
     def piece(chunks: Column) -> Callable[[Column, Column], Column]:
         return lambda chunk, i: F.struct(
             F.lower(F.regexp_extract(chunk, r"^<([A-Za-z][A-Za-z0-9]*)", 1)).alias("tag"),
-            F.regexp_extract(chunk, _OPENING, 0).alias("opening"), chunk.alias("source"),
-            filled(F.try_element_at(chunks, i + 2)).alias("following"))
-
-    def body(e: Column) -> Column:
-        close = F.concat(F.lit("</"), e["tag"])
-        own = F.substr(e["source"], F.length(e["opening"]) + 1)
-        nested = ~F.lower(F.left(e["following"], F.length(e["tag"]) + 1)).eqNullSafe(
-            F.concat(F.lit("<"), e["tag"]))
-        return F.struct(
-            e["tag"], e["opening"], close.alias("close"),
-            F.when(F.lower(own).contains(close) | ~nested, own)
-            .otherwise(F.concat(own, e["following"])).alias("body"))
+            F.regexp_extract(chunk, _OPENING, 0).alias("opening"), i.alias("at"))
 
-    def element(e: Column) -> Column:
-        end = F.instr(F.lower(e["body"]), e["close"])
-        return F.struct(
-            e["tag"], attributes(F.regexp_extract(e["opening"], _OPENING, 1)).alias("attrs"),
-            plain_text(F.when(end > 0, F.left(e["body"], end - 1)).otherwise(e["body"])).alias("text"))
+    def element(chunks: Column) -> Callable[[Column], Column]:
+        def read(e: Column) -> Column:
+            whole = F.array_join(F.slice(chunks, e["at"] + 1, F.size(chunks)), "")
+            rest = F.substr(whole, F.length(e["opening"]) + 1)
+            return F.struct(
+                e["tag"], attributes(F.regexp_extract(e["opening"], _OPENING, 1)).alias("attrs"),
+                plain_text(let(rest, lambda r: _content(e["tag"], r))).alias("text"))
+        return read
 
     def steps(chunks: Column) -> Column:
         # the first chunk is what lies before the first cut; it is no element of its own
         pieces = F.filter(F.transform(chunks, piece(chunks)), lambda e: e["opening"] != "")
-        return F.filter(F.transform(F.transform(pieces, body), element),
+        return F.filter(F.transform(pieces, element(chunks)),
                         lambda e: e["tag"].isin("a", "button")
                         | (F.coalesce(attribute(e["attrs"], "role"), F.lit("")) == "button"))
 
@@ -189,7 +234,7 @@ def _applyish(text: Column) -> Column:
 
 
 def element_selector(tag: Column, attrs: Column) -> Column:
-    """Short selector of an element: its id, else tag, three classes and two data values."""
+    """Short selector of an element: its id, else tag, three classes and two data values, whole."""
     ident = attribute(attrs, "id")
     word = r"^[A-Za-z][A-Za-z0-9_-]*$"
     classes = F.slice(F.filter(F.split(filled(attribute(attrs, "class")), r"\s+"),
@@ -199,15 +244,14 @@ def element_selector(tag: Column, attrs: Column) -> Column:
         tag,
         F.array_join(F.transform(classes, lambda c: F.concat(F.lit("."), c)), ""),
         F.array_join(F.transform(data, lambda a: F.concat(
-            F.lit("["), a["name"], F.lit('="'), F.left(a["value"], F.lit(DATA_VALUE)),
-            F.lit('"]'))), "")))
+            F.lit("["), a["name"], F.lit('="'), a["value"], F.lit('"]'))), "")))
 
 
 def apply_candidates(html: Column, base: Column) -> Column:
     """Elements that look like an apply target, links first, with score and reason."""
     def seen(e: Column, href: Column | None) -> Column:
         return F.struct(
-            e["tag"], e["attrs"], F.left(e["text"], F.lit(CANDIDATE_TEXT)).alias("text"),
+            e["tag"], e["attrs"], e["text"],
             (href if href is not None else F.lit(None).cast("string")).alias("href"),
             attribute(e["attrs"], "aria-label").alias("aria"))
 
@@ -224,7 +268,8 @@ def apply_candidates(html: Column, base: Column) -> Column:
         reasons = F.array_compact(F.array(*[F.when(hit, F.lit(why)) for _, why, hit in rules]))
         return F.struct(
             element_selector(s["tag"], s["attrs"]).alias("selector"),
-            F.when(s["href"].startswith("http"), s["href"]).alias("href"), s["text"], s["tag"],
+            F.when(s["href"].startswith("http"), s["href"]).alias("href"),
+            F.left(s["text"], F.lit(CANDIDATE_TEXT)).alias("text"), s["tag"],
             F.round(F.least(score, F.lit(1.0)), 2).alias("score"),
             F.array_join(reasons, " AND ").alias("reason"))
 

@@ -57,10 +57,9 @@ def _values(column: Column) -> Column:
 
 # ---- links, candidates ------------------------------------------------------------
 
-def ranked_candidates(pages: DataFrame, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
-    """Apply candidates of every page, best score first, equal scores in page order.
-
-    The candidates of a page stay in one array until the cut, so nothing is shuffled.
+def ranked_candidates(pages: DataFrame, max_candidates: int | None = None) -> DataFrame:
+    """Apply candidates of every page, best score first, equal scores in page order; all of
+    them, or the first `max_candidates`. They stay in one array, so nothing is shuffled.
     """
     def order(left: Column, right: Column) -> Column:
         return F.when(left["score"] != right["score"],
@@ -70,8 +69,11 @@ def ranked_candidates(pages: DataFrame, max_candidates: int = MAX_CANDIDATES) ->
     found = F.transform(apply_candidates(F.col("html"), F.col("url")), lambda c, i: F.struct(
         i.alias("at"), c["score"].alias("score"), c.alias("candidate")))
     usable = F.filter(found, lambda c: c["candidate"]["selector"] != "")
-    return pages.select("page_id", url_host(F.col("url")).alias("host"), F.posexplode(F.slice(
-        F.array_sort(usable, order), 1, max_candidates)).alias("_at", "_c")).select(
+    ranked = F.array_sort(usable, order)
+    if max_candidates is not None:
+        ranked = F.slice(ranked, 1, max_candidates)
+    return pages.select("page_id", url_host(F.col("url")).alias("host"),
+                        F.posexplode(ranked).alias("_at", "_c")).select(
             "page_id", "host", (F.col("_at") + 1).cast("bigint").alias("rank"), "_c.candidate.*")
 
 

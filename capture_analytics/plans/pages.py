@@ -18,8 +18,17 @@ def _rows(spark, folder, name):
     return view(spark, folder, name)
 
 
+# references as they come in the pages, and some by name and number that the views below add
+_REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+               ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&eacute;", "é"), ("&#233;", "é"),
+               ("&Eacute;", "É"), ("&#8211;", "–"), ("&#x27;", "'"), ("&rsquo;", "’"), ("&#150;", "–"),
+               ("&#x1F600;", "😀"), ("&#55296;", "\ufffd"), ("&amp;", "&"))
+_WITH_REFERENCES = """replace(replace(html, '<title>', '<title>&Eacute;t&#233; &#150; '), '<article>',
+    '<article><p>caf&eacute; &#8211; we&#x27;re &rsquo;logging&rsquo; &amp;lt; &unknown; A&B &#55296; &#x1F600;</p>')"""
+
+
 def _decoded(text: str) -> str:
-    for name, char in H.ENTITIES:
+    for name, char in _REFERENCES:
         text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     return text
 
@@ -39,15 +48,17 @@ _TITLE = _squeezed(_decoded("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</ti
 
 
 @query("page_text", f"select page_id, content, {S.words('content')} as words from ("
-                    f"select page_id, {_visible('html')} as content from [pages]) t")
+                    f"select page_id, {_visible(_WITH_REFERENCES)} as content from [pages]) t")
 def page_text(spark, folder):
-    return ops.page_scan(_rows(spark, folder, "pages")).select(
+    pages = _rows(spark, folder, "pages").withColumn("html", F.expr(_WITH_REFERENCES))
+    return ops.page_scan(pages).select(
         "page_id", "content", word_count(F.col("content")).alias("words"))
 
 
-@query("page_title", f"select page_id, {_TITLE} as title from [pages]")
+@query("page_title", f"select page_id, {_TITLE} as title from (select page_id, {_WITH_REFERENCES} as html from [pages]) t")
 def page_title(spark, folder):
-    return _rows(spark, folder, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
+    return _rows(spark, folder, "pages").select(
+        "page_id", H.page_title(F.expr(_WITH_REFERENCES)).alias("title"))
 
 
 _LINKS = """select page_id, url, html, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*')) as tag,

@@ -42,10 +42,10 @@ DIALECT = {
 }
 
 _APPLY_SNIPPETS = """case page_id % 5
-    when 0 then '<a class="apply-link btn" id="apply-now" href="/apply/' || page_id || '">Apply now</a>'
-    when 1 then '<button class="apply-btn big" data-job="' || page_id || '" aria-label="Apply">Apply</button><button class="show-more-less-html__button">Show more</button><button>Read more</button>'
-    when 2 then '<div role="button" class="jobs-apply">Apply with profile</div><form><input name="email" placeholder="mail"><input type="password" id="pw"><button type="submit" aria-label="Sign in">Go</button></form>'
-    when 3 then '<a href="https://boards.example.org/apply?job=' || page_id || '" aria-label="Apply for job">Go</a><h1 class="job-title">Job ' || page_id || '</h1><div class="company-name">Acme</div>'
+    when 0 then '<a class="apply-link btn" id="apply-now" href="/apply/' || page_id || '"><span>Appl&#121;</span> <b>n<i>&#x6F;w</i></b></a>'
+    when 1 then '<button class="apply-btn big" data-job="' || page_id || '" aria-label="Apply"><i class="icon"></i><span>Apply</span></button><button class="show-more-less-html__button">Show more</button><button>Read more</button>'
+    when 2 then '<div role="button" class="jobs-apply"><div>Apply</div> with <div><div>profile</div></div></div><form><input name="email" placeholder="mail"><input type="password" id="pw"><button type="submit" aria-label="Sign in">Go</button></form>'
+    when 3 then '<a href="https://boards.example.org/apply?job=' || page_id || '" aria-label="Apply for job"><div>Go</div></a><h1 class="job-title">Job ' || page_id || '</h1><div class="company-name">Acme</div>'
     else '<div class="captcha-box">blocked</div><div class="job-description"><p>About</p></div><span class="salary-range">10</span>'
     end"""
 

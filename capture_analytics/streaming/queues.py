@@ -42,7 +42,7 @@ def _trigger(interval: str | None) -> dict:
 
 def hold_stream(scrapes: DataFrame, profiles: Callable[[], DataFrame], out: str, checkpoint: str,
                 interval: str | None = HOLD_INTERVAL) -> StreamingQuery:
-    """Dispatch captures on hold as they arrive, in id order within a batch.
+    """Dispatch captures on hold as they arrive; each written file of a batch is in id order.
 
     Profiles are read anew for every batch, they change while the stream runs. Without an
     interval the stream works off what is there and stops.
@@ -79,8 +79,10 @@ def trace_stream(transitions: DataFrame, out: str, checkpoint: str,
             .option("checkpointLocation", checkpoint).trigger(**_trigger(interval)).start())
 
 
-def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
-    """Stream of the parquet files of a folder. `per_trigger` bounds the files of a
-    micro-batch, and with them the rows of one key that state handles at a time."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
-            .parquet(path))
+def files(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None,
+          bytes_per_trigger: int = 1 << 30) -> DataFrame:
+    """Stream of the parquet files of a folder. The bytes of a micro-batch are bounded, and with
+    them the rows of one key that state handles at a time; or the number of files, if given."""
+    limit = (("maxBytesPerTrigger", bytes_per_trigger) if per_trigger is None
+             else ("maxFilesPerTrigger", per_trigger))
+    return spark.readStream.schema(schema).option(*limit).parquet(path)

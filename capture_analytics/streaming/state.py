@@ -1,7 +1,9 @@
 """Keyed state over streams: selector probation, chat turns and run time limits.
 
-The state of a key is small and lives in RocksDB. Rows of a key arrive unordered within
-a micro-batch and are sorted there by their own order column.
+The state of a key is small, lives in RocksDB and ends: with the turn or run it belongs to, or, if that
+end never comes, after a time to live. Rows of a key arrive unordered within a micro-batch and are
+sorted there by their own order column; of each only the columns that the state needs are kept,
+and `queues.files` bounds the bytes of a micro-batch.
 """
 
 from __future__ import annotations
@@ -17,12 +19,23 @@ from capture_analytics.operators.profiles import PROBATION
 from capture_analytics.operators.traces import LINK_SECONDS, RUN_CAP_SECONDS
 
 PROBATION_OUT = "host string, event_id bigint, graduated string, candidate string, matches int"
-CHAT_OUT = "conv_id bigint, turn bigint, kind string, value string, tokens bigint, requests bigint"
+USAGE = ("request_tokens", "response_tokens", "total_tokens", "requests")
+CHAT_OUT = "conv_id bigint, turn bigint, kind string, value string, " + ", ".join(
+    f"{c} bigint" for c in USAGE)
+# How long state is kept for a turn that never ends, and a mark for rows after a run's end.
+TURN_TTL_SECONDS = 86_400.0
+DONE_TTL_SECONDS = 3_600.0
 TIMEOUT_OUT = "scrape_id bigint, outcome string, note string"
 
 
-def _in_order(batches: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(list(columns), kind="stable")
+def _in_order(batches: Iterator[pd.DataFrame], order: list[str], columns: list[str]) -> pd.DataFrame:
+    """The needed columns of a key's rows in a micro-batch, sorted."""
+    narrow = [batch[[*order, *columns]] for batch in batches]
+    return pd.concat(narrow).sort_values(order, kind="stable")
+
+
+def _whole(value) -> int:
+    return 0 if pd.isna(value) else int(value)
 
 
 class Probation(StatefulProcessor):
@@ -34,7 +47,7 @@ class Probation(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         graduated, candidate, matches = self.state.get() if self.state.exists() else (None, None, None)
         changes = []
-        for row in _in_order(rows, "ts", "event_id").itertuples():
+        for row in _in_order(rows, ["ts", "event_id"], ["selector", "demote"]).itertuples():
             before = (graduated, candidate, matches)
             if row.demote:
                 if graduated:
@@ -65,18 +78,23 @@ class ChatTurn(StatefulProcessor):
     """Text, tool names and reloads of a chat turn.
 
     A reload goes out once per resource, when a result of a changing tool arrives. The end
-    of the turn sends the text and the usage totals and forgets the turn.
+    of the turn sends the text and the usage totals of its passes and forgets the turn; a turn
+    that gets no more rows is forgotten after the time to live.
     """
 
+    def __init__(self, ttl_s: float):
+        self.ttl_ms = int(ttl_s * 1000)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.text = handle.getValueState("text", "text string, tokens bigint, requests bigint")
-        self.tools = handle.getMapState("tools", "call_id string", "tool string")
-        self.reloaded = handle.getMapState("reloaded", "resource string", "seen boolean")
+        fields = ", ".join(f"{c} bigint" for c in USAGE)
+        self.text = handle.getValueState("text", f"text string, {fields}", self.ttl_ms)
+        self.tools = handle.getMapState("tools", "call_id string", "tool string", self.ttl_ms)
+        self.reloaded = handle.getMapState("reloaded", "resource string", "seen boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        text, tokens, requests = self.text.get() if self.text.exists() else ("", 0, 0)
+        text, *used = self.text.get() if self.text.exists() else ("", 0, 0, 0, 0)
         pieces, out, ended = [text], [], False
-        for row in _in_order(rows, "seq").itertuples():
+        for row in _in_order(rows, ["seq"], ["type", "delta", "call_id", "tool", *USAGE]).itertuples():
             if row.type == "TEXT_MESSAGE_CONTENT":
                 pieces.append(row.delta or "")
             elif row.type == "TOOL_CALL_START" and row.call_id and row.tool:
@@ -85,73 +103,85 @@ class ChatTurn(StatefulProcessor):
                 resource = TOOL_RELOADS.get(self.tools.getValue((row.call_id,))[0])
                 if resource and not self.reloaded.containsKey((resource,)):
                     self.reloaded.updateValue((resource,), (True,))
-                    out.append((*key, "reload", resource, None, None))
+                    out.append((*key, "reload", resource, None, None, None, None))
             elif row.type == "USAGE":
-                tokens += 0 if pd.isna(row.tokens) else int(row.tokens)
-                requests += 1
+                used = [a + _whole(getattr(row, c)) for a, c in zip(used, USAGE)]
             elif row.type == "RUN_FINISHED":
                 ended = True
         if ended:
-            out.append((*key, "turn", "".join(pieces), tokens, requests))
+            out.append((*key, "turn", "".join(pieces), *used))
             self.text.clear()
             self.tools.clear()
             self.reloaded.clear()
         else:
-            self.text.update(("".join(pieces), tokens, requests))
+            self.text.update(("".join(pieces), *used))
         if out:
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "kind", "value", "tokens", "requests"]
-                               ).astype({"tokens": "Int64", "requests": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "turn", "kind", "value", *USAGE]
+                               ).astype({c: "Int64" for c in USAGE})
 
     def close(self) -> None:
         pass
 
 
-def chat_stream(events: DataFrame) -> DataFrame:
+def chat_stream(events: DataFrame, ttl_s: float = TURN_TTL_SECONDS) -> DataFrame:
     """Reloads and finished turns of a chat event stream (`conv_id`, `turn`, `seq`, `type`,
-    `delta`, `call_id`, `tool`, `tokens`)."""
+    `delta`, `call_id`, `tool`, and the usage of a pass: `request_tokens`, `response_tokens`,
+    `total_tokens`, `requests`)."""
     return events.groupBy("conv_id", "turn").transformWithStateInPandas(
-        ChatTurn(), CHAT_OUT, "append", "none")
+        ChatTurn(ttl_s), CHAT_OUT, "append", "processingTime")
 
 
 class RunLimit(StatefulProcessor):
-    """A run that does not finish in time fails; a finished one must get its post in time."""
+    """A run that does not finish in time fails; a finished one must get its post in time.
+
+    The post id may come with any row of the run, so it is kept. The end of a run clears its
+    state; a mark that lives for a while keeps late rows from opening the run again.
+    """
 
-    def __init__(self, cap_s: float, link_s: float):
+    def __init__(self, cap_s: float, link_s: float, done_ttl_s: float):
         self.cap_ms, self.link_ms = int(cap_s * 1000), int(link_s * 1000)
+        self.done_ttl_ms = int(done_ttl_s * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("run", "phase string")
+        self.state = handle.getValueState("run", "phase string, linked boolean")
+        self.done = handle.getValueState("done", "outcome string", self.done_ttl_ms)
 
-    def _arm(self, phase: str, due_ms: int) -> None:
+    def _disarm(self) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.state.update((phase,))
-        self.handle.registerTimer(due_ms)
 
     def _finish(self, key, outcome: str, note: str) -> pd.DataFrame:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.state.update(("done",))
+        self._disarm()
+        self.state.clear()
+        self.done.update((outcome,))
         return pd.DataFrame([(key[0], outcome, note)], columns=["scrape_id", "outcome", "note"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        phase = self.state.get()[0] if self.state.exists() else None
-        if phase == "done":
+        if self.done.exists():
             for _ in rows:
                 pass
             return
-        ordered = _in_order(rows, "seq")
-        last, now = ordered.iloc[-1], timerValues.getCurrentProcessingTimeInMs()
-        linked = ordered["job_post_id"].notna().any()
+        phase, linked = self.state.get() if self.state.exists() else (None, False)
+        # of the rows only the last status and whether any has a post matter
+        last = None
+        for batch in rows:
+            linked = linked or bool(batch["job_post_id"].notna().any())
+            newest = batch.loc[batch["seq"].idxmax()]
+            if last is None or newest["seq"] > last["seq"]:
+                last = newest
+        now = timerValues.getCurrentProcessingTimeInMs()
+        completed = last["status"] == "completed" or phase == "linking"
         if last["status"] == "failed":
             yield self._finish(key, "failed", "run failed")
-        elif last["status"] == "completed" and linked:
+        elif completed and linked:
             yield self._finish(key, "linked", "completed")
-        elif last["status"] == "completed" and phase != "linking":
-            self._arm("linking", now + self.link_ms)
-        elif phase is None:
-            self._arm("running", now + self.cap_ms)
+        else:
+            entered = "linking" if completed else "running"
+            self.state.update((entered, linked))
+            if phase != entered:
+                self._disarm()
+                self.handle.registerTimer(now + (self.link_ms if completed else self.cap_ms))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         phase = self.state.get()[0] if self.state.exists() else None
@@ -165,8 +195,8 @@ class RunLimit(StatefulProcessor):
 
 
 def run_timeouts(statuses: DataFrame, cap_s: float = RUN_CAP_SECONDS,
-                 link_s: float = LINK_SECONDS) -> DataFrame:
+                 link_s: float = LINK_SECONDS, done_ttl_s: float = DONE_TTL_SECONDS) -> DataFrame:
     """Terminal outcome per run from its status stream (`scrape_id`, `seq`, `status`,
     `job_post_id`), on processing time."""
     return statuses.groupBy("scrape_id").transformWithStateInPandas(
-        RunLimit(cap_s, link_s), TIMEOUT_OUT, "append", "processingTime")
+        RunLimit(cap_s, link_s, done_ttl_s), TIMEOUT_OUT, "append", "processingTime")

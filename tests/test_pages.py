@@ -1,10 +1,13 @@
 """Html functions, selector matching and capture rules on small pages."""
 
+import html as standard
+
 import pytest
 from pyspark.sql import functions as F
 
 from capture_analytics.functions import html as H
 from capture_analytics.functions.selectors import match_selectors
+from capture_analytics.functions.text import login_wall
 from capture_analytics.operators import pages as ops
 
 PAGE = """<!DOCTYPE html><html><head><title> A &amp; B
@@ -39,6 +42,50 @@ def test_links(page):
         ("Jobs now", "https://e.com/jobs"), ("Up", "https://e.com/d/up"), ("Acme", "https://acme.test/apply")]
 
 
+@pytest.mark.parametrize("html, expected", [
+    ('<a href="/x"><button>one</button><button>two</button> Apply here</a>',
+     [("a", "one two Apply here"), ("button", "one"), ("button", "two")]),
+    ('<div role="button"><div>icon</div> Apply now</div><p>after</p>', [("div", "icon Apply now")]),
+    ('<div role="button"></div><p>after</p>', [("div", "")]),
+    ('<a href="/1">un<b>closed</b><a href="/2">second</a> out', [("a", "unclosed"), ("a", "second")]),
+    ('<span role=button>a<span>b<span>c</span></span>d</span>e', [("span", "abcd")]),
+    ('<button>x<button>y apply</button>z', [("button", "x"), ("button", "y apply")]),
+    ('<input role="button" value="v"> text', [("input", "")]),
+    ('<div role="button">never closed <p>rest', [("div", "never closed rest")]),
+])
+def test_element_text_is_all_that_the_element_holds(spark, html, expected):
+    elements = H.interactive_elements(F.lit(html))
+    row = spark.range(1).select(F.transform(elements, lambda e: F.struct(e["tag"], e["text"])).alias("e"))
+    assert [tuple(e) for e in row.first().e] == expected
+
+
+def test_character_references_are_those_of_the_standard_library(spark):
+    texts = ["we&#x27;re &#8211; &eacute;&rsquo;", "&amp;lt;", "&copy 2020", "&unknown; &", "a&b;c",
+             "&#0;&#55296;&#99999999;&#x110000;", "&NotEqualTilde;", "plain", "&#128;", "&amp", "&AMP;&LT;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.d for r in df.select("i", H.decode_entities(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert got == [standard.unescape(t) for t in texts]
+
+
+def test_login_wall_reads_references(spark):
+    page = F.lit("<p>we&#x27;re logging you in</p>")
+    assert spark.range(1).select(login_wall(H.visible_text(page)).alias("x")).first().x
+
+
+def test_counts_per_host_are_not_cut(spark):
+    html = "".join(f'<a class="apply-link" href="/apply/{i}">Apply</a>' for i in range(80))
+    df = spark.createDataFrame([(1, "https://e.com/", html)], "page_id int, url string, html string")
+    (row,) = ops.candidates_by_host(ops.ranked_candidates(df)).collect()
+    assert row.n == 80
+
+
+def test_apply_is_found_behind_a_long_text(spark):
+    html = f'<a href="/x">{"word " * 40}apply</a>'
+    df = spark.createDataFrame([(1, "https://e.com/", html)], "page_id int, url string, html string")
+    (row,) = ops.ranked_candidates(df).collect()
+    assert row.score == 0.4 and len(row.text) == H.CANDIDATE_TEXT
+
+
 def test_form_fields(page):
     fields = value(page, H.form_fields(F.col("html")))
     assert [(f.tag, f.type, f.name, f.placeholder, f.selector) for f in fields] == [
@@ -75,7 +122,7 @@ def test_apply_candidates(spark):
     assert got == [
         (1, "#go1", "https://e.com/apply/1", "Apply here", "a", 1.0),
         (2, "a", "https://e.com/apply/2", "inner apply", "a", 0.9),
-        (3, 'a.b.c-d.e[data-a="1"][data-b="%s"]' % ("v" * 32), None, "mail", "a", 0.5),
+        (3, 'a.b.c-d.e[data-a="1"][data-b="%s"]' % ("v" * 40), None, "mail", "a", 0.5),
         (4, "button.big", None, "Apply now", "button", 0.4),
         (5, "button", None, "inner apply", "button", 0.4),
         (6, "a", "https://e.com/y", "y", "a", 0.3),

@@ -17,6 +17,19 @@ def _drain(df, name, checkpoint):
     return df.sparkSession.table(name)
 
 
+def _until(df, name, tmp_path, rows):
+    """Run a stream with timers, which never ends by itself, until it has given so many rows."""
+    query = (df.writeStream.format("memory").queryName(name).outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start())
+    try:
+        deadline = time.time() + 120
+        while time.time() < deadline and df.sparkSession.table(name).count() < rows:
+            time.sleep(1)
+    finally:
+        query.stop()
+    return df.sparkSession.table(name)
+
+
 def _write_in_order(df, path, order, n=4):
     """Several files whose file order is the data order."""
     ranked = df.withColumn("_slice", F.expr(f"ntile({n}) over (order by {order})"))
@@ -41,13 +54,14 @@ def test_probation_stream_equals_fold(spark, sf, tmp_path):
 def test_chat_stream(spark, tmp_path):
     rows = [
         (1, 0, 1, "TEXT_MESSAGE_CONTENT", "Let ", None, None, None),
+        (3, 0, 1, "TEXT_MESSAGE_CONTENT", "never ends", None, None, None),
         (1, 0, 2, "TOOL_CALL_START", None, "a", "create_answer", None),
         (1, 0, 3, "TEXT_MESSAGE_CONTENT", "me", None, None, None),
         (1, 0, 4, "TOOL_CALL_RESULT", None, "a", None, None),
         (1, 0, 5, "TOOL_CALL_START", None, "b", "update_answer", None),
         (1, 0, 6, "TOOL_CALL_RESULT", None, "b", None, None),
-        (1, 0, 7, "USAGE", None, None, None, 7),
-        (1, 0, 8, "USAGE", None, None, None, None),
+        (1, 0, 7, "USAGE", None, None, None, (5, 2, 7, 3)),
+        (1, 0, 8, "USAGE", None, None, None, (1, None, 1, 2)),
         (1, 0, 9, "RUN_FINISHED", None, None, None, None),
         (2, 0, 1, "TOOL_CALL_RESULT", None, "zz", None, None),
         (2, 0, 2, "TOOL_CALL_START", None, "q", "get_scrapes", None),
@@ -55,14 +69,19 @@ def test_chat_stream(spark, tmp_path):
         (2, 0, 4, "RUN_FINISHED", None, None, None, None),
     ]
     schema = ("conv_id bigint, turn bigint, seq bigint, type string, delta string, call_id string, "
-              "tool string, tokens bigint")
-    df = spark.createDataFrame(rows, schema)
+              "tool string, request_tokens bigint, response_tokens bigint, total_tokens bigint, "
+              "requests bigint")
+    df = spark.createDataFrame([(*r[:7], *(r[7] or (None,) * 4)) for r in rows], schema)
     path = str(tmp_path / "chat")
     _write_in_order(df, path, "seq", 3)
-    out = _drain(state.chat_stream(queues.files(spark, path, schema, 1)), "chat", str(tmp_path / "cp"))
+    out = _until(state.chat_stream(queues.files(spark, path, schema, 1)), "chat", tmp_path, 3)
     got = {tuple(r) for r in out.collect()}
-    assert got == {(1, 0, "reload", "answer", None, None), (1, 0, "turn", "Let me", 7, 2),
-                   (2, 0, "turn", "", 0, 0)}
+    assert got == {(1, 0, "reload", "answer", None, None, None, None),
+                   (1, 0, "turn", "Let me", 6, 2, 8, 5), (2, 0, "turn", "", 0, 0, 0, 0)}
+    usage = conversations.turn_usage(df, "conv_id", "turn").where("conv_id < 3")
+    assert {tuple(r) for r in usage.collect()} == {
+        tuple(r) for r in out.where("kind = 'turn'").select(
+            "conv_id", "turn", "request_tokens", "response_tokens", "total_tokens", "requests").collect()}
     paired = conversations.pair_tool_calls(df, conversations.Sequenced(
         ["conv_id", "turn", "call_id"], ("seq",), lambda: F.lit(0)))
     batch = conversations.reload_set(paired, "conv_id", "turn")
@@ -119,16 +138,15 @@ def test_trace_stream_keeps_loops_and_drops_rows_without_scrape(spark, tmp_path)
 def test_run_timeouts(spark, tmp_path):
     schema = "scrape_id bigint, seq bigint, status string, job_post_id bigint"
     path = str(tmp_path / "runs")
-    spark.createDataFrame([(1, 1, "running", None), (2, 1, "running", None), (2, 2, "completed", None),
-                           (3, 1, "completed", 9), (4, 1, "failed", None)], schema).coalesce(1).write.parquet(path)
-    stream = queues.files(spark, path, schema)
-    query = (state.run_timeouts(stream, 2.0, 1.0).writeStream.format("memory").queryName("timeouts")
-             .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start())
-    try:
-        deadline = time.time() + 120
-        while time.time() < deadline and spark.table("timeouts").count() < 4:
-            time.sleep(1)
-    finally:
-        query.stop()
-    assert {(r.scrape_id, r.outcome) for r in spark.table("timeouts").collect()} == {
-        (1, "timed_out"), (2, "unlinked"), (3, "linked"), (4, "failed")}
+    # run 5 gets its post before it completes, run 6 after, each in a micro-batch of its own; run 3
+    # gets a row after its end
+    for rows in ([(1, 1, "running", None), (2, 1, "running", None), (2, 2, "completed", None),
+                  (3, 1, "completed", 9), (4, 1, "failed", None), (5, 1, "running", 8),
+                  (6, 1, "completed", None)],
+                 [(5, 2, "completed", None), (6, 2, "completed", 7), (3, 2, "running", None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    stream = queues.files(spark, path, schema, 1)
+    out = _until(state.run_timeouts(stream, 20.0, 15.0), "timeouts", tmp_path, 6)
+    assert {(r.scrape_id, r.outcome) for r in out.collect()} == {
+        (1, "timed_out"), (2, "unlinked"), (3, "linked"), (4, "failed"), (5, "linked"), (6, "linked")}
