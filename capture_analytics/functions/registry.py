@@ -60,6 +60,15 @@ FUNCTIONS: dict[str, tuple[str, Callable[..., Column]]] = {
     "page_links": ("html string, base string", html.page_links),
     "form_fields": ("html string", html.form_fields),
     "apply_candidates": ("html string, base string", html.apply_candidates),
+    "expandable_texts": ("html string", html.expandable_texts),
+    "apply_url_rewrites": ("url string, rules array<struct<match:string,rewrite:string>>",
+                           urls.apply_rule_array),
+    "clip_text": ("value string, size int, marker string", text.clip_text),
+    "json_digest": ("fields map<string,string>", text.map_digest),
+    "onboarding_next": ("flags map<string,boolean>, wizard_enabled boolean", lambda flags, wizard:
+                        chat.onboarding_next({k: F.try_element_at(flags, F.lit(k))
+                                              for k in chat.ONBOARDING_STEPS}, wizard)),
+    "fk_int": ("first_key string, second_key string", records.fk_int),
 }
 
 # a quoted literal is left alone; an operator in call form needs quotes to parse

@@ -173,6 +173,15 @@ def token_estimate(text: Column) -> Column:
                       ).cast("bigint")
 
 
+def map_digest(fields: Column) -> Column:
+    """`json_digest` of the texts in a map."""
+    members = F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(
+        F.regexp_extract(F.to_json(F.struct(k.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit(": "),
+        F.regexp_extract(F.to_json(F.struct(F.try_element_at(fields, k).alias("v")),
+                                   {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)))
+    return F.left(F.sha2(F.concat(F.lit("{"), F.array_join(members, ", "), F.lit("}")), 256), F.lit(16))
+
+
 def json_digest(**fields: Column) -> Column:
     """First 16 hex digits of the sha256 of the fields as JSON: names sorted, a space after
     commas and colons."""

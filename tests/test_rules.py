@@ -1,5 +1,9 @@
 """Text gates, record rules and chat rules on exact cases."""
 
+import hashlib
+import json
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,7 +109,8 @@ def test_record_rules(spark):
     assert one(spark, R.action_valid(none, none, none)) is False
     assert one(spark, R.action_valid(F.lit("/x"), none, F.lit("m"))) is False
     assert [one(spark, R.batch_valid(F.lit(n))) for n in (0, 1, 3, 4)] == [False, True, True, False]
-    assert one(spark, R.debug_html(F.lit(""), F.lit("d" * 200_001))) == "d" * 200_000 + R.DOM_MARKER
+    assert one(spark, R.debug_html(F.lit(""), F.lit("d" * 200_001))) == "d" * 200_001
+    assert one(spark, R.debug_html(F.lit(""), F.lit("d" * 200_001), R.DOM_CLIP)) == "d" * 200_000 + R.DOM_MARKER
     assert one(spark, R.debug_html(F.lit("kept"), F.lit("d"))) == "kept"
     errors = R.new_post_errors(F.lit(""), F.lit(0), none, F.lit(-1), F.lit(5))
     assert one(spark, errors) == ["title", "company_id", "salary_min"]
@@ -161,9 +166,38 @@ def test_sorting_rules():
         ops.sort_columns("salary", allowed=ops.APPLICATION_SORT_FIELDS)
 
 
-def test_sql_functions_equal_columns(spark):
-    names = register_functions(spark)
-    assert set(names) == set(FUNCTIONS)
+SAMPLES = {
+    "string": "'<title>Caf&eacute; &#8211; &lt;x&gt;</title><a href=\"/apply?u=https%3A%2F%2Fx.com\">See <b>more</b></a>'",
+    "int": "3", "bigint": "81", "boolean": "true", "array<string>": "array('see', 'x')",
+    "map<string,string>": "map('b', 'x\"y', 'a', null)", "map<string,boolean>": "map('resume', true)",
+    "array<struct<match:string,rewrite:string>>": "array(named_struct('match', 'apply', 'rewrite', 'go'))"}
+
+
+@pytest.fixture(scope="module")
+def registered(spark):
+    return register_functions(spark)
+
+
+@pytest.mark.parametrize("name", sorted(FUNCTIONS))
+def test_every_sql_function_equals_its_column(spark, registered, name):
+    parameters, build = FUNCTIONS[name]
+    named = [p.split(" ", 1) for p in re.split(r",\s*(?![^<]*>)", parameters)]
+    values = ", ".join(f"{SAMPLES[kind]} as {column}" for column, kind in named)
+    row = spark.sql(f"select {values} from range(1)")
+    row.createOrReplaceTempView("samples")
+    called = spark.sql(f"select {name}({', '.join(c for c, _ in named)}) as x from samples").first()
+    assert called.x == row.select(build(*[F.col(c) for c, _ in named]).alias("x")).first().x
+
+
+def test_map_digest_is_that_of_the_fields(spark):
+    fields = {"b": 'x"y', "a": None}
+    text = json.dumps(fields, sort_keys=True)
+    column = T.map_digest(F.create_map(F.lit("b"), F.lit('x"y'), F.lit("a"), F.lit(None).cast("string")))
+    assert one(spark, column) == hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
+def test_sql_functions_equal_columns(spark, registered):
+    assert set(registered) == set(FUNCTIONS)
     html = "<title>T</title><a class=b href='/apply'>Apply</a><input name=q>"
     row = spark.sql("""select canonicalize_url('https://x.com//a?utm_source=1&b=c+d#f') as canonical,
         unwrap_url('https://t/?url=https%3A%2F%2Fx.com') as inner_url, word_count('a b') as words,
