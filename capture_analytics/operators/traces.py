@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,15 +57,35 @@ EDGES = {
     "PersistJobPost": ("ExtractFail", "UpdateProfile"),
     "UpdateProfile": ("ResolveApplyUrl",),
 }
+PURPOSES = {
+    "StartScrape": "Take up a capture request", "LoadProfile": "Read what is known about the host",
+    "Navigate": "Open the address", "DetectObstacle": "Look for anything that hides the content",
+    "ObstacleRememberMe": "Continue as the remembered user", "ObstacleWaitRetry": "Wait and look again",
+    "ObstacleAgent": "Let an agent clear the way", "ObstacleFail": "Give up at an obstacle",
+    "ResolveFinalUrl": "Settle which address was reached",
+    "CheckLinkDedup": "Look the link up among known posts",
+    "DuplicateShortCircuit": "Stop at a post that is known", "WaitReadySelector": "Wait for the known element",
+    "SettleWait": "Wait until the page rests", "ExpandTruncations": "Unfold shortened texts",
+    "Capture": "Take the page's content", "PersistScrape": "Store the capture",
+    "StartExtract": "Begin to read the post", "Tier0CSS": "Read it by the profile's selectors",
+    "Tier1Mini": "Read it with the smallest model", "Tier2Haiku": "Read it with a larger model",
+    "Tier3Sonnet": "Read it with the largest model", "EvaluateExtraction": "Judge what was read",
+    "ValidateExtraction": "Check the post against its source", "PersistJobPost": "Store the post",
+    "UpdateProfile": "Learn from the result", "ResolveApplyUrl": "Find where to apply",
+    "ExtractFail": "Give up reading",
+}
 END = "End"
 MAX_REMEMBER, MAX_WAITS, MAX_AGENT = 2, 3, 1
 RUN_CAP_SECONDS, COMPOSITE_SECONDS, LINK_SECONDS = 240, 60, 15
 
 
 def topology(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Declared nodes in registration order and edges sorted by target per source."""
-    nodes = spark.createDataFrame([(i, n, g) for i, (n, g) in enumerate(NODES)],
-                                  "position int, id string, group string")
+    """Declared nodes in registration order, with the words of their name as label and what
+    they are for, and edges sorted by target per source."""
+    nodes = spark.createDataFrame([
+        (i, n, g, re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", n), PURPOSES[n])
+        for i, (n, g) in enumerate(NODES)],
+        "position int, id string, group string, label string, description string")
     edges = spark.createDataFrame([(s, t) for s, targets in EDGES.items() for t in targets],
                                   "source string, target string")
     return nodes, edges

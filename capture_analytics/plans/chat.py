@@ -8,6 +8,7 @@ from capture_analytics.functions import chat as C
 from capture_analytics.functions import text as T
 from capture_analytics.operators import conversations as ops
 from capture_analytics.operators.ordered import by_number, by_time, neighbour
+from capture_analytics.plans import sqltext as S
 from capture_analytics.plans.registry import query
 from capture_analytics.sources.views import view
 
@@ -112,12 +113,14 @@ def unanswered_calls(spark, folder):
         "conv_id", "turn", F.array_join(F.array_sort(open_calls), ",").alias("unanswered"))
 
 
-_SPOKEN = """case (conv_id + turn) % 4 when 0 then 'I''ll check that. ' || text when 1 then 'Sure. Let me  look. ' || text
-    when 2 then text || ' I will create it' else text end"""
+_SPOKEN = """case (conv_id + turn) % 9 when 0 then 'I''ll check that. ' || text when 1 then 'Sure. Let me  look. ' || text
+    when 2 then text || ' I will create it' when 3 then 'Going to fetch it. ' || text when 4 then 'I ll gather those'
+    when 5 then 'I will think' when 6 then 'let me retrieve ' || text when 7 then 'Ill prepare that' else text end"""
 
 
-@query("promise_flag", """select conv_id, turn, turn % 2 = 0 and regexp_matches(said, '(?i)\\b(i.?ll\\s+check|let me\\s+look|i will\\s+create)\\b')
-    as flag from (select conv_id, turn, """ + _SPOKEN + """ as said from [conversations]) t""")
+@query("promise_flag", f"""select conv_id, turn, turn % 2 = 0
+    and regexp_matches(said, {S.literal('(?i)' + C.PROMISE_PATTERN)}) as flag
+from (select conv_id, turn, """ + _SPOKEN + """ as said from [conversations]) t""")
 def promise_flag(spark, folder):
     said = F.expr(_SPOKEN.replace("'I''ll", "'I\\'ll"))
     return view(spark, folder, "conversations").select(

@@ -11,15 +11,17 @@ from capture_analytics.plans import sqltext as S
 from capture_analytics.plans.registry import query
 from capture_analytics.sources.views import view
 
-# several posts share a link: the target URL of a page, looked up by the post id
+# links come from all pages, and posts share them: ids that are alike in halves take the same page
 _POSTS = f"""select p.id, p.description, {S.canonical('w.target')} as link
-    from [posts_text] p join [wrapped_urls] w on w.page_id = p.id % 40"""
+    from [posts_text] p join [wrapped_urls] w
+    on w.page_id = cast(floor(p.id / 2) as bigint) % (select count(*) from [wrapped_urls])"""
 
 
 def _posts(spark, folder):
-    pages = view(spark, folder, "wrapped_urls").select(
-        F.col("page_id").alias("slot"), U.canonicalize_url(F.col("target")).alias("link"))
-    return view(spark, folder, "posts_text").withColumn("slot", F.col("id") % 40).join(
+    urls = view(spark, folder, "wrapped_urls")
+    pages = urls.select(F.col("page_id").alias("slot"), U.canonicalize_url(F.col("target")).alias("link"))
+    slot = F.floor(F.col("id") / 2).cast("bigint") % urls.agg(F.count("*")).scalar()
+    return view(spark, folder, "posts_text").withColumn("slot", slot).join(
         pages, "slot").select("id", "description", "link")
 
 

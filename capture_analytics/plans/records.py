@@ -49,9 +49,10 @@ def record_modes(spark, folder):
     records = _post_records(spark, folder)
     inline = ops.slim_payload(records, "job_posts", single=True, relationships="inline")
     omitted = ops.slim_record(records, None, "omit")
-    return inline.select(
-        "id", F.size("attributes").alias("n_attributes"), F.col("relationships")["company"].alias("company"),
-        F.lit("relationships" in omitted.columns).alias("omitted_has_relationships"))
+    shown = omitted.select("id", F.to_json(F.struct("*")).contains('"relationships"').alias(
+        "omitted_has_relationships"))
+    return inline.select("id", F.size("attributes").alias("n_attributes"),
+                         F.col("relationships")["company"].alias("company")).join(shown, "id")
 
 
 @query("frontend_url", """select cast(id as varchar) as id, kind as type, case kind when 'job-post'
@@ -72,17 +73,31 @@ def rel_counts(spark, folder):
                             view(spark, folder, "applications"), "job_post_id", "n_applications")
 
 
-@query("career_sections", """select c_custkey as user_id, list_aggregate(list_transform(s, lambda r: r.name), 'string_agg', ',') as skills,
-    'id,name,category,level' as fields from (select c_custkey, [struct_pack(name := c_mktsegment), struct_pack(name := c_name)] as s from customer) t""")
+# every field that any section has, and one that none has
+_SECTION_FIELDS = ("name", "created_at", "category", "level", "company", "title", "started_at", "ended_at",
+                   "institution", "degree", "field", "issuer", "issued_at", "notes")
+_SECTIONS = (("resume", "name created_at"), ("skill", "name category level"),
+             ("experience", "company title started_at ended_at"),
+             ("education", "institution degree field ended_at"),
+             ("certification", "name issuer issued_at"), ("cover_letter", "title created_at"))
+
+
+def _section_json(kept: str) -> str:
+    """The JSON of one trimmed record as SQL text: the id, then the kept fields."""
+    fields = "".join(f" || ',\"{f}\":\"{f} ' || {c} || '\"'" for f in kept.split() for c in ("c_name",))
+    return f"""'[{{"id":' || c_custkey{fields} || '}},{{"id":' || c_custkey{fields.replace('c_name', 'c_mktsegment')} || '}}]'"""
+
+
+@query("career_sections", "select c_custkey as user_id, " + ", ".join(
+    f"{_section_json(kept)} as {name}" for name, kept in _SECTIONS) + " from customer")
 def career_sections(spark, folder):
-    skill = F.array(*[F.struct(
-        F.col("c_custkey").alias("id"), F.col(c).alias("name"), F.lit("x").alias("category"),
-        F.lit("y").alias("level"), F.lit("secret").alias("notes")) for c in ("c_mktsegment", "c_name")])
-    users = view(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), skill.alias("skill"))
-    trimmed = ops.trim_sections(users)
-    fields = ",".join(trimmed.schema["skill"].dataType.elementType.fieldNames())
-    return trimmed.select("user_id", F.array_join(F.transform("skill", lambda r: r["name"]), ",").alias("skills"),
-                          F.lit(fields).alias("fields"))
+    def record(source: str):
+        return F.struct(F.col("c_custkey").alias("id"), *[
+            F.concat(F.lit(f"{f} "), F.col(source)).alias(f) for f in _SECTION_FIELDS])
+    records = F.array(record("c_name"), record("c_mktsegment"))
+    users = view(spark, folder, "customer").select(
+        F.col("c_custkey").alias("user_id"), *[records.alias(name) for name, _ in _SECTIONS])
+    return ops.trim_sections(users).select("user_id", *[F.to_json(name).alias(name) for name, _ in _SECTIONS])
 
 
 @query("current_user", """select c_custkey as id, c_name as username,
@@ -104,17 +119,13 @@ def current_user(spark, folder):
 
 @query("search_posts", """select p.id, p.title, c.name as company_name, count(*) over () as total
     from [job_posts] p left join [companies] c on c.id = p.company_id
-    where (contains(lower(p.title), 'urgent') or contains(lower(c.name), '00000012'))
+    where (contains(lower(p.title), '12') or contains(lower(c.name), '12'))
       and contains(lower(p.title), 'r')""")
 def search_posts(spark, folder):
     hits = ops.search_posts(view(spark, folder, "job_posts").select("id", "title", "company_id"),
-                            view(spark, folder, "companies"), query="00000012", title="r"
+                            view(spark, folder, "companies"), query="12", title="R"
                             ).select("id", "title", "company_name")
-    urgent = ops.search_posts(view(spark, folder, "job_posts").select("id", "title", "company_id"),
-                              view(spark, folder, "companies"), query="URGENT", title="R"
-                              ).select("id", "title", "company_name")
-    both = hits.unionByName(urgent).distinct()
-    return both.withColumn("total", both.agg(F.count("*")).scalar())
+    return hits.withColumn("total", hits.agg(F.count("*")).scalar())
 
 
 @query("search_posts_by_company", """select p.id, p.title, c.name as company_name
@@ -343,11 +354,11 @@ def patch_keys(spark, folder):
         "conv_id", "turn", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("kept_keys"))
 
 
-@query("hyphenate_keys", "select id, 'posting-status,salary-max' as keys, title from [job_posts]")
+@query("hyphenate_keys", """select id, 'k-' || id || '-' || replace(lower(posting_status), '_', '-') || ',salary-max'
+    as keys, title from [job_posts]""")
 def hyphenate_keys(spark, folder):
-    attributes = F.create_map(F.lit("posting_status"), F.col("posting_status"),
-                              F.lit("salary_max"), F.col("title"))
-    keyed = R.hyphenate_keys(attributes)
+    named = F.concat(F.lit("k_"), F.col("id"), F.lit("_"), F.lower("posting_status"))
+    keyed = R.hyphenate_keys(F.create_map(named, F.col("posting_status"), F.lit("salary_max"), F.col("title")))
     return view(spark, folder, "job_posts").select(
         "id", F.array_join(F.array_sort(F.map_keys(keyed)), ",").alias("keys"),
         keyed["salary-max"].alias("title"))

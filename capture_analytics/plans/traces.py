@@ -64,13 +64,14 @@ def topology_drift(spark, folder):
 
 
 @query("topology_nodes", f"""with declared(id, grp) as (values {_NODES})
-select d.id, d.grp as group, count(t.event_id) as visits from declared d
+select d.id, d.grp as group, regexp_replace(d.id, '([a-z0-9])([A-Z])', '\\1 \\2', 'g') as label,
+    count(t.event_id) as visits from declared d
 left join [transitions] t on t.node = d.id group by d.id, d.grp""".replace("as group,", 'as "group",'))
 def topology_nodes(spark, folder):
     nodes, _ = ops.topology(spark)
     visits = view(spark, folder, "transitions").groupBy(F.col("node").alias("id")).agg(
         F.count("*").alias("visits"))
-    return nodes.drop("position").join(visits, "id", "left").withColumn(
+    return nodes.drop("position", "description").join(visits, "id", "left").withColumn(
         "visits", F.coalesce("visits", F.lit(0)))
 
 
