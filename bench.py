@@ -41,13 +41,15 @@ def dealt(spark, folder: str, files: int, to: str) -> str:
 def main() -> None:
     given = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    own = tempfile.TemporaryDirectory(prefix="bench-")
     spark = build_session("bench", f"local[{cpus}]", **{
+        "spark.checkpoint.dir": f"{own.name}/shared",
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
         "spark.sql.shuffle.partitions": cpus})
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
-    with tempfile.TemporaryDirectory(prefix="bench-") as own:
-        folder = dealt(spark, given, int(cpus), own)
+    with own:
+        folder = dealt(spark, given, int(cpus), own.name)
         for name in HEADLINE:
             taken = []
             for _ in range(RUNS + 1):
