@@ -113,6 +113,38 @@ def carry_last(df: DataFrame, seq: Sequenced, values: Mapping[str, Column]) -> D
     return joined.drop(SEGMENT, *[p + n for n in values for p in ("_before_", "_in_")])
 
 
+def run_lengths(df: DataFrame, seq: Sequenced, column: str, name: str) -> DataFrame:
+    """How many rows of the key in a row, the current one included, have its value of `column`.
+
+    A run that goes on over segments is carried by one row per segment: its last value, how long
+    the run at its end is, and whether that run fills the segment and so continues the one before.
+    """
+    whole = Window.unboundedPreceding
+    local, position = seq.local(), F.struct(*[F.col(c) for c in seq.order])
+    rows = seq.tagged(df).withColumn("_at", F.row_number().over(local))
+    begins = (F.col("_at") == 1) | ~F.lag(column).over(local).eqNullSafe(F.col(column))
+    rows = rows.withColumn("_begin", F.when(begins, F.col("_at")))
+    rows = rows.withColumn("_begin", F.last("_begin", ignorenulls=True).over(
+        local.rowsBetween(whole, 0))).withColumn("_in", F.col("_at") - F.col("_begin") + 1)
+    summary = seq.summary(rows, F.count("*").alias("_n"), F.max_by(F.struct(
+        F.col(column).alias("value"), F.col("_in").alias("tail")), position).alias("_end"))
+    before = F.lag("_end").over(seq.across())
+    continues = (before.isNotNull() & before["value"].eqNullSafe(F.col("_end")["value"])
+                 & (F.col("_end")["tail"] == F.col("_n")))
+    summary = summary.withColumn("_new", F.when(continues, 0).otherwise(1)).withColumn(
+        "_run", F.sum("_new").over(seq.across().rowsBetween(whole, 0)))
+    total = F.sum(F.col("_end")["tail"]).over(
+        Window.partitionBy(*seq.keys, "_run").orderBy(SEGMENT).rowsBetween(whole, 0))
+    summary = summary.withColumn("_end", F.struct(F.col("_end")["value"].alias("value"),
+                                                  total.alias("tail")))
+    summary = summary.select(*seq.keys, SEGMENT, F.lag("_end").over(seq.across()).alias("_before"))
+    joined = seq.attach(rows, summary)
+    carried = F.when((F.col("_begin") == 1) & F.col("_before").isNotNull()
+                     & F.col("_before")["value"].eqNullSafe(F.col(column)), F.col("_before")["tail"])
+    return joined.withColumn(name, F.col("_in") + F.coalesce(carried, F.lit(0))).drop(
+        SEGMENT, "_at", "_begin", "_in", "_before")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                   columns: Sequence[str]) -> DataFrame:
     """One row per key, the first in `order`; combined map-side, so hot keys stay cheap."""

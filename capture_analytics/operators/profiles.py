@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capture_analytics.functions.urls import apply_rule_array, java_replacement, url_host
-from capture_analytics.operators.ordered import (
-    Sequenced, carry_last, first_per_key, neighbour, running_totals)
+from capture_analytics.operators.ordered import Sequenced, first_per_key, run_lengths
 
 # Consecutive sightings a selector needs before it is trusted (fixed value).
 PROBATION = 2
@@ -183,14 +182,7 @@ def probation_fold(observations: DataFrame, segments: Sequence[Column],
 def probation_runs(observations: DataFrame, seq: Sequenced, threshold: int = PROBATION) -> DataFrame:
     """First run of equal consecutive sightings per host that reaches `threshold`."""
     seen = observations.where(F.col("selector").isNotNull() & ~F.col("demote"))
-    lagged = neighbour(seen, seq, {"selector": "previous"}, step=-1)
-    starts = lagged.withColumn("starts", ~F.col("previous").eqNullSafe(F.col("selector")))
-    if threshold == 2:
-        reached = starts.where(~F.col("starts"))
-    else:
-        placed = running_totals(starts, seq, {"position": F.lit(1)})
-        opened = carry_last(placed, seq, {"opened": F.when(F.col("starts"), F.col("position"))})
-        reached = opened.where(F.col("position") - F.col("opened") + 1 >= threshold)
+    reached = run_lengths(seen, seq, "selector", "run").where(F.col("run") >= threshold)
     return first_per_key(reached, list(seq.keys), [F.col(c) for c in seq.order],
                          ["selector", *seq.order])
 

@@ -43,6 +43,19 @@ def test_segmented_equals_window(skewed):
          skewed.withColumn("rank", F.row_number().over(down).cast("bigint")).where("rank <= 3"))
 
 
+@pytest.mark.parametrize("block", [1, 4, 256, 100_000])
+def test_run_lengths_equal_plain_runs(skewed, block):
+    # long runs over many segments: the value changes rarely in the hot key
+    rows = skewed.withColumn("v", F.when(F.col("k") == 0, F.floor(F.col("n") / 900).cast("int")).otherwise(F.col("v")))
+    got = {(r.k, r.n): r.run for r in ordered.run_lengths(
+        rows, ordered.by_number(["k"], "n", block), "v", "run").collect()}
+    expected, last = {}, None
+    for r in sorted(rows.collect(), key=lambda r: (r.k, r.n)):
+        run = expected[last.k, last.n] + 1 if last and (last.k, last.v) == (r.k, r.v) else 1
+        expected[r.k, r.n], last = run, r
+    assert got == expected
+
+
 def test_top_per_key_is_cut_before_the_shuffle(skewed):
     plan = ordered.top_per_key(skewed, ["k"], [F.desc("n")], 3)
     text = plan._jdf.queryExecution().executedPlan().toString()
