@@ -28,8 +28,9 @@ WINDOW = 13
 # Characters of the benchmark that are searched at a time; beyond it the benchmark is worked on
 # in blocks, each a pass over the documents.
 BLOCK_CHARS = 8 << 20
-# Characters of a shard; a single longer document is a shard of its own.
+# Characters and documents of a shard; a single longer document is a shard of its own.
 SHARD_CHARS = 4 << 20
+SHARD_ROWS = 4_096
 SAMPLE = 16
 SPANS = ("doc_id long, text_hash long, n_words long, spans array<struct<begin:long,end:long>>, "
          "items array<string>")
@@ -241,7 +242,7 @@ def block_spans(docs: DataFrame, items: list[tuple[str, str | None]], window: in
                 ids = pa.StructArray.from_arrays([batch["doc_id"], batch["text_hash"]],
                                                  ["doc_id", "text_hash"])
                 yield pa.RecordBatch.from_arrays([ids, batch["text"]], ["key", "text"])
-        for keys, texts in pieces(keyed(), SHARD_CHARS):
+        for keys, texts in pieces(keyed(), SHARD_CHARS, SHARD_ROWS):
             counts, spans, found = shard_spans(phrases, texts)
             yield pa.RecordBatch.from_arrays([
                 pa.array([k["doc_id"] for k in keys], pa.int64()),

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capture_analytics.llm.tables import (
-    bit_set, documents, filtered_by_id, fresh, hashed_ids, id_and_text, marked_by_id, pieces, shared,
+    bit_set, documents, filtered_by_id, fresh, id_and_text, marked_by_id, pieces, shared,
     written)
 from capture_analytics.llm.tokens import SAME, SPACED, U, Words, rolling, shingles, signed
 
@@ -119,7 +119,7 @@ def window_rows(get):
 def passages(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """owner, text: the passages that owners' windows make up."""
     owned = windows.groupBy("owner").agg(F.collect_list("window").alias("windows"))
-    owners = filtered_by_id(docs, bit_set(hashed_ids(windows, "owner")))
+    owners = filtered_by_id(docs, windows.select("owner"))
 
     def cut(batches):
         for batch in batches:
@@ -288,7 +288,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     need = written(plain.mapInArrow(window_rows(get), rows).join(
         owned, (F.col("window") == F.col("known")) & (F.col("doc_id") > F.col("owner"))).groupBy(
         F.col("doc_id").alias("id")).agg(F.collect_set("shard").alias("shards")))
-    asking = filtered_by_id(plain, bit_set(hashed_ids(need, "id")))
+    asking = filtered_by_id(plain, need.select("id"))
     segments = written(asking.join(need, F.col("doc_id") == F.col("id")).select(
         "doc_id", F.xxhash64("text").alias("text_hash"), "text", "shards").mapInArrow(
         segment_rows(get), "shard int, doc_id long, text_hash long, begin int, text string"))
@@ -319,19 +319,18 @@ def joined_spans(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "text_hash").agg(union.alias("spans"))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, name: str = "spans") -> DataFrame:
-    """The documents with their spans in a column `name`, null for those that lose nothing. Only
-    documents that may lose words are shuffled."""
+def with_spans(docs: DataFrame, spans: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The documents that lose nothing, found without a shuffle, and those that may lose words
+    with their spans in a column `name`, null where they lose none."""
     spans = written(spans)
     mark, span_id, span_hash = (fresh(docs, c) for c in ("may_lose", "span_id", "span_hash"))
-    marked = marked_by_id(docs, bit_set(hashed_ids(spans, "doc_id")), mark)
+    marked = marked_by_id(docs, spans.select("doc_id"), mark)
     right = spans.select(F.col("doc_id").alias(span_id), F.col("text_hash").alias(span_hash),
                          F.col("spans").alias(name))
     joined = marked.where(F.col(mark)).join(
         right, (F.col("doc_id") == F.col(span_id)) & (F.xxhash64("text") == F.col(span_hash)),
-        "left").drop(span_id, span_hash)
-    return marked.where(~F.col(mark)).withColumn(name, F.lit(None).cast(SPANS)).unionByName(
-        joined).drop(mark)
+        "left").drop(span_id, span_hash, mark)
+    return marked.where(~F.col(mark)).drop(mark), joined
 
 
 def kept_words(text: str | None, spans) -> tuple[int, int, bytes]:
@@ -352,12 +351,13 @@ def deduplicated(docs: DataFrame, length: str | None = None) -> DataFrame:
         return pd.Series([t if s is None else kept_words(t, s)[2].decode()
                           for t, s in zip(texts, spans)], dtype=object)
     spans = fresh(docs, "spans")
-    found = with_spans(docs, repeated_spans(docs), spans)
-    out = found.withColumn("text", cut("text", spans))
+    whole, losing = with_spans(docs, repeated_spans(docs), spans)
+    losing = losing.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(
+        cut("text", spans)))
     if length:
-        out = out.withColumn(length, F.when(F.col(spans).isNull(), F.col(length)).otherwise(
+        losing = losing.withColumn(length, F.when(F.col(spans).isNull(), F.col(length)).otherwise(
             F.length("text").cast(docs.schema[length].dataType)))
-    return out.drop(spans)
+    return whole.unionByName(losing.drop(spans))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -372,7 +372,8 @@ def digests(docs: DataFrame) -> DataFrame:
                 pa.array([hashlib.sha256(f[2]).hexdigest() for f in found], pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"])
     plain = id_and_text(docs)
-    return with_spans(plain, repeated_spans(plain)).select("doc_id", "text", "spans").mapInArrow(
+    whole, losing = with_spans(plain, repeated_spans(plain), "spans")
+    return whole.withColumn("spans", F.lit(None).cast(SPANS)).unionByName(losing).mapInArrow(
         run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

@@ -7,7 +7,6 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from capture_analytics.session import checkpoint_dir
 
 # Texts of a batch are worked on in pieces of about this many characters.
 PIECE_CHARS = 1 << 20
+PIECE_ROWS = 512
 
 _scratch: list[str] = []
 
@@ -75,18 +75,20 @@ def shared(spark: SparkSession, value):
     return lambda: pickle.loads(sent.value)
 
 
-def pieces(batches, limit: int = PIECE_CHARS):
-    """(row numbers' slice, doc ids, texts) of about `limit` characters from batches of id, text."""
+def pieces(batches, limit: int = PIECE_CHARS, rows: int = PIECE_ROWS):
+    """(doc ids, texts) of at most `rows` rows and about `limit` characters from batches whose
+    first two columns are those; only so much of a batch becomes Python objects at a time."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        begin = size = 0
-        for i, text in enumerate(texts):
-            long = len(text) if text else 0
-            if i > begin and size + long > limit:
-                yield ids[begin:i], texts[begin:i]
-                begin, size = i, 0
-            size += long
-        if ids:
+        for k in range(0, batch.num_rows, rows):
+            part = batch.slice(k, rows)
+            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            begin = size = 0
+            for i, text in enumerate(texts):
+                long = len(text) if text else 0
+                if i > begin and size + long > limit:
+                    yield ids[begin:i], texts[begin:i]
+                    begin, size = i, 0
+                size += long
             yield ids[begin:], texts[begin:]
 
 
@@ -141,40 +143,24 @@ class BitSet:
         return (self.words[slot] >> (hashes & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bit_set(hashes: DataFrame, bits: int = BITS) -> BitSet:
-    """The bit set of a column `h` of hashes. Its size is `bits` whatever the input, a power of
-    two; it only saves shuffling rows that an exact join would drop, and a full one saves none."""
-    slot = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(bits // 64 - 1))
-    rows = hashes.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr(
-        "shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
-    words = np.zeros(bits // 64, np.uint64)
-    words[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return BitSet(words)
-
-
-def id_hashes(ids) -> np.ndarray:
-    """Hashes of ids for a bit set; a null counts as 0."""
-    return mix(np.array([0 if i is None else i for i in ids], np.int64).view(U))
+def _slot(h, bits: int):
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(bits // 64 - 1))
 
 
-def hashed_ids(df: DataFrame, column: str) -> DataFrame:
-    """A column h with `id_hashes` of a column's distinct ids."""
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([
-                pa.array(signed(id_hashes(batch.column(0).to_pylist())))], ["h"])
-    return df.select(F.col(column).cast("long")).distinct().mapInArrow(run, "h long")
+def _bits(hashes: DataFrame, bits: int) -> DataFrame:
+    """slot, bits: the words of the bit set of a column `h`, at most bits / 64 rows."""
+    return hashes.groupBy(_slot("h", bits).alias("slot")).agg(F.bit_or(F.expr(
+        "shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
 
 
-def filtered_by_id(docs: DataFrame, ids: BitSet) -> DataFrame:
-    """Of rows whose first column is an id, those whose id may be in the set; no shuffle."""
-    get = shared(docs.sparkSession, ids)
-
-    def run(batches):
-        own = get()
-        for batch in batches:
-            yield batch.filter(pa.array(own.has(id_hashes(batch.column(0).to_pylist()))))
-    return docs.mapInArrow(run, docs.schema)
+def bit_set(hashes: DataFrame, bits: int = BITS) -> BitSet:
+    """The bit set of a column `h` of hashes, to be sent to tasks. Its size is `bits` whatever the
+    input, a power of two; it only saves shuffling rows that an exact join would drop, and a full
+    one saves none."""
+    rows = _bits(hashes, bits).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return BitSet(words)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -185,14 +171,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def marked_by_id(docs: DataFrame, ids: BitSet, name: str) -> DataFrame:
-    """The documents with a column `name`: whether the id may be in the set."""
-    get = shared(docs.sparkSession, ids)
+def marked_by_id(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The documents with a column `name`: whether their id may be in the only column of `ids`. A
+    bit set of the ids is broadcast, a table of at most BITS / 64 rows."""
+    slot, bits = fresh(docs, "id_slot"), fresh(docs, "id_bits")
+    own = F.xxhash64(F.col(ids.columns[0]).cast("long"))
+    table = _bits(ids.select(own.alias("h")), BITS).select(
+        F.col("slot").alias(slot), F.col("bits").alias(bits))
+    h = F.xxhash64(F.col("doc_id").cast("long"))
+    held = F.call_function("shiftrightunsigned", F.col(bits), h.bitwiseAND(F.lit(63)).cast(
+        "int")).bitwiseAND(F.lit(1)) == 1
+    joined = docs.join(F.broadcast(table), _slot(h, BITS) == F.col(slot), "left")
+    return joined.withColumn(name, F.coalesce(held, F.lit(False))).drop(slot, bits)
+
 
-    @F.pandas_udf("boolean")
-    def may_have(values: pd.Series) -> pd.Series:
-        return pd.Series(get().has(id_hashes([None if pd.isna(i) else int(i) for i in values])))
-    return docs.withColumn(name, may_have(F.col("doc_id").cast("long")))
+def filtered_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id may be in the only column of `ids`, without a shuffle of texts."""
+    name = fresh(docs, "may_have")
+    return marked_by_id(docs, ids, name).where(F.col(name)).drop(name)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -201,7 +197,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     mark, gone_id, gone_hash = (fresh(docs, c) for c in ("may_go", "gone_id", "gone_hash"))
     gone = written(gone.select(F.col("doc_id").alias(gone_id),
                                F.col("text_hash").alias(gone_hash)).distinct())
-    marked = marked_by_id(docs, bit_set(hashed_ids(gone, gone_id)), mark)
+    marked = marked_by_id(docs, gone.select(gone_id), mark)
     left = marked.where(F.col(mark)).join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (
         F.xxhash64("text") == F.col(gone_hash)), "left_anti")
     return marked.where(~F.col(mark)).unionByName(left).drop(mark)
