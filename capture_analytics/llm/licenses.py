@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capture_analytics.llm.tables import documents, id_and_text, written
+from capture_analytics.llm.tables import documents, hash_sample, id_and_text, written
 
 NONE, UNKNOWN = "none", "unknown"
 # Documents whose lines serve as ordinary text in the fit.
@@ -238,7 +238,9 @@ def fit(docs: DataFrame) -> Model:
     marked += [(NONE, t) for t in ORDINARY]
     stated = spark.range(1).select(F.explode(F.array(*[F.struct(
         F.lit(n).alias("label"), F.lit(t).alias("paragraph")) for n, t in marked]))).select("col.*")
-    sample = id_and_text(docs).orderBy(F.xxhash64("doc_id"), "doc_id").limit(BACKGROUND_DOCS)
+    ids = hash_sample(id_and_text(docs).select("doc_id").where("doc_id is not null"), "doc_id",
+                      BACKGROUND_DOCS).select(F.col("doc_id").alias("picked"))
+    sample = id_and_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("picked"), "left_semi")
     lines = model.featured(paragraphs(sample))
     ordinary = lines.where(model.likeness("true") < CONFIRM / 2).select(
         F.lit(NONE).alias("label"), "paragraph")

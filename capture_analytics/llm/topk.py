@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capture_analytics.llm.tables import shared, written
+from capture_analytics.llm.tables import hash_sample, shared, written
 
 K = 5
 PIVOTS = 32
@@ -116,7 +116,7 @@ def index(vectors: DataFrame) -> tuple[DataFrame, Geometry]:
     spark = vectors.sparkSession
     floors = floored(vectors)
     width = floors.agg(F.max(F.size("v"))).first()[0] or 0
-    sample = floors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = hash_sample(floors, "vec_id", SAMPLE).collect()
     points = matrix([r["v"] for r in sample], width)
     geometry = Geometry(find_pivots(points, PIVOTS), width)
     if len(points):

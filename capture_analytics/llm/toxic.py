@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capture_analytics.llm.tables import (
-    documents, id_and_text, pieces, remainder, shared, without)
+    documents, hash_sample, id_and_text, pieces, remainder, shared, without)
 from capture_analytics.llm.tokens import ALNUM, Words, shingles, signed
 
 EXAMPLES = 16_384
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         remainder(FOLDS) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # an id without a document must not use up the bound, so known ids are matched first
     present = id_and_text(docs).select("doc_id").distinct().join(marked, "doc_id")
-    sample = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
+    sample = hash_sample(present, "doc_id", examples)
     counted = word_counts(id_and_text(docs).join(
         F.broadcast(sample.select(F.col("doc_id").alias("labelled"))),
         F.col("doc_id") == F.col("labelled"), "left_semi"))
