@@ -13,8 +13,8 @@ date. The classes of the round with the best likelihood stay.
 Model. P(word | before) = P(class | class before) P(word | class), the first with `ADD` added to
 each class pair, the second with 0.1 added to each word of the class and to one unknown word, so
 both sum to one. The logarithm splits into terms of the classes, known where the text is, and
-log10(count + 0.1) of each word: the `LOOKUP` most frequent words' counts are broadcast, a
-bounded table, and the other words of all documents meet their counts in one join.
+log10(count + 0.1) of each word: the counts of the at most `LOOKUP` most frequent words
+are broadcast, a bounded table, and the other words of all documents meet their counts in one join.
 
 Cases: null and empty texts have no words, just their end; without training documents every word is
 unknown and base and model give 0 for a token; each row of a repeated document gets its score and
@@ -249,7 +249,16 @@ def scores(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -> D
     counts = written(count_words(train))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
 
-    top = counts.orderBy(F.desc("n"), "word").limit(LOOKUP).toArrow()
+    # the words above a count that at most LOOKUP words reach, by a histogram of fixed size
+    level = F.floor(F.log2("n") * 16)
+    reached, least = 0, 0
+    for row in sorted(counts.groupBy(level.alias("level")).agg(
+            F.count("*").alias("words")).collect(), reverse=True):
+        reached += row["words"]
+        least = row["level"] + 1 if reached > LOOKUP else least
+        if reached > LOOKUP:
+            break
+    top = counts.where(level >= least).toArrow()
     words, n, ending = (top[c].to_numpy() for c in ("word", "n", "ending"))
     order = np.lexsort((words, -n))
     words, n, ending = words[order], n[order], ending[order]
