@@ -36,8 +36,8 @@ from capture_analytics.llm.tokens import expand
 
 RANKS = "byte_bpe_50k.tiktoken"
 # A chunk is closed at this many characters or distinct words.
-CHUNK_CHARS = 16 << 20
-CHUNK_WORDS = 400_000
+CHUNK_CHARS = 12 << 20
+CHUNK_WORDS = 300_000
 ROWS = "chunk long, content long, kind int, part int, packed binary"
 IDS = "doc_id long, ids array<int>"
 

@@ -29,8 +29,8 @@ WINDOW = 13
 # in blocks, each a pass over the documents.
 BLOCK_CHARS = 8 << 20
 # Characters and documents of a shard; a single longer document is a shard of its own.
-SHARD_CHARS = 4 << 20
-SHARD_ROWS = 4_096
+SHARD_CHARS = 1 << 20
+SHARD_ROWS = 1_024
 SAMPLE = 16
 SPANS = ("doc_id long, text_hash long, n_words long, spans array<struct<begin:long,end:long>>, "
          "items array<string>")

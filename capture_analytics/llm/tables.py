@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from capture_analytics.llm.tokens import U, mix, signed
 from capture_analytics.session import checkpoint_dir
 
 # Texts of a batch are worked on in pieces of about this many characters.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 19
 PIECE_ROWS = 512
 
 _scratch: list[str] = []
@@ -99,6 +100,15 @@ def pieces(batches, limit: int = PIECE_CHARS, rows: int = PIECE_ROWS):
                     begin, size = i, 0
                 size += long
             yield ids[begin:], texts[begin:]
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and what it holds on
+    to counts against the executor in all later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def components(edges: DataFrame) -> DataFrame:
