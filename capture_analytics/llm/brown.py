@@ -2,19 +2,21 @@
 
 Counts. Words and their counts over all training documents are aggregated by Spark. Words are
 told apart by 64-bit hashes.
-Units. The `HEADS` most frequent words are units of their own; every other word, known or not,
-belongs to one of `GROUPS` units by its ending, so each word has a class and the work of clustering
-is bounded by the number of units, not by the vocabulary. The end of a document is a unit and a
-class of its own.
-Exchange. The counts of all unit bigrams are aggregated once and written. In each round Spark sums
-them to (unit, neighbouring class) counts, at most units x classes x 2 numbers; the driver moves
-every unit to the class that raises the bigram likelihood most, with class counts kept up to
-date. The classes of the round with the best likelihood stay.
+Units. Every word of the training documents is a unit of its own, and so is the end of a document,
+which is a class of its own. The `HEADS` most frequent words are heads; a row of a Spark table
+holds each other word's class and the words before and after each place where it stands. The
+classes of the at most `LOOKUP` most frequent words are broadcast; a word that is not among them
+sends its class to its neighbours in each round.
+Exchange. In each round Spark sums what the rows give to the heads, at most heads x classes x 2
+numbers, and the table of class bigrams. The driver moves the heads one after another to the class
+that raises the bigram likelihood most, with class counts kept up to date; then all other words
+move, each by its own neighbours and that table, in Spark. The classes of the round with the best
+likelihood stay.
 Model. P(word | before) = P(class | class before) P(word | class), the first with `ADD` added to
 each class pair, the second with 0.1 added to each word of the class and to one unknown word, so
-both sum to one. The logarithm splits into terms of the classes, known where the text is, and
-log10(count + 0.1) of each word: the counts of the at most `LOOKUP` most frequent words
-are broadcast, a bounded table, and the other words of all documents meet their counts in one join.
+both sum to one. An unknown word has the class that holds most words seen once. What frequent
+words give is known where the text is; the other words of all documents meet their counts and
+classes in one join.
 
 Cases: null and empty texts have no words, just their end; without training documents every word is
 unknown and base and model give 0 for a token; each row of a repeated document gets its score and
@@ -25,15 +27,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from capture_analytics.llm.tables import (
-    documents, id_and_text, pieces, remainder, shared, written)
-from capture_analytics.llm.tokens import U, Words, mix, signed
+    delete, documents, id_and_text, pieces, remainder, scratch, shared, written)
+from capture_analytics.llm.tokens import U, Words, signed
 
 HEADS = 8_192
-GROUPS = 512
 CLASSES = 32
 ROUNDS = 4
 LOOKUP = 1 << 18
@@ -44,15 +45,6 @@ COMBINE = 4_000_000
 END = U(0x5851F42D4C957F2D)
 
 
-def endings(words: Words) -> np.ndarray:
-    """A unit number below GROUPS for each word, by its last three bytes."""
-    raw = np.frombuffer(words.buffer, np.uint8).astype(np.uint64)
-    last, begin = words.ends - 1, words.starts
-    code = raw[last] + (raw[np.maximum(last - 1, begin)] << U(8)) + (
-        raw[np.maximum(last - 2, begin)] << U(16))
-    return (mix(code) % U(GROUPS)).astype(np.int64)
-
-
 def combined(parts, limit: int = COMBINE):
     """Merge (keys, counts) pairs until they hold `limit` keys; yields unique keys and sums."""
     held, size = [], 0
@@ -73,82 +65,191 @@ def merged(held):
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word, ending, n: how often each word occurs; the end of a text has the ending -1."""
+    """word, n: how often each word occurs, the end of a text among them."""
     def run(batches):
         def parts():
             for _, texts in pieces(batches):
-                words = Words(texts)
-                hashes, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
-                yield np.append(signed(hashes), END.astype(np.int64)), np.stack([
-                    np.append(n, len(texts)), np.append(endings(words)[first], -1)])
-        held, size = [], 0
-
-        def closed():
-            keys = np.concatenate([k for k, _ in held])
-            values = np.concatenate([v for _, v in held], axis=1)
-            keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
-            n = np.bincount(place, weights=values[0]).astype(np.int64)
-            return pa.RecordBatch.from_arrays([
-                pa.array(keys), pa.array(values[1][first], pa.int32()), pa.array(n)],
-                ["word", "ending", "n"])
-        for part in parts():
-            held.append(part)
-            size += len(part[0])
-            if size >= COMBINE // 4:
-                yield closed()
-                held, size = [], 0
-        if held:
-            yield closed()
-    return docs.mapInArrow(run, "word long, ending int, n long").groupBy("word").agg(
-        F.first("ending").alias("ending"), F.sum("n").alias("n"))
+                hashes, n = np.unique(Words(texts).hashes, return_counts=True)
+                yield np.append(signed(hashes), END.astype(np.int64)), np.append(n, len(texts))
+        for keys, n in combined(parts(), COMBINE // 4):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["word", "n"])
+    return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Units:
-    """The unit of every word: a frequent word's own, else its ending's; the last is the end."""
-
-    def __init__(self, heads: np.ndarray):
-        self.heads = np.sort(heads)
-        self.size = len(heads) + GROUPS + 1
-
-    def of(self, words: Words) -> np.ndarray:
-        out = endings(words) + len(self.heads)
-        if len(self.heads):
-            near = np.minimum(np.searchsorted(self.heads, words.hashes), len(self.heads) - 1)
-            out = np.where(self.heads[near] == words.hashes, near, out)
-        return out
-
-    def sequence(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Units of all texts with an end before and after each, and where each text begins."""
+    """Numbers of the frequent words, the heads first; the last number is the end's. Any other word
+    is a unit under its hash."""
+
+    def __init__(self, words: np.ndarray, heads: int | None = None):
+        self.words = np.append(words, END)
+        self.heads = len(words) if heads is None else min(heads, len(words))
+        self.size = len(self.words)
+        self.order = np.argsort(self.words)
+        self.sorted = self.words[self.order]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for those without one."""
+        near = np.minimum(np.searchsorted(self.sorted, hashes), self.size - 1)
+        return np.where(self.sorted[near] == hashes, self.order[near], -1)
+
+    def head(self, numbers: np.ndarray) -> np.ndarray:
+        """The place among heads and end of each number, -1 for other words."""
+        out = np.where((numbers >= 0) & (numbers < self.heads), numbers, -1)
+        return np.where(numbers == self.size - 1, self.heads, out)
+
+    def sequence(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and numbers of all texts with an end before and after each, and where each text
+        begins."""
         places = np.arange(len(words.hashes)) + np.searchsorted(
             words.first[1:], np.arange(len(words.hashes)), side="right") + 1
-        out = np.full(len(words.hashes) + len(words.first), self.size - 1, np.int64)
-        out[places] = self.of(words)
-        return out, words.first[:-1] + np.arange(len(words.first) - 1)
+        line = np.full(len(words.hashes) + len(words.first), END, U)
+        line[places] = words.hashes
+        return line, self.of(line), words.first[:-1] + np.arange(len(words.first) - 1)
 
 
-def count_bigrams(docs: DataFrame, get, size: int) -> DataFrame:
-    """pair (unit * size + next unit), n over all documents."""
+def head_bigrams(docs: DataFrame, get) -> DataFrame:
+    """pair (head * size + next head), n over all documents; the end counts as a head."""
     def run(batches):
         units = get()
+        size = units.heads + 1
 
         def parts():
             for _, texts in pieces(batches):
-                line, _ = units.sequence(Words(texts))
-                keys, n = np.unique(line[:-1] * size + line[1:], return_counts=True)
-                yield keys, n
+                head = units.head(units.sequence(Words(texts))[1])
+                a, b = head[:-1], head[1:]
+                both = (a >= 0) & (b >= 0)
+                yield np.unique(a[both] * size + b[both], return_counts=True)
         for keys, n in combined(parts(), COMBINE // 2):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
     return docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def contexts(bigrams: DataFrame, classes: np.ndarray, n_classes: int):
-    """(after, before, self): how often each unit is followed by each class, preceded by each
-    class, and followed by itself; all bounded by the number of units and classes."""
-    size = len(classes)
-    get = shared(bigrams.sparkSession, classes)
+LISTS = ("after", "before", "rare_after", "rare_before")
+ROW = ("word long, number int, class int, n long, after array<int>, before array<int>, "
+       "rare_after array<long>, rare_before array<long>")
 
-    def run(batches):
-        own = get()
+
+def lists(values: np.ndarray, counts: np.ndarray, kind=None) -> pa.Array:
+    """Arrow lists of so many of the values each."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()),
+                                    pa.array(values, kind))
+
+
+def flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the row of each."""
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), counts)
+
+
+def word_rows(docs: DataFrame, get, n_classes: int) -> DataFrame:
+    """A row of each word that is no head, with the numbers of the frequent words after and before
+    each of its places and the hashes of the other ones; its first class is by its hash."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def places(batches):
+        units = get()
+        for _, texts in pieces(batches):
+            line, number, _ = units.sequence(Words(texts))
+            at = np.flatnonzero(units.head(number) < 0)
+            found = [signed(line[at])]
+            for near in (at + 1, at - 1):
+                found += [number[near].astype(np.int32), signed(line[near])]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(found[0]), pa.array(number[at].astype(np.int32)), pa.array(found[1]),
+                pa.array(found[2], mask=found[1] >= 0), pa.array(found[3]),
+                pa.array(found[4], mask=found[3] >= 0)],
+                ["word", "number", "after", "rare_after", "before", "rare_before"])
+
+    def closed(held):
+        own = pa.Table.from_batches(held).combine_chunks()
+        word, number = own["word"].to_numpy(), own["number"].to_numpy()
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+        columns = []
+        for name in ("after", "before"):
+            value = own[name].to_numpy()
+            columns.append((value[value >= 0], row[value >= 0], pa.int32()))
+        for name in ("after", "before"):
+            rare = own[name].to_numpy() < 0
+            columns.append((own[f"rare_{name}"].drop_null().to_numpy(), row[rare], pa.int64()))
+        return pa.RecordBatch.from_arrays([
+            pa.array(word[first]), pa.array(number[first]),
+            pa.array((word[first].view(U) >> U(8)) % U(n_classes - 1), pa.uint64()).cast(pa.int32()),
+            pa.array(np.bincount(row, minlength=len(first)).astype(np.int64)),
+            *[lists(v, np.bincount(r, minlength=len(first)), k) for v, r, k in columns]],
+            ["word", "number", "class", "n", *LISTS])
+
+    def build(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = batch["word"].to_numpy()
+            # the last word may go on in the next batch
+            cut = int(np.searchsorted(word, word[-1]))
+            if cut or (held and held[-1]["word"][0].as_py() != word[0]):
+                yield closed([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield closed(held)
+    found = docs.mapInArrow(places, "word long, number int, after int, rare_after long, before int, "
+                                    "rare_before long")
+    return found.repartition(n, "word").sortWithinPartitions("word").mapInArrow(build, ROW)
+
+
+def met(rows: DataFrame, get, n_classes: int) -> DataFrame:
+    """The rows with `slots`: the classes of their neighbours that are not frequent, those before
+    raised by n_classes."""
+    def send(batches):
+        units = get()
+        for batch in batches:
+            batch = batch.filter(pa.array(batch["number"].to_numpy() < 0))
+            own = batch["class"].to_numpy()
+            words, slots = [], []
+            # this word stands before the one after it
+            for name, side in (("after", 1), ("before", 0)):
+                number, row = flat(batch[name])
+                tail = units.head(number) < 0
+                words.append(signed(units.words[number[tail]]))
+                slots.append(own[row[tail]] + side * n_classes)
+                rare, row = flat(batch[f"rare_{name}"])
+                words.append(rare)
+                slots.append(own[row] + side * n_classes)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(words), pa.int64()),
+                pa.array(np.concatenate(slots), pa.int32())], ["to", "slot"])
+    sent = rows.select("number", "class", *LISTS).mapInArrow(send, "to long, slot int")
+    got = sent.groupBy("to").agg(F.collect_list("slot").alias("slots"))
+    return rows.join(got, F.col("word") == F.col("to"), "left").drop("to")
+
+
+def neighbours(batch, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of every neighbour of the batch's rows."""
+    after, row = flat(batch["after"])
+    before, other = flat(batch["before"])
+    slots, rest = flat(batch["slots"])
+    return np.concatenate([row, other, rest]), np.concatenate([
+        classes[after], classes[before] + n_classes, slots]).astype(np.int64)
+
+
+def contexts(rows: DataFrame, pairs: DataFrame, units: Units, classes: np.ndarray, n_classes: int):
+    """(after, before, self, table): how often each head is followed by each class, preceded by
+    each class, and followed by itself, and the class bigrams that begin with no head."""
+    size = units.heads + 1
+    get = shared(rows.sparkSession, (units, classes))
+    schema = "kind int, at long, n long"
+
+    def sums(values):
+        for kind, value in values:
+            at = np.flatnonzero(value)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(at), kind), pa.int32()), pa.array(at),
+                pa.array(value[at].astype(np.int64))], ["kind", "at", "n"])
+
+    def of_pairs(batches):
+        units, classes = get()
+        own = np.append(classes[:units.heads], classes[-1])
         after, before = np.zeros(size * n_classes), np.zeros(size * n_classes)
         same = np.zeros(size)
         for batch in batches:
@@ -157,18 +258,32 @@ def contexts(bigrams: DataFrame, classes: np.ndarray, n_classes: int):
             after += np.bincount(a * n_classes + own[b], weights=n, minlength=len(after))
             before += np.bincount(b * n_classes + own[a], weights=n, minlength=len(before))
             same += np.bincount(a[a == b], weights=n[a == b], minlength=size)
-        for kind, values in enumerate((after, before, same)):
-            at = np.flatnonzero(values)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(at), kind), pa.int32()), pa.array(at),
-                pa.array(values[at].astype(np.int64))], ["kind", "at", "n"])
-    rows = bigrams.mapInArrow(run, "kind int, at long, n long").groupBy("kind", "at").agg(
-        F.sum("n").alias("n")).toArrow()
-    out = [np.zeros(size * n_classes), np.zeros(size * n_classes), np.zeros(size)]
-    kind, at, n = (rows[c].to_numpy() for c in ("kind", "at", "n"))
-    for k in range(3):
-        out[k][at[kind == k]] = n[kind == k]
-    return out[0].reshape(size, -1), out[1].reshape(size, -1), out[2]
+        yield from sums(enumerate((after, before, same)))
+
+    def of_rows(batches):
+        units, classes = get()
+        found = [np.zeros(size * n_classes), np.zeros(size * n_classes)]
+        table = np.zeros(n_classes * n_classes)
+        for batch in batches:
+            own = batch["class"].to_numpy()
+            row, slot = neighbours(batch, classes, n_classes)
+            follow = slot < n_classes
+            table += np.bincount(own[row[follow]] * n_classes + slot[follow], minlength=len(table))
+            for name, out in (("before", found[0]), ("after", found[1])):
+                number, row = flat(batch[name])
+                head = units.head(number)
+                out += np.bincount(head[head >= 0] * n_classes + own[row[head >= 0]],
+                                   minlength=len(out))
+        yield from sums([(0, found[0]), (1, found[1]), (3, table)])
+    found = pairs.mapInArrow(of_pairs, schema).unionByName(rows.select(
+        "class", "after", "before", "slots").mapInArrow(of_rows, schema)).groupBy(
+        "kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    out = [np.zeros(size * n_classes), np.zeros(size * n_classes), np.zeros(size),
+           np.zeros(n_classes * n_classes)]
+    kind, at, n = (found[c].to_numpy() for c in ("kind", "at", "n"))
+    for k, own in enumerate(out):
+        own[at[kind == k]] = n[kind == k]
+    return out[0].reshape(size, -1), out[1].reshape(size, -1), out[2], out[3].reshape(n_classes, -1)
 
 
 def gain(x):
@@ -181,11 +296,10 @@ def likelihood(table: np.ndarray) -> float:
     return float(gain(table).sum() - gain(table.sum(0)).sum() - gain(table.sum(1)).sum())
 
 
-def exchange(classes, after, before, same, n_classes: int) -> np.ndarray:
-    """One round: move every unit, the frequent first, to its best class; the last stays alone."""
-    counted, classes = classes, classes.copy()
-    table = np.zeros((n_classes, n_classes))
-    np.add.at(table, classes, after)
+def exchange(classes, after, before, same, table) -> tuple[np.ndarray, np.ndarray]:
+    """One round: move every head, the frequent first, to its best class; the last stays alone.
+    `table` holds the class bigrams of all words and is kept up to date."""
+    counted, classes, table, n_classes = classes, classes.copy(), table.copy(), len(table)
     free = n_classes - 1
     for w in np.argsort(-after.sum(1), kind="stable").tolist():
         if w == len(classes) - 1 or not after[w].any():
@@ -210,7 +324,48 @@ def exchange(classes, after, before, same, n_classes: int) -> np.ndarray:
         table[best] += follow
         table[:, best] += lead
         table[best, best] += both
-    return classes
+    return classes, table
+
+
+def moved(rows: DataFrame, classes: np.ndarray, table: np.ndarray) -> DataFrame:
+    """The rows without their slots, each with the class that raises the likelihood most."""
+    n_classes = len(table)
+    get = shared(rows.sparkSession, (classes, table))
+
+    def run(batches):
+        classes, table = get()
+        cells = np.concatenate([table.T, table])
+        sides = np.stack([table.sum(1), table.sum(0)])
+        for batch in batches:
+            own, n = batch["class"].to_numpy(), batch["n"].to_numpy().astype(float)
+            best = own
+            if len(own):
+                row, slot = neighbours(batch, classes, n_classes)
+                key, m = np.unique(row * 2 * n_classes + slot, return_counts=True)
+                row, slot = key // (2 * n_classes), key % (2 * n_classes)
+                kinds, kind = np.unique(np.stack([slot, m]), axis=1, return_inverse=True)
+                kind = kind.reshape(-1)
+                there, more = cells[kinds[0]], kinds[1][:, None]
+                # the own class holds the word already, so there it counts what leaving takes away
+                join = gain(there + more) - gain(there)
+                leave = gain(there) - gain(np.maximum(there - more, 0))
+                value = join[kind]
+                at = np.arange(len(kind))
+                value[at, own[row]] = leave[kind, own[row]]
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                total = np.add.reduceat(value, first, axis=0)
+                some = row[first]
+                weight, held = n[some][:, None], own[some]
+                lost = sum(gain(side + weight) - gain(side) for side in sides)
+                at = np.arange(len(some))
+                lost[at, held] = sum(gain(side[held]) - gain(np.maximum(
+                    side[held] - weight[:, 0], 0)) for side in sides)
+                best = own.copy()
+                best[some] = np.argmax((total - lost)[:, :n_classes - 1], axis=1)
+            yield pa.RecordBatch.from_arrays([
+                batch["word"], batch["number"], pa.array(best, pa.int32()), batch["n"],
+                *[batch[c] for c in LISTS]], ["word", "number", "class", "n", *LISTS])
+    return rows.mapInArrow(run, ROW)
 
 
 class Model:
@@ -223,22 +378,34 @@ class Model:
         self.mass = np.log10(class_tokens + 0.1 * (class_words + 1))
 
 
-def cluster(bigrams: DataFrame, size: int, n_classes: int = CLASSES, rounds: int = ROUNDS):
-    """(classes of units, class bigram counts) of the best round."""
-    free = n_classes - 1
-    classes = np.arange(size) % free
-    classes[-1] = free
+def cluster(docs: DataFrame, units: Units, n_classes: int = CLASSES, rounds: int = ROUNDS):
+    """(classes of units, class bigram counts, classes of all other words) of the best round."""
+    spark, free = docs.sparkSession, n_classes - 1
+    get = shared(spark, units)
+    pairs = written(head_bigrams(docs, get))
+    with scratch() as held:
+        rows = written(word_rows(docs, get, n_classes))
+    heads = np.append(np.arange(units.heads) % free, free)
     best = None
     for turn in range(rounds + 1):
-        after, before, same = contexts(bigrams, classes, n_classes)
-        table = np.zeros((n_classes, n_classes))
-        np.add.at(table, classes, after)
+        with scratch() as left:
+            placed = written(met(rows, get, n_classes))
+        delete(spark, held)
+        classes = np.append(np.append(heads[:-1], np.zeros(units.size - len(heads), np.int64)), free)
+        known = placed.where("number >= 0").select("number", "class").toArrow()
+        classes[known["number"].to_numpy()] = known["class"].to_numpy()
+        after, before, same, table = contexts(placed, pairs, units, classes, n_classes)
+        np.add.at(table, heads, after)
         value = likelihood(table)
         if best is None or value > best[0]:
-            best = (value, classes, table)
+            best = (value, classes, table, written(placed.select("word", "number", "class", "n")))
         if turn < rounds:
-            classes = exchange(classes, after, before, same, n_classes)
-    return best[1], best[2]
+            heads, table = exchange(heads, after, before, same, table)
+            classes[:units.heads] = heads[:-1]
+            with scratch() as held:
+                rows = written(moved(placed, classes, table))
+            delete(spark, left)
+    return best[1:]
 
 
 def scores(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
@@ -258,43 +425,49 @@ def scores(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -> D
         least = row["level"] + 1 if reached > LOOKUP else least
         if reached > LOOKUP:
             break
-    top = counts.where(level >= least).toArrow()
-    words, n, ending = (top[c].to_numpy() for c in ("word", "n", "ending"))
+    end = int(END.astype(np.int64))
+    top = counts.where((level >= least) & (F.col("word") != end)).toArrow()
+    words, n = top["word"].to_numpy(), top["n"].to_numpy()
     order = np.lexsort((words, -n))
-    words, n, ending = words[order], n[order], ending[order]
-    heads = words[ending >= 0][:HEADS].view(U)
-    units = Units(heads)
-    by_hash = np.argsort(words.view(U))
-    lookup = words.view(U)[by_hash], n[by_hash]
-
-    bigrams = written(count_bigrams(train, shared(spark, units), units.size))
-    classes, table = cluster(bigrams, units.size, n_classes, rounds)
-
-    # tokens and words of each class: heads apart, the others by their ending's unit
-    group_rows = {r["ending"]: (r["n"], r["words"]) for r in counts.groupBy("ending").agg(
-        F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
-    tokens, kinds = np.zeros(units.size), np.zeros(units.size)
-    for e, (m, k) in group_rows.items():
-        tokens[e if e < 0 else len(heads) + e], kinds[e if e < 0 else len(heads) + e] = m, k
-    chosen = np.flatnonzero(ending >= 0)[:HEADS]
-    own = np.searchsorted(units.heads, words[chosen].view(U))
-    tokens[own], kinds[own] = n[chosen], 1
-    np.add.at(tokens, len(heads) + ending[chosen], -n[chosen])
-    np.add.at(kinds, len(heads) + ending[chosen], -1)
-    class_tokens = np.bincount(classes, weights=tokens, minlength=n_classes)
-    class_words = np.bincount(classes, weights=kinds, minlength=n_classes)
-    model = Model(units, classes, table, class_tokens, class_words)
-    get = shared(spark, (model, lookup))
+    words, n = words[order], n[order]
+    ends = counts.where(F.col("word") == end).first()
+    n = np.append(n, ends["n"] if ends else 0)
+    units = Units(words.view(U), HEADS)
+    classes, table, others = cluster(train, units, n_classes, rounds)
+
+    # tokens, words and words seen once of each class: those of heads and end, then all others'
+    head = np.append(np.arange(units.heads), units.size - 1)
+    sums = np.stack([np.bincount(classes[head], weights=w, minlength=n_classes)
+                     for w in (n[head], n[head] > 0, n[head] == 1)])
+    for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words"), F.sum(
+            (F.col("n") == 1).cast("long")).alias("once")).collect():
+        sums[:, r["class"]] += r["n"], r["words"], r["once"]
+    unknown = int(np.argmax(sums[2][:-1]))
+    model = Model(units, classes, table, sums[0], sums[1])
+    get = shared(spark, (model, n))
 
     rows = written(marked.withColumn("place", F.spark_partition_id()).select(
         "doc_id", "text", "place", "held_out").mapInArrow(
         score_rows(get), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, "
-                         "logs double, classes double, word long, n long"))
-    rare = rows.where("word is not null").select("row", "word", F.col("n").alias("times")).join(
-        counts.select(F.col("word").alias("known"), "n"), F.col("word") == F.col("known"), "left")
+                         "logs double, classes double, at long, word long, lead int, follow int"))
+    rest = others.where("number < 0").select(F.col("word").alias("known"), F.col("class"), "n")
+    rare = rows.where("word is not null").select("row", "at", "word", "lead", "follow").join(
+        rest, F.col("word") == F.col("known"), "left").select(
+        "row", "at", "lead", "follow", F.col("n"), F.coalesce("class", F.lit(unknown)).alias("own"))
+    # the word before may be one that only the join told
+    line = Window.partitionBy("row").orderBy("at")
+    rare = rare.withColumn("lead", F.when(F.col("lead") >= 0, F.col("lead")).otherwise(
+        F.lag("own").over(line)))
+
+    def listed(values) -> str:
+        return "array(" + ", ".join(f"{v!r}D" for v in np.asarray(values).ravel().tolist()) + ")"
+    steps = listed(model.transition)
+    of_class = F.expr(f"element_at({steps}, lead * {n_classes} + own + 1)") + F.expr(
+        f"if(follow >= 0, element_at({steps}, own * {n_classes} + greatest(follow, 0) + 1), 0D)"
+    ) - F.expr(f"element_at({listed(model.mass)}, own + 1)")
     found = rare.groupBy(F.col("row").alias("of")).agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more_logs"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"))
+        F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more_logs"),
+        F.sum(of_class).alias("more_classes"), F.count("n").alias("more_known"))
     whole = rows.where("word is null").join(found, F.col("row") == F.col("of"), "left")
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     base = float(np.log10(total + 0.1 * (distinct + 1)))
@@ -303,13 +476,14 @@ def scores(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -> D
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (logs + F.col("classes")).alias("score"))
+        (logs + F.col("classes") + F.coalesce("more_classes", F.lit(0.0))).alias("score"))
 
 
 def score_rows(get):
-    """For each document a row with what its task knows, and one for each of its other words."""
+    """For each document a row with what its frequent words give, and one for each place of its
+    other words with the classes of the frequent words around it."""
     def run(batches):
-        model, (words_known, counts) = get()
+        model, counts = get()
         units, place, row = model.units, 0, 0
 
         def keyed():
@@ -322,50 +496,40 @@ def score_rows(get):
                 yield pa.RecordBatch.from_arrays([ids, batch["text"]], ["key", "text"])
         for keys, texts in pieces(keyed()):
             words = Words(texts)
-            n_docs, n = len(texts), len(words.hashes)
-            doc = np.repeat(np.arange(n_docs), words.counts)
-            frequent, times = np.zeros(n, bool), np.zeros(n)
-            end = 0
-            if len(words_known):
-                near = np.minimum(np.searchsorted(words_known, words.hashes), len(words_known) - 1)
-                frequent = words_known[near] == words.hashes
-                times = np.where(frequent, counts[near], 0)
-                at = min(int(np.searchsorted(words_known, END)), len(words_known) - 1)
-                end = int(counts[at]) if words_known[at] == END else 0
+            n_docs, lengths = len(texts), words.counts + 1
+            line, number, begins = units.sequence(words)
+            # a document's tokens are its words and its end; the end before it is a neighbour
+            doc, token = np.repeat(np.arange(n_docs), lengths), np.arange(1, len(line))
+            frequent = number[token] >= 0
+            times = np.where(frequent, counts[number[token]], 0)
             logs = np.bincount(doc, weights=np.where(frequent, np.log10(times + 0.1), 0.0),
-                               minlength=n_docs) + np.log10(end + 0.1)
-            known = np.bincount(doc, weights=frequent, minlength=n_docs).astype(np.int64) + (end > 0)
-            line, begins = units.sequence(words)
-            kinds = model.classes[line]
-            steps = np.concatenate([[0], np.cumsum(
-                model.transition[kinds[:-1], kinds[1:]] - model.mass[kinds[1:]])])
-            lengths = words.counts + 1
-            of_classes = steps[begins + lengths] - steps[begins]
+                               minlength=n_docs)
+            known = np.bincount(doc, weights=times > 0, minlength=n_docs).astype(np.int64)
+            kinds = np.where(number >= 0, model.classes[number], -1)
+            both = frequent & (number[token - 1] >= 0)
+            step = np.where(both, model.transition[kinds[token - 1], kinds[token]], 0.0) - np.where(
+                frequent, model.mass[kinds[token]], 0.0)
+            of_classes = np.bincount(doc, weights=step, minlength=n_docs)
             names = place + row + np.arange(n_docs)
             row += n_docs
             held = [k["held_out"] for k in keys]
             yield rows_of(names, [k["doc_id"] for k in keys], held, lengths, known, logs,
-                          of_classes, None, None)
-            rest = np.flatnonzero(~frequent)
-            pairs = np.stack([doc[rest], signed(words.hashes[rest])], 1)
-            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[order]
-            fresh = np.ones(len(pairs), bool)
-            fresh[1:] = (pairs[1:] != pairs[:-1]).any(1)
-            at = np.flatnonzero(fresh)
+                          of_classes, None, None, None, None)
+            at = token[~frequent]
             if len(at):
-                yield rows_of(names[pairs[at, 0]], None, None, None, None, None, None,
-                              pairs[at, 1], np.diff(np.append(at, len(pairs))))
+                yield rows_of(names[doc[~frequent]], None, None, None, None, None, None, at,
+                              signed(line[at]), kinds[at - 1], kinds[at + 1])
     return run
 
 
 def rows_of(names, *columns) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(),
-             pa.int64(), pa.int64())
+             pa.int64(), pa.int64(), pa.int32(), pa.int32())
     filled = [pa.nulls(len(names), k) if c is None else pa.array(c, k)
               for c, k in zip(columns, kinds)]
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *filled], [
-        "row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "classes", "word", "n"])
+        "row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "classes", "at", "word", "lead",
+        "follow"])
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from capture_analytics.llm import (
-    bpe, brown, fmindex, idfiles, jaccard, langid, licenses, phrases, tables, topk, toxic)
+    bpe, brown, fmindex, idfiles, jaccard, langid, licenses, phrases, tables, tokens, topk, toxic)
 from tests.llm.conftest import CLASH, PASSAGE, ROWS, table
 
 
@@ -318,3 +318,27 @@ def test_pipeline_stages(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, folder)
     assert rows(out, "doc_id", "decoded_sha256") == in_order(
         (i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in left)
+
+
+def test_every_training_word_is_a_unit(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HEADS", 4)
+    monkeypatch.setattr(brown, "LOOKUP", 12)
+    rng = np.random.default_rng(9)
+    # words of two kinds take turns, so the classes can be told from the neighbours only
+    data = [(i, " ".join(f"{'ab'[k % 2]}{rng.integers(40)}xyz" for k in range(30))) for i in range(80)]
+    docs_ = table(spark, data)
+    units = brown.Units(np.array([], np.uint64))
+    classes, bigrams, others = brown.cluster(docs_.select("doc_id", "text"), units, 3)
+    seen = {w for _, t in data for w in t.split()}
+    assert others.count() == len(seen) and classes.tolist() == [2]
+    assert bigrams.sum() == 80 * 31
+    own = {r["word"]: r["class"] for r in others.collect()}
+    kinds = [{own[int(tokens.Words([w]).hashes.view(np.int64)[0])] for w in seen if w[0] == k}
+             for k in "ab"]
+    assert kinds in ([{0}, {1}], [{1}, {0}])
+    # scores do not depend on which words are broadcast
+    some = rows(brown.scores(docs_, 3, 0), "doc_id", "n_known", "base_score")
+    monkeypatch.setattr(brown, "LOOKUP", 1 << 18)
+    every = rows(brown.scores(docs_, 3, 0), "doc_id", "n_known", "base_score")
+    assert [r[:2] for r in some] == [r[:2] for r in every]
+    assert np.allclose([r[2] for r in some], [r[2] for r in every])
