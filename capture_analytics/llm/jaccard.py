@@ -20,6 +20,10 @@ here on, told by a hash of the whole set, and their documents come back at the e
    blocks. So each pair is either compared or already
    connected, and no more than one edge for each visitor and part is made.
 5. The components of the links, with the smallest document of their classes, are the result.
+6. Number of links. Parts do not tell how many links there are, so for the join every class also
+   visits all slices of its group, in the same blocks and under the bounds of lengths and overlaps
+   alone. Each class that it links to counts with its documents, and so do the other documents of
+   its own class.
 
 Cases: null and empty texts have an empty set, link with nothing and are their own component; fewer
 than five words are one shingle; rows that repeat a doc_id are separate rows of the same
@@ -380,6 +384,29 @@ class Tree:
                 stack.append((following, at, overlap))
 
 
+    def linked(self, keys: np.ndarray, n: int):
+        """Every set of the tree that the set links to."""
+        percent = self.percent
+        smallest, largest = required(n, percent), 100 * n // percent
+        stack = [(self.root, 0, 0)]
+        while stack:
+            node, at, overlap = stack.pop()
+            if node.most < smallest or node.least > largest:
+                continue
+            if len(node.part):
+                place = np.searchsorted(keys[at:], node.part) + at
+                inside = place < len(keys)
+                overlap += int((keys[place[inside]] == node.part[inside]).sum())
+                at = int(place[-1]) + bool(inside[-1] and keys[place[-1]] == node.part[-1])
+            needed = -(-percent * (n + max(node.least, smallest)) // (100 + percent))
+            if overlap + min(node.rest, len(keys) - at) < needed:
+                continue
+            for other in node.ends:
+                if 100 * overlap >= percent * (n + self.sizes[other] - overlap):
+                    yield other
+            stack.extend((c, at, overlap) for c in node.children.values())
+
+
 def tree_links(members, visitors, percent: int) -> list[tuple[int, int]]:
     """Links (class, class) that join all parts of the members, (class, n, keys, label), and one to
     each other part that a visitor links to. Equal labels are parts that are known already."""
@@ -405,13 +432,23 @@ def tree_links(members, visitors, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def slice_links(percent: int):
-    """a, b: the links of each slice, whose members come before its visitors."""
+def tree_counts(members, visitors, percent: int) -> list[tuple[int, int]]:
+    """(class, documents of all members that it links to) of each visitor; the label of a member,
+    (class, n, keys, label), is the number of its documents."""
+    tree = Tree(percent)
+    for _, n, keys, _ in members:
+        tree.insert(tree.new(n), keys)
+    return [(name, sum(members[i][3] for i in tree.linked(keys, n) if members[i][0] != name))
+            for name, n, keys, _ in visitors]
+
+
+def slice_rows(percent: int, of_slice, names: tuple[str, str]):
+    """The pairs that `of_slice` gives for each slice, whose members come before its visitors."""
     def closed(members, visitors):
-        pairs = tree_links(members, visitors, percent)
+        pairs = of_slice(members, visitors, percent)
         return pa.RecordBatch.from_arrays([
             pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
-            ["a", "b"])
+            list(names))
 
     def run(batches):
         own, sides = None, ([], [])
@@ -431,8 +468,25 @@ def slice_links(percent: int):
     return run
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: links between classes that connect every two linked classes."""
+COLUMNS = ("root", "slice", "block", "visits", "class", "n", "keys", "label")
+
+
+def visit(members: DataFrame, visitors: DataFrame, percent: int, of_slice, names) -> DataFrame:
+    """What the slices give when visitors meet the members of the same slice and block."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = members.select(*COLUMNS).unionByName(visitors.select(*COLUMNS))
+    return placed.repartition(n, "root", "slice", "block").sortWithinPartitions(
+        "root", "slice", "block", "visits").mapInArrow(
+        slice_rows(percent, of_slice, names), ", ".join(f"{name} long" for name in names))
+
+
+def every_slice():
+    return F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+
+
+def groups_of(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The sets of all classes that may link, with the group `root` that holds all partners of a
+    class, the group's number of slices and leader, and the class's slice."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens, rows = docs.select("doc_id", "text"), "token long, n long, class long"
@@ -463,20 +517,31 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     shape = grouped.groupBy(F.col("root").alias("of")).agg(F.ceil(F.sum(F.size(
         "keys")) / SLICE_SHINGLES).cast("int").alias("slices"), F.max_by(
             "class", F.struct(F.col("prefix") / F.col("n"), "class")).alias("leader"))
-    grouped = written(grouped.join(shape, F.col("root") == F.col("of")).drop("of").withColumn(
+    return written(grouped.join(shape, F.col("root") == F.col("of")).drop("of").withColumn(
         "slice", F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")))
 
-    def visit(members: DataFrame, visitors: DataFrame) -> DataFrame:
-        placed = members.unionByName(visitors)
-        return placed.repartition(n, "root", "slice", "block").sortWithinPartitions(
-            "root", "slice", "block", "visits").mapInArrow(slice_links(percent), "a long, b long")
 
-    columns = ["root", "slice", "block", "visits", "class", "n", "keys", "label"]
+def link_counts(grouped: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """class, links: to how many documents of other classes the documents of a class link."""
+    sized = grouped.join(classes.select(F.col("class").alias("known"), F.col("size").alias("label")),
+                         F.col("class") == F.col("known")).drop("known")
+    shape = grouped.groupBy(F.col("root").alias("of")).agg(F.ceil(F.count("*") / BLOCK_VISITORS).cast(
+        "int").alias("blocks"))
+    sized = written(sized.join(shape, F.col("root") == F.col("of")).drop("of"))
+    members = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
+        "visits", F.lit(False))
+    visitors = sized.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast(
+        "int")).withColumn("slice", every_slice()).withColumn("visits", F.lit(True))
+    return visit(members, visitors, percent, tree_counts, ("class", "links")).groupBy("class").agg(
+        F.sum("links").alias("links"))
+
+
+def links(grouped: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: links between classes that connect every two linked classes."""
     own = grouped.withColumns({"block": F.lit(0), "visits": F.lit(False), "label": F.col("class")})
-    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    lead = grouped.where("slices > 1 and class = leader").withColumn("slice", every).withColumns(
+    lead = grouped.where("slices > 1 and class = leader").withColumn("slice", every_slice()).withColumns(
         {"block": F.lit(0), "visits": F.lit(True), "label": F.col("class")})
-    first = written(visit(own.select(columns), lead.select(columns)))
+    first = written(visit(own, lead, percent, tree_links, ("a", "b")))
 
     large = grouped.where("slices > 1")
     if large.limit(1).count() == 0:
@@ -495,27 +560,37 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
         "visits", F.lit(False))
     visitors = strays.join(blocks, F.col("root") == F.col("of")).withColumn(
         "block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int")).withColumn(
-        "slice", every).withColumn("visits", F.lit(True))
-    return first.unionByName(visit(members.select(columns), visitors.select(columns)))
+        "slice", every_slice()).withColumn("visits", F.lit(True))
+    return first.unionByName(visit(members, visitors, percent, tree_links, ("a", "b")))
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id of every document."""
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, counted: bool = False) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id of every document; with `counted` also n_links,
+    the number of other rows whose texts link to it."""
     plain = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
     rows = written(plain.select("doc_id", "text", "text_hash").mapInArrow(
         class_rows, "doc_id long, text_hash long, n long, low long, class long"))
     classes = written(rows.groupBy("class").agg(
-        F.first("n").alias("n"), F.first("low").alias("low"), F.min("doc_id").alias("least")))
-    roots = components(links(plain, classes, percent))
+        F.first("n").alias("n"), F.first("low").alias("low"), F.min("doc_id").alias("least"),
+        F.count("*").alias("size")))
+    grouped = groups_of(plain, classes, percent)
+    roots = components(links(grouped, percent))
     placed = classes.where("n > 0").join(roots, F.col("class") == F.col("node"), "left").select(
-        "class", "least", F.coalesce("root", "class").alias("root"))
+        "class", "least", "size", F.coalesce("root", "class").alias("root"))
     smallest = placed.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
     of_class = placed.join(smallest, F.col("root") == F.col("of")).select(
-        F.col("class").alias("of_class"), "component_id")
-    return rows.join(of_class, F.col("class") == F.col("of_class"), "left").select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias(
-            "component_id"))
+        F.col("class").alias("of_class"), "component_id", "size")
+    names = ["doc_id", "text_hash", "n_shingles", "component_id"]
+    if counted:
+        found = link_counts(grouped, classes, percent).withColumnRenamed("class", "linked")
+        of_class = of_class.join(found, F.col("of_class") == F.col("linked"), "left").withColumn(
+            "n_links", F.coalesce("links", F.lit(0)) + F.col("size") - 1)
+        names.append("n_links")
+    out = rows.join(of_class, F.col("class") == F.col("of_class"), "left").withColumn(
+        "n_shingles", F.col("n")).withColumn("component_id", F.when(
+            F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select(*[F.coalesce("n_links", F.lit(0)).alias(c) if c == "n_links" else c
+                        for c in names])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -525,7 +600,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir)).drop("text_hash")
+    return jaccard_components(documents(spark, sf_dir), counted=True).drop("text_hash")
 
 
 # What the operator must give, in plain Python; the tests hold it against this.

@@ -342,3 +342,31 @@ def test_every_training_word_is_a_unit(spark, monkeypatch):
     every = rows(brown.scores(docs_, 3, 0), "doc_id", "n_known", "base_score")
     assert [r[:2] for r in some] == [r[:2] for r in every]
     assert np.allclose([r[2] for r in some], [r[2] for r in every])
+
+
+def link_numbers(data):
+    sets = []
+    for _, text in data:
+        words = (text or "").encode().lower().split()
+        runs = {tuple(words[i:i + 5]) for i in range(len(words) - 4)}
+        sets.append(runs or ({tuple(words)} if words else set()))
+    return [(data[i][0], sum(i != j and bool(a) and 5 * len(a & b) >= 4 * len(a | b)
+                             for j, b in enumerate(sets))) for i, a in enumerate(sets)]
+
+
+def test_jaccard_counts_every_link(spark, docs, monkeypatch):
+    assert rows(jaccard.jaccard_components(docs, counted=True), "doc_id", "n_links") == in_order(
+        link_numbers(ROWS))
+    monkeypatch.setattr(jaccard, "SLICE_SHINGLES", 700)
+    monkeypatch.setattr(jaccard, "BLOCK_VISITORS", 7)
+    rng = np.random.default_rng(5)
+    data = []
+    for group in range(2):
+        for k in range(40):
+            copy = [f"g{group}w{i}" for i in range(60)]
+            for at in rng.integers(0, 60, k % 4):
+                copy[at] = f"edit{rng.integers(5)}"
+            data.append((group * 1000 + k, " ".join(copy)))
+    data += [(2000 + i, data[7][1]) for i in range(3)]
+    found = jaccard.jaccard_components(table(spark, data, 4), counted=True)
+    assert rows(found, "doc_id", "n_links") == in_order(link_numbers(data))
