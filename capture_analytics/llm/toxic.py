@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Fit: of the labelled training rows at most `EXAMPLES` (by the order of a hash of their id) are
-taken as examples; near copies among them, told by a common smallest shingle, count once. Words
-that separate the classes (a corrected chi-squared of `CHI` and twice the rate among toxic
+taken as examples; those with equal sets of words and the same label count once, as the one with
+the smallest id, and all others stay. Words that separate the classes (a corrected chi-squared of `CHI` and twice the rate among toxic
 examples) become the terms, so a document's few telling words are not drowned by all others.
 Examples are TF-IDF vectors of unit length over the terms, ordered so that alike ones are close,
 and cut into blocks; the inverted index holds, for each term and block, its postings and the
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from capture_analytics.llm.tables import (
     documents, hash_sample, id_and_text, pieces, remainder, shared, without)
-from capture_analytics.llm.tokens import ALNUM, Words, shingles, signed
+from capture_analytics.llm.tokens import ALNUM, Words, signed
 
 EXAMPLES = 16_384
 TERMS = 4_096
@@ -43,23 +43,20 @@ SCORES = ("doc_id long, text_hash long, score double, predicted int, "
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (smallest 5-word shingle), terms array<struct<term, n>> of few documents."""
+    """doc_id, terms array<struct<term, n>>, by term, of few documents."""
     def count(batches):
         for ids, texts in pieces(batches):
             words = Words(texts, ALNUM)
-            runs = shingles(words.hashes, 5)
-            rows, copies = [], []
+            rows = []
             for a, b in zip(words.first[:-1], words.first[1:]):
                 term, n = np.unique(signed(words.hashes[a:b]), return_counts=True)
                 rows.append([{"term": t, "n": c} for t, c in zip(term.tolist(), n.tolist())])
-                own = signed(runs[a:b - 4]) if b - a >= 5 else term
-                copies.append(int(own.min()) if len(own) else 0)
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array(copies, pa.int64()),
+                pa.array(ids, pa.int64()),
                 pa.array(rows, pa.list_(pa.struct([("term", pa.int64()), ("n", pa.int64())])))],
-                ["doc_id", "copy", "terms"])
+                ["doc_id", "terms"])
     return id_and_text(docs).mapInArrow(
-        count, "doc_id long, copy long, terms array<struct<term:long,n:long>>")
+        count, "doc_id long, terms array<struct<term:long,n:long>>")
 
 
 class Index:
@@ -166,8 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     counted = word_counts(id_and_text(docs).join(
         F.broadcast(sample.select(F.col("doc_id").alias("labelled"))),
         F.col("doc_id") == F.col("labelled"), "left_semi"))
-    single = counted.groupBy("copy").agg(F.min_by(F.struct("doc_id", "terms"), "doc_id").alias(
-        "one")).select("one.*").join(F.broadcast(sample), "doc_id").persist()
+    # copies are told by all their words, never by a passage that they share
+    single = counted.join(F.broadcast(sample), "doc_id").groupBy(
+        F.col("terms.term").alias("copy"), "toxic").agg(F.min_by(
+            F.struct("doc_id", "terms"), "doc_id").alias("one")).select("one.*", "toxic").persist()
     sizes = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(
         F.count("*").alias("n")).collect()}
     chosen = select_terms(single, sizes.get(1, 0), sizes.get(0, 0), terms)

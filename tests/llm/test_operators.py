@@ -370,3 +370,17 @@ def test_jaccard_counts_every_link(spark, docs, monkeypatch):
     data += [(2000 + i, data[7][1]) for i in range(3)]
     found = jaccard.jaccard_components(table(spark, data, 4), counted=True)
     assert rows(found, "doc_id", "n_links") == in_order(link_numbers(data))
+
+
+def test_examples_that_share_a_passage_stay(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:62]
+    data = [(i, f"{PASSAGE} " + ("grok blarg vile" if k % 2 else f"calm{k} kind{k}"))
+            for k, i in enumerate(ids[:60])]
+    # equal word sets count once for each label
+    data += [(ids[60], data[1][1]), (ids[61], data[0][1])]
+    labels = spark.createDataFrame(
+        [(i, 1, int("vile" in t)) for i, t in data[:61]] + [(ids[61], 1, 1)],
+        "doc_id long, quality int, toxic int")
+    index = toxic.fit(table(spark, data), labels)
+    # one of the toxic copies, 30 clean examples, and the toxic one with a clean one's words
+    assert math.isclose(index.share, 2 / 32)
