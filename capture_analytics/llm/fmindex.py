@@ -259,7 +259,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """doc_id, text_hash, n_words, spans and items of every document: the words covered by any
     occurrence of a benchmark window, as merged [begin, end) word numbers, and its items' ids."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"),
-                             F.col("text").cast("string").alias("text"))
+                             F.col("text").cast("string").alias("text")).distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars) or 1
     number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))

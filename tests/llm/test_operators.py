@@ -384,3 +384,12 @@ def test_examples_that_share_a_passage_stay(spark):
     index = toxic.fit(table(spark, data), labels)
     # one of the toxic copies, 30 clean examples, and the toxic one with a clean one's words
     assert math.isclose(index.share, 2 / 32)
+
+
+def test_repeated_benchmark_rows_fill_no_block(spark, docs, monkeypatch):
+    blocks, search = [], fmindex.block_spans
+    monkeypatch.setattr(fmindex, "block_spans", lambda d, items, w: (
+        blocks.append(items), search(d, items, w))[1])
+    benchmark = spark.createDataFrame([*BENCHMARK, *[BENCHMARK[0]] * 50], "item_id string, text string")
+    fmindex.contaminated_spans(docs, benchmark, block_chars=10)
+    assert sorted(map(repr, sum(blocks, []))) == sorted(map(repr, BENCHMARK))
