@@ -2,19 +2,19 @@
 
 Tags are cut out with regular expressions that never backtrack over a whole page
 (possessive quantifiers, one pass each), so text, title, links, form fields and apply
-targets need no Python. Only selector matching needs a tree; see `operators.pages`.
+targets need no Python; neither does selector matching, see `functions.selectors`.
 """
 
 from __future__ import annotations
 
 import html as standard
 import json
-from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from capture_analytics.functions import elements
 from capture_analytics.functions.base import let
 from capture_analytics.functions.text import filled
 from capture_analytics.functions.urls import absolute_url
@@ -25,10 +25,6 @@ HIDDEN = ("script", "style", "head", "noscript", "template")
 INLINE = ("a", "abbr", "b", "bdi", "cite", "code", "em", "font", "i", "kbd", "label", "mark", "q",
           "s", "small", "span", "strong", "sub", "sup", "u", "var")
 CANDIDATE_TEXT = 100
-# elements without content, and those that a further opening tag of the same name ends
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track",
-        "wbr")
-UNNESTED = ("a", "button")
 INPUT_TYPES = ("button", "checkbox", "color", "date", "datetime-local", "email", "file", "hidden",
                "image", "month", "number", "password", "radio", "range", "reset", "search",
                "submit", "tel", "text", "time", "url", "week")
@@ -127,65 +123,35 @@ def open_tags(html: Column, tags: str) -> Column:
         attributes(F.regexp_extract(t, rf"(?is)^<[A-Za-z][A-Za-z0-9]*{_ATTRS}/?>$", 1)).alias("attrs")))
 
 
-def _content(tag: Column, rest: Column) -> Column:
-    """What lies in an element, given all html behind its opening tag.
-
-    A link or button ends where the next of its kind opens or closes. Of other elements the tags
-    of the same name are counted until the one that closes it; one never closed takes the rest.
-    """
-    def nested(parts: Column) -> Column:
-        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken"))
-
-        def step(s: Column, part: Column) -> Column:
-            closes = part.startswith("</")
-            inside = F.when(s["taken"] == 0, s["depth"]).otherwise(
-                s["depth"] + F.when(closes, -1).otherwise(1))
-            ended = (s["depth"] == 0) | (inside == 0)
-            return F.struct(F.when(ended, F.lit(0)).otherwise(inside).alias("depth"),
-                            (s["taken"] + F.when(ended, 0).otherwise(1)).alias("taken"))
-        # a blank in front: the first part is text
-        return F.array_join(F.slice(parts, 1, F.aggregate(parts, start, step)["taken"]), "")
-
-    ends = F.lit(None).cast("string")
-    for name in UNNESTED:
-        ends = F.when(tag == name, F.try_element_at(
-            F.split(rest, rf"(?i)</?{name}(?=[\s/>])", 2), F.lit(1))).otherwise(ends)
-    by_depth = let(F.split(F.concat(F.lit(" "), rest), F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])"))), nested)
-    return F.when(tag.isin(*VOID), F.lit("")).when(tag.isin(*UNNESTED), ends).otherwise(by_depth)
-
-
 def interactive_elements(html: Column) -> Column:
     """Links, buttons and elements with the button role, as `(tag, attrs, text)`.
 
-    The page is cut in front of every such opening tag. The text of an element is all that lies
-    between its tag and the one that closes it, other elements included.
+    The page is cut into tokens once; only tags of the names that such elements have are matched. The
+    text of an element is all that lies in its range of tokens, other elements included.
     """
-    cut = (r"(?is)(?=<(?:(?:a|button)[\s>]"
-           r"|[a-z][a-z0-9]*+\s[^>]*\brole\s*=\s*[\"']?button\b))")
-
-    # Two steps, each an array of its own: what a step binds is computed once per element.
-    def piece(chunks: Column) -> Callable[[Column, Column], Column]:
-        return lambda chunk, i: F.struct(
-            F.lower(F.regexp_extract(chunk, r"^<([A-Za-z][A-Za-z0-9]*)", 1)).alias("tag"),
-            F.regexp_extract(chunk, _OPENING, 0).alias("opening"), i.alias("at"))
-
-    def element(chunks: Column) -> Callable[[Column], Column]:
-        def read(e: Column) -> Column:
-            whole = F.array_join(F.slice(chunks, e["at"] + 1, F.size(chunks)), "")
-            rest = F.substr(whole, F.length(e["opening"]) + 1)
-            return F.struct(
-                e["tag"], attributes(F.regexp_extract(e["opening"], _OPENING, 1)).alias("attrs"),
-                plain_text(let(rest, lambda r: _content(e["tag"], r))).alias("text"))
-        return read
-
-    def steps(chunks: Column) -> Column:
-        # the first chunk is what lies before the first cut; it is no element of its own
-        pieces = F.filter(F.transform(chunks, piece(chunks)), lambda e: e["opening"] != "")
-        return F.filter(F.transform(pieces, element(chunks)),
-                        lambda e: e["tag"].isin("a", "button")
+    opening = r"(?is)^<(?:(?:a|button)[\s/>]|[a-z][^\s/>]*+\s[^>]*\brole\s*=\s*[\"']?button\b)"
+
+    def element(page: Column, cut: Column, span: Column) -> Column:
+        token, n = F.element_at(page, span["first"] + 1), span["last"] - span["first"]
+        inside = F.when(n > 0, elements.part(cut, elements.TEXT_BLOCK, span["first"] + 1, n))
+        return F.struct(
+            F.lower(F.regexp_extract(token, r"^<([A-Za-z][^\s/>]*)", 1)).alias("tag"),
+            attributes(F.regexp_extract(token, _OPENING, 1)).alias("attrs"),
+            plain_text(filled(F.array_join(inside, ""))).alias("text"))
+
+    def steps(page: Column) -> Column:
+        names = F.array_distinct(F.transform(
+            F.filter(page, lambda t: t.rlike(opening)),
+            lambda t: F.lower(F.regexp_extract(t, r"^<([A-Za-z][^\s/>]*)", 1))))
+        spans = let(names, lambda wanted: F.when(F.size(wanted) > 0, elements.ranges(
+            elements.tags(page, wanted), F.size(page))).otherwise(F.array().cast(elements.RANGES)))
+        likely = F.filter(spans, lambda s: F.element_at(page, s["first"] + 1).rlike(opening))
+        found = let(elements.blocks(page, elements.TEXT_BLOCK), lambda cut: F.transform(
+            likely, lambda s: element(page, cut, s)))
+        return F.filter(found, lambda e: e["tag"].isin("a", "button")
                         | (F.coalesce(attribute(e["attrs"], "role"), F.lit("")) == "button"))
 
-    return let(F.split(without_hidden(html), cut), steps)
+    return let(elements.tokens(without_hidden(html)), steps)
 
 
 def page_links(html: Column, base: Column) -> Column:

@@ -191,3 +191,74 @@ def test_capture(spark):
     assert (row.discovered, row.candidate_ready_selector) == ({"title": "h1.job-title"}, "h1.job-title")
     row = ops.capture_result(_profiled(spark, html, job={"title": "h1"}, ready="h1")).first()
     assert (row.discovered, row.candidate_ready_selector, row.job_data_matched) == (None, None, ["title"])
+
+
+@pytest.mark.parametrize("html, selector, text", [
+    ("<section><div class=x>in</section>out</div>", ".x", "in"),          # an outer end tag closes
+    ("<div class=x>a</span>b</div>c", ".x", "ab"),                         # an end tag without a start
+    ("<p class=x>one<div>two</div>", ".x", "one"),                         # a block ends a paragraph
+    ("<div class=x>a<br>b<img src='>'>c</div>", ".x", "abc"),
+    ("<div class=x>1 < 2 &amp; 3<!-- </div> --></div>", ".x", "1 < 2 & 3"),
+    ("<DIV CLASS='a  x'>t</DIV>", "div.x", "t"), ("<div class=X>t</div>", ".x", None),
+    ("<div class='a&#45;b'>t</div>", ".a-b", "t"),                         # a name behind a reference
+    ("<div><i>no</i></div><i>no</i><ul><li><i>yes</i></li></ul>", "ul li i", "yes"),
+    ("<div><div><b>t</b></div></div>", "div div b", "t"), ("<div><b>t</b></div>", "div div b", None),
+    ("<noscript><i>x</i></noscript>", "i", ""), ("<a/>after", "a", ""), ("", "a", None), ("<", "a", None),
+])
+def test_selectors_on_awkward_markup(spark, html, selector, text):
+    df = spark.createDataFrame([(html, [selector])], "html string, s array<string>")
+    match = df.select(match_selectors(F.col("html"), F.col("s")).alias("m")).first().m[0]
+    assert (match.found, match.text) == (text is not None, text)
+
+
+def test_ranges_nest(spark):
+    """Ranges of a random page equal those of a plain stack."""
+    import random
+    from capture_analytics.functions import elements as E
+    random.seed(3)
+    names = ["div", "p", "span", "a", "br", "li", "button"]
+    html = "".join(random.choice([f"<{n}>", f"</{n}>", "text", f"<{n} x='>'>"])
+                   for n in random.choices(names, k=700))
+    tokens, stack, expected = E.tokens(F.col("html")), [], {}
+    row = spark.createDataFrame([(html,)], "html string").select(
+        tokens.alias("t"), E.ranges(E.tags(tokens), F.size(tokens)).alias("r")).first()
+    assert "".join(row.t) == html
+
+    def close(depth, last):
+        while len(stack) > depth:
+            expected[stack.pop()[1]] = last
+    for i, token in enumerate(row.t):
+        if not token.startswith("<"):
+            continue
+        name = token.strip("</>").split()[0]
+        places = [d for d, (n, _) in enumerate(stack) if n == name]
+        if token.startswith("</"):
+            if places:
+                close(places[-1], i)
+            continue
+        if name in E.UNNESTED and places:
+            close(places[-1], i - 1)
+        elif name in E.CLOSES_P and stack and stack[-1][0] == "p":
+            close(len(stack) - 1, i - 1)
+        if name in E.VOID:
+            expected[i] = i
+        else:
+            stack.append((name, i))
+    close(0, len(row.t) - 1)
+    assert [(r["first"], r["last"]) for r in row.r] == sorted(expected.items())
+
+
+def test_a_page_of_many_links(spark):
+    html = "".join(f"<div><a href='/l{i}'>link <b>{i}</b></a><p>text</div>" for i in range(3000))
+    df = spark.createDataFrame([(html,)], "html string")
+    links = df.select(H.page_links(F.col("html"), F.lit("http://e.com/")).alias("x")).first().x
+    assert [x.text for x in links] == [f"link {i}" for i in range(3000)]
+    found = df.select(match_selectors(F.col("html"), F.array(F.lit("div a[href='/l2999'] b"))).alias("x"))
+    assert found.first().x[0].text == "2999"
+
+
+@pytest.mark.parametrize("name", ["selector_check", "selector_discovery", "apply_url", "capture_class"])
+def test_selectors_need_no_python(spark, name):
+    from capture_analytics.plans import PLANS
+    plan = PLANS[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
