@@ -1,21 +1,30 @@
 """Order-dependent operators that survive hot keys.
 
 A plain window over `key` puts all rows of that key into one task. Here every key is
-first cut into segments, a monotone function of the order column (a minute of a
-timestamp, a block of 1 024 turns). Rows are shuffled by (key, segment) and windowed
-inside their segment; only one summary row per segment is ordered per key, and its value
-is joined back. The result equals the plain window, whatever the key distribution.
+first cut into segments, monotone in the order: a block of 1 024 turns, or a range of the
+order of all rows by key and position, between splitters that a sample gives. Rows are
+shuffled by (key, segment) and windowed inside their segment; only one summary row per
+segment is ordered per key, and its value is joined back. The result equals the plain
+window, whatever share of the rows has one key, and whatever share of those one timestamp.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from capture_analytics.functions.base import let
 
 TURN_BLOCK = 1024
+RANGE_ROWS = 1 << 16    # rows of a range
+MOST_RANGES = 1 << 12   # at most so many ranges; they grow with the rows beyond that
+RANGE_SAMPLE = 32       # sampled positions for each range
 SEGMENT = "_segment"
 
 
@@ -46,9 +55,58 @@ class Sequenced:
         return df.join(summary, [*self.keys, SEGMENT], "left")
 
 
-def by_time(keys: Sequence[str], time: str, tiebreak: str, unit: str = "minute") -> Sequenced:
-    """Rows ordered by a timestamp, cut into minutes (or another unit)."""
-    return Sequenced(keys, (time, tiebreak), lambda: F.date_trunc(unit, F.col(time)))
+class Ranged(Sequenced):
+    """Segments are ranges of the order by key and position, of about `RANGE_ROWS` rows each.
+
+    A sample of at most about MOST_RANGES x RANGE_SAMPLE positions gives the splitters; the tag of a
+    row depends on its position and the splitters alone, so a task that runs again gives the same.
+    """
+
+    def tagged(self, df: DataFrame) -> DataFrame:
+        place = F.struct(*self.keys, *self.order)
+        splitters = self._splitters(df, place)
+        if not splitters:
+            return df.withColumn(SEGMENT, F.lit(0))
+        known = F.from_json(F.lit(f"[{','.join(splitters)}]"), ArrayType(
+            df.select(place.alias("place")).schema["place"].dataType), _EXACT)
+        return df.withColumn(SEGMENT, let(place, lambda own: _rank(known, len(splitters), own)))
+
+    def _splitters(self, df: DataFrame, place: Column) -> list[str]:
+        """Positions that cut the rows into ranges, as json; one position is not split further."""
+        n = df.count()
+        ranges = min(MOST_RANGES, -(-n // RANGE_ROWS))
+        if ranges <= 1:
+            return []
+        share = min(1.0, ranges * RANGE_SAMPLE / n)
+        hashed = F.shiftrightunsigned(F.xxhash64(*self.keys, *self.order), 2)
+        sample = df.where(hashed < int(2 ** 62 * share)).groupBy(place.alias("place")).count().orderBy(
+            "place").select(F.to_json("place", _EXACT), "count").collect()
+        reached = list(itertools.accumulate(r[1] for r in sample))
+        wanted = sorted({bisect.bisect_left(reached, k * reached[-1] / ranges)
+                         for k in range(1, ranges)}) if sample else []
+        return [sample[i][0] for i in wanted]
+
+
+_EXACT = {f"{kind}Format": f"yyyy-MM-dd'T'HH:mm:ss.SSSSSS{zone}"
+          for kind, zone in (("timestamp", "XXX"), ("timestampNTZ", ""))}
+
+
+def _rank(splitters: Column, n: int, place: Column) -> Column:
+    """How many of the sorted splitters are not above a position, by halving."""
+    def step(s: Column, _: Column) -> Column:
+        def halved(middle: Column) -> Column:
+            above = F.element_at(splitters, middle + 1) > place
+            return F.struct(F.when(above, s["low"]).otherwise(middle + 1).alias("low"),
+                            F.when(above, middle).otherwise(s["high"]).alias("high"))
+        return F.when(s["low"] >= s["high"], s).otherwise(
+            let(F.floor((s["low"] + s["high"]) / 2).cast("int"), halved))
+    turns = F.sequence(F.lit(1), F.lit(n.bit_length()))
+    return F.aggregate(turns, F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), step)["low"]
+
+
+def by_time(keys: Sequence[str], time: str, tiebreak: str) -> Sequenced:
+    """Rows ordered by a timestamp and a tiebreak, cut into ranges of bounded length."""
+    return Ranged(keys, (time, tiebreak), lambda: F.lit(0))
 
 
 def by_number(keys: Sequence[str], number: str, block: int = TURN_BLOCK) -> Sequenced:

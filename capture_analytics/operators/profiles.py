@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capture_analytics.functions.urls import apply_rule_array, java_replacement, url_host
-from capture_analytics.operators.ordered import Sequenced, first_per_key, run_lengths
+from capture_analytics.operators.ordered import (
+    SEGMENT, Sequenced, by_time, first_per_key, run_lengths)
 
 # Consecutive sightings a selector needs before it is trusted (fixed value).
 PROBATION = 2
 
+STRETCH = 256  # observations that are folded together
+
 
 # ---- profiles ---------------------------------------------------------------------
 
@@ -147,27 +150,30 @@ def _compose(stretches: Column, threshold: int) -> Column:
     return F.aggregate(stretches, empty, join)
 
 
-def probation_fold(observations: DataFrame, segments: Sequence[Column],
-                   threshold: int = PROBATION) -> DataFrame:
+def probation_fold(observations: DataFrame, threshold: int = PROBATION) -> DataFrame:
     """Probation state per host after all its observations in order.
 
     `observations` has `host`, `ts`, `event_id`, `selector` (NULL: nothing seen) and
     `demote`. A selector seen `threshold` times in a row graduates; a graduated host
     ignores sightings until a demotion makes its selector a candidate again.
 
-    The fold is cut into stretches so that a hot host is not folded in one task: each
-    stretch is summarised on its own and summaries are composed level by level. `segments`
-    lists the stretches from fine to coarse, each monotone in `ts` and nested in the next.
+    The fold is cut into stretches of `STRETCH` observations, so that a hot host is not folded in one
+    task and no list is longer than that, however many observations a host or a moment has. Each
+    stretch is summarised on its own, and summaries are composed in a tree: blocks of stretches, ranges
+    of the order, hosts. Only the last step moves rows.
     """
     if threshold < 2:
         raise ValueError("a probation of one sighting is no probation")
-    levels = [f"_level_{i}" for i in range(len(segments))]
-    rows = observations.select("host", *[s.alias(n) for s, n in zip(segments, levels)], F.struct(
-        F.col("ts"), F.col("event_id"), F.col("selector"), F.col("demote")).alias("event"))
     # observations that change nothing in any state are dropped before the shuffle
-    rows = rows.where(F.col("event.demote") | F.col("event.selector").isNotNull())
-    work = rows.groupBy("host", *levels).agg(_outcomes(
-        F.array_sort(F.collect_list("event")), threshold).alias("stretch"))
+    rows = observations.select("host", "ts", "event_id", "selector", "demote").where(
+        F.col("demote") | F.col("selector").isNotNull())
+    seq = by_time(["host"], "ts", "event_id")
+    rows = seq.tagged(rows).withColumn("_at", F.row_number().over(seq.local()) - 1)
+    event = F.struct("_at", "selector", "demote")
+    blocks = [F.floor(F.col("_at") / STRETCH ** k).alias(f"_block_{k}") for k in (1, 2)]
+    levels = ["_block_1", "_block_2", SEGMENT]
+    work = rows.select("host", SEGMENT, *blocks, event.alias("event")).groupBy("host", *levels).agg(
+        _outcomes(F.array_sort(F.collect_list("event")), threshold).alias("stretch"))
     for i, level in enumerate(levels):
         coarser = levels[i + 1:]
         ordered = F.transform(F.array_sort(F.collect_list(F.struct(

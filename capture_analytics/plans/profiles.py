@@ -77,8 +77,7 @@ fold as (
 select host, graduated, candidate, matches from fold
 qualify row_number() over (partition by host order by n desc) = 1""")
 def probation_fold(spark, folder):
-    return ops.probation_fold(view(spark, folder, "observations"), [
-        F.date_trunc("minute", "ts"), F.date_trunc("day", "ts")])
+    return ops.probation_fold(view(spark, folder, "observations"))
 
 
 @query("first_discoveries", """select host, selector as discovered from [observations]

@@ -1,5 +1,6 @@
 """Segmented operators equal plain windows and plain Python, also with one hot key."""
 
+import datetime
 import itertools
 import random
 
@@ -56,6 +57,48 @@ def test_run_lengths_equal_plain_runs(skewed, block):
     assert got == expected
 
 
+@pytest.fixture(scope="module")
+def one_moment(spark):
+    """Nearly all rows share one key and one timestamp; keys and ids may be NULL or repeat."""
+    rng, moment = random.Random(6), datetime.datetime(2024, 5, 1, 12, 0, 0, 123456)
+    rows = [("hot", moment, n, rng.choice([None, 1, 1, 1, 2])) for n in rng.sample(range(9_000), 1_500)]
+    rows += [(f"k{n % 9}", moment + datetime.timedelta(microseconds=n % 5), n, 1) for n in range(200)]
+    rows += [("hot", moment - datetime.timedelta(microseconds=1), n, n % 2) for n in range(50)]
+    rows += [("hot", None, -n, 3) for n in range(1, 20)]
+    return spark.createDataFrame(rows, "k string, t timestamp, n bigint, v int").repartition(4).cache()
+
+
+def test_ranges_do_not_depend_on_keys_or_moments(one_moment, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100)
+    seq = ordered.by_time(["k"], "t", "n")
+    tagged = seq.tagged(one_moment)
+    sizes = {(r.k, r[ordered.SEGMENT]): r["count"] for r in tagged.groupBy("k", ordered.SEGMENT).count().collect()}
+    hot = [n for (k, _), n in sizes.items() if k == "hot"]
+    assert len(hot) >= 10 and max(hot) <= 300
+    w = Window.partitionBy("k").orderBy("t", "n")
+    whole = Window.unboundedPreceding
+    same(ordered.running_totals(one_moment, seq, {"rows": F.lit(1)}),
+         one_moment.withColumn("rows", F.row_number().over(w).cast("bigint")))
+    same(ordered.neighbour(one_moment, seq, {"n": "after"}),
+         one_moment.withColumn("after", F.lead("n").over(w)))
+    same(ordered.carry_last(one_moment, seq, {"known": F.col("v")}),
+         one_moment.withColumn("known", F.last("v", True).over(w.rowsBetween(whole, 0))))
+    new = one_moment.withColumn("new", ~F.col("v").eqNullSafe(F.lag("v").over(w)) | (F.row_number().over(w) == 1))
+    new = new.withColumn("part", F.sum(F.col("new").cast("int")).over(w.rowsBetween(whole, 0)))
+    same(ordered.run_lengths(one_moment, seq, "v", "run").withColumn("run", F.col("run").cast("bigint")),
+         new.select("k", "t", "n", "v", F.row_number().over(
+             Window.partitionBy("k", "part").orderBy("t", "n")).cast("bigint").alias("run")))
+
+
+def test_ranges_of_repeated_positions(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 10)
+    df = spark.createDataFrame([("a", 1, 1)] * 300 + [("b", n, n) for n in range(100)], "k string, t int, n int")
+    seq = ordered.by_time(["k"], "t", "n")
+    got = ordered.running_totals(df, seq, {"rows": F.lit(1)}).groupBy("k").agg(F.max("rows"), F.sum("rows"))
+    assert {tuple(r) for r in got.collect()} == {("a", 300, 45150), ("b", 100, 5050)}
+    assert ordered.running_totals(df.where("false"), seq, {"rows": F.lit(1)}).count() == 0
+
+
 def test_top_per_key_is_cut_before_the_shuffle(skewed):
     plan = ordered.top_per_key(skewed, ["k"], [F.desc("n")], 3)
     text = plan._jdf.queryExecution().executedPlan().toString()
@@ -77,7 +120,7 @@ def fold(events, threshold=2):
 
 
 @pytest.mark.parametrize("threshold", [2, 3, 4])
-def test_probation_fold_equals_plain_fold(spark, threshold):
+def test_probation_fold_equals_plain_fold(spark, threshold, monkeypatch):
     rng = random.Random(threshold)
     rows, expected = [], {}
     for h in range(120):
@@ -87,9 +130,10 @@ def test_probation_fold_equals_plain_fold(spark, threshold):
         rows += [(f"h{h}", n, n, s, d) for n, (s, d) in enumerate(events)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "host string, ts bigint, event_id bigint, selector string, demote boolean")
-    segments = [F.floor(F.col("ts") / 3), F.floor(F.col("ts") / 12), F.floor(F.col("ts") / 120)]
+    monkeypatch.setattr(profiles, "STRETCH", 3)
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 40)
     got = {r.host: (r.graduated, r.candidate, r.matches)
-           for r in profiles.probation_fold(df, segments, threshold).collect()}
+           for r in profiles.probation_fold(df, threshold).collect()}
     for host, state in expected.items():
         assert got.get(host, (None, None, None)) == state, host
 

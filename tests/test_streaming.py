@@ -46,7 +46,7 @@ def test_probation_stream_equals_fold(spark, sf, tmp_path):
     changes = _drain(state.probation_stream(stream), "probation", str(tmp_path / "cp"))
     last = changes.groupBy("host").agg(F.max_by(F.struct("graduated", "candidate", "matches"),
                                                 "event_id").alias("s")).select("host", "s.*")
-    batch = probation_fold(observations, [F.date_trunc("day", "ts")])
+    batch = probation_fold(observations)
     assert {tuple(r) for r in last.collect()} == {
         tuple(r) for r in batch.where("graduated is not null or candidate is not null").collect()}
 
