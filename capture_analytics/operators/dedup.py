@@ -112,20 +112,28 @@ def unscored_posts(scrapes: DataFrame, scores: DataFrame) -> DataFrame:
     return done.join(scored, "job_post_id", "left_anti")
 
 
-def score_batch(scrapes: DataFrame, scores: DataFrame, limit: int = 5) -> DataFrame:
-    """Next posts to score: the newest `2 * limit` unscored scrapes, each post once, first
-    `limit` in that order. Both limits are the operator: the work queue is read in batches."""
-    newest = (unscored_posts(scrapes, scores)
-              .orderBy(F.desc_nulls_last("scraped_at"), "scrape_id").limit(2 * limit)
-              .select("job_post_id", F.struct(
-                  F.coalesce(-F.unix_micros(F.col("scraped_at").cast("timestamp")),
-                             F.lit(2**63 - 1)).alias("age"),
-                  F.col("scrape_id")).alias("position")))
+def queue_age() -> Column:
+    """Place of a scrape in the queue: the newest first, those without a time last."""
+    return F.coalesce(-F.unix_micros(F.col("scraped_at").cast("timestamp")), F.lit(2**63 - 1))
+
+
+def queue_head(waiting: DataFrame, limit: int) -> DataFrame:
+    """Of `(job_post_id, age, scrape_id)` the first `2 * limit`, each post once, first `limit`."""
+    newest = waiting.orderBy("age", "scrape_id").limit(2 * limit).select(
+        "job_post_id", F.struct("age", "scrape_id").alias("position"))
     return (newest.groupBy("job_post_id").agg(F.min("position").alias("position"))
             .orderBy("position").limit(limit)
             .select("job_post_id", F.col("position")["scrape_id"].alias("scrape_id")))
 
 
+def score_batch(scrapes: DataFrame, scores: DataFrame, limit: int = 5) -> DataFrame:
+    """Next posts to score: the newest `2 * limit` unscored scrapes, each post once, first
+    `limit` in that order. Both limits are the operator: the work queue is read in batches."""
+    waiting = unscored_posts(scrapes, scores).select(
+        "job_post_id", queue_age().alias("age"), "scrape_id")
+    return queue_head(waiting, limit)
+
+
 def distinct_in_order(df: DataFrame, key: str, order: Sequence[Column], columns: Sequence[str],
                       limit: int | None = None) -> DataFrame:
     """First occurrence of every key in order, at most `limit` keys when given."""

@@ -1,17 +1,22 @@
 """Keyed state over streams: selector probation, chat turns and run time limits.
 
 The state of a key is small, lives in RocksDB and ends: with the turn or run it belongs to, or, if that
-end never comes, after a time to live. Rows of a key arrive unordered within a micro-batch and are
-sorted there by their own order column; of each only the columns that the state needs are kept,
+end never comes, after a time to live. Of the rows only the columns that the state needs are kept,
 and `queues.files` bounds the bytes of a micro-batch.
+
+What depends on the order of events keeps rows until the watermark has passed them and applies them in
+their own order then, so it does not matter in which batch a row arrives, or which rows a replay puts
+together. Chat turns are sorted within a micro-batch by their sequence number.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from capture_analytics.functions.chat import TOOL_RELOADS
@@ -25,6 +30,9 @@ CHAT_OUT = "conv_id bigint, turn bigint, kind string, value string, " + ", ".joi
 # How long state is kept for a turn that never ends, and a mark for rows after a run's end.
 TURN_TTL_SECONDS = 86_400.0
 DONE_TTL_SECONDS = 3_600.0
+# How much later than others an event may arrive and still be put into its place.
+PROBATION_DELAY = "1 hour"
+RUN_DELAY = "10 minutes"
 TIMEOUT_OUT = "scrape_id bigint, outcome string, note string"
 
 
@@ -38,40 +46,107 @@ def _whole(value) -> int:
     return 0 if pd.isna(value) else int(value)
 
 
-class Probation(StatefulProcessor):
+class Reordered(StatefulProcessor):
+    """Rows of a key, kept in list state until the watermark has passed them, then applied in order.
+
+    Columns of the stream: `at_us` (event time in microseconds) and `tie` come first, then `fields`.
+    A key has one timer at a time, for the earliest row that it keeps or the `deadline` of its state.
+    """
+
+    fields: dict[str, str] = {}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        kept = ", ".join(f"{c} {kind}" for c, kind in self.fields.items())
+        self.kept = handle.getListState("kept", f"at_us bigint, tie bigint, {kept}")
+        self.armed = handle.getValueState("armed", "at_ms bigint")
+
+    def apply(self, key, rows: list[tuple], until_us: int) -> pd.DataFrame | None:
+        """What the rows change, all that happened up to `until_us` included."""
+        raise NotImplementedError
+
+    def deadline(self) -> int | None:
+        """When the state changes by itself, in microseconds."""
+        return None
+
+    def _arm(self, times_us: list[int]) -> None:
+        before = self.armed.get()[0] if self.armed.exists() else None
+        first = min(times_us, default=None)
+        if first is None or (before is not None and before <= first // 1000 + 1):
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(first // 1000 + 1)
+        self.armed.update((first // 1000 + 1,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # a chunk at a time: the rows of a batch are never held together
+        for batch in rows:
+            # whole numbers with gaps come as floats
+            whole = {c: "Int64" for c, kind in self.fields.items() if kind == "bigint"}
+            narrow = batch[["at_us", "tie", *self.fields]].astype(whole).astype(object)
+            chunk = list(narrow.where(narrow.notna(), None).itertuples(index=False, name=None))
+            if chunk:
+                self.kept.appendList(chunk)
+                self._arm([int(r[0]) for r in chunk])
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        self.armed.clear()
+        due, later = [], []
+        for row in self.kept.get():
+            (due if row[0] <= until else later).append(tuple(row))
+        if due:
+            self.kept.clear()
+            if later:
+                self.kept.put(later)
+        out = self.apply(key, sorted(due, key=lambda r: r[:2]), until)
+        if out is not None and len(out):
+            yield out
+        end = self.deadline()
+        self._arm([r[0] for r in later] + ([] if end is None else [end]))
+
+    def close(self) -> None:
+        pass
+
+
+class Probation(Reordered):
     """Selector probation per host; a row goes out for every change of state."""
 
+    fields = {"selector": "string", "demote": "boolean"}
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("probation", "graduated string, candidate string, matches int")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def apply(self, key, rows, until_us):
         graduated, candidate, matches = self.state.get() if self.state.exists() else (None, None, None)
         changes = []
-        for row in _in_order(rows, ["ts", "event_id"], ["selector", "demote"]).itertuples():
+        for _, event_id, selector, demote in rows:
             before = (graduated, candidate, matches)
-            if row.demote:
+            if demote:
                 if graduated:
                     graduated, candidate, matches = None, graduated, 0
-            elif row.selector and not graduated:
-                matches = matches + 1 if candidate == row.selector else 1
-                candidate = row.selector
+            elif selector and not graduated:
+                matches = matches + 1 if candidate == selector else 1
+                candidate = selector
                 if matches >= PROBATION:
                     graduated, candidate, matches = candidate, None, None
             if (graduated, candidate, matches) != before:
-                changes.append((key[0], row.event_id, graduated, candidate, matches))
+                changes.append((key[0], event_id, graduated, candidate, matches))
         self.state.update((graduated, candidate, matches))
-        if changes:
-            yield pd.DataFrame(changes, columns=["host", "event_id", "graduated", "candidate", "matches"]
-                               ).astype({"matches": "Int32"})
+        return pd.DataFrame(changes, columns=["host", "event_id", "graduated", "candidate", "matches"]
+                            ).astype({"event_id": "int64", "matches": "Int32"})
 
-    def close(self) -> None:
-        pass
 
-
-def probation_stream(observations: DataFrame) -> DataFrame:
-    """Changes of the probation state per host."""
-    return observations.groupBy("host").transformWithStateInPandas(
-        Probation(), PROBATION_OUT, "append", "none")
+def probation_stream(observations: DataFrame, delay: str = PROBATION_DELAY) -> DataFrame:
+    """Changes of the probation state per host. Observations count in the order of `ts` and
+    `event_id`, also those that arrive up to `delay` after later ones."""
+    rows = observations.where(F.col("demote") | F.col("selector").isNotNull()).select(
+        "host", F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("tie"), "selector", "demote")
+    return rows.withWatermark("at", delay).withColumn("at_us", F.unix_micros("at")).groupBy(
+        "host").transformWithStateInPandas(Probation(), PROBATION_OUT, "append", "EventTime")
 
 
 class ChatTurn(StatefulProcessor):
@@ -194,9 +269,119 @@ class RunLimit(StatefulProcessor):
         pass
 
 
+class RunLimitByEvents(Reordered):
+    """The limits of `RunLimit` on event time: they are measured between the times that the rows carry,
+    so a log that is replayed, at any speed and in any batches, gives the outcomes that it gave."""
+
+    fields = {"status": "string", "job_post_id": "bigint"}
+
+    def __init__(self, cap_s: float, link_s: float):
+        self.cap_us, self.link_us = int(cap_s * 1e6), int(link_s * 1e6)
+        self.cap_s = int(cap_s)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("run", "phase string, linked boolean, until bigint")
+
+    def deadline(self):
+        state = self.state.get() if self.state.exists() else None
+        return None if state is None or state[0] == "done" else state[2]
+
+    def apply(self, key, rows, until_us):
+        phase, linked, until = self.state.get() if self.state.exists() else (None, False, None)
+        ended = None
+
+        def expired(now):
+            if phase in ("running", "linking") and until < now:
+                return (("timed_out", f"graph run exceeded {self.cap_s}s cap") if phase == "running"
+                        else ("unlinked", "completed without a post"))
+        for at, _, status, post in rows:
+            ended = ended or expired(at)
+            if phase == "done" or ended:
+                break
+            linked = linked or post is not None
+            completed = status == "completed" or phase == "linking"
+            if status == "failed":
+                ended = ("failed", "run failed")
+            elif completed and linked:
+                ended = ("linked", "completed")
+            elif phase != (entered := "linking" if completed else "running"):
+                phase, until = entered, at + (self.link_us if completed else self.cap_us)
+        ended = None if phase == "done" else ended or expired(until_us)
+        if ended:
+            phase = "done"
+        if phase is not None:
+            self.state.update((phase, linked, until))
+        return pd.DataFrame([(key[0], *ended)], columns=["scrape_id", "outcome", "note"]) if ended else None
+
+
+class OpenPosts(StatefulProcessor):
+    """Which posts of a part have a score, the first captures of those that have none, and the part's
+    head: its first captures of all. A batch that changes the head sends it whole."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.scored = handle.getMapState("scored", "job_post_id bigint", "scored boolean")
+        self.waiting = handle.getMapState("waiting", "job_post_id bigint", "places string")
+        self.head = handle.getValueState("head", "places string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = json.loads(self.head.get()[0]) if self.head.exists() else []
+        head, refill = [tuple(x) for x in before], False
+        for batch in rows:
+            done = batch["scored"].astype(bool)
+            for post in batch.loc[done, "job_post_id"].unique().tolist():
+                self.scored.updateValue((post,), (True,))
+                if self.waiting.containsKey((post,)):
+                    self.waiting.removeKey((post,))
+                    refill = refill or any(x[2] == post for x in head)
+                    head = [x for x in head if x[2] != post]
+            for post, group in batch.loc[~done].groupby("job_post_id"):
+                post = int(post)
+                if self.scored.containsKey((post,)):
+                    continue
+                places = json.loads(self.waiting.getValue((post,))[0]) if self.waiting.containsKey(
+                    (post,)) else []
+                places += zip(group["age"].tolist(), group["scrape_id"].tolist())
+                places = sorted(map(tuple, places))[:self.size]
+                self.waiting.updateValue((post,), (json.dumps(places),))
+                head = sorted([x for x in head if x[2] != post] + [(*p, post) for p in places])[:self.size]
+        if refill:  # only a score for a post of the head asks for the posts behind it
+            head = []
+            for (post,), (places,) in self.waiting.iterator():
+                head = sorted(head + [(*p, post) for p in json.loads(places)])[:self.size]
+        if head != [tuple(x) for x in before]:
+            self.head.update((json.dumps(head),))
+            rows_out = [(key[0], post, age, scrape) for age, scrape, post in head]
+            yield pd.DataFrame(rows_out or [(key[0], None, None, None)],
+                               columns=["part", "job_post_id", "age", "scrape_id"]).astype(
+                {c: "Int64" for c in ("job_post_id", "age", "scrape_id")} | {"part": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def score_queue(events: DataFrame, limit: int, parts: int) -> DataFrame:
+    """The heads of the parts that a batch of captures and scores (`job_post_id`, `age`, `scrape_id`,
+    `scored`) changes: `part` and captures, or one row without a post if nothing waits there."""
+    part = F.pmod(F.xxhash64("job_post_id"), F.lit(parts)).cast("int")
+    return events.withColumn("part", part).groupBy("part").transformWithStateInPandas(
+        OpenPosts(2 * limit), "part int, job_post_id bigint, age bigint, scrape_id bigint", "append", "none")
+
+
 def run_timeouts(statuses: DataFrame, cap_s: float = RUN_CAP_SECONDS,
-                 link_s: float = LINK_SECONDS, done_ttl_s: float = DONE_TTL_SECONDS) -> DataFrame:
+                 link_s: float = LINK_SECONDS, done_ttl_s: float = DONE_TTL_SECONDS,
+                 at: str | None = None, delay: str = RUN_DELAY) -> DataFrame:
     """Terminal outcome per run from its status stream (`scrape_id`, `seq`, `status`,
-    `job_post_id`), on processing time."""
+    `job_post_id`), on processing time; or on the event time in the column `at`, for rows that
+    arrive up to `delay` after later ones."""
+    if at is not None:
+        rows = statuses.select("scrape_id", F.col(at).cast("timestamp").alias("at"), F.col("seq").alias("tie"),
+                               "status", "job_post_id")
+        return rows.withWatermark("at", delay).withColumn("at_us", F.unix_micros("at")).groupBy(
+            "scrape_id").transformWithStateInPandas(
+            RunLimitByEvents(cap_s, link_s), TIMEOUT_OUT, "append", "EventTime")
     return statuses.groupBy("scrape_id").transformWithStateInPandas(
         RunLimit(cap_s, link_s, done_ttl_s), TIMEOUT_OUT, "append", "processingTime")
