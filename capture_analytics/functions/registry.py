@@ -81,8 +81,34 @@ def expression_sql(column: Column) -> str:
     return _TOKEN.sub(lambda m: f"`{m.group(1)}`(" if m.group(1) else m.group(0), shown)
 
 
+# table functions: name, parameters, columns of a row, the scalar function whose array they unfold
+TABLES: dict[str, tuple[str, str, str]] = {
+    "apply_candidate_rows": (
+        "html string, base string",
+        "selector string, href string, text string, tag string, score double, reason string",
+        "apply_candidates"),
+    "form_field_rows": (
+        "html string",
+        "tag string, type string, name string, id string, placeholder string, aria_label string, selector string",
+        "form_fields"),
+}
+
+
+def register_tables(spark: SparkSession) -> list[str]:
+    """Register the table functions, one row per element in page order with its `position` from 1:
+    `select page_id, c.* from pages, lateral apply_candidate_rows(html, url) c`."""
+    for name, (parameters, columns, unfolded) in TABLES.items():
+        fields = ", ".join(f"found.{c.split()[0]}" for c in columns.split(", "))
+        # a function of SQL cannot be called inside posexplode, its body can
+        called = expression_sql(FUNCTIONS[unfolded][1](*[
+            F.col(p.split()[0]) for p in parameters.split(", ")]))
+        spark.sql(f"create or replace temporary function {name}({parameters}) returns table (position bigint, "
+                  f"{columns}) return select cast(at + 1 as bigint), {fields} from posexplode({called}) as t(at, found)")
+    return list(TABLES)
+
+
 def register_functions(spark: SparkSession) -> list[str]:
-    """Register all functions in the session and return their names."""
+    """Register all scalar functions in the session and return their names; see `register_tables` too."""
     for name, (parameters, build) in FUNCTIONS.items():
         columns = [F.col(p.split()[0]) for p in re.split(r",\s*(?![^<]*>)", parameters)]
         spark.sql(f"create or replace temporary function {name}({parameters}) "

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from capture_analytics.functions import chat as C
 from capture_analytics.functions import records as R
 from capture_analytics.functions import text as T
-from capture_analytics.functions.registry import FUNCTIONS, register_functions
+from capture_analytics.functions.registry import FUNCTIONS, TABLES, register_functions, register_tables
 from capture_analytics.operators import records as ops
 
 
@@ -207,3 +207,17 @@ def test_sql_functions_equal_columns(spark, registered):
         """, args={"html": html}).first()
     assert tuple(row) == ("https://x.com/a?b=c+d", "https://x.com", 2, True, "strong", "T", 1, "scrape",
                           ["missing_title", "thin_description"], False)
+
+
+def test_table_functions_join_laterally(spark, registered):
+    assert register_tables(spark) == list(TABLES)
+    html = "<a class=b href='/apply'>Apply</a><input name=q><button aria-label=apply>go</button><input type=password>"
+    spark.createDataFrame([(1, html, "https://e.com/"), (2, "<p>", "https://e.com/"), (3, None, None)],
+                          "page_id int, html string, url string").createOrReplaceTempView("captured")
+    found = spark.sql("select page_id, c.* from captured, lateral apply_candidate_rows(html, url) c order by position")
+    assert [tuple(r) for r in found.select("page_id", "position", "selector", "href", "score").collect()] == [
+        (1, 1, "a.b", "https://e.com/apply", 0.9), (1, 2, "button", None, 0.3)]
+    fields = spark.sql("select page_id, f.position, f.type, f.name from captured, lateral form_field_rows(html) f")
+    assert sorted(map(tuple, fields.collect())) == [(1, 1, "text", "q"), (1, 2, "password", None)]
+    for df in (found, fields):
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString()

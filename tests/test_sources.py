@@ -1,12 +1,14 @@
 """Readers and sinks: write, read back, and the same after a repeated write."""
 
 import json
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from capture_analytics.operators import records
 from capture_analytics.session import checkpoint_dir
-from capture_analytics.sources import sinks, tables
+from capture_analytics.sources import layout, sinks, tables
 
 
 def test_resource_dump(spark, tmp_path):
@@ -92,3 +94,71 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     alone = _Session("spark://x", **{"spark.sql.warehouse.dir": "hdfs://w/"})
     assert checkpoint_dir(alone) == "hdfs://w/_checkpoints" == alone.set_to
     assert checkpoint_dir(spark)
+
+
+SORT = [("price", True), ("id", False)]
+
+
+@pytest.fixture(scope="module")
+def ordered_path(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("ordered"))
+    rows = spark.range(5_000).select("id", F.when(F.col("id") % 50 != 0, F.col("id") * 7919 % 97).alias("price"))
+    layout.write_ordered(rows.repartition(7), path, SORT, 250)
+    return path, rows
+
+
+def files_read(df):
+    return {Path(r[0]).parent.name for r in df.select(F.input_file_name()).distinct().collect()}
+
+
+@pytest.mark.parametrize("number, size", [(1, 25), (3, 25), (200, 25), (7, 600), (1000, 25), (1, 5000)])
+def test_a_page_reads_its_ranges_only(spark, ordered_path, number, size):
+    path, rows = ordered_path
+    order = [F.col("price").desc(), F.col("id").asc()]
+    found = layout.read_page(spark, path, SORT, number, size)
+    expected = [tuple(r) for r in records.page(rows, order, number, size).collect()]
+    assert [tuple(r) for r in found.select("id", "price").collect()] == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not expected or "PartitionFilters: [" in plan
+    ranges = [p for p in Path(path, "rows").iterdir() if p.is_dir()]
+    assert len(ranges) > 15 and len(files_read(found)) <= size // 200 + 2
+
+
+def test_walking_after_gives_all_rows(spark, ordered_path):
+    path, rows = ordered_path
+    expected = [tuple(r) for r in rows.orderBy(F.col("price").desc(), F.col("id").asc()).collect()]
+    for at in (0, 1, 249, 250, 2_000, 4_890, 4_950, 4_999):
+        i, price = expected[at]
+        found = layout.read_after(spark, path, SORT, (price, i), 40)
+        assert [tuple(r) for r in found.select("id", "price").collect()] == expected[at + 1:at + 41], at
+        assert len(files_read(found)) <= 3
+
+
+def test_a_patch_rewrites_its_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    rows = spark.range(400).select("id", F.concat(F.lit("t"), "id").alias("title"), F.lit(None).cast("string").alias("link"))
+    layout.write_buckets(rows, path, "id", 16)
+    files = lambda: {str(f) for f in Path(path).rglob("*.parquet")}
+    before = files()
+    patches = spark.createDataFrame([(5, 1, "new", None), (5, 2, None, "l"), (6, 1, "t6", None), (999, 1, "x", "y")],
+                                    "id bigint, seq int, title string, link string")
+    changed = layout.patch_table(spark, path, patches, ["title", "link"], order="seq", buckets=16)
+    assert len(changed) == 1 and len(before - files()) == len(files() - before) == 1
+    expected = records.apply_patch(rows, patches, ["title", "link"], order="seq")
+    got = spark.read.parquet(path).select(expected.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    after = files()
+    assert layout.patch_table(spark, path, patches, ["title", "link"], order="seq", buckets=16) == []
+    assert layout.patch_table(spark, path, patches.limit(0), ["title"], buckets=16) == []
+    assert files() == after
+
+
+def test_html_is_stored_once(spark, tmp_path):
+    path = str(tmp_path / "scrapes")
+    scrapes = spark.range(60).select(F.col("id").alias("scrape_id"), F.when(F.col("id") % 2 == 0, "old").alias("html"))
+    layout.write_buckets(scrapes, path, "scrape_id", 8)
+    dom = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "scrape_id bigint, captured_at int, dom string")
+    assert len(layout.store_html(spark, path, dom, buckets=8)) == 1
+    got = {r.scrape_id: r.html for r in spark.read.parquet(path).collect()}
+    assert (got[1], got[2], got[3], len(got)) == ("b", "old", None, 60)
+    assert layout.store_html(spark, path, dom, buckets=8) == []
