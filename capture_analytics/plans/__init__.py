@@ -1,6 +1,7 @@
 """All registered queries."""
 
-from capture_analytics.plans import chat, dedup, pages, profiles, quality, records, traces, urls  # noqa: F401
+from capture_analytics.plans import (  # noqa: F401
+    chat, dedup, layouts, pages, profiles, quality, records, traces, urls)
 from capture_analytics.plans.registry import PLANS, TWINS
 
 __all__ = ["PLANS", "TWINS"]

@@ -19,8 +19,6 @@ TUNED = {
     "spark.sql.parquet.filterPushdown": "true",
     # no call site for each Column: large expressions are built in half the time
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # splits of a scan; work that is heavy per row, on html and long texts, wants many
-    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -48,14 +46,16 @@ def build_session(app_name: str = "capture-analytics", master: str | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    It is named in `spark.checkpoint.dir`, or was set on the context; where neither is, as in
-    tests, it lies in the warehouse, which the session's executors share. A machine-local folder
+    It is named in `spark.checkpoint.dir`, or was set on the context. Where neither is, a local session,
+    as in tests, uses its warehouse; on a cluster that is an error, since a machine-local folder
     would lose the checkpoint together with its executor.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and context.getCheckpointDir():
         return context.getCheckpointDir()
+    if folder is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir does not name a shared folder")
     if folder is None:
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if not context.getCheckpointDir():
