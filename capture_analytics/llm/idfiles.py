@@ -157,14 +157,14 @@ class Shard:
 
 class Encoder(dict):
     """Ids of texts by the tokenizers library; as a dict, the ids of the pre-tokens met so far. The
-    library's model encodes each pre-token as it does within a whole text; a text that is left whole
-    goes to the tokenizer."""
+    library's model encodes each pre-token as it does within a whole text; a text that is left whole, or
+    that holds an added token of the tokenizer, goes to the tokenizer."""
 
     def __init__(self, definition: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.packed = [i.to_bytes(self.width, "little") for i in range(size)]
@@ -185,15 +185,24 @@ class Encoder(dict):
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, little-endian, in the width of the vocabulary."""
-        words, first, whole = split_texts(texts)
+        marked = [k for k, t in enumerate(texts) if t and any(a in t for a in self.added)]
+        parts = list(texts)
+        for k in marked:
+            parts[k] = None
+        words, first, whole = split_texts(parts)
         if len(self) > REMEMBER:
             self.clear()
         for k in whole:
             for word in words[first[k]:first[k + 1]]:
-                self[word] = b"".join([self.packed[i] for i in self.tokenizer.encode(
-                    word, add_special_tokens=False).ids])
+                self[word] = self.by_tokenizer(word)
         ids = list(map(self.__getitem__, words))
-        return [b"".join(ids[a:b]) for a, b in zip(first[:-1], first[1:])]
+        out = [b"".join(ids[a:b]) for a, b in zip(first[:-1], first[1:])]
+        for k in marked:
+            out[k] = self.by_tokenizer(texts[k])
+        return out
+
+    def by_tokenizer(self, text: str) -> bytes:
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
 
 def opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:

@@ -69,7 +69,6 @@ def test_token_files_round_trip(spark, docs, empty):
     manifest = idfiles.write_ids(docs, folder, text)
     found = rows(idfiles.read_ids(spark, folder, manifest), "doc_id", "start", "n_tokens", "ids_crc32")
     library = Tokenizer.from_str(text)
-    library.encode_special_tokens = True
     encoded = [(i, np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4"))
                for i, t in ROWS]
     assert sorted((n, c) for _, _, n, c in found) == sorted(
