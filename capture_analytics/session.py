@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that hold at any scale. Partition counts are left to AQE: it starts from
@@ -46,18 +48,19 @@ def build_session(app_name: str = "capture-analytics", master: str | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    It is named in `spark.checkpoint.dir`, or was set on the context. Where neither is, a local session,
-    as in tests, uses its warehouse; on a cluster that is an error, since a machine-local folder
-    would lose the checkpoint together with its executor.
+    It is named in `spark.checkpoint.dir`, or was set on the context. Where neither is, it lies in the
+    warehouse, if the session's executors share that: a warehouse on a machine of a cluster is an
+    error, since the checkpoint would be lost together with the machine.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and context.getCheckpointDir():
         return context.getCheckpointDir()
-    if folder is None and not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir does not name a shared folder")
     if folder is None:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not context.master.startswith("local") and urlsplit(warehouse).scheme in ("", "file"):
+            raise ValueError("spark.checkpoint.dir does not name a shared folder")
+        folder = f"{warehouse.rstrip('/')}/_checkpoints"
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder

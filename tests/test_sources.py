@@ -93,6 +93,9 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_dir(cluster) == "/shared" == cluster.set_to
     alone = _Session("spark://x", **{"spark.sql.warehouse.dir": "hdfs://w/"})
     assert checkpoint_dir(alone) == "hdfs://w/_checkpoints" == alone.set_to
+    for warehouse in ("/home/user/spark-warehouse", "file:/home/user/spark-warehouse"):
+        with pytest.raises(ValueError):
+            checkpoint_dir(_Session("spark://x", **{"spark.sql.warehouse.dir": warehouse}))
     assert checkpoint_dir(spark)
 
 
