@@ -11,7 +11,8 @@ The chunk's words and its sequences come from two scans of the input. A chunk is
 place and a hash of its content, so if an input were not the same twice the run fails loudly.
 
 Cases: null text is empty text; empty texts have no ids; each row of a repeated document gets its
-row; ids may be null; columns other than the id and the text are never read.
+row; ids may be null; columns other than the id and the text are never read; texts are encoded whole,
+whatever their length; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ classes in one join.
 
 Cases: null and empty texts have no words, just their end; without training documents every word is
 unknown and base and model give 0 for a token; each row of a repeated document gets its score and
-counts for training; a null doc_id counts as empty text for the fold.
+counts for training; a null doc_id counts as empty text for the fold; texts are read whole, whatever
+their length; of classes that raise the likelihood alike the first is taken; an empty table gives no rows;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

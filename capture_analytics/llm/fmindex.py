@@ -9,7 +9,8 @@ No document leaves its task, so there is no shuffle.
 
 Cases: a null or empty text has no words and no hits; an item without words is left out; an item id that
 comes in several rows counts once, repeated documents each get their row; an empty benchmark hits nothing; columns
-other than the id and the text are never read.
+other than the id and the text are never read. An item without an id hits words and counts as an item, and
+adds nothing to the digest; an empty table of documents gives no rows.
 """
 
 from __future__ import annotations

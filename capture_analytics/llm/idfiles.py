@@ -15,7 +15,8 @@ renamed, so a repeated task replaces its own shard with the same content.
 
 Cases: null text is empty text and gives just the end id; a null doc_id sorts first and is kept
 but has no key; rows that repeat an id lie next to each other and the key leads to the first; an
-empty table gives no shards' documents and an empty result.
+empty table gives no shards' documents and an empty result; texts are encoded whole, whatever their
+length; other columns of the documents, whatever their names, are not read.
 """
 
 from __future__ import annotations

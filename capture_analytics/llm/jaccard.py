@@ -27,7 +27,9 @@ here on, told by a hash of the whole set, and their documents come back at the e
 
 Cases: null and empty texts have an empty set, link with nothing and are their own component; fewer
 than five words are one shingle; rows that repeat a doc_id are separate rows of the same
-component if their texts link; a null doc_id is never the smallest unless alone.
+component if their texts link; a null doc_id is never the smallest unless alone; texts are read
+whole, whatever their length; an empty table gives no rows; other columns, whatever their names, are
+not read, and kept by the filter.
 """
 
 from __future__ import annotations

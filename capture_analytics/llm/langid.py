@@ -9,7 +9,9 @@ Blocks keep a long text from outgrowing its dictionary.
 
 Cases: null text, or one without a letter, is `und` with score 0, as is everything when no
 language could be learned; ties go to the alphabetically first language; null languages are not
-learned from. A margin below `MARGIN` of the size is marked `rejected`; the named language stays.
+learned from. A margin below `MARGIN` of the size is marked `rejected`; the named language stays. Each row of
+a repeated document gets its row and may be learned from; an empty table gives no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ aggregate or join follows everywhere, so they never decide a result.
 
 Cases: null and empty texts have no words; a window that recurs inside one document only stays;
 rows that repeat a doc_id do not remove each other's words, and each gets its result; a
-null doc_id neither owns passages nor loses words.
+null doc_id neither owns passages nor loses words; texts are read whole, whatever their length; an
+empty table gives no rows; other columns, whatever their names, are not read, and kept by the filter.
 """
 
 from __future__ import annotations

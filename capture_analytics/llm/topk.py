@@ -17,7 +17,8 @@ slices are then merged.
 
 Cases: vectors that are null or hold null or non-finite components take no part; shorter vectors
 count as padded with zeros; an empty vector is a vector of zeros; ids that repeat are
-separate rows, and a query never meets candidates with its own id; rows with a null id take no part.
+separate rows, and a query never meets candidates with its own id; rows with a null id take no part; equal scores go by the
+smaller id; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ toxic examples without terms. The neighbours are returned as evidence.
 
 Cases: null and empty texts have no terms and get that share; without labels of both classes the
 score is the share of toxic examples, 0 without any. Rows that repeat get the same score each. A
-label that repeats counts as toxic if any of its rows does; null ids and null labels are left out.
+label that repeats counts as toxic if any of its rows does; null ids and null labels are left out. Texts
+are read whole, whatever their length; an empty table gives no rows; other columns, whatever their
+names, are not read, and kept by the filter.
 """
 
 from __future__ import annotations
