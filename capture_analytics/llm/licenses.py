@@ -12,7 +12,9 @@ Everything that reads documents is DataFrame expressions evaluated row by row; t
 
 Cases: null and empty texts have no paragraphs; paragraphs are numbered by their line, from 0, blank
 lines included; rows that repeat give their paragraphs each; with equal probabilities the first
-family in the order of `FAMILIES` wins.
+family in the order of `FAMILIES` wins; a null id is kept with its paragraphs, and not learned from; texts are
+read whole, whatever their length; an empty table gives no rows; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
