@@ -3,6 +3,11 @@ passages are cut, contaminated documents go, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again before
 the next stage, so a stage's scratch tables are deleted when the next one begins.
+
+Cases: null and empty texts, null ids, ties, repeated rows and very long texts are those of the stages'
+modules; a document with a null or empty text is near to none and stays; repeated rows of a document that
+stays all stay; all stages but the last keep all columns, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
