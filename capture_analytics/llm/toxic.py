@@ -2,11 +2,12 @@
 
 Fit: of the labelled training rows at most `EXAMPLES` (by the order of a hash of their id) are
 taken as examples; those with equal sets of words and the same label count once, as the one with
-the smallest id, and all others stay. Words that separate the classes (a corrected chi-squared of `CHI` and twice the rate among toxic
-examples) become the terms, so a document's few telling words are not drowned by all others.
-Examples are TF-IDF vectors of unit length over the terms, ordered so that alike ones are close,
-and cut into blocks; the inverted index holds, for each term and block, its postings and the
-largest weight. Terms and examples are bounded by parameters, so the index is broadcast.
+the smallest id, and all others stay. Every word of the examples is a term. A term's weight is its
+idf, raised by what it tells of the label: the lower bound of its log odds ratio among toxic
+examples, so a document's few telling words are not drowned by all others and no word is left out,
+however few the labels. Examples are TF-IDF vectors of unit length, ordered by their heaviest term
+so that alike ones are close, and cut into blocks; the inverted index holds, for each term and block,
+its postings and the largest weight. The examples are bounded by a parameter, so the index is broadcast.
 
 Query: a document's blocks are visited from the largest upper bound down until the bound falls
 below the k-th best cosine, so the neighbours are exact, ties to the smaller example. Their votes
@@ -30,16 +31,17 @@ from pyspark.sql import functions as F
 
 from capture_analytics.llm.tables import (
     documents, hash_sample, id_and_text, pieces, remainder, shared, without)
-from capture_analytics.llm.tokens import ALNUM, Words, signed
+from capture_analytics.llm.tokens import ALNUM, Words, expand, signed
 
-EXAMPLES = 16_384
-TERMS = 4_096
-CHI = 20.0
-LIFT = 2.0
+EXAMPLES = 4_096
+PLAIN = 0.2
+ERRORS = 2.0
 NEIGHBOURS = 32
 BLOCK = 64
-SHRINK = 0.5
+SHRINK = 0.05
 FOLDS = 5
+# Bytes of vectors whose scores a task remembers.
+REMEMBER = 1 << 25
 SCORES = ("doc_id long, text_hash long, score double, predicted int, "
           "evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
 
@@ -62,75 +64,100 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Block-max inverted index of the examples' unit vectors."""
+    """Block-max inverted index of the examples' unit vectors: postings by term and example, and for
+    each block of examples that holds a term its range of postings and the largest weight."""
 
     def __init__(self, terms: dict[int, float], examples: list[tuple[int, int, list]],
                  block: int = BLOCK):
         self.terms = np.array(sorted(terms), np.int64)
-        self.idf = np.array([terms[t] for t in self.terms.tolist()])
-        vectors = sorted((*self.vector([t for t, _ in own], [n for _, n in own]), doc, toxic)
-                         for doc, toxic, own in examples)
-        empty = [v[3] for v in vectors if not v[0]]
-        full = [v for v in vectors if v[0]]
-        labels = [v[3] for v in vectors]
+        self.weights = np.array([terms[t] for t in self.terms.tolist()])
+        labels, empty, full = [], [], []
+        for doc, toxic, own in examples:
+            own = np.asarray(own, np.int64).reshape(-1, 2)
+            number, weight = self.vector(own[:, 0], own[:, 1])
+            labels.append(toxic)
+            if not len(number):
+                empty.append(toxic)
+                continue
+            order = np.argsort(number)
+            number, weight = number[order], weight[order]
+            strong = int(np.argmax(weight))
+            # examples with the same heaviest term share blocks, so few blocks are near a text
+            full.append((int(number[strong]), -float(weight[strong]), doc, toxic, number, weight))
+        full.sort(key=lambda v: v[:4])
         self.share = sum(labels) / len(labels) if labels else 0.0
         self.empty_share = (sum(empty) + self.share) / (len(empty) + 1)
         self.ids = np.array([v[2] for v in full], np.int64)
         self.labels = np.array([v[3] for v in full], np.int64)
-        self.block, n_blocks = block, -(-len(full) // block)
-        term = np.array([t for v in full for t in v[0]], np.int64)
-        weight = np.array([w for v in full for w in v[1]])
-        doc = np.repeat(np.arange(len(full)), [len(v[0]) for v in full])
-        order = np.lexsort((doc, term))
-        term, self.doc, self.weight = term[order], doc[order], weight[order]
-        self.most = np.zeros((len(self.terms), n_blocks))
-        np.maximum.at(self.most, (term, self.doc // block), self.weight)
-        grid = np.arange(len(self.terms))[:, None] * n_blocks + np.arange(n_blocks)
-        self.first = np.searchsorted(term * n_blocks + self.doc // block, grid)
-        self.last = np.searchsorted(term * n_blocks + self.doc // block, grid, side="right")
-
-    def vector(self, terms, counts) -> tuple[tuple, tuple]:
+        self.n_blocks = -(-len(full) // block)
+        term = np.concatenate([np.zeros(0, np.int64), *[v[4] for v in full]])
+        weight = np.concatenate([np.zeros(0), *[v[5] for v in full]])
+        doc = np.repeat(np.arange(len(full)), [len(v[4]) for v in full])
+        order = np.argsort(term, kind="stable")
+        term, self.doc, self.weight = term[order], doc[order].astype(np.int32), weight[order]
+        held = term * max(self.n_blocks, 1) + self.doc // block
+        self.begin = np.flatnonzero(np.append(True, held[1:] != held[:-1])[:len(held)])
+        self.size = np.diff(np.append(self.begin, len(held)))
+        self.held = (self.doc[self.begin] // block).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, self.begin) if len(held) else np.zeros(0)
+        self.first = np.searchsorted(term[self.begin], np.arange(len(self.terms) + 1))
+
+    def vector(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers, weights) of unit length of a document's known terms."""
         terms, counts = np.asarray(terms, np.int64), np.asarray(counts, float)
         if not len(self.terms) or not len(terms):
-            return (), ()
+            return np.zeros(0, np.int64), np.zeros(0)
         near = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         known = self.terms[near] == terms
-        if not known.any():
-            return (), ()
         near, counts = near[known], counts[known]
-        weight = (1 + np.log(counts)) * self.idf[near]
-        weight /= np.sqrt((weight ** 2).sum())
-        return tuple(near.tolist()), tuple(np.round(weight, 12).tolist())
-
-    def nearest(self, terms: tuple, weights: tuple, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest with any common term, ties to the smaller id."""
-        terms, weights = np.array(terms), np.array(weights)
-        bound = weights @ self.most[terms]
+        weight = (1 + np.log(counts)) * self.weights[near]
+        return near, weight / max(np.sqrt((weight ** 2).sum()), 1e-300)
+
+    def nearest(self, terms, weights, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines of the k nearest with any common term, ties to the smaller id.
+
+        Blocks are read from the largest bound down, some more each time, until the bound of the
+        next is below the k-th best cosine.
+        """
+        order = np.argsort(terms, kind="stable")
+        terms, weights = np.asarray(terms)[order], np.asarray(weights)[order]
+        number = self.first[terms + 1] - self.first[terms]
+        entry, weight = expand(self.first[terms], number), np.repeat(weights, number)
+        bound = np.bincount(self.held[entry], weights=weight * self.most[entry],
+                            minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")
-        found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(found) >= k and bound[b] < least - 1e-9):
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                i, j = self.first[t, b], self.last[t, b]
-                scores[self.doc[i:j] - b * self.block] += w * self.weight[i:j]
+        order = order[bound[order] > 0]
+        rank = np.full(self.n_blocks, len(order))
+        rank[order] = np.arange(len(order))
+        rank = rank[self.held[entry]]
+        found, cosines, least, at, step = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, 4
+        while at < len(order) and bound[order[at]] >= least - 1e-9:
+            wanted = order[at:at + step]
+            wanted = wanted[bound[wanted] >= least - 1e-9]
+            mine = (rank >= at) & (rank < at + len(wanted))
+            own = entry[mine]
+            posting = expand(self.begin[own], self.size[own])
+            scores = np.round(np.bincount(
+                self.doc[posting], weights=np.repeat(weight[mine], self.size[own]) * self.weight[
+                    posting], minlength=len(self.ids)), 9)
             hits = np.flatnonzero(scores > 0)
-            found = np.concatenate([found, hits + b * self.block])
-            cosines = np.concatenate([cosines, np.round(scores[hits], 9)])
-            best = np.lexsort((self.ids[found], -cosines))[:k]
-            found, cosines = found[best], cosines[best]
-            if len(found) >= k:
-                least = cosines[-1]
-        return found, cosines
-
-    def score(self, terms: tuple, weights: tuple, k: int = NEIGHBOURS):
+            found, cosines = np.concatenate([found, hits]), np.concatenate([cosines, scores[hits]])
+            if len(found) > k:
+                least = np.partition(cosines, -k)[-k]
+                found, cosines = found[cosines >= least], cosines[cosines >= least]
+            elif len(found) == k:
+                least = cosines.min()
+            at, step = at + len(wanted), step * 4
+        best = np.lexsort((self.ids[found], -cosines))[:k]
+        return found[best], cosines[best]
+
+    def score(self, terms, weights, k: int = NEIGHBOURS):
         """(score, evidence) of one document's vector."""
-        if not terms or not len(self.ids):
-            return self.empty_share if not terms else self.share, []
+        if not len(terms) or not len(self.ids):
+            return self.empty_share if not len(terms) else self.share, []
         found, cosines = self.nearest(terms, weights, k)
-        closeness = 1 / (1.05 - np.minimum(cosines, 1.0))
+        cosines = np.minimum(cosines, 1.0)
+        closeness = cosines / (1.05 - cosines)
         score = ((closeness * self.labels[found]).sum() + SHRINK * self.share) / (
             closeness.sum() + SHRINK)
         evidence = [{"doc_id": int(self.ids[f]), "toxic": int(self.labels[f]), "cosine": float(c)}
@@ -138,23 +165,26 @@ class Index:
         return float(score), evidence
 
 
-def select_terms(counted: DataFrame, n_toxic: int, n_clean: int, limit: int) -> dict[int, float]:
-    """The terms that mark toxic examples, at most `limit`, with their idf."""
-    if not n_toxic or not n_clean:
+def term_weights(examples: list[tuple[int, int, np.ndarray]]) -> dict[int, float]:
+    """The weight of every term of the examples: its idf, times `PLAIN` and the lower bound
+    (`ERRORS` standard errors below) of the log odds ratio by which it marks toxic examples."""
+    if not examples:
         return {}
-    n = float(n_toxic + n_clean)
-    df = counted.select("toxic", F.explode("terms.term").alias("term")).groupBy("term").agg(
-        F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("df"))
-    expected = F.col("df") * n_toxic / n
-    chi = F.pow(F.greatest(F.abs(F.col("a") - expected) - 0.5, F.lit(0.0)), 2) / expected / (
-        n_clean / n) / F.greatest(1 - F.col("df") / n, F.lit(1e-9))
-    lift = F.col("a") / n_toxic >= LIFT * (F.col("df") - F.col("a")) / n_clean
-    chosen = df.withColumn("chi", chi).where((F.col("chi") >= CHI) & lift).orderBy(
-        F.desc("chi"), "term").limit(limit)
-    return {r["term"]: float(np.log((n + 1) / r["df"])) for r in chosen.collect()}
-
-
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
+    toxic = np.array([label for _, label, _ in examples], float)
+    terms, place = np.unique(np.concatenate([own[:, 0] for _, _, own in examples]),
+                             return_inverse=True)
+    of = np.repeat(toxic, [len(own) for _, _, own in examples])
+    df = np.bincount(place, minlength=len(terms))
+    a = np.bincount(place, weights=of, minlength=len(terms))
+    c, n_toxic, n_clean = df - a, toxic.sum(), (1 - toxic).sum()
+    cells = [a + 0.5, n_toxic - a + 0.5, c + 0.5, n_clean - c + 0.5]
+    odds = np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])
+    marks = np.maximum(odds - ERRORS * np.sqrt(sum(1 / x for x in cells)), 0.0)
+    weight = np.log((len(examples) + 1) / df) * (PLAIN + marks)
+    return dict(zip(terms.tolist(), weight.tolist()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     """The index over at most `examples` labelled training documents."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"),
                            F.col("toxic").cast("int").alias("toxic")).dropna().where(
@@ -166,18 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         F.broadcast(sample.select(F.col("doc_id").alias("labelled"))),
         F.col("doc_id") == F.col("labelled"), "left_semi"))
     # copies are told by all their words, never by a passage that they share
-    single = counted.join(F.broadcast(sample), "doc_id").groupBy(
+    rows = counted.join(F.broadcast(sample), "doc_id").groupBy(
         F.col("terms.term").alias("copy"), "toxic").agg(F.min_by(
-            F.struct("doc_id", "terms"), "doc_id").alias("one")).select("one.*", "toxic").persist()
-    sizes = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(
-        F.count("*").alias("n")).collect()}
-    chosen = select_terms(single, sizes.get(1, 0), sizes.get(0, 0), terms)
-    wanted = F.array(*[F.lit(t) for t in chosen]) if chosen else F.array().cast("array<bigint>")
-    rows = single.select("doc_id", "toxic", F.filter(
-        "terms", lambda t: F.array_contains(wanted, t["term"])).alias("own")).collect()
-    single.unpersist()
-    return Index(chosen, [(r["doc_id"], r["toxic"], [(t["term"], t["n"]) for t in r["own"]])
-                          for r in rows])
+            F.struct("doc_id", "terms"), "doc_id").alias("one")).select(
+        "one.doc_id", "toxic", F.col("one.terms.term").alias("term"),
+        F.col("one.terms.n").alias("n")).toArrow()
+    found = [(doc, toxic, np.column_stack([term.values.to_numpy(), n.values.to_numpy()]))
+             for doc, toxic, term, n in zip(rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(),
+                                            rows["term"], rows["n"])]
+    return Index(term_weights(found), found)
 
 
 def toxicity_scores(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -187,7 +214,7 @@ def toxicity_scores(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS)
                                    ("cosine", pa.float64())]))
 
     def score(batches):
-        index, known = get(), {}
+        index, known, held = get(), {}, 0
 
         def keyed():
             for batch in batches:
@@ -197,19 +224,18 @@ def toxicity_scores(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS)
         for keys, texts in pieces(keyed()):
             words = Words(texts, ALNUM)
             hashes = signed(words.hashes)
-            near = np.searchsorted(index.terms, hashes)
-            near[near == len(index.terms)] = 0
-            hits = (np.flatnonzero(index.terms[near] == hashes) if len(index.terms)
-                    else np.zeros(0, np.int64))
-            cuts = np.searchsorted(hits, words.first)
             scores = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                vector = index.vector(*np.unique(hashes[hits[a:b]], return_counts=True))
-                if vector not in known:
-                    if len(known) >= 50_000:
+            for a, b in zip(words.first[:-1], words.first[1:]):
+                vector = index.vector(*np.unique(hashes[a:b], return_counts=True))
+                # copies of a text are scored once
+                name = b"".join(v.tobytes() for v in vector)
+                if name not in known:
+                    if held > REMEMBER:
                         known.clear()
-                    known[vector] = index.score(*vector, neighbours)
-                scores.append(known[vector])
+                        held = 0
+                    known[name] = index.score(*vector, neighbours)
+                    held += len(name)
+                scores.append(known[name])
             yield pa.RecordBatch.from_arrays([
                 pa.array([k["doc_id"] for k in keys], pa.int64()),
                 pa.array([k["text_hash"] for k in keys], pa.int64()),

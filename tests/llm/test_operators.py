@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -214,6 +215,72 @@ def test_toxicity(spark, sf, docs, empty):
     assert toxic.toxicity_scores(empty, index).count() == 0
 
 
+def nearest_votes(docs, labels):
+    """doc_id, score and the nearest example by cosines of all words with all examples, in Python."""
+    def words(text):
+        low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        return Counter(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
+    marks, examples = {}, {}
+    for i, toxic_ in labels:
+        if zlib.crc32(str(i).encode()) % 5:
+            marks[i] = max(toxic_, marks.get(i, 0))
+    for i, text in sorted(docs):
+        if i in marks:
+            examples.setdefault((frozenset(words(text)), marks[i]), (i, words(text)))
+    examples = [(i, label, own) for (_, label), (i, own) in examples.items()]
+    n, n_toxic = len(examples), sum(label for _, label, _ in examples)
+    df, a = Counter(), Counter()
+    for _, label, own in examples:
+        df.update(own.keys())
+        a.update({w: label for w in own})
+
+    def weight(w):
+        cells = [a[w] + 0.5, n_toxic - a[w] + 0.5, df[w] - a[w] + 0.5, n - n_toxic - df[w] + a[w] + 0.5]
+        odds = math.log(cells[0] / cells[1] / (cells[2] / cells[3]))
+        return math.log((n + 1) / df[w]) * (toxic.PLAIN + max(
+            0, odds - toxic.ERRORS * math.sqrt(sum(1 / x for x in cells))))
+    weights = {w: weight(w) for w in df}
+
+    def unit(own):
+        own = {w: (1 + math.log(m)) * weights[w] for w, m in own.items() if w in weights}
+        size = math.sqrt(sum(v * v for v in own.values()))
+        return {w: v / size for w, v in own.items()}
+    vectors, share = [(i, label, unit(own)) for i, label, own in examples], n_toxic / n
+    bare = [label for _, label, own in vectors if not own]
+    for i, text in docs:
+        own = unit(words(text))
+        near = sorted((-round(sum(v * other.get(w, 0) for w, v in own.items()), 9), j, label)
+                      for j, label, other in vectors)
+        near = [(min(-c, 1), j, label) for c, j, label in near if c < 0][:toxic.NEIGHBOURS]
+        votes = [(c / (1.05 - c), label) for c, _, label in near]
+        score = (sum(v * label for v, label in votes) + toxic.SHRINK * share) / (
+            sum(v for v, _ in votes) + toxic.SHRINK) if own else (sum(bare) + share) / (len(bare) + 1)
+        yield i, score, near[0][1] if near else None
+
+
+def test_toxicity_is_by_the_nearest_of_all_examples(spark, sf):
+    docs_, labels = tables.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    found = {r["doc_id"]: r for r in toxic.toxicity_scores(docs_, toxic.fit(docs_, labels)).collect()}
+    expected = list(nearest_votes([tuple(r) for r in docs_.select("doc_id", "text").collect()],
+                                  [tuple(r) for r in labels.select("doc_id", "toxic").collect()]))
+    assert len(found) == len(expected) == docs_.count()
+    for i, score, near in expected:
+        row = found[i]
+        assert math.isclose(row["score"], score, abs_tol=1e-6)
+        assert [e["doc_id"] for e in row["evidence"][:1]] == ([] if near is None else [near])
+    # few labels do not switch it off
+    assert len({round(r["score"], 6) for r in found.values()}) > 100
+
+
+def test_toxicity_of_held_out_documents(spark, sf):
+    folder = sf.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scored = toxic.op7_toxicity(spark, folder).where("held_out").join(labels, "doc_id")
+    rates = {r["toxic"]: r["share"] for r in scored.groupBy("toxic").agg(
+        F.avg("predicted").alias("share")).collect()}
+    assert rates[1] >= 0.9 and rates[0] <= 0.02
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     scored = toxic.toxicity_scores(docs, toxic.fit(docs, none))
