@@ -7,7 +7,8 @@ idf, raised by what it tells of the label: the lower bound of its log odds ratio
 examples, so a document's few telling words are not drowned by all others and no word is left out,
 however few the labels. Examples are TF-IDF vectors of unit length, ordered by their heaviest term
 so that alike ones are close, and cut into blocks; the inverted index holds, for each term and block,
-its postings and the largest weight. The examples are bounded by a parameter, so the index is broadcast.
+its postings and the largest weight; a term of more than `WIDE` of the examples has a line of
+weights instead. The examples are bounded by a parameter, so the index is broadcast.
 
 Query: a document's blocks are visited from the largest upper bound down until the bound falls
 below the k-th best cosine, so the neighbours are exact, ties to the smaller example. Their votes
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capture_analytics.llm.tables import (
-    documents, hash_sample, id_and_text, pieces, remainder, shared, without)
+    documents, give_back, hash_sample, id_and_text, pieces, remainder, shared, without)
 from capture_analytics.llm.tokens import ALNUM, Words, expand, signed
 
 EXAMPLES = 4_096
@@ -38,6 +39,7 @@ PLAIN = 0.2
 ERRORS = 2.0
 NEIGHBOURS = 32
 BLOCK = 64
+WIDE = 1 / 8
 SHRINK = 0.05
 FOLDS = 5
 # Bytes of vectors whose scores a task remembers.
@@ -89,7 +91,7 @@ class Index:
         self.empty_share = (sum(empty) + self.share) / (len(empty) + 1)
         self.ids = np.array([v[2] for v in full], np.int64)
         self.labels = np.array([v[3] for v in full], np.int64)
-        self.n_blocks = -(-len(full) // block)
+        self.block, self.n_blocks = block, -(-len(full) // block)
         term = np.concatenate([np.zeros(0, np.int64), *[v[4] for v in full]])
         weight = np.concatenate([np.zeros(0), *[v[5] for v in full]])
         doc = np.repeat(np.arange(len(full)), [len(v[4]) for v in full])
@@ -101,6 +103,13 @@ class Index:
         self.held = (self.doc[self.begin] // block).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, self.begin) if len(held) else np.zeros(0)
         self.first = np.searchsorted(term[self.begin], np.arange(len(self.terms) + 1))
+        # terms of very many examples have a whole line of weights, 1 / WIDE times their postings at most
+        wide = np.flatnonzero(np.bincount(term, minlength=len(self.terms)) > WIDE * len(full))
+        self.line = np.full(len(self.terms), -1)
+        self.line[wide] = np.arange(len(wide))
+        self.wide = np.zeros((len(wide), len(full)))
+        known = self.line[term] >= 0
+        self.wide[self.line[term[known]], self.doc[known]] = self.weight[known]
 
     def vector(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers, weights) of unit length of a document's known terms."""
@@ -121,10 +130,16 @@ class Index:
         """
         order = np.argsort(terms, kind="stable")
         terms, weights = np.asarray(terms)[order], np.asarray(weights)[order]
+        line = self.line[terms]
+        whole = np.zeros(len(self.wide))
+        whole[line[line >= 0]] = weights[line >= 0]
+        whole = whole @ self.wide
+        terms, weights = terms[line < 0], weights[line < 0]
         number = self.first[terms + 1] - self.first[terms]
         entry, weight = expand(self.first[terms], number), np.repeat(weights, number)
-        bound = np.bincount(self.held[entry], weights=weight * self.most[entry],
-                            minlength=self.n_blocks)
+        # widespread terms are summed already, so their part of a bound is the most that a block has
+        bound = np.maximum.reduceat(whole, np.arange(self.n_blocks) * self.block) + np.bincount(
+            self.held[entry], weights=weight * self.most[entry], minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         rank = np.full(self.n_blocks, len(order))
@@ -137,11 +152,14 @@ class Index:
             mine = (rank >= at) & (rank < at + len(wanted))
             own = entry[mine]
             posting = expand(self.begin[own], self.size[own])
-            scores = np.round(np.bincount(
+            sums = np.bincount(
                 self.doc[posting], weights=np.repeat(weight[mine], self.size[own]) * self.weight[
-                    posting], minlength=len(self.ids)), 9)
-            hits = np.flatnonzero(scores > 0)
-            found, cosines = np.concatenate([found, hits]), np.concatenate([cosines, scores[hits]])
+                    posting], minlength=len(self.ids))
+            read = (wanted[:, None] * self.block + np.arange(self.block)).reshape(-1)
+            read = read[read < len(self.ids)]
+            scores = np.round(sums[read] + whole[read], 9)
+            found = np.concatenate([found, read[scores > 0]])
+            cosines = np.concatenate([cosines, scores[scores > 0]])
             if len(found) > k:
                 least = np.partition(cosines, -k)[-k]
                 found, cosines = found[cosines >= least], cosines[cosines >= least]
@@ -243,6 +261,8 @@ def toxicity_scores(docs: DataFrame, index: Index, neighbours: int = NEIGHBOURS)
                 pa.array([int(s >= 0.5) for s, _ in scores], pa.int32()),
                 pa.array([e for _, e in scores], evidence)],
                 ["doc_id", "text_hash", "score", "predicted", "evidence"])
+        known.clear()
+        give_back()
 
     hashed = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
     return hashed.select("doc_id", "text_hash", "text").mapInArrow(score, SCORES)
