@@ -3,25 +3,27 @@
 Counts. Words and their counts over all training documents are aggregated by Spark. Words are
 told apart by 64-bit hashes.
 Units. Every word of the training documents is a unit of its own, and so is the end of a document,
-which is a class of its own. The `HEADS` most frequent words are heads; a row of a Spark table
-holds each other word's class and the words before and after each place where it stands. The
-classes of the at most `LOOKUP` most frequent words are broadcast; a word that is not among them
-sends its class to its neighbours in each round.
-Exchange. In each round Spark sums what the rows give to the heads, at most heads x classes x 2
-numbers, and the table of class bigrams. The driver moves the heads one after another to the class
-that raises the bigram likelihood most, with class counts kept up to date; then all other words
-move, each by its own neighbours and that table, in Spark. The classes of the round with the best
-likelihood stay.
+which is a class of its own. The at most `LOOKUP` most frequent words are numbered, and their classes
+are broadcast; the first `HEADS` of them are heads. Bigrams are counted once: those of two frequent
+words as blocks of a table, the others with the rows of the words that are not frequent.
+Exchange. In each turn Spark sums, from those counts and the present classes, how often each
+frequent word is followed and preceded by each class, and the class bigrams of all words. In one turn
+the driver moves the heads, at most heads x classes x 2 numbers, one after another to the class that
+raises the bigram likelihood most, with class counts kept up to date; in the next all other words
+move in Spark, each by its own neighbour classes and the class bigrams. A word that is not frequent
+learns the classes of such neighbours by a join. It ends when both turns raise the likelihood by less
+than the share `STOP`, or after `ROUNDS` rounds; the classes of the best turn stay.
 Model. P(word | before) = P(class | class before) P(word | class), the first with `ADD` added to
 each class pair, the second with 0.1 added to each word of the class and to one unknown word, so
-both sum to one. An unknown word has the class that holds most words seen once. What frequent
+both sum to one. An unknown word may be of any class, so its probability is summed over them; the
+class after it is that after a word seen once. What frequent
 words give is known where the text is; the other words of all documents meet their counts and
 classes in one join.
 
 Cases: null and empty texts have no words, just their end; without training documents every word is
-unknown and base and model give 0 for a token; each row of a repeated document gets its score and
+unknown and the base gives 0 for a token; each row of a repeated document gets its score and
 counts for training; a null doc_id counts as empty text for the fold; texts are read whole, whatever
-their length; of classes that raise the likelihood alike the first is taken; an empty table gives no rows;
+their length; of words with equal counts those with smaller hashes are numbered first; of classes that raise the likelihood alike the first is taken; an empty table gives no rows;
 other columns, whatever their names, are not read.
 """
 
@@ -39,6 +41,11 @@ from capture_analytics.llm.tokens import U, Words, signed
 HEADS = 8_192
 CLASSES = 32
 ROUNDS = 4
+# A round that raises the likelihood by less than this share is the last.
+STOP = 0.001
+# Frequent words are counted in so many blocks, their neighbours in so many parts of each.
+BLOCKS = 1024
+SIDES = 16
 LOOKUP = 1 << 18
 ADD = 0.1
 FOLDS = 10
@@ -94,11 +101,6 @@ class Units:
         near = np.minimum(np.searchsorted(self.sorted, hashes), self.size - 1)
         return np.where(self.sorted[near] == hashes, self.order[near], -1)
 
-    def head(self, numbers: np.ndarray) -> np.ndarray:
-        """The place among heads and end of each number, -1 for other words."""
-        out = np.where((numbers >= 0) & (numbers < self.heads), numbers, -1)
-        return np.where(numbers == self.size - 1, self.heads, out)
-
     def sequence(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes and numbers of all texts with an end before and after each, and where each text
         begins."""
@@ -109,26 +111,92 @@ class Units:
         return line, self.of(line), words.first[:-1] + np.arange(len(words.first) - 1)
 
 
-def head_bigrams(docs: DataFrame, get) -> DataFrame:
-    """pair (head * size + next head), n over all documents; the end counts as a head."""
+def blobs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Arrow binaries that hold so many of the values each."""
+    ends = np.append(0, np.cumsum(counts)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [
+        None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def opened(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values in a column of binaries, and the row of each."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset:column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    total = (int(ends[-1]) - int(ends[0])) // size if len(column) else 0
+    values = np.frombuffer(data, kind, total, int(ends[0])) if total else np.empty(0, kind)
+    return values, np.repeat(np.arange(len(column)), np.diff(ends) // size)
+
+
+PACKED = "block int, part int, cells binary, times binary"
+
+
+def packed(block: np.ndarray, part: np.ndarray, cells: np.ndarray, times: np.ndarray):
+    """A row for each part, of entries that are sorted by part."""
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    counts = np.diff(np.append(first, len(part)))
+    return pa.RecordBatch.from_arrays([
+        pa.array(block[first], pa.int32()), pa.array(part[first], pa.int32()),
+        blobs(cells.astype(np.int32), counts), blobs(times.astype(np.int64), counts)],
+        ["block", "part", "cells", "times"])
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """One row for each part, with the sums of its cells."""
+    def run(batches):
+        held, block = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells, row = opened(batch["cells"], np.int32)
+            part = batch["part"].to_numpy().astype(np.int64)
+            own = (part[row] << 32) | cells, opened(batch["times"], np.int64)[0]
+            keys, times = merged([held, own] if held else [own])
+            blocks = dict(zip(part.tolist(), batch["block"].to_pylist()))
+            if held:
+                blocks.setdefault(int(held[0][0] >> 32), block)
+            # the last part may go on in the next batch
+            cut = int(np.searchsorted(keys, (keys[-1] >> 32) << 32))
+            if cut:
+                yield whole(keys[:cut], times[:cut], blocks)
+            held, block = (keys[cut:], times[cut:]), blocks[int(keys[-1] >> 32)]
+        if held:
+            yield whole(*held, {int(held[0][0] >> 32): block})
+
+    def whole(keys, times, blocks):
+        part = keys >> 32
+        own, place = np.unique(part, return_inverse=True)
+        block = np.array([blocks[p] for p in own.tolist()])
+        return packed(block[place], part, keys & 0xFFFFFFFF, times)
+    return rows.repartition("block").sortWithinPartitions("part").mapInArrow(run, PACKED)
+
+
+def links(docs: DataFrame, get) -> DataFrame:
+    """How often each frequent word stands beside each other one, on either side: parts of the words
+    with the same remainder by `BLOCKS`, and of their neighbours with the same one by `SIDES`."""
     def run(batches):
         units = get()
-        size = units.heads + 1
 
         def parts():
             for _, texts in pieces(batches):
-                head = units.head(units.sequence(Words(texts))[1])
-                a, b = head[:-1], head[1:]
+                number = units.sequence(Words(texts))[1]
+                a, b = number[:-1], number[1:]
                 both = (a >= 0) & (b >= 0)
-                yield np.unique(a[both] * size + b[both], return_counts=True)
+                yield np.unique(a[both] * units.size + b[both], return_counts=True)
         for keys, n in combined(parts(), COMBINE // 2):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
-    return docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+            a, b = keys // units.size, keys % units.size
+            word, near = np.concatenate([a, b]), np.concatenate([b, a])
+            side = np.repeat([0, 1], len(keys))
+            part = word % BLOCKS * SIDES + near % SIDES
+            cell = (word // BLOCKS * (units.size // SIDES + 1) + near // SIDES) * 2 + side
+            order = np.argsort(part, kind="stable")
+            yield packed((part // SIDES)[order], part[order], cell[order],
+                         np.concatenate([n, n])[order])
+    return folded(docs.mapInArrow(run, PACKED))
 
 
-LISTS = ("after", "before", "rare_after", "rare_before")
-ROW = ("word long, number int, class int, n long, after array<int>, before array<int>, "
-       "rare_after array<long>, rare_before array<long>")
+ROW = ("word long, class int, n long, near array<int>, times array<long>, far_after array<long>, "
+       "far_before array<long>")
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind=None) -> pa.Array:
@@ -144,42 +212,40 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_rows(docs: DataFrame, get, n_classes: int) -> DataFrame:
-    """A row of each word that is no head, with the numbers of the frequent words after and before
-    each of its places and the hashes of the other ones; its first class is by its hash."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
+    """A row of each word that is not frequent: the frequent words beside it as twice their number,
+    one more for those before it, with how often they stand there, and the hashes of the other words
+    after and before it; its first class is by its hash."""
     def places(batches):
         units = get()
         for _, texts in pieces(batches):
             line, number, _ = units.sequence(Words(texts))
-            at = np.flatnonzero(units.head(number) < 0)
-            found = [signed(line[at])]
+            at = np.flatnonzero(number < 0)
+            columns = [signed(line[at])]
             for near in (at + 1, at - 1):
-                found += [number[near].astype(np.int32), signed(line[near])]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(found[0]), pa.array(number[at].astype(np.int32)), pa.array(found[1]),
-                pa.array(found[2], mask=found[1] >= 0), pa.array(found[3]),
-                pa.array(found[4], mask=found[3] >= 0)],
-                ["word", "number", "after", "rare_after", "before", "rare_before"])
+                columns += [np.where(number[near] < 0, signed(line[near]), number[near]),
+                            number[near] < 0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in columns], ["word", "after", "far_after", "before", "far_before"])
 
     def closed(held):
         own = pa.Table.from_batches(held).combine_chunks()
-        word, number = own["word"].to_numpy(), own["number"].to_numpy()
+        word = own["word"].to_numpy()
         first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
-        columns = []
-        for name in ("after", "before"):
-            value = own[name].to_numpy()
-            columns.append((value[value >= 0], row[value >= 0], pa.int32()))
-        for name in ("after", "before"):
-            rare = own[name].to_numpy() < 0
-            columns.append((own[f"rare_{name}"].drop_null().to_numpy(), row[rare], pa.int64()))
+        beside, far = [], []
+        for side, name in enumerate(("after", "before")):
+            value, rare = own[name].to_numpy(), own[f"far_{name}"].to_numpy()
+            beside.append((row[~rare] << 32) | (value[~rare] * 2 + side))
+            far.append(lists(value[rare], np.bincount(row[rare], minlength=len(first)), pa.int64()))
+        keys, times = np.unique(np.concatenate(beside), return_counts=True)
+        counts = np.bincount(keys >> 32, minlength=len(first))
         return pa.RecordBatch.from_arrays([
-            pa.array(word[first]), pa.array(number[first]),
+            pa.array(word[first]),
             pa.array((word[first].view(U) >> U(8)) % U(n_classes - 1), pa.uint64()).cast(pa.int32()),
             pa.array(np.bincount(row, minlength=len(first)).astype(np.int64)),
-            *[lists(v, np.bincount(r, minlength=len(first)), k) for v, r, k in columns]],
-            ["word", "number", "class", "n", *LISTS])
+            lists((keys & 0xFFFFFFFF).astype(np.int32), counts),
+            lists(times.astype(np.int64), counts), *far],
+            ["word", "class", "n", "near", "times", "far_after", "far_before"])
 
     def build(batches):
         held = []
@@ -195,97 +261,139 @@ def word_rows(docs: DataFrame, get, n_classes: int) -> DataFrame:
             held.append(batch.slice(cut))
         if held:
             yield closed(held)
-    found = docs.mapInArrow(places, "word long, number int, after int, rare_after long, before int, "
-                                    "rare_before long")
-    return found.repartition(n, "word").sortWithinPartitions("word").mapInArrow(build, ROW)
+    found = docs.mapInArrow(places, "word long, after long, far_after boolean, before long, "
+                                    "far_before boolean")
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(build, ROW)
+
+
+def met(rows: DataFrame, n_classes: int) -> DataFrame:
+    """The rows that stand beside words that are not frequent either, with `slots`: the classes of
+    those, the ones before raised by n_classes, and `slot_times`."""
+    def sent(name: str, side: int) -> DataFrame:
+        return rows.select(F.explode(name).alias("to"), (F.col("class") + side * n_classes).alias("slot"))
+    sums = sent("far_after", 1).unionByName(sent("far_before", 0)).groupBy("to", "slot").agg(
+        F.count("*").alias("times"))
+    # at most 2 * n_classes slots a word
+    got = sums.groupBy("to").agg(F.collect_list(F.struct("slot", "times")).alias("got"))
+    beside = rows.where("size(far_after) + size(far_before) > 0")
+    return beside.join(got, F.col("word") == F.col("to")).select(
+        *rows.columns, F.col("got.slot").alias("slots"), F.col("got.times").alias("slot_times"))
+
+
+class Keys:
+    """Numbers of what is counted in a round: each frequent word's neighbour classes, the class
+    bigrams that begin with no frequent word, and how often each head follows itself."""
+
+    def __init__(self, units: Units, n_classes: int):
+        self.wide = 2 * n_classes
+        self.table = units.size * self.wide
+        self.same = self.table + n_classes * n_classes
+        self.size = self.same + units.heads + 1
+
+    def rows(self, keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        line = keys // self.wide
+        block, cell = line % BLOCKS, line // BLOCKS * self.wide + keys % self.wide
+        order = np.argsort(block, kind="stable")
+        return packed(block[order], block[order], cell[order], times[order])
+
+    def opened(self, batch) -> tuple[np.ndarray, np.ndarray]:
+        cell, row = opened(batch["cells"], np.int32)
+        line = cell // self.wide * BLOCKS + batch["block"].to_numpy()[row]
+        return line.astype(np.int64) * self.wide + cell % self.wide, opened(
+            batch["times"], np.int64)[0]
+
+
+def contexts(beside: DataFrame, rows: DataFrame, units: Units, classes: np.ndarray,
+             n_classes: int) -> DataFrame:
+    """The sums of `Keys` over all bigrams."""
+    get = shared(rows.sparkSession, (units.size, units.heads, Keys(units, n_classes), classes))
+
+    def of_links(batches):
+        size, heads, keys, classes = get()
 
+        def parts():
+            for batch in batches:
+                cell, row = opened(batch["cells"], np.int32)
+                times = opened(batch["times"], np.int64)[0]
+                side, cell = cell & 1, cell >> 1
+                part = batch["part"].to_numpy()[row]
+                word = cell // (size // SIDES + 1) * BLOCKS + part // SIDES
+                near = cell % (size // SIDES + 1) * SIDES + part % SIDES
+                yield merged([(word.astype(np.int64) * keys.wide + side * n_classes + classes[near],
+                               times)])
+                own = (word == near) & (side == 0) & ((word < heads) | (word == size - 1))
+                if own.any():
+                    yield keys.same + np.minimum(word[own], heads).astype(np.int64), times[own]
+        for found in combined(parts()):
+            yield keys.rows(*found)
 
-def met(rows: DataFrame, get, n_classes: int) -> DataFrame:
-    """The rows with `slots`: the classes of their neighbours that are not frequent, those before
-    raised by n_classes."""
-    def send(batches):
-        units = get()
-        for batch in batches:
-            batch = batch.filter(pa.array(batch["number"].to_numpy() < 0))
-            own = batch["class"].to_numpy()
-            words, slots = [], []
-            # this word stands before the one after it
-            for name, side in (("after", 1), ("before", 0)):
-                number, row = flat(batch[name])
-                tail = units.head(number) < 0
-                words.append(signed(units.words[number[tail]]))
-                slots.append(own[row[tail]] + side * n_classes)
-                rare, row = flat(batch[f"rare_{name}"])
-                words.append(rare)
-                slots.append(own[row] + side * n_classes)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(words), pa.int64()),
-                pa.array(np.concatenate(slots), pa.int32())], ["to", "slot"])
-    sent = rows.select("number", "class", *LISTS).mapInArrow(send, "to long, slot int")
-    got = sent.groupBy("to").agg(F.collect_list("slot").alias("slots"))
-    return rows.join(got, F.col("word") == F.col("to"), "left").drop("to")
-
-
-def neighbours(batch, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, slot) of every neighbour of the batch's rows."""
-    after, row = flat(batch["after"])
-    before, other = flat(batch["before"])
-    slots, rest = flat(batch["slots"])
-    return np.concatenate([row, other, rest]), np.concatenate([
-        classes[after], classes[before] + n_classes, slots]).astype(np.int64)
-
-
-def contexts(rows: DataFrame, pairs: DataFrame, units: Units, classes: np.ndarray, n_classes: int):
+    def of_rows(batches):
+        _, _, keys, classes = get()
+
+        def parts():
+            for batch in batches:
+                own = batch["class"].to_numpy().astype(np.int64)
+                code, row = flat(batch["near"])
+                times = flat(batch["times"])[0]
+                number, side = code.astype(np.int64) >> 1, code & 1
+                # a word before this one has its class after itself
+                yield number * keys.wide + np.where(side == 1, 0, n_classes) + own[row], times
+                after = side == 0
+                yield (keys.table + own[row[after]] * n_classes + classes[number[after]],
+                       times[after])
+        for found in combined(parts()):
+            yield keys.rows(*found)
+    return folded(beside.mapInArrow(of_links, PACKED).unionByName(
+        rows.select("class", "near", "times").mapInArrow(of_rows, PACKED)))
+
+
+def sums(counted: DataFrame, placed: DataFrame, units: Units, classes: np.ndarray, n_classes: int):
     """(after, before, self, table): how often each head is followed by each class, preceded by
-    each class, and followed by itself, and the class bigrams that begin with no head."""
-    size = units.heads + 1
-    get = shared(rows.sparkSession, (units, classes))
-    schema = "kind int, at long, n long"
-
-    def sums(values):
-        for kind, value in values:
-            at = np.flatnonzero(value)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(at), kind), pa.int32()), pa.array(at),
-                pa.array(value[at].astype(np.int64))], ["kind", "at", "n"])
-
-    def of_pairs(batches):
-        units, classes = get()
-        own = np.append(classes[:units.heads], classes[-1])
-        after, before = np.zeros(size * n_classes), np.zeros(size * n_classes)
-        same = np.zeros(size)
+    each class, and followed by itself, and the class bigrams of all words."""
+    keys = Keys(units, n_classes)
+    get = shared(counted.sparkSession, (units.size, units.heads, keys, classes))
+    schema = "cells binary, times binary"
+
+    def row(found, times):
+        return pa.RecordBatch.from_arrays([blobs(found.astype(np.int64), [len(found)]),
+                                           blobs(times.astype(np.int64), [len(found)])],
+                                          ["cells", "times"])
+
+    def of_words(batches):
+        size, heads, keys, classes = get()
+        table, kept = np.zeros(n_classes * n_classes, np.int64), []
         for batch in batches:
-            pair, n = batch["pair"].to_numpy(), batch["n"].to_numpy()
-            a, b = pair // size, pair % size
-            after += np.bincount(a * n_classes + own[b], weights=n, minlength=len(after))
-            before += np.bincount(b * n_classes + own[a], weights=n, minlength=len(before))
-            same += np.bincount(a[a == b], weights=n[a == b], minlength=size)
-        yield from sums(enumerate((after, before, same)))
+            found, times = keys.opened(batch)
+            word, slot = found // keys.wide, found % keys.wide
+            head = (word < heads) | (word >= size - 1)
+            kept.append((found[head], times[head]))
+            of = (word < size) & (slot < n_classes)
+            np.add.at(table, classes[word[of]] * n_classes + slot[of], times[of])
+        kept.append((keys.table + np.arange(len(table)), table))
+        yield row(*(np.concatenate(c) for c in zip(*kept)))
 
     def of_rows(batches):
-        units, classes = get()
-        found = [np.zeros(size * n_classes), np.zeros(size * n_classes)]
-        table = np.zeros(n_classes * n_classes)
+        table = np.zeros(n_classes * n_classes, np.int64)
         for batch in batches:
-            own = batch["class"].to_numpy()
-            row, slot = neighbours(batch, classes, n_classes)
-            follow = slot < n_classes
-            table += np.bincount(own[row[follow]] * n_classes + slot[follow], minlength=len(table))
-            for name, out in (("before", found[0]), ("after", found[1])):
-                number, row = flat(batch[name])
-                head = units.head(number)
-                out += np.bincount(head[head >= 0] * n_classes + own[row[head >= 0]],
-                                   minlength=len(out))
-        yield from sums([(0, found[0]), (1, found[1]), (3, table)])
-    found = pairs.mapInArrow(of_pairs, schema).unionByName(rows.select(
-        "class", "after", "before", "slots").mapInArrow(of_rows, schema)).groupBy(
-        "kind", "at").agg(F.sum("n").alias("n")).toArrow()
-    out = [np.zeros(size * n_classes), np.zeros(size * n_classes), np.zeros(size),
-           np.zeros(n_classes * n_classes)]
-    kind, at, n = (found[c].to_numpy() for c in ("kind", "at", "n"))
-    for k, own in enumerate(out):
-        own[at[kind == k]] = n[kind == k]
-    return out[0].reshape(size, -1), out[1].reshape(size, -1), out[2], out[3].reshape(n_classes, -1)
+            slot, at = flat(batch["slots"])
+            times = flat(batch["slot_times"])[0]
+            of = slot < n_classes
+            np.add.at(table, batch["class"].to_numpy()[at[of]] * n_classes + slot[of], times[of])
+        yield row(get()[2].table + np.arange(len(table)), table)
+    found = counted.mapInArrow(of_words, schema).unionByName(
+        placed.select("class", "slots", "slot_times").mapInArrow(of_rows, schema)).toArrow()
+    heads = np.zeros((units.heads + 1) * keys.wide)
+    rest = np.zeros(keys.size - keys.table)
+    for cells, times in zip(found["cells"], found["times"]):
+        at = np.frombuffer(cells.as_py(), np.int64)
+        n = np.frombuffer(times.as_py(), np.int64)
+        word = at < keys.table
+        head = np.minimum(at[word] // keys.wide, units.heads)
+        np.add.at(heads, head * keys.wide + at[word] % keys.wide, n[word])
+        np.add.at(rest, at[~word] - keys.table, n[~word])
+    heads = heads.reshape(-1, 2, n_classes)
+    cells = n_classes * n_classes
+    return heads[:, 0], heads[:, 1], rest[cells:], rest[:cells].reshape(n_classes, -1)
 
 
 def gain(x):
@@ -329,85 +437,139 @@ def exchange(classes, after, before, same, table) -> tuple[np.ndarray, np.ndarra
     return classes, table
 
 
-def moved(rows: DataFrame, classes: np.ndarray, table: np.ndarray) -> DataFrame:
-    """The rows without their slots, each with the class that raises the likelihood most."""
+def best_classes(row, slot, m, own, table) -> np.ndarray:
+    """The class of each word that raises the likelihood most; (row, slot), sorted and each once,
+    stands m times."""
+    n_classes, best = len(table), own.copy()
+    if not len(row):
+        return best
+    cells = np.concatenate([table.T, table])
+    sides = np.stack([table.sum(1), table.sum(0)])
+    kinds, kind = np.unique(np.stack([slot, m]), axis=1, return_inverse=True)
+    kind = kind.reshape(-1)
+    there, more = cells[kinds[0]], kinds[1][:, None]
+    # the own class holds the word already, so there it counts what leaving takes away
+    join = gain(there + more) - gain(there)
+    leave = gain(there) - gain(np.maximum(there - more, 0))
+    value = join[kind]
+    value[np.arange(len(kind)), own[row]] = leave[kind, own[row]]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    total = np.add.reduceat(value, first, axis=0)
+    some = row[first]
+    # each place of a word has one neighbour after it
+    weight = np.add.reduceat(np.where(slot < n_classes, m, 0), first).astype(float)[:, None]
+    held, at = own[some], np.arange(len(some))
+    lost = sum(gain(side + weight) - gain(side) for side in sides)
+    lost[at, held] = sum(gain(side[held]) - gain(np.maximum(side[held] - weight[:, 0], 0))
+                         for side in sides)
+    best[some] = np.argmax((total - lost)[:, :n_classes - 1], axis=1)
+    return best
+
+
+def moved_units(counted: DataFrame, units: Units, classes: np.ndarray, table: np.ndarray):
+    """Classes of the units, those of frequent words that are no heads chosen anew."""
     n_classes = len(table)
+    get = shared(counted.sparkSession, (units.size, units.heads, Keys(units, n_classes), classes, table))
+
+    def run(batches):
+        size, heads, keys, classes, table = get()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 16):
+                found, times = keys.opened(batch.slice(k, 16))
+                order = np.argsort(found)
+                found, times = found[order], times[order]
+                of = (found >= heads * keys.wide) & (found < (size - 1) * keys.wide)
+                words, row = np.unique(found[of] // keys.wide, return_inverse=True)
+                best = best_classes(row, found[of] % keys.wide, times[of], classes[words], table)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(words, pa.int64()), pa.array(best, pa.int32())], ["number", "class"])
+    found = counted.mapInArrow(run, "number long, class int").toArrow()
+    classes = classes.copy()
+    classes[found["number"].to_numpy()] = found["class"].to_numpy()
+    return classes
+
+
+def moved_rows(rows: DataFrame, placed: DataFrame, classes: np.ndarray, table: np.ndarray) -> DataFrame:
+    """The rows, each with the class that raises the likelihood most."""
+    wide, columns = 2 * len(table), rows.columns
     get = shared(rows.sparkSession, (classes, table))
 
     def run(batches):
         classes, table = get()
-        cells = np.concatenate([table.T, table])
-        sides = np.stack([table.sum(1), table.sum(0)])
         for batch in batches:
-            own, n = batch["class"].to_numpy(), batch["n"].to_numpy().astype(float)
-            best = own
-            if len(own):
-                row, slot = neighbours(batch, classes, n_classes)
-                key, m = np.unique(row * 2 * n_classes + slot, return_counts=True)
-                row, slot = key // (2 * n_classes), key % (2 * n_classes)
-                kinds, kind = np.unique(np.stack([slot, m]), axis=1, return_inverse=True)
-                kind = kind.reshape(-1)
-                there, more = cells[kinds[0]], kinds[1][:, None]
-                # the own class holds the word already, so there it counts what leaving takes away
-                join = gain(there + more) - gain(there)
-                leave = gain(there) - gain(np.maximum(there - more, 0))
-                value = join[kind]
-                at = np.arange(len(kind))
-                value[at, own[row]] = leave[kind, own[row]]
-                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                total = np.add.reduceat(value, first, axis=0)
-                some = row[first]
-                weight, held = n[some][:, None], own[some]
-                lost = sum(gain(side + weight) - gain(side) for side in sides)
-                at = np.arange(len(some))
-                lost[at, held] = sum(gain(side[held]) - gain(np.maximum(
-                    side[held] - weight[:, 0], 0)) for side in sides)
-                best = own.copy()
-                best[some] = np.argmax((total - lost)[:, :n_classes - 1], axis=1)
-            yield pa.RecordBatch.from_arrays([
-                batch["word"], batch["number"], pa.array(best, pa.int32()), batch["n"],
-                *[batch[c] for c in LISTS]], ["word", "number", "class", "n", *LISTS])
-    return rows.mapInArrow(run, ROW)
+            if not batch.num_rows:
+                continue
+            code, at = flat(batch["near"])
+            code = code.astype(np.int64)
+            slot, rest = flat(batch["slots"])
+            keys, m = merged([
+                (at * wide + (code & 1) * len(table) + classes[code >> 1], flat(batch["times"])[0]),
+                (rest * wide + slot, flat(batch["slot_times"])[0])])
+            best = best_classes(keys // wide, keys % wide, m, batch["class"].to_numpy(), table)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(best, pa.int32()) if c == "class" else batch[c] for c in columns],
+                columns)
+    alone = rows.where("size(far_after) + size(far_before) = 0").selectExpr(
+        "*", "cast(null as array<int>) slots", "cast(null as array<long>) slot_times")
+    return alone.unionByName(placed).mapInArrow(run, ROW)
 
 
 class Model:
     """Classes of units, and the logarithms that the classes give."""
 
-    def __init__(self, units: Units, classes, table, class_tokens, class_words):
+    def __init__(self, units: Units, classes, table, class_tokens, class_words, class_once=None):
         self.units, self.classes = units, classes
         n = len(table)
         self.transition = np.log10((table + ADD) / (table.sum(1, keepdims=True) + ADD * n))
         self.mass = np.log10(class_tokens + 0.1 * (class_words + 1))
+        # the last row and column are those of an unknown word, which may be of any class
+        once = (class_tokens if class_once is None else class_once) + ADD
+        to_next = once / once.sum() @ 10 ** self.transition
+        from_last = np.vstack([10 ** self.transition, to_next])
+        self.steps = np.log10(np.column_stack([from_last, from_last @ 10 ** -self.mass]))
 
 
 def cluster(docs: DataFrame, units: Units, n_classes: int = CLASSES, rounds: int = ROUNDS):
-    """(classes of units, class bigram counts, classes of all other words) of the best round."""
+    """(classes of units, class bigram counts, classes of all other words) of the best turn."""
     spark, free = docs.sparkSession, n_classes - 1
     get = shared(spark, units)
-    pairs = written(head_bigrams(docs, get))
+    beside = written(links(docs, get))
     with scratch() as held:
         rows = written(word_rows(docs, get, n_classes))
-    heads = np.append(np.arange(units.heads) % free, free)
-    best = None
-    for turn in range(rounds + 1):
-        with scratch() as left:
-            placed = written(met(rows, get, n_classes))
-        delete(spark, held)
-        classes = np.append(np.append(heads[:-1], np.zeros(units.size - len(heads), np.int64)), free)
-        known = placed.where("number >= 0").select("number", "class").toArrow()
-        classes[known["number"].to_numpy()] = known["class"].to_numpy()
-        after, before, same, table = contexts(placed, pairs, units, classes, n_classes)
-        np.add.at(table, heads, after)
+    with scratch() as left:
+        placed = written(met(rows, n_classes))
+    classes = np.append(np.arange(units.size - 1) % free, free)
+    head = np.append(np.arange(units.heads), units.size - 1)
+    best, kept, last = None, [], None
+    for turn in range(2 * rounds + 1):
+        with scratch() as passing:
+            counted = written(contexts(beside, rows, units, classes, n_classes))
+        after, before, same, table = sums(counted, placed, units, classes, n_classes)
         value = likelihood(table)
         if best is None or value > best[0]:
-            best = (value, classes, table, written(placed.select("word", "number", "class", "n")))
-        if turn < rounds:
-            heads, table = exchange(heads, after, before, same, table)
-            classes[:units.heads] = heads[:-1]
-            with scratch() as held:
-                rows = written(moved(placed, classes, table))
+            if kept != held:
+                delete(spark, kept)
+            best, kept = (value, classes, table, rows), list(held)
+        if turn % 2 == 0:
+            # a round is over: both kinds of words have had their turn
+            if turn == 2 * rounds or (last is not None and value - last < STOP * abs(value)):
+                delete(spark, passing)
+                break
+            last = value
+            classes = classes.copy()
+            classes[head] = exchange(classes[head], after, before, same, table)[0]
+        else:
+            moved = moved_units(counted, units, classes, table)
+            with scratch() as new:
+                rows = written(moved_rows(rows, placed, classes, table))
             delete(spark, left)
-    return best[1:]
+            if held != kept:
+                delete(spark, held)
+            classes, held = moved, new
+            with scratch() as left:
+                placed = written(met(rows, n_classes))
+        delete(spark, passing)
+    return *best[1:3], best[3].select("word", "class", "n")
 
 
 def scores(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
@@ -437,25 +599,24 @@ def scores(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -> D
     units = Units(words.view(U), HEADS)
     classes, table, others = cluster(train, units, n_classes, rounds)
 
-    # tokens, words and words seen once of each class: those of heads and end, then all others'
-    head = np.append(np.arange(units.heads), units.size - 1)
-    sums = np.stack([np.bincount(classes[head], weights=w, minlength=n_classes)
-                     for w in (n[head], n[head] > 0, n[head] == 1)])
+    # tokens, words and words seen once of each class: those of the units, then all others'
+    held = np.stack([np.bincount(classes, weights=w, minlength=n_classes)
+                     for w in (n, n > 0, n == 1)])
     for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words"), F.sum(
             (F.col("n") == 1).cast("long")).alias("once")).collect():
-        sums[:, r["class"]] += r["n"], r["words"], r["once"]
-    unknown = int(np.argmax(sums[2][:-1]))
-    model = Model(units, classes, table, sums[0], sums[1])
+        held[:, r["class"]] += r["n"], r["words"], r["once"]
+    model = Model(units, classes, table, *held)
+    wide = n_classes + 1
     get = shared(spark, (model, n))
 
     rows = written(marked.withColumn("place", F.spark_partition_id()).select(
         "doc_id", "text", "place", "held_out").mapInArrow(
         score_rows(get), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, "
                          "logs double, classes double, at long, word long, lead int, follow int"))
-    rest = others.where("number < 0").select(F.col("word").alias("known"), F.col("class"), "n")
+    rest = others.select(F.col("word").alias("known"), F.col("class"), "n")
     rare = rows.where("word is not null").select("row", "at", "word", "lead", "follow").join(
         rest, F.col("word") == F.col("known"), "left").select(
-        "row", "at", "lead", "follow", F.col("n"), F.coalesce("class", F.lit(unknown)).alias("own"))
+        "row", "at", "lead", "follow", F.col("n"), F.coalesce("class", F.lit(n_classes)).alias("own"))
     # the word before may be one that only the join told
     line = Window.partitionBy("row").orderBy("at")
     rare = rare.withColumn("lead", F.when(F.col("lead") >= 0, F.col("lead")).otherwise(
@@ -463,10 +624,10 @@ def scores(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -> D
 
     def listed(values) -> str:
         return "array(" + ", ".join(f"{v!r}D" for v in np.asarray(values).ravel().tolist()) + ")"
-    steps = listed(model.transition)
-    of_class = F.expr(f"element_at({steps}, lead * {n_classes} + own + 1)") + F.expr(
-        f"if(follow >= 0, element_at({steps}, own * {n_classes} + greatest(follow, 0) + 1), 0D)"
-    ) - F.expr(f"element_at({listed(model.mass)}, own + 1)")
+    steps = listed(model.steps)
+    of_class = F.expr(f"element_at({steps}, lead * {wide} + own + 1)") + F.expr(
+        f"if(follow >= 0, element_at({steps}, own * {wide} + greatest(follow, 0) + 1), 0D)"
+    ) - F.expr(f"element_at({listed(np.append(model.mass, 0.0))}, own + 1)")
     found = rare.groupBy(F.col("row").alias("of")).agg(
         F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more_logs"),
         F.sum(of_class).alias("more_classes"), F.count("n").alias("more_known"))
