@@ -313,17 +313,28 @@ def contexts(beside: DataFrame, rows: DataFrame, units: Units, classes: np.ndarr
 
         def parts():
             for batch in batches:
-                cell, row = opened(batch["cells"], np.int32)
-                times = opened(batch["times"], np.int64)[0]
-                side, cell = cell & 1, cell >> 1
-                part = batch["part"].to_numpy()[row]
-                word = cell // (size // SIDES + 1) * BLOCKS + part // SIDES
-                near = cell % (size // SIDES + 1) * SIDES + part % SIDES
-                yield merged([(word.astype(np.int64) * keys.wide + side * n_classes + classes[near],
-                               times)])
-                own = (word == near) & (side == 0) & ((word < heads) | (word == size - 1))
-                if own.any():
-                    yield keys.same + np.minimum(word[own], heads).astype(np.int64), times[own]
+                for k in range(0, batch.num_rows, 512):
+                    yield from of_parts(batch.slice(k, 512))
+
+        def of_parts(batch):
+            cell, row = opened(batch["cells"], np.int32)
+            times = opened(batch["times"], np.int64)[0]
+            side, cell = cell & 1, cell >> 1
+            part = batch["part"].to_numpy()
+            blocks, of_part = np.unique(part // SIDES, return_inverse=True)
+            line = cell // (size // SIDES + 1)
+            near = cell % (size // SIDES + 1) * SIDES + (part % SIDES)[row]
+            # a block has few words, so its sums fit a dense array
+            lines = size // BLOCKS + 1
+            found = np.bincount(((of_part[row] * lines + line) * 2 + side) * n_classes + classes[near],
+                                weights=times, minlength=len(blocks) * lines * keys.wide)
+            at = np.flatnonzero(found)
+            word = at // keys.wide % lines * BLOCKS + blocks[at // keys.wide // lines]
+            yield word * keys.wide + at % keys.wide, found[at].astype(np.int64)
+            word = line * BLOCKS + (part // SIDES)[row]
+            own = (word == near) & (side == 0) & ((word < heads) | (word == size - 1))
+            if own.any():
+                yield keys.same + np.minimum(word[own], heads).astype(np.int64), times[own]
         for found in combined(parts()):
             yield keys.rows(*found)
 
@@ -445,9 +456,8 @@ def best_classes(row, slot, m, own, table) -> np.ndarray:
         return best
     cells = np.concatenate([table.T, table])
     sides = np.stack([table.sum(1), table.sum(0)])
-    kinds, kind = np.unique(np.stack([slot, m]), axis=1, return_inverse=True)
-    kind = kind.reshape(-1)
-    there, more = cells[kinds[0]], kinds[1][:, None]
+    kinds, kind = np.unique(m * len(cells) + slot, return_inverse=True)
+    there, more = cells[kinds % len(cells)], (kinds // len(cells))[:, None]
     # the own class holds the word already, so there it counts what leaving takes away
     join = gain(there + more) - gain(there)
     leave = gain(there) - gain(np.maximum(there - more, 0))
@@ -457,11 +467,12 @@ def best_classes(row, slot, m, own, table) -> np.ndarray:
     total = np.add.reduceat(value, first, axis=0)
     some = row[first]
     # each place of a word has one neighbour after it
-    weight = np.add.reduceat(np.where(slot < n_classes, m, 0), first).astype(float)[:, None]
-    held, at = own[some], np.arange(len(some))
-    lost = sum(gain(side + weight) - gain(side) for side in sides)
-    lost[at, held] = sum(gain(side[held]) - gain(np.maximum(side[held] - weight[:, 0], 0))
-                         for side in sides)
+    weights, weight = np.unique(np.add.reduceat(np.where(slot < n_classes, m, 0), first),
+                                return_inverse=True)
+    held, at, weights = own[some], np.arange(len(some)), weights.astype(float)[:, None]
+    lost = sum(gain(side + weights) - gain(side) for side in sides)[weight]
+    lost[at, held] = sum(gain(side) - gain(np.maximum(side - weights, 0)) for side in sides)[
+        weight, held]
     best[some] = np.argmax((total - lost)[:, :n_classes - 1], axis=1)
     return best
 
