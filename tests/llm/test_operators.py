@@ -410,6 +410,65 @@ def test_every_training_word_is_a_unit(spark, monkeypatch):
     assert np.allclose([r[2] for r in some], [r[2] for r in every])
 
 
+def test_class_counts_equal_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HEADS", 3)
+    rng = np.random.default_rng(1)
+    # one word stands very often, also beside itself
+    data = [(i, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.5, 30), 60))) for i in range(40)]
+    data += [(40, "w1 " * 500), (41, None), (42, "")]
+    texts = [["end", *(t or "").split(), "end"] for _, t in data]
+    counts = Counter(w for t in texts for w in t[1:-1])
+    hashed = {int(tokens.Words([w]).hashes.view(np.int64)[0]): w for w in counts}
+    top = [w for w, _ in counts.most_common(8)]
+    by_word = {w: h for h, w in hashed.items()}
+    units = brown.Units(np.array([by_word[w] for w in top]).view(np.uint64), 3)
+    docs_, n = table(spark, data).select("doc_id", "text"), 4
+    get = tables.shared(spark, units)
+    rows_ = tables.written(brown.word_rows(docs_, get, n))
+    placed = tables.written(brown.met(rows_, n))
+    numbered = np.append(np.arange(8) % 3, 3)
+    own = dict(zip([*top, "end"], numbered.tolist()))
+    for r in rows_.collect():
+        assert r["n"] == counts[hashed[r["word"]]]
+        own[hashed[r["word"]]] = r["class"]
+    assert len(own) == len(counts) + 1
+    counted = tables.written(brown.contexts(tables.written(brown.links(docs_, get)), rows_, units, numbered, n))
+    pairs = Counter(p for t in texts for p in zip(t, t[1:]))
+    after, before, same, found = brown.sums(counted, placed, units, numbered, n)
+    expected = np.zeros((n, n))
+    heads = [*top[:3], "end"]
+    beside = np.zeros((2, 4, n))
+    for (a, b), times in pairs.items():
+        expected[own[a], own[b]] += times
+        for side, word, near in ((0, a, b), (1, b, a)):
+            if word in heads:
+                beside[side, heads.index(word), own[near]] += times
+    assert (found == expected).all() and (after == beside[0]).all() and (before == beside[1]).all()
+    assert same.tolist() == [pairs[w, w] for w in heads]
+    # words that are no heads go where the gain, with all others in place, is largest
+    moved = brown.moved_units(counted, units, numbered, found)
+    again = {r["word"]: r["class"] for r in brown.moved_rows(rows_, placed, numbered, found).collect()}
+    gain = lambda x: x * math.log(max(x, 1))
+    for word in [w for w in counts if w not in heads]:
+        near = Counter()
+        for (a, b), times in pairs.items():
+            if a == word:
+                near[0, own[b]] += times
+            if b == word:
+                near[1, own[a]] += times
+        values = []
+        for c in range(n - 1):
+            sign, value = (-1 if c == own[word] else 1), 0.0
+            for (side, k), m in near.items():
+                there = expected[c, k] if side == 0 else expected[k, c]
+                value += sign * (gain(max(there + sign * m, 0)) - gain(there))
+            for whole in (expected[c].sum(), expected[:, c].sum()):
+                value -= sign * (gain(max(whole + sign * counts[word], 0)) - gain(whole))
+            values.append(value)
+        got = int(moved[top.index(word)]) if word in top else again[by_word[word]]
+        assert values[got] >= max(values) - 1e-6
+
+
 def link_numbers(data):
     sets = []
     for _, text in data:
