@@ -51,50 +51,62 @@ def link_conflicts(new_posts: DataFrame, posts: DataFrame) -> DataFrame:
         "status_code", F.when(F.col("existing_id").isNotNull(), F.lit(409)))
 
 
-GRAM = 3
+PIECE = 32
 
 
-def _grams(text: Column) -> Column:
-    """Distinct substrings of GRAM characters; of a shorter text, the text itself."""
-    return F.when(F.length(text) <= GRAM, F.array(text)).otherwise(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substr(text, i, F.lit(GRAM)))))
+def _tails(text: Column) -> Column:
+    """The up to PIECE characters from every place of a text on."""
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(PIECE)))
 
 
-def _all_grams(text: Column) -> Column:
-    """Distinct substrings of one to GRAM characters, so that short needles find theirs."""
-    return F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.least(F.length(text), F.lit(GRAM))), lambda n: F.transform(
-            F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n)))))
+def _grams(text: Column) -> Column:
+    """Distinct substrings of PIECE characters of a text that has as many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (PIECE - 1)),
+                                        lambda i: F.substr(text, i, F.lit(PIECE))))
 
 
 def resolve_companies(names: DataFrame, companies: DataFrame) -> DataFrame:
     """Company id for every distinct wanted name: an exact name (any case) first, else the
     lowest id whose name contains it, else NULL (`is_new`).
 
-    Containment is an equi-join on one trigram of the needle, the one that the fewest company
-    names have, and a check of what it finds. A needle that is no longer than a trigram is one
-    itself, and its answer is aggregated with the trigram's count. Names have any length.
+    Company names count once, with their lowest id. Containment of a needle of at most PIECE
+    characters is an equi-join on the whole needle: the substrings of company names that are as long as
+    some needle are aggregated to their lowest id, so the work grows with the names, however many
+    of them share a part. A longer needle is joined on one substring of PIECE characters, the one that
+    the fewest company names have, with a check of what it finds. Names have any length.
     """
     wanted = names.select("name").where(~placeholder_company(F.col("name"))).distinct()
     wanted = wanted.withColumn("needle", F.lower("name"))
-    known = companies.select(F.col("id"), F.lower("name").alias("haystack")).where(
+    known = companies.groupBy(F.lower("name").alias("haystack")).agg(F.min("id").alias("id")).where(
         F.length("haystack") > 0)
-    pieces = known.select("id", "haystack", F.explode(_all_grams(F.col("haystack"))).alias("gram"))
-    counts = pieces.groupBy("gram").agg(
-        F.count("*").alias("held"), F.min("id").alias("inside_id"),
-        F.min(F.when(F.col("haystack") == F.col("gram"), F.col("id"))).alias("exact_id"))
-    rarest = (wanted.select("name", "needle", F.explode(_grams(F.col("needle"))).alias("gram"))
+    size = F.length("needle")
+    # at most PIECE numbers
+    sizes = wanted.where(size <= PIECE).agg(F.collect_set(size)).scalar()
+    cut = known.select("id", F.explode(_tails(F.col("haystack"))).alias("tail")).withColumn("sizes", sizes)
+    held = cut.select("id", F.explode(F.transform(
+        F.filter("sizes", lambda n: (n > 0) & (n <= F.length("tail"))),
+        lambda n: F.substr("tail", F.lit(1), n))).alias("piece"))
+    inside = held.groupBy("piece").agg(F.min("id").alias("inside_id"))
+
+    long = wanted.where(size > PIECE)
+    # dealt by gram here: a join would take them for as few as the names that they come from
+    grams = known.where(F.length("haystack") > PIECE).select("id", "haystack", F.explode(
+        _grams(F.col("haystack"))).alias("gram")).repartition("gram")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("held"))
+    # a needle with a gram that no name has is in none
+    rarest = (long.select("name", "needle", F.explode(_grams(F.col("needle"))).alias("gram"))
               .join(counts, "gram", "left").groupBy("name", "needle")
-              .agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram", "exact_id",
-                                  "inside_id")).alias("best")))
-    long = F.length("needle") > GRAM
-    found = rarest.select("name", "needle", "best.*").join(
-        pieces.select("id", "haystack", F.col("gram").alias("piece")),
-        (F.col("gram") == F.col("piece")) & long & F.contains("haystack", "needle"), "left")
-    return found.groupBy("name").agg(F.coalesce(
-        F.min(F.when(F.col("haystack") == F.col("needle"), F.col("id"))), F.min("id"),
-        F.min(F.when(~long, F.col("exact_id"))), F.min(F.when(~long, F.col("inside_id")))
-    ).alias("company_id")).withColumn("is_new", F.col("company_id").isNull())
+              .agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("best")))
+    far = rarest.select("name", "needle", F.col("best.gram").alias("gram")).join(grams, "gram").where(
+        F.contains("haystack", "needle")).select("name", "id")
+
+    short = wanted.where(size <= PIECE).join(inside, F.col("needle") == F.col("piece")).select(
+        "name", F.col("inside_id").alias("id"))
+    found = short.unionByName(far).groupBy("name").agg(F.min("id").alias("inside_id"))
+    exact = known.select("haystack", F.col("id").alias("exact_id"))
+    return (wanted.join(exact, F.col("needle") == F.col("haystack"), "left").join(found, "name", "left")
+            .select("name", F.coalesce("exact_id", "inside_id").alias("company_id"))
+            .withColumn("is_new", F.col("company_id").isNull()))
 
 
 def create_companies(resolved: DataFrame, companies: DataFrame) -> DataFrame:

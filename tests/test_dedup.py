@@ -128,6 +128,50 @@ def test_company_names_have_any_length(spark):
                    "y" * 99: 3, "pha b": 6, "zed": 9}
 
 
+def broadcast_rows(df):
+    """The rows of each broadcast that the query made."""
+    df.collect()
+    found, waiting = [], [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "BroadcastExchangeExec":
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        if kind == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        else:
+            waiting += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_many_names_that_share_their_parts(spark, tmp_path):
+    """Every trigram of a name is in hundreds of others, and names repeat: no substring of theirs is
+    broadcast for each name that it stands in."""
+    stem = "The International Company Number "
+    companies = spark.range(3_000).select("id", F.format_string("Customer#%09d", "id").alias("name")).union(
+        spark.range(3_000, 3_400).select("id", F.concat(F.lit(stem), F.format_string("%09d", "id"))))
+    names = companies.select(F.when(F.col("id") % 3 == 0, F.right("name", F.lit(6))).when(
+        F.col("id") % 3 == 1, F.lower("name")).otherwise(F.concat(F.lit("New "), "name")).alias("name"))
+    names = names.union(spark.createDataFrame(
+        [("customer#0",), (stem,), (stem + "000003",), ("number 000003399",)], "name string"))
+    companies.union(companies.withColumn("id", F.col("id") + 10_000)).write.parquet(f"{tmp_path}/companies")
+    found = dedup.resolve_companies(names, spark.read.parquet(f"{tmp_path}/companies"))
+    known = {r.name.lower(): r.id for r in companies.collect()}
+    got = {r.name: r.company_id for r in found.collect()}
+
+    def expected(name):
+        low = name.lower()
+        if low in known or low.startswith("new "):
+            return known.get(low)
+        return min((i for c, i in known.items() if low in c), default=None)
+    assert got == {n: expected(n) for n in got} and len(got) == names.distinct().count()
+    rows = broadcast_rows(found)
+    assert rows and max(rows) < 60_000
+
+
 def test_rewrite_by_profile_skips_bad_rules(spark):
     known = spark.createDataFrame([
         (2, "x.com", [("a", "never")]),
