@@ -19,6 +19,7 @@ from capture_analytics.session import checkpoint_dir
 from capture_analytics.sources.sinks import html_if_empty
 
 RANGE_ROWS = 1 << 20
+MOST_RANGES = 1 << 10   # at most so many ranges; they grow with the rows beyond that
 BUCKETS = 256
 PART, BUCKET = "_part", "_bucket"
 
@@ -32,8 +33,12 @@ def _order(sort: Sequence[tuple[str, bool]]) -> list[Column]:
 
 def write_ordered(df: DataFrame, path: str, sort: Sequence[tuple[str, bool]],
                   range_rows: int = RANGE_ROWS) -> None:
-    """Write `df` in ranges of its order. The last column of `sort` is to be unique."""
-    ranges = -(-df.count() // range_rows) or 1
+    """Write `df` in ranges of its order. The last column of `sort` is to be unique.
+
+    The driver hears of every range and of a sample of its rows, so ranges of a large table hold more
+    than `range_rows` rows, rather than being ever more.
+    """
+    ranges = min(MOST_RANGES, -(-df.count() // range_rows)) or 1
     cut = df.repartitionByRange(ranges, *_order(sort)).withColumn(PART, F.spark_partition_id())
     cut.sortWithinPartitions(*_order(sort)).write.mode("overwrite").partitionBy(PART).parquet(f"{path}/rows")
     rows = df.sparkSession.read.parquet(f"{path}/rows")
@@ -47,7 +52,9 @@ def write_ordered(df: DataFrame, path: str, sort: Sequence[tuple[str, bool]],
 
 def _read(spark: SparkSession, path: str, parts: list[int]) -> DataFrame:
     """Only the folders of these ranges are listed and read."""
-    return spark.read.parquet(f"{path}/rows").where(F.col(PART).isin(parts)).drop(PART)
+    if not parts:
+        return spark.read.parquet(f"{path}/rows").where(F.lit(False)).drop(PART)
+    return spark.read.parquet(*[f"{path}/rows/{PART}={part}" for part in parts])
 
 
 def read_page(spark: SparkSession, path: str, sort: Sequence[tuple[str, bool]], number: int,

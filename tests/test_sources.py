@@ -137,6 +137,19 @@ def test_walking_after_gives_all_rows(spark, ordered_path):
         assert len(files_read(found)) <= 3
 
 
+def test_ranges_of_a_large_table_are_not_ever_more(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "MOST_RANGES", 6, raising=False)
+    rows = spark.range(3_000).select("id", (F.col("id") * 7919 % 97).alias("price"))
+    layout.write_ordered(rows, str(tmp_path), SORT, 100)
+    assert 1 < len([p for p in (tmp_path / "rows").iterdir() if p.is_dir()]) <= 6
+    expected = [tuple(r) for r in rows.orderBy(F.col("price").desc(), F.col("id").asc()).collect()]
+    page = layout.read_page(spark, str(tmp_path), SORT, 21, 50).select("id", "price").collect()
+    assert [tuple(r) for r in page] == expected[1_000:1_050]
+    i, price = expected[1_049]
+    rest = layout.read_after(spark, str(tmp_path), SORT, (price, i), 50).select("id", "price").collect()
+    assert [tuple(r) for r in rest] == expected[1_050:1_100]
+
+
 def test_a_patch_rewrites_its_buckets_only(spark, tmp_path):
     path = str(tmp_path / "posts")
     rows = spark.range(400).select("id", F.concat(F.lit("t"), "id").alias("title"), F.lit(None).cast("string").alias("link"))
