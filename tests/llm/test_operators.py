@@ -469,6 +469,58 @@ def test_class_counts_equal_plain_counts(spark, monkeypatch):
         assert values[got] >= max(values) - 1e-6
 
 
+def test_rare_words_travel_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HEADS", 4)
+    monkeypatch.setattr(brown, "LOOKUP", 12)
+    rng = np.random.default_rng(3)
+    data = [(i, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.2, 40), 200))) for i in range(60)]
+    data += [(60, None), (61, ""), (62, "new1 new2 new3"), (None, "w1 w150 w151"), (None, "w1 w150 w151")]
+    docs_, columns = table(spark, data), ("doc_id", "n_known", "base_score", "score")
+    seen, write = [], brown.written
+
+    def watched(df):
+        out = write(df)
+        if {"class", "classes"} & set(df.columns) and "doc_id" not in df.columns:
+            seen.append(out.count())
+        return out
+    monkeypatch.setattr(brown, "written", watched)
+    once = rows(brown.scores(docs_, 5, 2), *columns)
+    # one row for all the words that are not frequent, not one for each
+    assert seen and set(seen) == {1}
+    # the scores do not depend on the blocks, on how often counts are merged or on who is put together
+    for name, value in (("BLOCK_TOKENS", 100), ("COMBINE", 50), ("TOGETHER", 7), ("SLICE", 3)):
+        monkeypatch.setattr(brown, name, value)
+    seen.clear()
+    again = rows(brown.scores(docs_, 5, 2), *columns)
+    assert min(seen) > 5
+    assert [r[:2] for r in once] == [r[:2] for r in again]
+    assert np.allclose([r[2:] for r in once], [r[2:] for r in again])
+
+
+def test_units_are_found_by_hash():
+    rng = np.random.default_rng(2)
+    words = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    # many words with the same first bits
+    words = np.unique(np.append(words, words[7] + np.arange(1, 50, dtype=np.uint64)))
+    rng.shuffle(words)
+    units = brown.Units(words[:3000], 10)
+    asked = np.concatenate([words, units.words, words + np.uint64(1), [np.uint64(0), ~np.uint64(0)]])
+    number = {int(w): i for i, w in enumerate(units.words)}
+    assert units.of(asked).tolist() == [number.get(int(w), -1) for w in asked]
+    assert brown.Units(np.array([], np.uint64)).of(np.array([brown.END, 5], np.uint64)).tolist() == [0, -1]
+    assert units.of(np.array([], np.uint64)).tolist() == []
+
+
+def test_large_bigram_counts_are_split():
+    times = np.array([3, (1 << 31) - 1, 1 << 31, 5 << 31], np.int64)
+    batch = brown.packed(np.array([0, 0, 1, 1]), np.array([0, 0, 16, 17]), np.array([4, 5, 6, 7]), times)
+    cells, row = brown.opened(batch["cells"], np.int32)
+    found = brown.opened(batch["times"], np.int32)[0]
+    assert batch["part"].to_pylist() == [0, 16, 17] and batch["block"].to_pylist() == [0, 1, 1]
+    keys, sums = brown.merged([(cells.astype(np.int64), found.astype(np.int64))])
+    assert keys.tolist() == [4, 5, 6, 7] and sums.tolist() == times.tolist()
+
+
 def link_numbers(data):
     sets = []
     for _, text in data:
